@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components, spanning_edges
 
-#: Leaves of one group of the distributed index, and the most groups; the directory has 16 bytes a group.
-GROUP_SIZE, MAX_GROUPS = 4096, 65536
+#: Leaves of one group of the distributed index, the fewest groups (so that all cores search), and the most; the
+#: directory has 16 bytes a group.
+GROUP_SIZE, MIN_GROUPS, MAX_GROUPS = 4096, 64, 65536
 FAN_OUT = 8
 #: Text is taken in pieces of about so many bytes, so that one very long text needs little memory.
 PIECE = 1 << 20
@@ -178,7 +179,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
     The links are those of a spanning forest in each group: their components are those of all links.
     """
     spark = prints.sparkSession
-    groups = min(MAX_GROUPS, max(1, -(-prints.count() // GROUP_SIZE)))
+    groups = min(MAX_GROUPS, max(MIN_GROUPS, -(-prints.count() // GROUP_SIZE)))
     ranked = prints.withColumn("rank", gray_rank(F.col("fp")))
     placed = cut(ranked.repartitionByRange(groups, "rank").withColumn("gid", F.spark_partition_id()))
     rows = sorted(
