@@ -64,3 +64,12 @@ def with_partition_position(df: DataFrame, *order: Column) -> DataFrame:
 def u01(*parts: Column) -> Column:
     """A uniform in [0, 1) from an MD5 of the parts; DuckDB computes the same."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+#: A side of at most so many rows (of under 100 bytes each) may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df, counted before, as the side of a join: broadcast if it is known to be small, else joined by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

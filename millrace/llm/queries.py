@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash, tokenfile
+from . import bpe, lines, mixing, quality, simhash, tokenfile, urls, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,90 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(files).select(
         F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+URL_ROUNDS = 10
+
+
+def _url_sql(rounds: int = URL_ROUNDS) -> str:
+    """Rules and ranks of op4 in SQL, a common table for each round."""
+    rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.RULES)
+    href = urls.HREF.replace("'", "''")
+    after = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) END"
+    host = "coalesce(translate(regexp_extract({a}, '^([^/?#]*)', 1), '" + urls.UPPER + "', '" + urls.LOWER + "'), '')"
+    steps = "\n".join(
+        f"""r{k} AS (SELECT kind, host, sum(r) AS r FROM (SELECT * FROM r0 UNION ALL
+            SELECT s.kind, s.dst, r.r * s.share * 0.85::DOUBLE FROM r{k - 1} r JOIN steps s ON r.kind = s.kind AND r.host = s.src)
+            GROUP BY ALL),"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""
+WITH parsed AS (
+  SELECT page_id, html, {host.format(a=after.format(u='url'))} AS host,
+    coalesce(regexp_extract({after.format(u='url')}, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(action, of_host, prefix) AS (VALUES {rules}), ruled AS (
+  SELECT p.page_id, any_value(p.host) AS host, any_value(p.path) AS path,
+    arg_max(r.of_host || r.prefix, length(r.of_host || r.prefix)) AS rule, arg_max(r.action, length(r.of_host || r.prefix)) AS action
+  FROM parsed p LEFT JOIN rules r
+    ON (p.host = r.of_host OR ends_with(p.host, '.' || r.of_host)) AND starts_with(p.path, r.prefix)
+  GROUP BY p.page_id
+), hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (action = 'allow') AS good, count(*) FILTER (action = 'block') AS bad
+  FROM ruled WHERE host <> '' GROUP BY host
+), weights AS (
+  SELECT 'trust' AS kind, host, good AS w FROM hosts WHERE good > bad
+  UNION ALL SELECT 'distrust', host, bad FROM hosts WHERE bad * 2 > n
+), r0 AS (
+  SELECT kind, host, w / sum(w) OVER (PARTITION BY kind) * 0.15::DOUBLE AS r FROM weights
+), hrefs AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS link FROM parsed
+), found AS (
+  SELECT src, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM hrefs
+), links AS (
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format(a=after.format(u='link'))} AS dst FROM found)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), both_ways AS (
+  SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links
+), steps AS (
+  SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways
+), {steps} spread AS (
+  SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM r{rounds} GROUP BY host
+), suspects AS (
+  SELECT host FROM spread WHERE distrust > 0 AND round(distrust, 12) >= round((trust + distrust) * 0.5, 12)
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (FROM suspects) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
+
+
+@query("op4_url_filter", _url_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), rounds=URL_ROUNDS).withColumnRenamed("id", "page_id")
+
+
+@query(
+    "op9_warc",
+    """
+WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), hashed AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM sized
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM hashed
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM grouped
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.with_revisits(table(spark, sf_dir, "pages"))
+    archives = warc.normalise(warc.write_archives(pages, fresh_path(spark, "warc")))
+    return warc.read_records(archives).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
