@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash, tokenfile, urls, warc
+from . import bpe, fingerprints, lines, mixing, quality, simhash, tokenfile, urls, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +214,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archives).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    found = found.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_chars").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.written_out(F.col("sketch")).alias("fingerprint"),
+        fingerprints.written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
