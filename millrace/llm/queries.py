@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, mixing, quality, simhash, tokenfile, urls, warc
+from . import bpe, embeddings, fingerprints, lines, mixing, quality, simhash, tokenfile, urls, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +229,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+@query("op3_embedding_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
