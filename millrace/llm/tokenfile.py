@@ -18,6 +18,7 @@ share an id follow each other, shorter ones first; an empty table gives no files
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -39,7 +40,8 @@ SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 _COUNT = np.array([c for c, _ in SELECTORS], dtype=np.int64)
 _PAD = 60
 BLOCK_WORDS = 1 << 15
-REMEMBERED = 1_000_000
+#: Chunks remembered in each of two generations.
+REMEMBERED = 500_000
 
 
 class LibraryEncoder:
@@ -59,6 +61,7 @@ class LibraryEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.uneven = re.compile(r" \s|\s ")
         added_ids = set(self.tokenizer.get_added_tokens_decoder())
         by_id = {i: t for t, i in self.tokenizer.get_vocab().items()}
@@ -89,15 +92,23 @@ class LibraryEncoder:
         known = self.known
         ids = list(map(known.get, chunks))
         if None in ids:
-            missing = list(dict.fromkeys(c for c, i in zip(chunks, ids) if i is None))
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-            new = self._chunks(missing)
+            older = self.older
+            new = {c: older.get(c) for c, i in zip(chunks, ids) if i is None}
+            new |= self._chunks([c for c, i in new.items() if i is None])
+            if len(known) + len(new) > REMEMBERED:
+                self.older, known = known, {}
+                self.known = known
             known.update((c, i) for c, i in new.items() if len(c) <= 64)
             ids = [new[c] if i is None else i for c, i in zip(chunks, ids)]
         return b"".join([self._library([first])[0] if first else b"", *ids])
 
 
+@functools.cache
+def _encoder(tokenizer_json: str) -> LibraryEncoder:
+    """One encoder for all tasks of a Python worker, so that what one has seen serves the next."""
+    return LibraryEncoder(tokenizer_json)
+
+
 def pack(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Arrays of ids (uint64) to words, words per array, and the places of escapes among the words."""
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
@@ -250,7 +261,7 @@ def write_token_files(
     bounds = np.unique(ids.approxQuantile("id", [k / files for k in range(1, files)], 1 / (8 * files)) if files > 1 else [])
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, small = LibraryEncoder(shipped.value), zstandard.ZstdCompressor(level=1)
+        encoder, small = _encoder(shipped.value), zstandard.ZstdCompressor(level=1)
         end = end_id.to_bytes(4, "little")
         for batch in it:
             made = [small.compress(encoder.encode(t.as_py()) + end) for t in batch.column(1)]
