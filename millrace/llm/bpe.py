@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a piece of text, tokens of a piece of ids, entries of the table of recent words.
-PIECE, DECODED, REMEMBERED = 1 << 19, 1 << 16, 400_000
+PIECE, DECODED, REMEMBERED = 1 << 19, 1 << 16, 250_000
 #: Words of at most so many symbols, all within any window, need no emitting on the way.
 SHORT = 32
 
