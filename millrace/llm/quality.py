@@ -261,17 +261,19 @@ def score(
     every score is 0.5. Repeated rows are scored each; an empty table gives an empty table.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    taken = keep if text_col in keep else (*keep, text_col)
+    at = taken.index(text_col)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at)]
             result = np.full(len(texts), 0.5)
             for first, some in _slices(texts) if model else ():
                 x, owner = encode_passages(some)
                 result[first : first + len(some)] = model.scores(x, owner, len(some))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.columns[: len(keep)], pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
+                names=[*keep, "score", "predicted"],
             )
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(scored, f"{fields}, score double, predicted int")
+    return docs.select(*taken).mapInArrow(scored, f"{fields}, score double, predicted int")
