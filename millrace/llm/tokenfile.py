@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,15 +41,22 @@ SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 _COUNT = np.array([c for c, _ in SELECTORS], dtype=np.int64)
 _PAD = 60
 BLOCK_WORDS = 1 << 15
-#: Chunks remembered in each of two generations.
-REMEMBERED = 500_000
+#: Chunks remembered, and characters of text that are looked up together.
+REMEMBERED, BATCH = 1_000_000, 4_000_000
+
+
+def _grown(held: np.ndarray, size: int) -> np.ndarray:
+    """held with room for size elements."""
+    return held if size <= len(held) else np.concatenate([held, np.empty(max(len(held), size), dtype=held.dtype)])
 
 
 class LibraryEncoder:
-    """The tokenizers library, with the encodings of recent chunks of text remembered.
+    """The tokenizers library, with the encodings of chunks of text remembered.
 
-    A byte-level tokenizer encodes " word" alike wherever it stands, if no white space borders on the space; text is cut
-    there and chunks seen before are not encoded again. Text where spaces border on white space goes to the library whole.
+    A byte-level tokenizer encodes " word" alike wherever it stands, if no white space borders on the space. Texts are
+    cut there, a batch at a time; each different chunk of the batch is looked up once, the new ones are encoded together
+    as one text and told apart by the bytes of their tokens, and the ids are gathered by array operations. Texts where
+    spaces border on white space, or with special tokens, go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -58,49 +66,90 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in added.values()]
         self.uneven = re.compile(r" \s|\s ")
-        added_ids = set(self.tokenizer.get_added_tokens_decoder())
         by_id = {i: t for t, i in self.tokenizer.get_vocab().items()}
         # A byte-level token is spelled with a character for each byte.
-        self.bytes_of = np.array([0 if i in added_ids else len(by_id.get(i, "")) for i in range(max(by_id) + 1)])
+        self.bytes_of = np.array([0 if i in added else len(by_id.get(i, "")) for i in range(max(by_id) + 1)])
+        self._forget()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.empty(1 << 20, dtype=np.uint32)
+        self.starts = np.empty(1 << 18, dtype=np.int64)
+        self.sizes = np.empty(1 << 18, dtype=np.int64)
+        self.held = 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk with a space before it, encoded as one text and told apart by the bytes of the tokens."""
-        whole = [c for c in chunks if not c[-1:].isspace()]
-        new = dict(zip(odd := [c for c in chunks if c[-1:].isspace()], self._library([" " + c for c in odd])))
-        ids = np.frombuffer(self._library([" " + " ".join(whole)])[0] if whole else b"", dtype="<u4")
-        ends = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass"))) for c in whole])
-        cuts = [0, *(4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 4).tolist()]
-        data = ids.tobytes()
-        new.update((c, data[a:b]) for c, a, b in zip(whole, cuts, cuts[1:]))
-        return new
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit."""
-        text = text or ""
-        if self.uneven.search(text) or self.marks.search(text):
-            return self._library([text])[0]
-        first, *chunks = text.split(" ")
-        known = self.known
-        ids = list(map(known.get, chunks))
-        if None in ids:
-            older = self.older
-            new = {c: older.get(c) for c, i in zip(chunks, ids) if i is None}
-            new |= self._chunks([c for c, i in new.items() if i is None])
-            if len(known) + len(new) > REMEMBERED:
-                self.older, known = known, {}
-                self.known = known
-            known.update((c, i) for c, i in new.items() if len(c) <= 64)
-            ids = [new[c] if i is None else i for c, i in zip(chunks, ids)]
-        return b"".join([self._library([first])[0] if first else b"", *ids])
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks, a space before each, and remember their ids."""
+        odd = [c for c in chunks if c[-1:].isspace()]
+        plain = [c for c in chunks if not c[-1:].isspace()] if odd else chunks
+        parts, sizes = self._library([" " + c for c in odd]), []
+        sizes = [len(p) for p in parts]
+        for first in range(0, len(plain), 4096):
+            some = plain[first : first + 4096]
+            ids = self._library([" " + " ".join(some)])[0]
+            ends = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy() + 1)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            parts.append(ids)
+            sizes += np.diff(cuts, prepend=0).tolist()
+        new, count, start = np.concatenate(parts), len(chunks), len(self.known)
+        self.ids = _grown(self.ids, self.held + len(new))
+        self.starts, self.sizes = _grown(self.starts, start + count), _grown(self.sizes, start + count)
+        self.ids[self.held : self.held + len(new)] = new
+        self.sizes[start : start + count] = sizes
+        self.starts[start : start + count] = self.held + np.cumsum(sizes) - sizes
+        self.held += len(new)
+        self.known.update(zip(odd + plain, range(start, start + count)))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        texts = [t or "" for t in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        even, rest = [], []
+        for k, text in enumerate(texts):
+            whole = any(m in text for m in self.marks) or self.uneven.search(text)
+            (rest if whole else even).append(k)
+        for k, ids in zip(rest, self._library([texts[k] for k in rest])):
+            out[k] = ids
+        held = 0
+        some: list[int] = []
+        for k in even:
+            some.append(k)
+            held += len(texts[k])
+            if held > BATCH:
+                self._gather([texts[i] for i in some], some, out)
+                some, held = [], 0
+        self._gather([texts[i] for i in some], some, out)
+        return out
+
+    def _gather(self, texts: list[str], places: list[int], out: list) -> None:
+        if not texts:
+            return
+        chunks = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = chunks.offsets.to_numpy()
+        coded = chunks.values.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) + len(words) > REMEMBERED:
+            self._forget()
+        entry = list(map(self.known.get, words))
+        if None in entry:
+            self._learn([w for w, e in zip(words, entry) if e is None])
+            entry = list(map(self.known.__getitem__, words))
+        entry = np.array(entry, dtype=np.int64)[index]
+        starts, sizes = self.starts[entry], self.sizes[entry]
+        sizes[bounds[:-1]] = 0  # the first chunk of a text has no space before it
+        total = np.cumsum(sizes)
+        ids = self.ids[np.arange(total[-1]) + np.repeat(starts - total + sizes, sizes)]
+        cuts = np.append(0, total)[bounds]
+        heads = self._library([t[: t.index(" ")] if " " in t else t for t in texts])
+        for k, place in enumerate(places):
+            out[place] = np.concatenate([heads[k], ids[cuts[k] : cuts[k + 1]]])
 
 
 @functools.cache
@@ -115,7 +164,7 @@ def pack(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = np.zeros(_PAD, dtype=np.uint64)
     values = np.concatenate([x for part in ids for x in (part, gap)] or [gap])
     begins = np.cumsum(sizes + _PAD) - sizes - _PAD
-    width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    width = ((values.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int64) - 1022).clip(0).astype(np.uint8)
     big = values >= np.uint64(1 << 52)  # beyond exact floats
     if big.any():
         width[big] = [int(v).bit_length() for v in values[big]]
@@ -142,8 +191,10 @@ def pack(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mine = np.flatnonzero(chosen == selector)
         count, bits = SELECTORS[selector]
         if selector:
-            held = values[starts[mine][:, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-            words[mine] = np.bitwise_or.reduce(held, axis=1) | np.uint64(selector << 60)
+            at_word, held = starts[mine], np.full(len(mine), selector << 60, dtype=np.uint64)
+            for k in range(count):
+                held |= values[at_word + k] << np.uint64(k * bits)
+            words[mine] = held
     escaped = np.flatnonzero(chosen == 0)
     if len(escaped):
         owner = np.repeat(np.arange(len(ids)), per)
@@ -166,8 +217,9 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for s in np.unique(selector[selector > 0]).tolist():
         mine = np.flatnonzero(selector == s)
         count, bits = SELECTORS[s]
-        held = words[mine][:, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-        out[first[mine][:, None] + np.arange(count)] = held & np.uint64((1 << bits) - 1)
+        held, at, mask = words[mine], first[mine], np.uint64((1 << bits) - 1)
+        for k in range(count):
+            out[at + k] = (held >> np.uint64(k * bits)) & mask
     return out, first
 
 
@@ -262,9 +314,10 @@ def write_token_files(
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, small = _encoder(shipped.value), zstandard.ZstdCompressor(level=1)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], dtype="<u4")
         for batch in it:
-            made = [small.compress(encoder.encode(t.as_py()) + end) for t in batch.column(1)]
+            found = encoder.encode(batch.column(1).to_pylist())
+            made = [small.compress(np.concatenate([ids, end]).astype("<u4").tobytes()) for ids in found]
             known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             file = np.where(batch.column(0).is_valid(), np.searchsorted(bounds, known, side="right"), 0)
             yield pa.RecordBatch.from_arrays(

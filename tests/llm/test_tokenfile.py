@@ -33,7 +33,7 @@ def test_density():
     assert len(words) == 200
 
 
-def test_encoder_is_the_library():
+def test_encoder_is_the_library(monkeypatch):
     path = P.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
     encoder = tokenfile.LibraryEncoder(open(path, encoding="utf-8").read())
@@ -41,9 +41,13 @@ def test_encoder_is_the_library():
     letters = "abé 's\n!<|>1中\t  "
     texts = [None, "", " ", " a", "a ", "a  b", "a\n b", "a \nb", "x<|endoftext|> y", "it's Bob's\n\nend"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    for text in texts * 2:
-        want = library.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
+    tokenfile_batch = tokenfile.BATCH
+    for batch in (tokenfile_batch, 100):
+        monkeypatch.setattr(tokenfile, "BATCH", batch)
+        monkeypatch.setattr(tokenfile, "REMEMBERED", 50 if batch == 100 else 1_000_000)
+        for text, ids in zip(texts * 2, encoder.encode(texts * 2)):
+            want = library.encode(text or "", add_special_tokens=False).ids
+            assert ids.tolist() == want, repr(text)
 
 
 def test_files(spark, tmp_path, monkeypatch):
