@@ -48,7 +48,7 @@ def json_string(c: Column) -> Column:
     """A JSON string literal, with <, >, & and the line separators escaped."""
     quoted = F.to_json(F.struct(c.alias("s")))
     body = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
-    for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         body = F.replace(body, F.lit(sign), F.lit(code))
     return body
 
