@@ -46,9 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (binary, little-endian 32-bit) and the text that they decode to."""
     vocabulary = bpe.Vocabulary.load(tokenizer_path("word_bpe_49k.json"))
-    keep = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, vocabulary, keep=keep)
-    decoded = bpe.decode(encoded, vocabulary, keep=(*keep, "ids"))
+    decoded = bpe.round_trip(docs, vocabulary, keep=("doc_id", "lang", "source"))
     return decoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 

@@ -33,11 +33,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import row_slices
+
 #: Characters of a piece of text, tokens of a piece of ids, entries of the table of recent words.
-PIECE, DECODED, REMEMBERED = 1 << 19, 1 << 16, 250_000
+PIECE, DECODED, REMEMBERED = 1 << 18, 1 << 16, 150_000
 #: Words of at most so many symbols, all within any window, need no emitting on the way.
 SHORT = 32
 
@@ -117,6 +120,17 @@ class Vocabulary:
         made.lookahead = sufficient_lookahead([(made.symbols(a), made.symbols(b)) for a, b in merges])
         return made
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "sent"}
+
+    def shipped(self, spark: SparkSession) -> Broadcast:
+        """This vocabulary as a broadcast variable, one for all uses in an application."""
+        app, sent = getattr(self, "sent", (None, None))
+        if app != spark.sparkContext.applicationId:
+            sent = spark.sparkContext.broadcast(self)
+            self.sent = (spark.sparkContext.applicationId, sent)
+        return sent
+
     def symbols(self, token: str) -> list[str]:
         """The symbols that merges start from: characters, the last one together with the end mark."""
         if self.end and token.endswith(self.end):
@@ -181,7 +195,7 @@ class Transducer:
     def _fits(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.v.merged([*self.v.symbols(a), *self.v.symbols(b)]) == [a, b]
         return known
@@ -390,23 +404,52 @@ def _fields(df: DataFrame, keep: Sequence[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
 
 
-def _mapped(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], column: str, name: str, kind: str, coder, method: str):
-    shipped = df.sparkSession.sparkContext.broadcast(vocabulary)
+def _mapped(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], column: str, out: dict[str, str], work) -> DataFrame:
+    """The columns in keep and those in out (name to kind), which work(vocabulary) makes of a column's value."""
+    shipped = vocabulary.shipped(df.sparkSession)
+    kinds = [pa.binary() if k == "binary" else pa.string() for k in out.values()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = getattr(coder(shipped.value), method)
-        for batch in it:
-            made = pa.array([work(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary() if kind == "binary" else pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], name])
+        one = work(shipped.value)
+        for batch in row_slices(it):
+            made = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *out])
 
-    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, f"{_fields(df, keep)}`{name}` {kind}")
+    fields = _fields(df, keep) + ", ".join(f"`{n}` {k}" for n, k in out.items())
+    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, fields)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "ids") -> DataFrame:
     """The columns in keep and `name`: the ids of the text as binary, little-endian unsigned 32-bit."""
-    return _mapped(df, vocabulary, keep, text_col, name, "binary", Encoder, "encode")
+
+    def work(v: Vocabulary):
+        encoder = Encoder(v)
+        return lambda text: (encoder.encode(text),)
+
+    return _mapped(df, vocabulary, keep, text_col, {name: "binary"}, work)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", keep: Sequence[str] = ("doc_id",), name: str = "decoded") -> DataFrame:
     """The columns in keep and `name`: the text of the ids, special tokens included."""
-    return _mapped(df, vocabulary, keep, ids_col, name, "string", Decoder, "decode")
+
+    def work(v: Vocabulary):
+        decoder = Decoder(v)
+        return lambda ids: (decoder.decode(ids),)
+
+    return _mapped(df, vocabulary, keep, ids_col, {name: "string"}, work)
+
+
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, `ids` as encode gives them and `decoded`, the text that decode makes of these ids, in one pass."""
+
+    def work(v: Vocabulary):
+        encoder, decoder = Encoder(v), Decoder(v)
+
+        def one(text: str | None) -> tuple[bytes, str]:
+            ids = encoder.encode(text)
+            return ids, decoder.decode(ids)
+
+        return one
+
+    return _mapped(df, vocabulary, keep, text_col, {"ids": "binary", "decoded": "string"}, work)

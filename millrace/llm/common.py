@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +77,19 @@ BROADCAST_ROWS = 400_000
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """df, counted before, as the side of a join: broadcast if it is known to be small, else joined by a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in small batches, so that a task holds the Python objects of a few texts at a time.
+
+    At the end of the task free memory goes back to the system: a reused worker would keep it.
+    """
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices
+
 PASSAGE = 64
 #: Bytes of text that are encoded together; bounds a worker's memory.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _SIGNS = string.punctuation.encode()
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 beyond ASCII, then each punctuation sign.
@@ -227,7 +229,7 @@ def train(
     )  # `sample` ids at most
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in row_slices(it):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)]
             for first, some in _slices(texts):
                 x, owner = encode_passages(some)
@@ -265,7 +267,7 @@ def score(
     at = taken.index(text_col)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in row_slices(it):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at)]
             result = np.full(len(texts), 0.5)
             for first, some in _slices(texts) if model else ():

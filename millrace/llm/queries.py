@@ -110,8 +110,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bpe_round_trip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(tokenizer_path("word_bpe_49k.json"))
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    decoded = bpe.decode(encoded, vocabulary, keep=("doc_id", "ids"))
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

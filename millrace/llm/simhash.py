@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_slices
 from .components import connected_components, spanning_edges
 
 #: Leaves of one group of the distributed index, the fewest groups (so that all cores search), and the most; the
@@ -83,7 +83,7 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp) of every row of df."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in row_slices(it, 4096):
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
 

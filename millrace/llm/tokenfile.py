@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_slices
 from .files import readable, written
 
 MAGIC = b"S8BTOK01"
@@ -315,7 +315,7 @@ def write_token_files(
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, small = _encoder(shipped.value), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u4")
-        for batch in it:
+        for batch in row_slices(it, 2048):
             found = encoder.encode(batch.column(1).to_pylist())
             made = [small.compress(np.concatenate([ids, end]).astype("<u4").tobytes()) for ids in found]
             known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)

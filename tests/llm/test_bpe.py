@@ -78,6 +78,8 @@ def test_operators(spark, both):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     got = bpe.decode(bpe.encode(df, vocabulary), vocabulary, keep=("doc_id", "ids")).collect()
     assert len(got) == len(rows)
+    both_ways = bpe.round_trip(df, vocabulary).select("doc_id", "ids", "decoded").collect()
+    assert sorted(map(str, both_ways)) == sorted(map(str, got))
     want = sorted(
         (str(i), library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False))
         for i, t, _ in rows
