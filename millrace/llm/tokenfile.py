@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +41,7 @@ _COUNT = np.array([c for c, _ in SELECTORS], dtype=np.int64)
 _PAD = 60
 BLOCK_WORDS = 1 << 15
 #: Chunks remembered, and characters of text that are looked up together.
-REMEMBERED, BATCH = 1_000_000, 4_000_000
+REMEMBERED, BATCH = 1_000_000, 6_000_000
 
 
 def _grown(held: np.ndarray, size: int) -> np.ndarray:
@@ -50,6 +49,12 @@ def _grown(held: np.ndarray, size: int) -> np.ndarray:
     return held if size <= len(held) else np.concatenate([held, np.empty(max(len(held), size), dtype=held.dtype)])
 
 
+def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of values from starts, of the given sizes, one after another."""
+    total = np.cumsum(sizes)
+    return values[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)]
+
+
 class LibraryEncoder:
     """The tokenizers library, with the encodings of chunks of text remembered.
 
@@ -68,18 +73,20 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
-        self.uneven = re.compile(r" \s|\s ")
         by_id = {i: t for t, i in self.tokenizer.get_vocab().items()}
         # A byte-level token is spelled with a character for each byte.
         self.bytes_of = np.array([0 if i in added else len(by_id.get(i, "")) for i in range(max(by_id) + 1)])
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, dtype=np.uint32)
-        self.starts = np.empty(1 << 18, dtype=np.int64)
-        self.sizes = np.empty(1 << 18, dtype=np.int64)
-        self.held = 0
+    def _forget(self, words: list[str] = []) -> None:
+        """Forget all chunks but the given ones."""
+        kept = {w: e for w in words if (e := self.known.get(w)) is not None} if words else {}
+        entry = np.fromiter(kept.values(), dtype=np.int64, count=len(kept))
+        sizes = self.sizes[entry] if kept else np.empty(0, dtype=np.int64)
+        ids = _ragged(self.ids, self.starts[entry], sizes) if kept else np.empty(0, dtype=np.uint32)
+        self.known: dict[str, int] = dict(zip(kept, range(len(kept))))
+        self.ids, self.held = _grown(ids, 1 << 20), len(ids)
+        self.sizes, self.starts = _grown(sizes, 1 << 18), _grown(np.cumsum(sizes) - sizes, 1 << 18)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -113,8 +120,7 @@ class LibraryEncoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         even, rest = [], []
         for k, text in enumerate(texts):
-            whole = any(m in text for m in self.marks) or self.uneven.search(text)
-            (rest if whole else even).append(k)
+            (rest if any(m in text for m in self.marks) else even).append(k)
         for k, ids in zip(rest, self._library([texts[k] for k in rest])):
             out[k] = ids
         held = 0
@@ -128,6 +134,18 @@ class LibraryEncoder:
         self._gather([texts[i] for i in some], some, out)
         return out
 
+    @staticmethod
+    def _uneven(words: pa.Array, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Texts where a space borders on other white space: a chunk but the first begins with it, or one but the last
+        ends with it, or an inner chunk is empty."""
+        empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        begins = pc.not_equal(words, pc.utf8_ltrim_whitespace(words)).to_numpy(zero_copy_only=False)[index]
+        ends = pc.not_equal(words, pc.utf8_rtrim_whitespace(words)).to_numpy(zero_copy_only=False)[index]
+        first, last = np.zeros(len(index), dtype=bool), np.zeros(len(index), dtype=bool)
+        first[bounds[:-1]], last[bounds[1:] - 1] = True, True
+        bad = (begins & ~first) | (ends & ~last) | (empty[index] & ~first & ~last)
+        return np.add.reduceat(bad.astype(np.int64), bounds[:-1]) > 0
+
     def _gather(self, texts: list[str], places: list[int], out: list) -> None:
         if not texts:
             return
@@ -135,8 +153,16 @@ class LibraryEncoder:
         bounds = chunks.offsets.to_numpy()
         coded = chunks.values.dictionary_encode()
         index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        uneven = self._uneven(coded.dictionary, index, bounds)
+        if uneven.any():
+            odd = np.flatnonzero(uneven).tolist()
+            for k, ids in zip(odd, self._library([texts[k] for k in odd])):
+                out[places[k]] = ids
+            fine = np.flatnonzero(~uneven).tolist()
+            self._gather([texts[k] for k in fine], [places[k] for k in fine], out)
+            return
         if len(self.known) + len(words) > REMEMBERED:
-            self._forget()
+            self._forget(words)
         entry = list(map(self.known.get, words))
         if None in entry:
             self._learn([w for w, e in zip(words, entry) if e is None])
@@ -144,9 +170,8 @@ class LibraryEncoder:
         entry = np.array(entry, dtype=np.int64)[index]
         starts, sizes = self.starts[entry], self.sizes[entry]
         sizes[bounds[:-1]] = 0  # the first chunk of a text has no space before it
-        total = np.cumsum(sizes)
-        ids = self.ids[np.arange(total[-1]) + np.repeat(starts - total + sizes, sizes)]
-        cuts = np.append(0, total)[bounds]
+        ids = _ragged(self.ids, starts, sizes)
+        cuts = np.append(0, np.cumsum(sizes))[bounds]
         heads = self._library([t[: t.index(" ")] if " " in t else t for t in texts])
         for k, place in enumerate(places):
             out[place] = np.concatenate([heads[k], ids[cuts[k] : cuts[k + 1]]])
