@@ -35,7 +35,8 @@ def duck():
 def test_query_is_its_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
-    want = duck.execute(f"select {', '.join(cols)} from ({registry.ORACLES[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    want = duck.execute(f"select {quoted} from ({registry.ORACLES[name]})").fetchall()
     assert canonical(map(tuple, df.select(*cols).collect())) == canonical(want)
 
 
