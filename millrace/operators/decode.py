@@ -5,6 +5,7 @@ A step function takes the source ids and the ids so far and returns a logit for
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from .tokens import BOS, EOS
 
-Step = Callable[[Sequence[int], Sequence[int]], Sequence[float]]
+Step = Callable[[Sequence[int], Sequence[int]], list[float]]
 
 
 def log_softmax(logits: Sequence[float]) -> list[float]:
@@ -24,13 +25,14 @@ def log_softmax(logits: Sequence[float]) -> list[float]:
 
 def best(values: Sequence[float], k: int) -> list[int]:
     """Places of the k largest values, earlier ones first where equal."""
-    return sorted(range(len(values)), key=lambda i: (-values[i], i))[:k]
+    return heapq.nlargest(k, range(len(values)), key=lambda i: (values[i], -i))
 
 
 def greedy(step: Step, source: Sequence[int], max_len: int) -> list[int]:
     out: list[int] = []
     while len(out) < max_len:
-        token = best(step(source, [BOS, *out]), 1)[0]
+        logits = step(source, [BOS, *out])
+        token = logits.index(max(logits))
         if token == EOS:
             break
         out.append(token)
@@ -93,10 +95,14 @@ def copy_step(vocab: int) -> Callable[[], Step]:
     """A step function that copies its source: for tests and for measuring the search itself."""
 
     def make() -> Step:
+        far = [1.0 / (1 + d) for d in range(vocab + 1)]
+
         def step(source: Sequence[int], ids: Sequence[int]) -> list[float]:
             at = len(ids) - 1
             wanted = source[at] if at < len(source) else EOS
-            return [4.0 if t == wanted else 1.0 / (1 + abs(t - wanted)) for t in range(vocab)]
+            logits = far[wanted:0:-1] + far[: vocab - wanted]
+            logits[wanted] = 4.0
+            return logits
 
         return step
 

@@ -35,3 +35,9 @@ def with_place(df: DataFrame, order: Sequence[Column], name: str = "place") -> D
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(counts), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: for few files whose rows are costly to work on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

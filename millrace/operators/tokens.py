@@ -24,6 +24,7 @@ SYMBOLS = (
 STRUCTURAL_MAX = UNK + len(SYMBOLS)
 IGNORED = -100
 SPACE = "▁"
+_WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -47,6 +48,9 @@ class Model:
         users = sorted((p for p, _, kind in self.pieces if kind == USER), key=len, reverse=True)
         self.users = re.compile("|".join(map(re.escape, users))) if users else None
         self.mergeable = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
+        # Where no piece has a space after its first characters, merges stay inside words and words can be remembered.
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.mergeable)
+        self.words: dict[str, list[str]] = {}
         self.bytes = {int(m[1], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE and (m := _BYTE.fullmatch(p))}
 
     @classmethod
@@ -87,6 +91,20 @@ class Model:
             offer(a)
         return [p for p in parts if p]
 
+    def _split(self, text: str) -> list[str]:
+        """The pieces of text between user-defined symbols."""
+        if not self.by_word or SPACE * 2 in text:
+            return self._merge(text)
+        out: list[str] = []
+        for word in _WORD.findall(text):
+            pieces = self.words.get(word)
+            if pieces is None:
+                if len(self.words) >= 200_000:
+                    self.words.clear()
+                pieces = self.words[word] = self._merge(word)
+            out += pieces
+        return out
+
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
         """Ids of text with white space collapsed; user-defined symbols are never merged with others."""
         text = re.sub(r"\s+", " ", text)
@@ -95,7 +113,7 @@ class Model:
             text = SPACE + text
         out, at = [BOS] if bos else [], 0
         for m in [*(self.users.finditer(text) if self.users else ()), None]:
-            for piece in self._merge(text[at : m.start() if m else len(text)]):
+            for piece in self._split(text[at : m.start() if m else len(text)]):
                 if piece in self.ids:
                     out.append(self.ids[piece])
                 elif self.bytes:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..functions.rng import u01, u01_sql
 from ..operators import augment, corrupt, curriculum, decode, enrich, gates, generate, metrics, sampling, tokens
+from ..operators.placing import spread
 from ..sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,7 @@ def agent_json(docs: DataFrame) -> DataFrame:
     body = F.struct(
         F.when(~odd, F.col("text")).alias("answer"), F.array("lang", "source").alias("memory"), F.col("text").alias("thought"), tool.alias("tool")
     )
-    rows = docs.select(F.col("doc_id").alias("sample_id"), F.to_json(body).alias("input"))
+    rows = spread(docs).select(F.col("doc_id").alias("sample_id"), F.to_json(body).alias("input"))
     return rows.withColumn("target", fn.json_to_xml("input"))
 
 
@@ -76,7 +77,7 @@ def raw_lines(docs: DataFrame) -> DataFrame:
         .when(k == 5, F.to_json(F.struct(F.col("text").alias("answer"), F.array().cast("array<string>").alias("memory"), thought.alias("thought"))))
         .otherwise(good)
     )
-    return docs.select(F.col("doc_id").alias("line_no"), raw.alias("raw"))
+    return spread(docs).select(F.col("doc_id").alias("line_no"), raw.alias("raw"))
 
 
 RAW_REASON = """CASE doc_id % 8 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'not_object' WHEN 2 THEN 'missing_thought'
@@ -105,7 +106,7 @@ DOC_XML = object_sql({"doc_id": "doc_id", "lang": cdata_sql("lang"), "n_chars":
 @query("f01_json_to_xml", f"SELECT doc_id, {DOC_XML} AS xml FROM documents")
 def f01(spark: SparkSession, d: str) -> DataFrame:
     text = F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars"))
-    return table(spark, d, "documents").select("doc_id", fn.json_to_xml(text).alias("xml"))
+    return spread(table(spark, d, "documents")).select("doc_id", fn.json_to_xml(text).alias("xml"))
 
 
 @query("f01_json_to_xml_native", f"SELECT doc_id, {DOC_XML} AS xml FROM documents")
@@ -146,7 +147,7 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
 @query("p09_xml_well_formed", "SELECT doc_id, true AS whole, false AS cut FROM documents")
 def p09(spark: SparkSession, d: str) -> DataFrame:
     xml = fn.json_to_xml(F.to_json(F.struct("text")))
-    return table(spark, d, "documents").select("doc_id", xml.alias("x")).select(
+    return spread(table(spark, d, "documents")).select("doc_id", xml.alias("x")).select(
         "doc_id", fn.xml_well_formed("x").alias("whole"), fn.xml_well_formed(F.expr("substring(x, 1, length(x) - 4)")).alias("cut")
     )
 
@@ -154,7 +155,7 @@ def p09(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_xml_document", "SELECT doc_id, true AS one, false AS two FROM documents")
 def p10(spark: SparkSession, d: str) -> DataFrame:
     xml = fn.json_to_xml(F.to_json(F.struct("text")))
-    return table(spark, d, "documents").select("doc_id", xml.alias("x")).select("doc_id", fn.xml_document("x").alias("one"), fn.xml_document(F.concat("x", "x")).alias("two"))
+    return spread(table(spark, d, "documents")).select("doc_id", xml.alias("x")).select("doc_id", fn.xml_document("x").alias("one"), fn.xml_document(F.concat("x", "x")).alias("two"))
 
 
 @query("p11_xml_root_prefix", "SELECT page_id, regexp_matches(ltrim(html), '^<(object|array)>') AS root FROM pages")
@@ -164,7 +165,7 @@ def p11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p15_xml_same_meaning", "SELECT doc_id, true AS spaced, regexp_full_match(text, '\\s*') AS other FROM documents")
 def p15(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "text", fn.json_to_xml(F.to_json(F.struct("text"))).alias("x"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", "text", fn.json_to_xml(F.to_json(F.struct("text"))).alias("x"))
     other = fn.json_to_xml(F.to_json(F.struct(F.lit("").alias("text"))))
     return rows.withColumn("o", other).select("doc_id", fn.xml_same_meaning("x", F.replace("x", F.lit("\n  <"), F.lit("\n\n <"))).alias("spaced"), fn.xml_same_meaning("x", "o").alias("other"))
 
@@ -582,7 +583,7 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
 @query("a10_fault_kinds", "SELECT 'other' AS kind, count(*) AS n FROM documents")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     cut = F.replace(fn.json_to_xml(F.to_json(F.struct("text"))), F.lit("</object>"), F.lit(""))
-    return table(spark, d, "documents").select(fn.xml_fault_kind(cut, F.lit(7)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, d, "documents")).select(fn.xml_fault_kind(cut, F.lit(7)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -729,7 +730,7 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
     model = tokens.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
-    return table(spark, d, "documents").select("doc_id", model.encoder()("text").alias("ids"))
+    return spread(table(spark, d, "documents")).select("doc_id", model.encoder()("text").alias("ids"))
 
 
 @query("t02_round_trip")
@@ -765,13 +766,13 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d01_greedy", f"SELECT l_orderkey, l_linenumber, {SRC_SQL} AS decoded FROM lineitem")
 def d01(spark: SparkSession, d: str) -> DataFrame:
-    rows = id_rows(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.col("src").alias("src_ids"))
+    rows = id_rows(spread(table(spark, d, "lineitem"))).select("l_orderkey", "l_linenumber", F.col("src").alias("src_ids"))
     return decode.decode(rows, decode.copy_step(90), 64).select("l_orderkey", "l_linenumber", "decoded")
 
 
 @query("d02_beam", f"SELECT l_orderkey, l_linenumber, {SRC_SQL} AS decoded FROM lineitem")
 def d02(spark: SparkSession, d: str) -> DataFrame:
-    rows = id_rows(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.col("src").alias("src_ids"))
+    rows = id_rows(spread(table(spark, d, "lineitem"))).select("l_orderkey", "l_linenumber", F.col("src").alias("src_ids"))
     return decode.decode(rows, decode.copy_step(90), 64, width=2).select("l_orderkey", "l_linenumber", "decoded")
 
 
