@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import row_slices
 
 #: Characters of a piece of text, tokens of a piece of ids, entries of the table of recent words.
-PIECE, DECODED, REMEMBERED = 1 << 18, 1 << 16, 150_000
+PIECE, DECODED, REMEMBERED = 1 << 18, 1 << 16, 400_000
 #: Words of at most so many symbols, all within any window, need no emitting on the way.
 SHORT = 32
 
