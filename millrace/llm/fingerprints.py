@@ -9,7 +9,8 @@ The fingerprint of a document is the SKETCH smallest distinct anchor hashes, a f
 two fingerprints are as alike as their documents' sets of anchors: the Dice coefficient 2J / (1 + J) of J, the share of
 the SKETCH smallest hashes of both that both have. Texts with at most SKETCH anchors are compared exactly.
 
-Words are what is left between ASCII white space, lower-cased. A text of fewer than K words is one anchor, all its words.
+Words are what is left between ASCII white space, lower-cased. A text with words but without a closed k-mer (any of fewer
+than K words, and some of up to 2 * K - S - 2) is one anchor, all its words.
 
 Defined results: a null text is an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an empty
 and another one are not (0).
@@ -56,8 +57,9 @@ def _anchors(hashes: Column, k: int, s: int) -> Column:
     every = _let(inner, lambda runs: F.transform(F.sequence(F.lit(0), n - k), lambda i: one(runs, i)))
     whole = F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " "))
     few = F.array(F.struct(F.lit(0).alias("place"), whole.alias("hash")))
-    found = F.when(n >= k, F.filter(every, lambda a: a.isNotNull())).when(n > 0, few)
-    return F.coalesce(found, F.slice(few, 1, 0))
+    none = F.slice(few, 1, 0)
+    closed = F.when(n >= k, F.filter(every, lambda a: a.isNotNull())).otherwise(none)
+    return _let(closed, lambda found: F.when(F.size(found) > 0, found).when(n > 0, few).otherwise(none))
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:

@@ -100,3 +100,19 @@ def test_repeats_nulls_single_and_empty(spark):
     one = df.where("doc_id = 2")
     assert [r.edited for r in fp.with_next(one).collect()] == ["xyzx"]
     assert fp.with_next(df.where(F.lit(False))).count() == 0
+
+
+def test_texts_without_a_closed_kmer_are_one_anchor(spark):
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(n)) for n in (5, 6, 7) for _ in range(40)]
+    bare = [t for t in texts if not brute_anchors(t)]
+    assert len(bare) > 20 and max(len(t.split()) for t in bare) == 6
+    rows = [(i, t) for i, t in enumerate(bare)] + [(1000, ""), (1001, None), (1002, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", fp.sketch(F.col("text")))
+    got = {r.doc_id: list(r.s) for r in df.collect()}
+    for i, t in enumerate(bare):
+        h = [signed(chain([w])) for w in t.split()]
+        assert got[i] == [chain([" ".join(map(str, h))]) >> 32]
+    assert got[1000] == got[1001] == got[1002] == []
+    pair = df.where("doc_id = 0").select(F.col("s").alias("a")).crossJoin(df.where("doc_id > 0").select(F.col("doc_id"), F.col("s").alias("b")))
+    assert {r.l for r in pair.select(fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()} == {0.0}
