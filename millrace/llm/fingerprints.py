@@ -5,9 +5,9 @@ stands at one of its edges. Whether a k-mer is an anchor depends on its own word
 anchors wherever they stand; of any K - S + 1 neighbouring k-mers at least one is an anchor. `anchors` returns all anchors
 of a text with their places, for positional matching.
 
-The fingerprint of a document is the SKETCH smallest distinct anchor hashes, a fixed size however long the text is;
-two fingerprints are as alike as their documents' sets of anchors: the Dice coefficient 2J / (1 + J) of J, the share of
-the SKETCH smallest hashes of both that both have. Texts with at most SKETCH anchors are compared exactly.
+The fingerprint of a document is all its distinct anchor hashes, about half as many as it has words, cut off nowhere, so
+that a short passage shared by long texts counts. Two fingerprints are as alike as their documents' sets of anchors: the
+Dice coefficient 2J / (1 + J) of J, the share of the 32-bit hashes of either that both have.
 
 Words are what is left between ASCII white space, lower-cased. A text with words but without a closed k-mer (any of fewer
 than K words, and some of up to 2 * K - S - 2) is one anchor, all its words.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut, with_partition_position
 
 K, S = 5, 2
-SKETCH = 64
+#: The most hashes a fingerprint has; None: no bound.
+SKETCH = None
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -62,10 +63,10 @@ def _anchors(hashes: Column, k: int, s: int) -> Column:
     return _let(closed, lambda found: F.when(F.size(found) > 0, found).when(n > 0, few).otherwise(none))
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The `size` smallest distinct anchor hashes of a text, ascending, each cut to its upper 32 bits."""
+def sketch(text: Column, k: int = K, s: int = S) -> Column:
+    """All distinct anchor hashes of a text, ascending, each cut to its upper 32 bits."""
     hashes = F.transform(anchors(text, k, s), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, size)
+    return F.sort_array(F.array_distinct(hashes))
 
 
 def written_out(found: Column) -> Column:
@@ -73,59 +74,50 @@ def written_out(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """How alike two sketches are, 0 to 1; exact where both hold all anchors of their texts."""
-    whole = (F.size(a) < size) & (F.size(b) < size)
-    both = _let(
-        F.slice(F.array_sort(F.array_union(a, b)), 1, F.when(whole, 2 * size).otherwise(size)),
-        lambda low: F.size(F.array_intersect(F.array_intersect(low, a), b)) / F.size(low),
-    )
-    shared = F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
-    return 2 * shared / (1 + shared)
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two sketches are, 0 to 1."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / total)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(id, n) to (id, before, n_before): for each distinct id the next smaller one and its largest n; before the first
-    stands the last. Ids are placed by range partitions; only one row per partition is looked at as a table."""
-    one = ids.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n"))
+    """(id) to (id, before): for each distinct id the next smaller one; before the first stands the last. Ids are placed
+    by range partitions; only one row per partition is looked at as a table."""
+    one = ids.where("id IS NOT NULL").distinct()
     placed = cut(with_partition_position(one, F.col("id")))
-    here = F.struct("id", "n")
-    edges = placed.groupBy("pid").agg(F.max(here).alias("last"))
+    edges = placed.groupBy("pid").agg(F.max("id").alias("last"))
     every = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select(
         F.col("pid").alias("_pid"),
         F.coalesce(F.lag("last").over(Window.orderBy("pid")), F.last("last").over(every)).alias("_edge"),
     )
-    within = placed.withColumn("_within", F.lag(here).over(Window.partitionBy("pid").orderBy("pos")))
-    joined = within.join(edges, F.col("pid") == F.col("_pid")).withColumn("_b", F.coalesce("_within", "_edge"))
-    return joined.select("id", F.col("_b.id").alias("before"), F.col("_b.n").alias("n_before"))
+    within = placed.withColumn("_within", F.lag("id").over(Window.partitionBy("pid").orderBy("pos")))
+    return within.join(edges, F.col("pid") == F.col("_pid")).select("id", F.coalesce("_within", "_edge").alias("before"))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, text, sketch, edited, next_sketch) of every row.
 
     edited is the text whose last floor(n_chars / 4) code points are replaced by the first as many of the next document
-    by id (after the last comes the first). A document's text travels once; of the next one only the part used does.
-    Of rows that share an id the one with the smallest beginning stands for it as a next document; rows with a null id
+    by id (after the last comes the first). A document's text travels twice, for itself and as the next one: that is less
+    than its sketch, so that sketches are made where they are compared.
+    Of rows that share an id the one with the smallest text stands for it as a next document; rows with a null id
     have no next document, and their edited text just loses its end.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", sketch(F.col("text")))
-    before = neighbours(df.select(F.col(id_col).cast("bigint").alias("id"), F.length(F.coalesce(text_col, F.lit(""))).alias("n")))
+    before = neighbours(df.select(F.col(id_col).cast("bigint").alias("id")))
     held = docs.where("id IS NOT NULL").join(before, "id")
-    beginning = F.expr("substring(text, 1, n_before div 4)")
-    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(beginning.alias("text"), "sketch")).alias("_next"))
+    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min("text").alias("_next"))
     n = F.length("text")
     cut_off = F.expr("substring(text, 1, length(text) - length(text) div 4)")
     found = held.join(sent, F.col("id") == F.col("_of")).select(
         "id",
         n.alias("n_chars"),
         "text",
-        "sketch",
-        F.concat(cut_off, F.substring(F.col("_next.text"), F.lit(1), (n / 4).cast("int"))).alias("edited"),
-        F.col("_next.sketch").alias("next_sketch"),
-    )
-    alone = docs.where("id IS NULL").select(
-        "id", n.alias("n_chars"), "text", "sketch", cut_off.alias("edited"), F.lit(None).cast("array<bigint>").alias("next_sketch")
+        F.concat(cut_off, F.substring(F.col("_next"), F.lit(1), (n / 4).cast("int"))).alias("edited"),
+        "_next",
     )
-    return found.union(alone)
+    alone = docs.where("id IS NULL").select("id", n.alias("n_chars"), "text", cut_off.alias("edited"), F.lit(None).cast("string").alias("_next"))
+    every = found.union(alone)
+    next_sketch = F.when(F.col("_next").isNotNull(), sketch(F.col("_next")))
+    return every.select("id", "n_chars", "text", sketch(F.col("text")).alias("sketch"), "edited", next_sketch.alias("next_sketch"))

@@ -116,3 +116,20 @@ def test_texts_without_a_closed_kmer_are_one_anchor(spark):
     assert got[1000] == got[1001] == got[1002] == []
     pair = df.where("doc_id = 0").select(F.col("s").alias("a")).crossJoin(df.where("doc_id > 0").select(F.col("doc_id"), F.col("s").alias("b")))
     assert {r.l for r in pair.select(fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()} == {0.0}
+
+
+def test_a_passage_shared_by_long_texts_counts(spark):
+    rng = random.Random(2)
+    made_up = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    rows = []
+    for i in range(12):
+        shared, a, b = made_up(60), made_up(2000), made_up(2000)
+        rows.append((i, " ".join(a[:700] + shared + a[700:]), " ".join(b[:1500] + shared + b[1500:])))
+    inside, long = made_up(200), made_up(20_000)
+    rows.append((12, " ".join(inside), " ".join(long[:9000] + inside + long[9000:])))
+    df = spark.createDataFrame(rows, "doc_id long, a string, b string").select("doc_id", *[fp.sketch(F.col(c)).alias(c) for c in "ab"])
+    got = {r.doc_id: (len(r.a), len(r.b), r.l) for r in df.withColumn("l", fp.likeness(F.col("a"), F.col("b"))).collect()}
+    for i, a, b in rows:
+        x, y = ({h >> 32 for _, h in brute_anchors(t)} for t in (a, b))
+        assert got[i][:2] == (len(x), len(y)) and len(x & y) >= 15
+        assert abs(got[i][2] - 2 * len(x & y) / (len(x) + len(y))) < 1e-12
