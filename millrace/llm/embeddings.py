@@ -4,7 +4,8 @@ The filters are caps around directions of a product code: the space is cut into
 random unit vectors, and a direction is one codeword of each block. Of the many directions the list decoder finds those
 that exceed a vector's threshold without going through all of them: sorted by score, the best sums of two lists are among
 the pairs of places (i, j) with i * j <= t, and blocks are joined one after another. The threshold is the vector's own,
-the score of its t-th best direction, so that every vector has t filters wherever the code is thin.
+the score of its t-th best direction, so that every vector has t filters wherever the code is thin. There are several
+such tables, each with a random rotation and codebooks of its own.
 
 Vectors meet over filters. To compare each pair once, the vectors are dealt into cells by their best filter, and the join
 on filters is one of cells: two cells are compared if their vectors share at least `shared` filters. Comparing is blocked:
@@ -12,8 +13,11 @@ a cell is split into blocks of about BLOCK vectors, the smaller of two cells tra
 a task multiplies what arrives with its block in double precision. What leaves a task are link counts per vector and a
 spanning forest of its links, never pairs; exact copies are one entry with a weight.
 
-Filters share of pairs at cosine 0.95 in 64 dimensions, by simulation: with t = 48 about 24 are shared on average and
-fewer than 3 by under one pair in a million.
+Recall: under a random rotation every pair of some cosine is as likely to share filters as any other, whatever the data, and
+tables are independent. So what one table shares of random pairs at the bound gives the chance that a pair shares fewer
+than `shared` over all tables. `plan` simulates it for the dimension and codebook at hand and takes as many tables as
+bring it to MISS; where more than TABLES were needed, codebooks are halved, so that cells grow instead. The codebook of
+one word compares all pairs, so that there is always such a plan. The chance is an estimate from PAIRS pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
 vectors of different lengths and rows with a null id (whose component is null and which are kept); rows that share an id
@@ -33,6 +37,10 @@ from .common import cut
 from .components import connected_components, spanning_edges
 
 FILTERS, SHARED, BLOCK = 48, 3, 1024
+#: Filters of a table, and the most tables; FILTERS is the least number over all tables.
+OF_TABLE, TABLES = 8, 16
+#: The chance at most that a pair at the bound is not compared, and the pairs that it is estimated from.
+MISS, PAIRS = 1e-6, 2000
 #: Vectors per filter that the size of the codebooks aims at, and its bounds.
 OCCUPANCY, CODEBOOK = 2, (64, 65536)
 
@@ -67,6 +75,60 @@ def list_decode(x: np.ndarray, books: list[np.ndarray], t: int) -> np.ndarray:
     return code
 
 
+def rotation(dims: int, table: int) -> np.ndarray:
+    """A random orthogonal matrix, the table's own."""
+    q, upper = np.linalg.qr(np.random.default_rng([7, dims, table]).normal(size=(dims, dims)))
+    return q * np.where(np.diag(upper) < 0, -1.0, 1.0)
+
+
+def tables(dims: int, codebook: int, count: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    return [(rotation(dims, k), codebooks(dims, codebook, seed=5 + k)) for k in range(count)]
+
+
+def filters_of(x: np.ndarray, own: list[tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
+    """Filters of each unit vector over all tables, told apart by the table, best of the first table first."""
+    return np.concatenate([list_decode(x @ turn, books, OF_TABLE) | (k << 40) for k, (turn, books) in enumerate(own)], axis=1)
+
+
+def pairs_at(least: float, dims: int, count: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at cosine `least`."""
+    x, z = np.random.default_rng([seed, dims]).normal(size=(2, count, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dims == 1:
+        return x, x
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, least * x + np.sqrt(max(0.0, 1 - least * least)) * z
+
+
+def shared_filters(x: np.ndarray, y: np.ndarray, own: list[tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
+    """How many filters each pair shares."""
+    step = max(1, 4_000_000 // max(len(b) for _, books in own for b in books))
+    found = []
+    for first in range(0, len(x), step):
+        a, b = (filters_of(v[first : first + step], own) for v in (x, y))
+        found += [len(np.intersect1d(p, q)) for p, q in zip(a, b)]
+    return np.array(found)
+
+
+def plan(dims: int, count: int, least: float, filters: int = FILTERS, shared: int = SHARED) -> tuple[int, int]:
+    """Codebook size and number of tables for `count` vectors of a length, such that a pair at cosine `least` shares
+    `shared` filters but for a chance of MISS."""
+    codebook = int(np.clip(np.sqrt(OF_TABLE * count / OCCUPANCY), *CODEBOOK))
+    fewest, most = -(-filters // OF_TABLE), max(TABLES, shared)
+    x, y = pairs_at(min(1.0, max(-1.0, least)), dims, PAIRS)
+    while codebook > 1:
+        got = shared_filters(x, y, tables(dims, codebook, 1))
+        one = np.bincount(np.minimum(got, shared), minlength=shared + 1)[:shared] / PAIRS
+        low = np.ones(1)
+        for n in range(1, most + 1):
+            low = np.convolve(low, one)[:shared]
+            if n >= fewest and low.sum() <= MISS:
+                return codebook, n
+        codebook //= 2
+    return 1, max(fewest, shared)
+
+
 def unit_rows(raw: list[bytes]) -> np.ndarray:
     """Vectors packed as doubles, scaled to length 1."""
     x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
@@ -80,20 +142,21 @@ def _by_length(raw: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         yield size // 8, np.flatnonzero(sizes == size)
 
 
-def with_filters(vectors: DataFrame, codebook: int, t: int) -> DataFrame:
-    """(rep, weight, raw) with filters, array of longs, best first."""
+def with_filters(vectors: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
+    """(rep, weight, raw) with filters, array of longs, best of the first table first; plans has codebook and tables by
+    length."""
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, list[np.ndarray]] = {}
+        made: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
         for batch in it:
             raw = batch.column(2).to_pylist()
             for dims, rows in _by_length(raw):
-                if dims not in books:
-                    books[dims] = codebooks(dims, codebook)
-                step = max(1, 4_000_000 // codebook)
+                if dims not in made:
+                    made[dims] = tables(dims, *plans[dims])
+                step = max(1, 4_000_000 // plans[dims][0])
                 for first in range(0, len(rows), step):
                     some = rows[first : first + step]
-                    codes = list_decode(unit_rows([raw[k] for k in some]), books[dims], t) | (dims << 48)
+                    codes = filters_of(unit_rows([raw[k] for k in some]), made[dims]) | (dims << 48)
                     offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32())
                     filters = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))
                     kept = batch.take(pa.array(some))
@@ -186,8 +249,9 @@ def _compare(least: float):
 
 def link_vectors(vectors: DataFrame, least: float, filters: int = FILTERS, shared: int = SHARED) -> DataFrame:
     """Distinct (rep, weight, raw) to rows (a, b, n): with b a link of the spanning forests, without b a count for a."""
-    codebook = int(np.clip(np.sqrt(filters * max(1, vectors.count()) / OCCUPANCY), *CODEBOOK))
-    decoded = cut(with_filters(vectors, codebook, filters).withColumn("cell", F.get("filters", F.lit(0))))
+    lengths = vectors.groupBy((F.octet_length("raw") / 8).cast("int").alias("dims")).count().collect()
+    plans = {r["dims"]: plan(r["dims"], r["count"], least, filters, shared) if r["count"] > 1 else (1, 1) for r in lengths}
+    decoded = cut(with_filters(vectors, plans).withColumn("cell", F.get("filters", F.lit(0))))
     cells = cut(decoded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
     of = decoded.join(cells, "cell").select(
         "cell", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), "rep", "weight", "raw"

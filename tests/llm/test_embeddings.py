@@ -82,3 +82,23 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(((r.id or 0, r.n_links, r.component or 0, r.kept) for r in em.near_dedup(df).collect()))
     assert got == [(0, 0, 0, True), (3, 2, 3, True), (3, 2, 3, True), (4, 0, 4, True)]
     assert em.near_dedup(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 4, 8])
+def test_few_dimensions_lose_no_links(spark, dims):
+    x, y = em.pairs_at(0.9501, dims, 150, seed=8)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.id: (r.n_links, r.component, r.kept) for r in em.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize("dims, count, pairs", [(64, 28_000, 3000), (64, 6_250_000, 500), (64, 1_100_000_000, 40), (16, 28_000, 3000), (16, 30_000_000, 500), (8, 30_000_000, 1000)])
+def test_planned_recall(dims, count, pairs):
+    codebook, n = em.plan(dims, count, 0.95)
+    print(dims, count, codebook, n)
+    x, y = em.pairs_at(0.95, dims, pairs, seed=9)
+    x[:, : dims // 2] *= 0.01  # one block of the product code has hardly any weight
+    y[:, : dims // 2] *= 0.01
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    near = (x * y).sum(axis=1) >= 0.95
+    assert em.shared_filters(x[near], y[near], em.tables(dims, codebook, n)).min() >= em.SHARED
