@@ -12,7 +12,7 @@ first half of the shorter begins both or its second half ends both. That is a ne
 it also tells in which half the edit is, and only that half's deletions are emitted.
 
 Rules: lines are split at line feeds and compared as they are, in the order of (id, place in the document). Lines of
-only white space always stay. Lines of fewer than min_chars or more than max_chars characters match exact copies only.
+only white space always stay. Lines of fewer than min_chars characters match exact copies only.
 
 Defined results: a null text stays null and has 0 lines; rows with a null id stay as they are and take no part; rows
 that share an id are one document: a line of theirs stays if the line at that place stays in one of them. An empty
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_side, stored
 
+#: Variants that are made at a time.
+ROWS = 50_000
+
 
 def _halves(line: Column, max_edits: int) -> Column:
     """Keys of the halves that a near line must share one of: (shorter length, half) for both lengths it may have."""
@@ -65,13 +68,50 @@ def variants(line: str, first: bool, second: bool, weights: np.ndarray) -> tuple
     return np.concatenate([own, gone]).view(np.int64), np.concatenate([[-1], places]).astype(np.int32)
 
 
-def _emit(max_chars: int):
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _weights(max_chars)
-        for batch in it:
-            doc, no, line, first, second = (batch.column(k).to_pylist() for k in range(5))
-            for k in range(len(doc)):
-                keys, places = variants(line[k], first[k], second[k], weights)
+def variant_blocks(line: str, first: bool, second: bool, weights: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What variants() gives, about `rows` places at a time; of a long line only its characters are in memory."""
+    if len(line) <= rows:
+        yield variants(line, first, second, weights)
+        return
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(codes)
+
+    def sums(s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        part = codes[s:e].astype(np.uint64) + np.uint64(1)
+        back = part * weights[np.arange(s, e) - 1]
+        if s == 0:
+            back[0] = 0
+        return np.cumsum(part * weights[s:e]), np.cumsum(back)
+
+    of_length = [np.uint64(m * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for m in (n - 1, n)]
+    stay, moved = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+    for s in range(0, n, rows):
+        a, b = sums(s, min(s + rows, n))
+        stay, moved = stay + a[-1], moved + b[-1]
+    yield (stay + of_length[1]).view(np.int64), np.array([-1], dtype=np.int32)
+    half, every = n // 2, moved
+    low, high = 0 if first else max(half - 1, 0), n if second else min(half + 1, n)
+    stay, moved = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+    for s in range(0, high, rows):
+        e = min(s + rows, n)
+        a, b = sums(s, e)
+        places = np.arange(max(s, low), min(e, high))
+        if len(places):
+            before = np.concatenate([stay, stay + a[:-1]])
+            gone = before[places - s] + (every - (moved + b[places - s])) + of_length[0]
+            yield gone.view(np.int64), places.astype(np.int32)
+        stay, moved = stay + a[-1], moved + b[-1]
+
+
+def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weights = _weights(1000)
+    for batch in it:
+        doc, no, first, second = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+        for k in range(len(doc)):
+            line = batch.column(2)[k].as_py()
+            if len(line) > len(weights):
+                weights = _weights(max(len(line), 2 * len(weights)))  # begins with the same weights
+            for keys, places in variant_blocks(line, first[k], second[k], weights, ROWS):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys),
@@ -82,10 +122,26 @@ def _emit(max_chars: int):
                     names=["v", "place", "doc", "no"],
                 )
 
-    return emit
+
+def within_one(a: str, b: str) -> bool:
+    """Whether two texts are within one edit, in time linear in their length."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (a, b))
+    m = min(len(x), len(y))
+    other = np.flatnonzero(x[:m] != y[:m])
+    k = int(other[0]) if len(other) else m
+    return np.array_equal(x[k + (len(x) >= len(y)) :], y[k + (len(y) >= len(x)) :])
+
+
+def _close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        a, b = batch.column(2), batch.column(3)
+        near = [within_one(a[k].as_py(), b[k].as_py()) for k in range(batch.num_rows)]
+        yield batch.select(["doc", "no"]).filter(pa.array(near, pa.bool_()))
 
 
-def _packed(it: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _packed(it: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Small batches joined to larger ones."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -99,7 +155,7 @@ def _packed(it: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Rec
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def near_lines(docs: DataFrame, heads: DataFrame, max_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """Of the distinct lines in heads, those with an earlier one within one edit: (doc, no)."""
     keyed = heads.where("halves IS NOT NULL").select("doc", "no", "k", F.posexplode("halves").alias("which", "half"))
     shared = cut(keyed.groupBy("half").count().where("count > 1").select(F.col("half").alias("_half")))
@@ -115,10 +171,9 @@ def near_lines(docs: DataFrame, heads: DataFrame, max_chars: int) -> DataFrame:
         "doc", F.col("a.no").alias("no"), "a.k", "a.first", "a.second", F.get("_lines", F.col("a.no")).alias("line")
     )
     lines = cut(lines.where(F.unhex(F.md5("line")) == F.col("k")).dropDuplicates(["doc", "no"]).drop("k"))
-    emit = _emit(max_chars)
     emitted = cut(
         lines.select("doc", "no", "line", "first", "second").mapInArrow(
-            lambda it: _packed(emit(it)), "v long, place int, doc long, no int"
+            lambda it: _packed(_emit(it)), "v long, place int, doc long, no int"
         )
     )
     at = F.struct("doc", "no")
@@ -130,13 +185,12 @@ def near_lines(docs: DataFrame, heads: DataFrame, max_chars: int) -> DataFrame:
     pairs = same_place.union(inserted).where("a > b").distinct()
     text_a = lines.select(F.struct("doc", "no").alias("a"), F.col("line").alias("line_a"))
     text_b = lines.select(F.struct("doc", "no").alias("b"), F.col("line").alias("line_b"))
-    close = pairs.join(text_a, "a").join(text_b, "b").where(F.levenshtein("line_a", "line_b", 1) >= 0)
-    return close.select("a.doc", "a.no").distinct()
+    both = pairs.join(text_a, "a").join(text_b, "b").select("a.doc", "a.no", "line_a", "line_b")
+    return both.mapInArrow(_close, "doc long, no int").distinct()
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20,
-    max_chars: int = 100_000,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20
 ) -> DataFrame:
     """df with its texts reduced to the lines that stay, and n_lines and n_kept (`_lines`, `_kept` where those exist).
 
@@ -147,7 +201,7 @@ def dedup_lines(
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     line = F.col("line")
     length = F.length(line)
-    halves = F.when((length >= min_chars) & (length <= max_chars), _halves(line, max_edits)) if max_edits else F.lit(None)
+    halves = F.when(length >= min_chars, _halves(line, max_edits)) if max_edits else F.lit(None)
     lines = (
         docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("no", "line"))
         .where(line.rlike(r"\S"))
@@ -161,7 +215,7 @@ def dedup_lines(
     heads = stored(heads.select("k", "at.doc", "at.no", "halves"), "lines")
     stay = heads.select("doc", "no")
     if max_edits:
-        gone = near_lines(docs, heads, max_chars)
+        gone = near_lines(docs, heads)
         stay = stay.join(gone, ["doc", "no"], "left_anti")
     stay = stay.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("no").alias("_stay"))
     joined = df.join(stay, F.col(id_col) == F.col("_doc"), "left").withColumn("_lines", F.split(text_col, "\n"))

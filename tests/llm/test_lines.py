@@ -79,3 +79,26 @@ def test_variants_are_deletions():
         assert places.tolist() == [-1, *range(len(line))]
         for key, at in zip(keys[1:], places[1:]):
             assert key == lines.variants(line[:at] + line[at + 1 :], False, False, weights)[0][0]
+
+
+def test_very_long_lines_match_within_one_edit(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcé ", k=130_000))
+    texts = [long, long[:90_000] + "x" + long[90_001:], long[:40] + long[41:], long + "y", long[:5] + "zz" + long[7:], long[::-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in lines.dedup_lines(df).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_variants_in_blocks_and_close_texts():
+    rng = random.Random(6)
+    weights = lines._weights(100)
+    assert (lines._weights(1000)[:100] == weights).all()
+    for n in (8, 9, 14, 40):
+        line = "".join(rng.choices("abé", k=n))
+        for first, second in ((True, True), (True, False), (False, True), (False, False)):
+            keys, places = (sum((p.tolist() for p in parts), []) for parts in zip(*lines.variant_blocks(line, first, second, weights, 7)))
+            want = lines.variants(line, first, second, weights)
+            assert keys == want[0].tolist() and places == want[1].tolist()
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(6))) for _ in range(2))
+        assert lines.within_one(a, b) == (distance(a, b) <= 1)
