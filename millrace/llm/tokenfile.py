@@ -9,11 +9,14 @@ the counts of blocks and documents; for each block its offset in words, its docu
 each document id, ids, words; and the places of the escapes inside their blocks. So a block can be read by itself and is
 decoded with array operations, one per selector.
 
-Files hold ranges of ascending document ids, about `docs_per_file` documents each; their bounds come from quantiles of
-the ids over all documents. Ids travel compressed to the task that writes their file. A file appears whole or not at all.
+Files hold ranges of ascending document ids, about `docs_per_file` documents each; their bounds come from range partitions
+of the ids of all documents. A document is packed where it is encoded, and its words travel to the task that writes its
+file. A file appears whole or not at all.
 
 Defined results: a null text is an empty one, and gives the end id alone; null document ids come first; documents that
-share an id follow each other, shorter ones first; an empty table gives no files.
+share an id follow each other, shorter ones first, but if they are more than a file holds they are dealt over several
+files in turn. A very long text is encoded and packed by one task like any other. Ids are read as longs: one that is no
+number is null. Only the two columns named are read, so that others may have any names. An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 _COUNT = np.array([c for c, _ in SELECTORS], dtype=np.int64)
 _PAD = 60
 BLOCK_WORDS = 1 << 15
-#: Chunks remembered, and characters of text that are looked up together.
-REMEMBERED, BATCH = 1_000_000, 6_000_000
+#: The most files; beyond, files hold more documents than asked for.
+MAX_FILES = 1 << 16
+_LEAST = -(1 << 63)
+#: Chunks remembered (about 40 bytes each), characters of text looked up together, new chunks encoded together, and the
+#: bytes of the longest chunk that is remembered.
+REMEMBERED, BATCH, TOGETHER, LONGEST = 3_000_000, 6_000_000, 64, 64
 
 
 def _grown(held: np.ndarray, size: int) -> np.ndarray:
@@ -55,13 +61,56 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)]
 
 
+class ChunkTable:
+    """Chunks of at most LONGEST bytes, told apart by two 64-bit hashes, and the number of each one's entry."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(17)
+        self.weights = rng.integers(0, 2**64, (2, LONGEST + 1), dtype=np.uint64) | np.uint64(1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks, self.entries = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def hashes(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the bytes by random weights of their places and of the length, twice; and which words are short."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        lengths = np.diff(offsets)
+        short = lengths <= LONGEST
+        kept = lengths * short
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        ends = np.cumsum(kept)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - kept, kept)
+        codes = data[np.repeat(offsets[:-1], kept) + place].astype(np.uint64) + np.uint64(1)
+        found = []
+        for weights in self.weights:
+            sums = np.append(np.uint64(0), np.cumsum(codes * weights[place]))
+            found.append(sums[ends] - sums[ends - kept] + kept.astype(np.uint64) * weights[LONGEST])
+        return found[0], found[1], short
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entries of the hashed chunks, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), self.entries[at], -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.checks = np.insert(self.checks, at, checks[order])
+        self.entries = np.insert(self.entries, at, entries[order])
+
+
 class LibraryEncoder:
     """The tokenizers library, with the encodings of chunks of text remembered.
 
     A byte-level tokenizer encodes " word" alike wherever it stands, if no white space borders on the space. Texts are
     cut there, a batch at a time; each different chunk of the batch is looked up once, the new ones are encoded together
-    as one text and told apart by the bytes of their tokens, and the ids are gathered by array operations. Texts where
-    spaces border on white space, or with special tokens, go to the library whole.
+    and told apart by the bytes of their tokens, and the ids are gathered by array operations. A text's first chunk has
+    no space before it and is looked up in a table of its own. Texts where spaces border on white space, or with special
+    tokens, go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -78,103 +127,135 @@ class LibraryEncoder:
         self.bytes_of = np.array([0 if i in added else len(by_id.get(i, "")) for i in range(max(by_id) + 1)])
         self._forget()
 
-    def _forget(self, words: list[str] = []) -> None:
-        """Forget all chunks but the given ones."""
-        kept = {w: e for w in words if (e := self.known.get(w)) is not None} if words else {}
-        entry = np.fromiter(kept.values(), dtype=np.int64, count=len(kept))
-        sizes = self.sizes[entry] if kept else np.empty(0, dtype=np.int64)
-        ids = _ragged(self.ids, self.starts[entry], sizes) if kept else np.empty(0, dtype=np.uint32)
-        self.known: dict[str, int] = dict(zip(kept, range(len(kept))))
-        self.ids, self.held = _grown(ids, 1 << 20), len(ids)
-        self.sizes, self.starts = _grown(sizes, 1 << 18), _grown(np.cumsum(sizes) - sizes, 1 << 18)
+    def _forget(self) -> None:
+        """Forget all chunks."""
+        self.known, self.heads = ChunkTable(), ChunkTable()
+        self.entries = self.held = 0
+        self.ids = np.empty(1 << 20, dtype=np.uint32)
+        self.starts, self.sizes = (np.empty(1 << 18, dtype=np.int64) for _ in range(2))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, a space before each, and remember their ids."""
-        odd = [c for c in chunks if c[-1:].isspace()]
-        plain = [c for c in chunks if not c[-1:].isspace()] if odd else chunks
-        parts, sizes = self._library([" " + c for c in odd]), []
-        sizes = [len(p) for p in parts]
-        for first in range(0, len(plain), 4096):
-            some = plain[first : first + 4096]
-            ids = self._library([" " + " ".join(some)])[0]
-            ends = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy() + 1)
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            parts.append(ids)
-            sizes += np.diff(cuts, prepend=0).tolist()
-        new, count, start = np.concatenate(parts), len(chunks), len(self.known)
+    def _enter(self, parts: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+        """Entries for chunks whose ids stand one after another in parts."""
+        new, count, start = np.concatenate(parts), len(sizes), self.entries
         self.ids = _grown(self.ids, self.held + len(new))
         self.starts, self.sizes = _grown(self.starts, start + count), _grown(self.sizes, start + count)
         self.ids[self.held : self.held + len(new)] = new
         self.sizes[start : start + count] = sizes
         self.starts[start : start + count] = self.held + np.cumsum(sizes) - sizes
         self.held += len(new)
-        self.known.update(zip(odd + plain, range(start, start + count)))
+        self.entries += count
+        return np.arange(start, start + count)
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Entries for chunks with a space before each; TOGETHER of them are encoded as one text."""
+        odd = np.array([c[-1:].isspace() for c in chunks])
+        plain = [c for c, o in zip(chunks, odd) if not o]
+        parts = self._library([" " + c for c, o in zip(chunks, odd) if o])
+        sizes = [len(p) for p in parts]
+        lengths = pc.binary_length(pa.array(plain, pa.large_string())).to_numpy() + 1
+        firsts = range(0, len(plain), TOGETHER)
+        for first, ids in zip(firsts, self._library([" " + " ".join(plain[k : k + TOGETHER]) for k in firsts])):
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[first : first + TOGETHER])) + 1
+            parts.append(ids)
+            sizes += np.diff(cuts, prepend=0).tolist()
+        found = np.empty(len(chunks), dtype=np.int64)
+        found[np.argsort(~odd, kind="stable")] = self._enter(parts, sizes)
+        return found
+
+    def _learn_heads(self, chunks: list[str]) -> np.ndarray:
+        """Entries for chunks as beginnings of texts."""
+        parts = self._library(chunks)
+        return self._enter(parts, [len(p) for p in parts])
+
+    def _entries(self, table: ChunkTable, words: pa.LargeStringArray, learn) -> np.ndarray:
+        """The entry of each of the different words; new ones are learnt, and short ones among them remembered."""
+        keys, checks, short = table.hashes(words)
+        found = np.where(short, table.find(keys, checks), -1)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = learn(_strings(words.take(pa.array(new))))
+            new = new[short[new]]
+            table.add(keys[new], checks[new], found[new])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        texts = [t or "" for t in texts]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        even, rest = [], []
-        for k, text in enumerate(texts):
-            (rest if any(m in text for m in self.marks) else even).append(k)
-        for k, ids in zip(rest, self._library([texts[k] for k in rest])):
-            out[k] = ids
-        held = 0
-        some: list[int] = []
-        for k in even:
-            some.append(k)
-            held += len(texts[k])
-            if held > BATCH:
-                self._gather([texts[i] for i in some], some, out)
-                some, held = [], 0
-        self._gather([texts[i] for i in some], some, out)
-        return out
+        ids, sizes = self.encode_flat(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, and how many each has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = np.zeros(len(texts), dtype=bool)
+        for mark in self.marks:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        even = np.flatnonzero(~whole)
+        group = np.cumsum(pc.utf8_length(texts).to_numpy()[even]) // BATCH
+        parts, starts, sizes, held = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        for k in range(int(group[-1]) + 1 if len(group) else 0):
+            some = even[group == k]
+            if not len(some):
+                continue
+            ids, found, uneven = self._gather(texts.take(pa.array(some)))
+            parts.append(ids)
+            starts[some], sizes[some] = held + np.cumsum(found) - found, found
+            whole[some[uneven]] = True
+            held += len(ids)
+        rest = np.flatnonzero(whole).tolist()
+        if not rest:
+            return np.concatenate(parts), sizes
+        for k in rest:
+            ids = self._library([texts[k].as_py()])[0]
+            parts.append(ids)
+            starts[k], sizes[k] = held, len(ids)
+            held += len(ids)
+        return _ragged(np.concatenate(parts), starts, sizes), sizes
 
     @staticmethod
     def _uneven(words: pa.Array, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Texts where a space borders on other white space: a chunk but the first begins with it, or one but the last
         ends with it, or an inner chunk is empty."""
         empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        begins = pc.not_equal(words, pc.utf8_ltrim_whitespace(words)).to_numpy(zero_copy_only=False)[index]
-        ends = pc.not_equal(words, pc.utf8_rtrim_whitespace(words)).to_numpy(zero_copy_only=False)[index]
-        first, last = np.zeros(len(index), dtype=bool), np.zeros(len(index), dtype=bool)
-        first[bounds[:-1]], last[bounds[1:] - 1] = True, True
-        bad = (begins & ~first) | (ends & ~last) | (empty[index] & ~first & ~last)
-        return np.add.reduceat(bad.astype(np.int64), bounds[:-1]) > 0
-
-    def _gather(self, texts: list[str], places: list[int], out: list) -> None:
-        if not texts:
-            return
-        chunks = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begins = pc.not_equal(words, pc.utf8_ltrim_whitespace(words)).to_numpy(zero_copy_only=False)
+        ends = pc.not_equal(words, pc.utf8_rtrim_whitespace(words)).to_numpy(zero_copy_only=False)
+        odd = empty | begins | ends
+        at = np.flatnonzero(odd[index])
+        if not len(at):
+            return np.zeros(len(bounds) - 1, dtype=bool)
+        text = np.searchsorted(bounds, at, side="right") - 1
+        first, last, word = at == bounds[text], at == bounds[text + 1] - 1, index[at]
+        bad = (begins[word] & ~first) | (ends[word] & ~last) | (empty[word] & ~first & ~last)
+        return np.bincount(text[bad], minlength=len(bounds) - 1) > 0
+
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, how many each has, and which texts are uneven; of those nothing is encoded."""
+        chunks = pc.split_pattern(texts, " ")
         bounds = chunks.offsets.to_numpy()
         coded = chunks.values.dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        uneven = self._uneven(coded.dictionary, index, bounds)
-        if uneven.any():
-            odd = np.flatnonzero(uneven).tolist()
-            for k, ids in zip(odd, self._library([texts[k] for k in odd])):
-                out[places[k]] = ids
-            fine = np.flatnonzero(~uneven).tolist()
-            self._gather([texts[k] for k in fine], [places[k] for k in fine], out)
-            return
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget(words)
-        entry = list(map(self.known.get, words))
-        if None in entry:
-            self._learn([w for w, e in zip(words, entry) if e is None])
-            entry = list(map(self.known.__getitem__, words))
-        entry = np.array(entry, dtype=np.int64)[index]
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        uneven = self._uneven(words, index, bounds)
+        firsts = chunks.values.take(pa.array(bounds[:-1])).dictionary_encode()
+        del chunks, coded
+        if self.entries > REMEMBERED or self.held > 8 * REMEMBERED:
+            self._forget()
+        entry = self._entries(self.known, words, self._learn)[index]
+        entry[bounds[:-1]] = self._entries(self.heads, firsts.dictionary, self._learn_heads)[firsts.indices.to_numpy()]
         starts, sizes = self.starts[entry], self.sizes[entry]
-        sizes[bounds[:-1]] = 0  # the first chunk of a text has no space before it
-        ids = _ragged(self.ids, starts, sizes)
-        cuts = np.append(0, np.cumsum(sizes))[bounds]
-        heads = self._library([t[: t.index(" ")] if " " in t else t for t in texts])
-        for k, place in enumerate(places):
-            out[place] = np.concatenate([heads[k], ids[cuts[k] : cuts[k + 1]]])
+        if uneven.any():
+            sizes[np.repeat(uneven, np.diff(bounds))] = 0
+        return _ragged(self.ids, starts, sizes), np.add.reduceat(sizes, bounds[:-1]), uneven
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Strings without spaces as Python's, many times faster than one by one."""
+    if not len(words):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(one, " ")[0].as_py().split(" ")
 
 
 @functools.cache
@@ -186,30 +267,30 @@ def _encoder(tokenizer_json: str) -> LibraryEncoder:
 def pack(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Arrays of ids (uint64) to words, words per array, and the places of escapes among the words."""
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    gap = np.zeros(_PAD, dtype=np.uint64)
-    values = np.concatenate([x for part in ids for x in (part, gap)] or [gap])
+    return pack_flat(np.concatenate(ids) if ids else np.empty(0, dtype=np.uint64), sizes)
+
+
+def pack_flat(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What pack does, from all ids one array after another and the sizes of the arrays."""
     begins = np.cumsum(sizes + _PAD) - sizes - _PAD
-    width = ((values.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int64) - 1022).clip(0).astype(np.uint8)
-    big = values >= np.uint64(1 << 52)  # beyond exact floats
+    values = np.zeros(int((sizes + _PAD).sum()) + _PAD, dtype=ids.dtype)  # fillers stand between the arrays
+    values[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)) * _PAD, sizes)] = ids
+    width = ((values.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int16) - 1022).clip(0).astype(np.uint8)
+    big = values >= min(1 << 52, np.iinfo(ids.dtype).max)  # beyond exact floats
     if big.any():
         width[big] = [int(v).bit_length() for v in values[big]]
-    choice = np.zeros(len(values), dtype=np.uint8)
-    widest, have = width.copy(), 1
+    choice = np.full(len(values), len(SELECTORS), dtype=np.uint8)
+    widest, have = width, 1
     for selector in range(len(SELECTORS) - 1, 0, -1):
         count, bits = SELECTORS[selector]
-        while have < count:
-            np.maximum(widest[:-have], width[have:], out=widest[:-have])
-            have += 1
-        choice[widest <= bits] = selector
-    step = _COUNT[choice].tolist()
-    at, per = [], np.zeros(len(ids), dtype=np.int64)
-    for k, (begin, size) in enumerate(zip(begins.tolist(), sizes.tolist())):
-        place, end, before = begin, begin + size, len(at)
-        while place < end:
-            at.append(place)
-            place += step[place]
-        per[k] = len(at) - before
-    starts = np.array(at, dtype=np.int64)
+        while have < count:  # widest: of `have` neighbours each
+            step = min(have, count - have)
+            widest = np.append(np.maximum(widest[:-step], widest[step:]), widest[len(widest) - step :])
+            have += step
+        np.minimum(choice, np.where(widest <= bits, np.uint8(selector), np.uint8(len(SELECTORS))), out=choice)
+    choice[choice == len(SELECTORS)] = 0
+    starts = _walk(_COUNT.astype(np.uint8)[choice], begins, begins + sizes)
+    per = np.diff(np.searchsorted(starts, np.append(begins, len(values))))
     chosen = choice[starts]
     words = np.zeros(len(starts), dtype=np.uint64)
     for selector in np.unique(chosen).tolist():
@@ -218,17 +299,38 @@ def pack(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if selector:
             at_word, held = starts[mine], np.full(len(mine), selector << 60, dtype=np.uint64)
             for k in range(count):
-                held |= values[at_word + k] << np.uint64(k * bits)
+                held |= values[at_word + k].astype(np.uint64) << np.uint64(k * bits)
             words[mine] = held
     escaped = np.flatnonzero(chosen == 0)
     if len(escaped):
-        owner = np.repeat(np.arange(len(ids)), per)
+        owner = np.repeat(np.arange(len(sizes)), per)
         words = np.insert(words, escaped + 1, values[starts[escaped]])
-        per += np.bincount(owner[escaped], minlength=len(ids))
+        per += np.bincount(owner[escaped], minlength=len(sizes))
         escaped = escaped + np.arange(len(escaped))
     return words, per, escaped
 
 
+def _walk(step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places that walks from begins to ends touch, ascending; from each place they go on by its step. All walks go
+    together as long as there are many, then each for itself."""
+    touched = np.zeros(len(step), dtype=bool)
+    at, end = begins[begins < ends], ends[begins < ends]
+    while len(at) >= 32:
+        touched[at] = True
+        at = at + step[at]
+        on = at < end
+        if not on.all():
+            at, end = at[on], end[on]
+    single = step.tobytes() if len(at) else b""
+    for place, stop in zip(at.tolist(), end.tolist()):
+        places = []
+        while place < stop:
+            places.append(place)
+            place += single[place]
+        touched[places] = True
+    return np.flatnonzero(touched)
+
+
 def unpack(words: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All values of the words (fillers included) and the place of each word's first value among them."""
     selector = (words >> np.uint64(60)).astype(np.int64)
@@ -277,26 +379,35 @@ class Writer:
     def __init__(self, out) -> None:
         self.out, self.offset = out, 0
         self.blocks, self.docs, self.escapes = [], [], []
-        self.held: list[tuple[int | None, np.ndarray]] = []
-        self.held_ids = 0
+        self.held: list[np.ndarray] = []
+        self.block_escapes: list[np.ndarray] = []
+        self.held_words = 0
         out.write(MAGIC)
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.held.append((doc, ids))
-        self.held_ids += len(ids)
-        if self.held_ids >= 4 * BLOCK_WORDS:
+        words, _, escapes = pack([ids.astype(np.uint64)])
+        self.add_words(doc, len(ids), words, escapes)
+
+    def add_words(self, doc: int | None, ids: int, words: np.ndarray, escapes: np.ndarray) -> None:
+        """A document that is packed already: its number of ids, its words, and the places of escapes among them."""
+        if len(escapes):
+            self.block_escapes.append(escapes + self.held_words)
+        self.docs.append((doc or 0, doc is not None, ids, len(words)))
+        self.held.append(words)
+        self.held_words += len(words)
+        if self.held_words >= BLOCK_WORDS:
             self.block()
 
     def block(self) -> None:
         if not self.held:
             return
-        words, per, escapes = pack([x.astype(np.uint64) for _, x in self.held])
-        self.blocks.append((self.offset, len(self.held), len(words), len(escapes)))
-        self.docs += [(doc or 0, doc is not None, len(x), n) for (doc, x), n in zip(self.held, per)]
+        escapes = np.concatenate(self.block_escapes) if self.block_escapes else np.empty(0, dtype=np.int64)
+        self.blocks.append((self.offset, len(self.held), self.held_words, len(escapes)))
         self.escapes.append(escapes)
-        self.out.write(words.astype("<u8").tobytes())
-        self.offset += len(words)
-        self.held, self.held_ids = [], 0
+        for words in self.held:
+            self.out.write(words.astype("<u8").tobytes())
+        self.offset += self.held_words
+        self.held, self.block_escapes, self.held_words = [], [], 0
 
     def close(self) -> None:
         self.block()
@@ -325,6 +436,25 @@ def read_file(uri: str) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
             doc, escape = doc + docs, escape + escapes
 
 
+def file_bounds(ids: DataFrame, files: int) -> np.ndarray:
+    """The smallest id of each of about `files` ranges of equal size but the first, ascending; an id with more rows than
+    a range has is there several times. At most `files` longs come to the driver. Null counts as the smallest id."""
+    ranged = ids.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(files, F.col("id").asc_nulls_first(), "tie")
+    lowest = F.min(F.coalesce("id", F.lit(_LEAST))).alias("low")
+    found = ranged.groupBy(F.spark_partition_id().alias("pid")).agg(lowest).collect()
+    return np.sort(np.array([r.low for r in found], dtype=np.int64))[1:]
+
+
+def deal(ids: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
+    """The file of each id: the last whose range begins with it or before; where several begin with it, in turn."""
+    low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, side="right")
+    several = high - low > 1
+    if several.any():
+        at = np.flatnonzero(several)
+        high[at] = low[at] + 1 + (turn + np.arange(len(at))) % (high[at] - low[at])
+    return high
+
+
 def write_token_files(
     df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
     docs_per_file: int = 8192,
@@ -334,27 +464,35 @@ def write_token_files(
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = spark.sparkContext.broadcast(f.read())
     ids = df.select(F.col(id_col).cast("bigint").alias("id"))
-    files = max(1, -(-ids.count() // docs_per_file))
-    bounds = np.unique(ids.approxQuantile("id", [k / files for k in range(1, files)], 1 / (8 * files)) if files > 1 else [])
+    files = min(MAX_FILES, max(1, -(-ids.count() // docs_per_file)))
+    bounds = file_bounds(ids, files) if files > 1 else np.empty(0, dtype=np.int64)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, small = _encoder(shipped.value), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], dtype="<u4")
+        encoder, turn = _encoder(shipped.value), 0
         for batch in row_slices(it, 2048):
-            found = encoder.encode(batch.column(1).to_pylist())
-            made = [small.compress(np.concatenate([ids, end]).astype("<u4").tobytes()) for ids in found]
-            known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            file = np.where(batch.column(0).is_valid(), np.searchsorted(bounds, known, side="right"), 0)
+            found, sizes = encoder.encode_flat(batch.column(1))
+            found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
+            words, per, escapes = pack_flat(found, sizes)
+            ends = np.cumsum(per)
+            offsets = pa.array(np.append(0, 8 * ends).astype(np.int64))
+            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per), [None, offsets.buffers()[1], pa.py_buffer(words.astype("<u8"))])
+            owner = np.searchsorted(ends, escapes, side="right")
+            begins = pa.array(np.searchsorted(owner, np.arange(len(per) + 1)).astype(np.int32))
+            inside = pa.ListArray.from_arrays(begins, pa.array((escapes - (ends - per)[owner]).astype(np.int64)))
+            known = batch.column(0).fill_null(_LEAST).to_numpy(zero_copy_only=False)
+            file = deal(known, bounds, turn)
+            turn += len(file)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(file.astype(np.int32)), batch.column(0), pa.array(made, pa.binary())], names=["file", "id", "ids"]
+                [pa.array(file.astype(np.int32)), batch.column(0), pa.array(sizes), made.cast(pa.binary()), inside],
+                names=["file", "id", "n", "words", "escapes"],
             )
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        large = zstandard.ZstdDecompressor()
-
         def rows() -> Iterator[tuple]:
             for batch in it:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+                few = (batch.column(k).to_pylist() for k in range(3))
+                for file, doc, n, words, escapes in zip(*few, batch.column(3), batch.column(4)):
+                    yield file, doc, n, np.frombuffer(words.as_buffer(), "<u8"), escapes.values.to_numpy()
 
         stream = rows()
         row = next(stream, None)
@@ -364,9 +502,8 @@ def write_token_files(
             with written(path) as out:
                 writer = Writer(out)
                 while row and row[0] == file:
-                    found = np.frombuffer(large.decompress(row[2]), "<u4")
-                    writer.add(row[1], found)
-                    docs, total = docs + 1, total + len(found)
+                    writer.add_words(*row[1:])
+                    docs, total = docs + 1, total + row[2]
                     row = next(stream, None)
                 writer.close()
             yield pa.RecordBatch.from_pydict(
@@ -374,13 +511,12 @@ def write_token_files(
             )
 
     encoded = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
-        encode, "file int, id long, ids binary"
+        encode, "file int, id long, n long, words binary, escapes array<long>"
     )
-    order = ["file", "id", F.length("ids"), "ids"]
     listed = cut(
-        encoded.repartition(len(bounds) + 1, "file").sortWithinPartitions(*order).mapInArrow(
-            write, "file int, path string, n_docs long, n_ids long"
-        )
+        encoded.repartitionById(len(bounds) + 1, F.col("file"))
+        .sortWithinPartitions("file", "id", "n", "words")
+        .mapInArrow(write, "file int, path string, n_docs long, n_ids long")
     )
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

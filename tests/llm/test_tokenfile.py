@@ -80,3 +80,29 @@ def test_a_file_is_its_own_index():
     writer.close()
     data = out.getvalue()
     assert data.startswith(tokenfile.MAGIC) and data.endswith(tokenfile.MAGIC)
+
+
+def test_one_id_fills_several_files(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    rows = [(5, f"word {i % 7}") for i in range(600)] + [(i, "other") for i in range(10, 210)] + [(None, "x")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = tokenfile.write_token_files(df, str(tmp_path), path, docs_per_file=100)
+    counts = [r.n_docs for r in files.collect()]
+    assert sum(counts) == len(rows) and max(counts) <= 250 and len(counts) >= 7
+    got = tokenfile.read_token_files(files).orderBy("start").collect()
+    assert [r.id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_ids for r in got])[:-1].tolist()
+
+
+def test_dealing():
+    bounds = np.array([3, 7, 7, 7, 9])
+    assert tokenfile.deal(np.array([1, 3, 5, 9, 12]), bounds, 0).tolist() == [0, 1, 1, 5, 5]
+    assert tokenfile.deal(np.array([7, 7, 7, 7]), bounds, 0).tolist() == [2, 3, 4, 2]
+
+
+def test_long_and_short_documents_pack_alike():
+    rng = np.random.default_rng(4)
+    some = [rng.integers(0, 1 << int(rng.integers(1, 40)), int(n), dtype=np.uint64) for n in [100_000, 0, 1, *rng.integers(0, 300, 80)]]
+    words, per, escapes = tokenfile.pack(some)
+    assert words.tolist() == [w for x in some for w in tokenfile.pack([x])[0].tolist()]
+    assert not len(escapes)
