@@ -6,41 +6,51 @@ the prefixes a token's length back: the longest token that ends there and fits t
 these last tokens, symbol by symbol. A token is emitted once it is stable, which the merge list bounds: two inputs that
 agree up to some place can differ in their tokens only as far left of it as a chain of merges of rising rank reaches,
 each of which straddles the start of the one before. `sufficient_lookahead` computes the longest such chain; tokens
-that start farther back than that are final whatever follows. Memory is that window, however long a word is.
+that start farther back than that are final whatever follows. Mostly they are final long before: a token to come starts
+at one of the last places, no farther back than the longest token is long, and where the ways back from all these places
+meet, all before is final. The transducer looks for that place every few tokens' lengths and emits up to it. Memory is
+the window at most, however long a word is, and words come in pieces.
 
-Words (pre-tokens) are encoded one by one, as merges do not cross them, and recent ones are remembered in a table of
-bounded size. Texts are taken in pieces cut at white space.
+Words (pre-tokens) are encoded one by one, as merges do not cross them. Words and chunks of text that were seen are
+remembered in tables of bounded size. Long texts are taken in pieces cut at white space; a long piece without white space
+is split into words one after another, and a long word is spelled piece by piece, so that besides the text and its ids
+nothing grows with them.
 
 Decoding. Tokens are turned into bytes and run through a UTF-8 state machine that keeps at most three bytes between
-tokens and writes U+FFFD for what is not UTF-8.
+pieces and writes U+FFFD for what is not UTF-8.
 
 The file of a public tokenizer (JSON with vocabulary, merges and added tokens) is read on the driver and sent to the
 tasks; its size does not depend on the data.
 
 Defined results: a null text is encoded as an empty one, null ids are decoded as none; repeated rows are encoded each;
-empty tables give empty tables. The columns in `keep` are passed on.
+empty tables give empty tables. The columns in `keep` are passed on, whatever their names; one that is called as a
+result is replaced by it.
 """
 
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import BatchEncoder, ChunkStore, ChunkTable, ragged
 from .common import row_slices
 
-#: Characters of a piece of text, tokens of a piece of ids, entries of the table of recent words.
-PIECE, DECODED, REMEMBERED = 1 << 18, 1 << 16, 400_000
+#: Characters of a piece of text, tokens of a piece of ids, entries of the tables of words and of pairs and prefixes.
+PIECE, DECODED, REMEMBERED_WORDS, REMEMBERED = 1 << 18, 1 << 16, 2_000_000, 200_000
 #: Words of at most so many symbols, all within any window, need no emitting on the way.
 SHORT = 32
 
@@ -202,27 +212,48 @@ class Transducer:
 
     def encode(self, word: str) -> list[int]:
         """Ids of one spelled word."""
-        alone, end, pairs = self.v.alone, self.v.end, self.pairs
-        whole = alone.get(word + end)
+        whole = self.v.alone.get(word + self.v.end)
         if whole is not None:
             return [whole]
         if len(word) <= SHORT:
             return self._short(word)
-        out: list[int] = []
-        n = len(word)
-        base, last = 0, [""]  # last[k]: the last token of the prefix that ends at base + k
-        for at in range(1, n + 1):
-            for start, token in self._ending(word[max(base, at - self.v.longest) : at], end if at == n else ""):
-                before = last[at - start - base]
-                if not before or (pairs.get((before, token)) or self._fits(before, token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends {word[:at]!r}")
-            if len(last) > self.window:
-                base, last = self._emit(base, last, out)
+        out = array("I")
+        for part in self.stream(word[k : k + PIECE] for k in range(0, len(word), PIECE)):
+            out += part
+        return out.tolist()
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[array]:
+        """Ids of one word that comes in pieces, as they become stable."""
+        end, pairs, longest = self.v.end, self.pairs, self.v.longest
+        base, last, held, out = 0, [""], "", array("I")  # last[k]: the last token of the prefix that ends at base + k
+        due = 4 * longest
+        pieces = iter(pieces)
+        ahead = next(pieces, "")
+        while ahead:  # held: the symbols from base on
+            piece, ahead = ahead, next(pieces, "")
+            first, final = len(held) + 1, len(held) + len(piece)
+            held += piece
+            at = first
+            while at <= final:
+                for n, token in self._ending(held[max(0, at - longest) : at], end if at == final and not ahead else ""):
+                    before = last[at - n]
+                    if not before or (pairs.get((before, token)) or self._fits(before, token)):
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError(f"no token ends {held[:at]!r}")
+                at += 1
+                if len(last) > due and (at <= final or ahead):
+                    cut, last = self._emit(base, last, out)
+                    cut -= base
+                    if cut:
+                        base, held, at, final = base + cut, held[cut:], at - cut, final - cut
+                    due = len(last) + 4 * longest
+                    if len(out) > PIECE:
+                        yield out
+                        out = array("I")
         self._drain(last, len(last) - 1, out)
-        return out
+        yield out
 
     def _ending(self, text: str, final: str) -> list[tuple[int, str]]:
         """The tokens that end text + final with their lengths in text, longest first."""
@@ -265,50 +296,54 @@ class Transducer:
             at -= len(token)
         return out[::-1]
 
-    def _path(self, last: list[str], at: int) -> list[int]:
-        places = []
-        while at > 0 and last[at]:
-            places.append(at)
-            at -= len(last[at])
-        return places[::-1]
-
-    def _emit(self, base: int, last: list[str], out: list[int]) -> tuple[int, list[str]]:
-        """Emit the tokens that start before the lookahead; the last of them stays as the context of what follows."""
-        limit = len(last) - 1 - self.v.lookahead
-        stable = [p for p in self._path(last, len(last) - 1) if p <= limit]
-        if not stable:
+    def _stable(self, last: list[str]) -> int:
+        """The place up to which tokens are final: where the ways back from all places meet that a token to come may
+        start at, the last `longest` ones. 0 if they do not meet."""
+        ways = set(range(max(0, len(last) - self.v.longest), len(last)))
+        while len(ways) > 1:
+            far = max(ways)
+            ways.remove(far)
+            ways.add(far - len(last[far]) if last[far] and far else 0)
+        return ways.pop()
+
+    def _emit(self, base: int, last: list[str], out: array) -> tuple[int, list[str]]:
+        """Emit the tokens that are final; the last of them stays as the context of what follows."""
+        cut = self._stable(last)
+        if not cut:
             return base, last
-        out += [self.v.alone[last[p]] for p in stable]
-        cut = stable[-1]
+        self._drain(last, cut, out)
         return base + cut, last[cut:]
 
-    def _drain(self, last: list[str], at: int, out: list[int]) -> None:
+    def _drain(self, last: list[str], at: int, out: array) -> None:
+        """Emit the tokens on the way back from a place; the context, at place 0, is emitted before."""
         tokens = []
         while at > 0:
             tokens.append(self.v.alone[last[at]])
             at -= len(last[at]) - (len(self.v.end) if self.v.end and last[at].endswith(self.v.end) else 0)
-        out += tokens[::-1]
+        out.extend(tokens[::-1])
+
 
+def word_pattern(ended: bool) -> str:
+    """The expression (of the regex module) that splits normalised text into words, as the public tokenizers do."""
+    contractions = "'s|'t|'re|'ve|'m|'ll|'d"
+    letter, number = rf"[\p{{L}}--[{_NOT_YET}]]", rf"[\p{{N}}--[{_NOT_YET}]]"
+    other = rf"[^{_SPACE}{letter}{number}]"
+    if ended:
+        return rf"(?V1){contractions}|{letter}+|{number}|{other}+"
+    space, rest = f"[{_SPACE}]", f"(?![^{_SPACE}])"
+    return rf"(?V1){contractions}| ?{letter}+| ?{number}+| ?{other}+|{space}+{rest}|{space}+"
 
-class Encoder:
-    """Texts to ids as little-endian 32-bit words."""
+
+class Encoder(BatchEncoder):
+    """Texts to ids. Texts are split into words, words go through the transducer; chunks of text between white space and
+    words that were seen before are looked up."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.transducer = vocabulary, Transducer(vocabulary)
-        self.recent: dict[str, bytes] = {}
-        contractions = "'s|'t|'re|'ve|'m|'ll|'d"
-        letter, number = rf"[\p{{L}}--[{_NOT_YET}]]", rf"[\p{{N}}--[{_NOT_YET}]]"
-        other = rf"[^{_SPACE}{letter}{number}]"
-        if vocabulary.end:
-            pattern = rf"(?V1){contractions}|{letter}+|{number}|{other}+"
-        else:
-            space, rest = f"[{_SPACE}]", f"(?![^{_SPACE}])"
-            pattern = rf"(?V1){contractions}| ?{letter}+| ?{number}+| ?{other}+|{space}+{rest}|{space}+"
-        self.words = regex.compile(pattern)
-        self.chunks: dict[str, bytes] = {}
-        # A text where neither is found falls into chunks that can be encoded by themselves.
-        self.uneven = re.compile(r"[\x1c-\x1f]" if vocabulary.end else r" \s|\s ")
-        self.marks = regex.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) or r"(?!)")
+        super().__init__(list(vocabulary.added))
+        self.v, self.transducer, self.spaced = vocabulary, Transducer(vocabulary), not vocabulary.end
+        self.words, self.word_table = regex.compile(word_pattern(bool(vocabulary.end))), ChunkTable()
+        self.word_store = ChunkStore()
+        self.special = regex.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) or r"(?!)")
         self.breaks = re.compile(rf"[^{_SPACE}](?=[{_SPACE}])")
 
     def _normal(self, text: str) -> str:
@@ -317,14 +352,6 @@ class Encoder:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if text.isascii() else text.translate(_LOWER).lower()
 
-    def _word(self, word: str) -> bytes:
-        if len(self.recent) >= REMEMBERED:
-            self.recent.clear()
-        ids = np.array(self.transducer.encode(spelled(word)), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self.recent[word] = ids
-        return ids
-
     def _pieces(self, text: str) -> Iterator[str]:
         """Text cut before white space that follows other text, so that no word or run of space is cut."""
         at = 0
@@ -336,43 +363,95 @@ class Encoder:
             at = found.end()
         yield text[at:]
 
-    def _split(self, text: str) -> bytes:
-        """Ids of text that is split into words by the tokenizer's expression."""
-        recent, word = self.recent, self._word
-        return b"".join([recent.get(w) or word(w) for w in self.words.findall(self._normal(text))])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        ids = self._split(chunk if self.v.end else " " + chunk)
-        if len(chunk) <= 64:
-            self.chunks[chunk] = ids
-        return ids
-
-    def _plain(self, text: str, out: list[bytes]) -> None:
-        known, chunk = self.chunks, self._chunk
-        for piece in self._pieces(text):
-            if self.uneven.search(piece):
-                out.append(self._split(piece))
-                continue
-            if self.v.end:
-                some = piece.split()
-            else:  # each chunk but the first has a space before it
-                some = piece.split(" ")
-                out.append(self._split(some.pop(0)))
-            for c in some:
-                ids = known.get(c)
-                out.append(ids if ids is not None else chunk(c))
+    def _streamed(self, text: str) -> Iterator[array]:
+        """Ids of text, word by word."""
+        for found in self.words.finditer(self._normal(text)):
+            start, end = found.span()
+            if end - start <= PIECE:
+                yield array("I", self.transducer.encode(spelled(found.group())))
+            else:
+                yield from self.transducer.stream(spelled(found.string[k : min(k + PIECE, end)]) for k in range(start, end, PIECE))
+
+    def _learn_words(self, words: list[str]) -> np.ndarray:
+        found = [self.transducer.encode(spelled(w)) for w in words]
+        return self.word_store.enter([np.array([i for ids in found for i in ids], dtype=np.uint32)], [len(ids) for ids in found])
+
+    def _entered(self, chunks: list[str], before: str) -> np.ndarray:
+        """Entries for chunks, with `before` before each."""
+        if self.word_store.count > REMEMBERED_WORDS:
+            self.word_store.forget()
+            self.word_table.clear()
+        words, counts = [], []
+        longer = {k: None for k, chunk in enumerate(chunks) if len(chunk) > PIECE}
+        for k in longer:
+            longer[k] = np.frombuffer(b"".join(p.tobytes() for p in self._streamed(before + chunks[k])), dtype="<u4")
+            chunks[k] = ""
+        if self.v.lower and self.v.end:  # no chunk has a line end
+            chunks = self._normal("\n".join(chunks)).split("\n")
+        else:
+            chunks = [self._normal(before + c) for c in chunks]
+        for k, chunk in enumerate(chunks):
+            some = [] if k in longer else self.words.findall(chunk)
+            words += some
+            counts.append(len(some))
+        different = pa.array(words, pa.large_string()).dictionary_encode()
+        entry = self._word_entries(different.dictionary)[different.indices.to_numpy()] if words else np.empty(0, np.int64)
+        sizes = self.word_store.sizes[entry]
+        of = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        ids = ragged(self.word_store.ids, self.word_store.starts[entry], sizes)
+        if not longer:
+            return self.store.enter([ids], np.diff(of).tolist())
+        parts = [longer[k] if k in longer else ids[of[k] : of[k + 1]] for k in range(len(chunks))]
+        return self.store.enter(parts, [len(p) for p in parts])
+
+    def _word_entries(self, words: pa.LargeStringArray) -> np.ndarray:
+        keys, checks, short = self.word_table.hashes(words)
+        found = np.where(short, self.word_table.find(keys, checks), -1)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn_words(words.take(pa.array(new)).to_pylist())
+            new = new[short[new]]
+            self.word_table.add(keys[new], checks[new], found[new])
+        return found
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        return self._entered(chunks, "" if self.v.end else " ")
+
+    def learn_heads(self, chunks: list[str]) -> np.ndarray:
+        return self._entered(chunks, "")
+
+    def whole(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        for found in itertools.chain(self.special.finditer(text), [None]):
+            for piece in self._pieces(text[at : found.start() if found else len(text)]):
+                parts += [p.tobytes() for p in self._streamed(piece)]
+            if found:
+                parts.append(self.v.added[found.group()].to_bytes(4, "little"))
+                at = found.end()
+        return np.frombuffer(b"".join(parts), dtype="<u4")
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As BatchEncoder does; long texts are taken in pieces, a batch of a few at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        long = np.flatnonzero(pc.utf8_length(texts).to_numpy() > 4 * PIECE).tolist()
+        if not long:
+            return super().encode_flat(texts)
+        ids, sizes, at = [], np.zeros(len(texts), dtype=np.int64), 0
+        for k in [*long, len(texts)]:
+            some, found = super().encode_flat(texts.slice(at, k - at))
+            ids.append(some)
+            sizes[at:k] = found
+            if k < len(texts):
+                for piece in self._pieces(texts[k].as_py()):
+                    some, _ = super().encode_flat(pa.array([piece], pa.large_string()))
+                    ids.append(some)
+                    sizes[k] += len(some)
+            at = k + 1
+        return np.concatenate(ids), sizes
 
     def encode(self, text: str | None) -> bytes:
-        out: list[bytes] = []
-        text, at = text or "", 0
-        for found in self.marks.finditer(text):
-            self._plain(text[at : found.start()], out)
-            out.append(self.v.added[found.group()].to_bytes(4, "little"))
-            at = found.end()
-        self._plain(text[at:], out)
-        return b"".join(out)
+        """Ids of one text as little-endian 32-bit words."""
+        return self.encode_flat(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
 
 
 class Decoder:
@@ -382,42 +461,75 @@ class Decoder:
         byte_of = {c: b for b, c in enumerate(_SPELL)}
         names = {i: t for t, i in {**vocabulary.ids, **vocabulary.added}.items()}
         self.joiner = (vocabulary.joiner or "").encode()
-        self.bytes_of = {
+        made = {
             i: (t.encode() if vocabulary.joiner is not None or not all(c in byte_of for c in t) else bytes(byte_of[c] for c in t))
             + self.joiner
             for i, t in names.items()
         }
-
-    def decode(self, ids: bytes | None) -> str:
+        every = [made.get(i, b"") for i in range(max(made, default=-1) + 2)]  # the last stands for ids that are none
+        self.bytes = np.frombuffer(b"".join(every), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in every], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the tokens, and how many each has."""
+        ids = np.minimum(ids, len(self.sizes) - 1)
+        sizes = self.sizes[ids]
+        return ragged(self.bytes, self.starts[ids], sizes), sizes
+
+    def decode(self, ids: bytes | np.ndarray | None) -> str:
         """Ids that the vocabulary does not have are left out."""
+        numbers = ids if isinstance(ids, np.ndarray) else np.frombuffer(ids or b"", dtype="<u4")
+        return self._text(self._bytes(numbers[k : k + DECODED])[0].tobytes() for k in range(0, len(numbers), DECODED))
+
+    def _text(self, parts: Iterable[bytes]) -> str:
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        numbers = np.frombuffer(ids or b"", dtype="<u4")
-        out, bytes_of = [], self.bytes_of
-        for first in range(0, len(numbers), DECODED):
-            some = b"".join([bytes_of.get(i, b"") for i in numbers[first : first + DECODED].tolist()])
-            out.append(state.decode(some))
-        text = "".join(out) + state.decode(b"", final=True)
+        text = "".join([state.decode(part) for part in parts]) + state.decode(b"", final=True)
         return text[: len(text) - len(self.joiner)] if self.joiner and text else text
 
-
-def _fields(df: DataFrame, keep: Sequence[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
+    def decode_flat(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids that stand one text after another; short ones are turned into bytes together."""
+        ends = np.cumsum(sizes)
+        out, at = [], 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + DECODED, side="right")))
+            first = int(ends[at] - sizes[at])
+            if to == at + 1:
+                out.append(self.decode(ids[first : ends[at]]))
+            else:
+                data, of = self._bytes(ids[first : ends[to - 1]])
+                cuts = np.append(0, np.cumsum(of))[ends[at:to] - first]
+                data = data.tobytes()
+                out += [self._text((data[s:e],)) for s, e in zip([0, *cuts.tolist()], cuts.tolist())]
+            at = to
+        return out
 
 
 def _mapped(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], column: str, out: dict[str, str], work) -> DataFrame:
-    """The columns in keep and those in out (name to kind), which work(vocabulary) makes of a column's value."""
+    """The columns in keep and those in out (name to kind), which work(vocabulary) makes of a batch of a column's values.
+
+    Columns in keep that have a name in out are left out: the new ones take their place.
+    """
     shipped = vocabulary.shipped(df.sparkSession)
-    kinds = [pa.binary() if k == "binary" else pa.string() for k in out.values()]
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in out}]
+    taken = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("value"))
+    named = [*(f"k{i}" for i in range(len(keep))), *(f"o{i}" for i in range(len(out)))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = work(shipped.value)
-        for batch in row_slices(it):
-            made = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *out])
+        make = work(shipped.value)
+        for batch in row_slices(it, 1024):
+            made = make(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=named)
+
+    kinds = [*(f.dataType.simpleString() for f in taken.schema.fields[:-1]), *out.values()]
+    return taken.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(named, kinds))).toDF(*keep, *out)
+
 
-    fields = _fields(df, keep) + ", ".join(f"`{n}` {k}" for n, k in out.items())
-    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, fields)
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Ids that stand one text after another as a column of binary values."""
+    offsets = pa.array(np.append(0, 4 * np.cumsum(sizes)).astype(np.int64))
+    data = pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, offsets.buffers()[1], data]).cast(pa.binary())
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "ids") -> DataFrame:
@@ -425,7 +537,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep:
 
     def work(v: Vocabulary):
         encoder = Encoder(v)
-        return lambda text: (encoder.encode(text),)
+        return lambda texts: [_binary(*encoder.encode_flat(texts))]
 
     return _mapped(df, vocabulary, keep, text_col, {name: "binary"}, work)
 
@@ -435,7 +547,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", keep: Se
 
     def work(v: Vocabulary):
         decoder = Decoder(v)
-        return lambda ids: (decoder.decode(ids),)
+        return lambda ids: [pa.array([decoder.decode(x.as_py()) for x in ids], pa.string())]
 
     return _mapped(df, vocabulary, keep, ids_col, {name: "string"}, work)
 
@@ -446,10 +558,10 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ke
     def work(v: Vocabulary):
         encoder, decoder = Encoder(v), Decoder(v)
 
-        def one(text: str | None) -> tuple[bytes, str]:
-            ids = encoder.encode(text)
-            return ids, decoder.decode(ids)
+        def make(texts: pa.Array) -> list[pa.Array]:
+            ids, sizes = encoder.encode_flat(texts)
+            return [_binary(ids, sizes), pa.array(decoder.decode_flat(ids, sizes), pa.string())]
 
-        return one
+        return make
 
     return _mapped(df, vocabulary, keep, text_col, {"ids": "binary", "decoded": "string"}, work)

@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import BatchEncoder
 from .common import cut, row_slices
 from .files import readable, written
 
@@ -45,72 +46,15 @@ BLOCK_WORDS = 1 << 15
 #: The most files; beyond, files hold more documents than asked for.
 MAX_FILES = 1 << 16
 _LEAST = -(1 << 63)
-#: Chunks remembered (about 40 bytes each), characters of text looked up together, new chunks encoded together, and the
-#: bytes of the longest chunk that is remembered.
-REMEMBERED, BATCH, TOGETHER, LONGEST = 3_000_000, 6_000_000, 64, 64
-
-
-def _grown(held: np.ndarray, size: int) -> np.ndarray:
-    """held with room for size elements."""
-    return held if size <= len(held) else np.concatenate([held, np.empty(max(len(held), size), dtype=held.dtype)])
-
-
-def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of values from starts, of the given sizes, one after another."""
-    total = np.cumsum(sizes)
-    return values[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)]
-
-
-class ChunkTable:
-    """Chunks of at most LONGEST bytes, told apart by two 64-bit hashes, and the number of each one's entry."""
-
-    def __init__(self) -> None:
-        rng = np.random.default_rng(17)
-        self.weights = rng.integers(0, 2**64, (2, LONGEST + 1), dtype=np.uint64) | np.uint64(1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.checks, self.entries = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def hashes(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of the bytes by random weights of their places and of the length, twice; and which words are short."""
-        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        lengths = np.diff(offsets)
-        short = lengths <= LONGEST
-        kept = lengths * short
-        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-        ends = np.cumsum(kept)
-        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - kept, kept)
-        codes = data[np.repeat(offsets[:-1], kept) + place].astype(np.uint64) + np.uint64(1)
-        found = []
-        for weights in self.weights:
-            sums = np.append(np.uint64(0), np.cumsum(codes * weights[place]))
-            found.append(sums[ends] - sums[ends - kept] + kept.astype(np.uint64) * weights[LONGEST])
-        return found[0], found[1], short
-
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """The entries of the hashed chunks, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), self.entries[at], -1)
-
-    def add(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.checks = np.insert(self.checks, at, checks[order])
-        self.entries = np.insert(self.entries, at, entries[order])
-
-
-class LibraryEncoder:
+#: New chunks that are encoded together.
+TOGETHER = 64
+
+
+class LibraryEncoder(BatchEncoder):
     """The tokenizers library, with the encodings of chunks of text remembered.
 
-    A byte-level tokenizer encodes " word" alike wherever it stands, if no white space borders on the space. Texts are
-    cut there, a batch at a time; each different chunk of the batch is looked up once, the new ones are encoded together
-    and told apart by the bytes of their tokens, and the ids are gathered by array operations. A text's first chunk has
-    no space before it and is looked up in a table of its own. Texts where spaces border on white space, or with special
-    tokens, go to the library whole.
+    A byte-level tokenizer encodes " word" alike wherever it stands, if no white space borders on the space. New chunks
+    are encoded together and told apart by the bytes of their tokens. Texts with special tokens go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -121,37 +65,17 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
         by_id = {i: t for t, i in self.tokenizer.get_vocab().items()}
         # A byte-level token is spelled with a character for each byte.
         self.bytes_of = np.array([0 if i in added else len(by_id.get(i, "")) for i in range(max(by_id) + 1)])
-        self._forget()
-
-    def _forget(self) -> None:
-        """Forget all chunks."""
-        self.known, self.heads = ChunkTable(), ChunkTable()
-        self.entries = self.held = 0
-        self.ids = np.empty(1 << 20, dtype=np.uint32)
-        self.starts, self.sizes = (np.empty(1 << 18, dtype=np.int64) for _ in range(2))
+        super().__init__([t.content for t in added.values()])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _enter(self, parts: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-        """Entries for chunks whose ids stand one after another in parts."""
-        new, count, start = np.concatenate(parts), len(sizes), self.entries
-        self.ids = _grown(self.ids, self.held + len(new))
-        self.starts, self.sizes = _grown(self.starts, start + count), _grown(self.sizes, start + count)
-        self.ids[self.held : self.held + len(new)] = new
-        self.sizes[start : start + count] = sizes
-        self.starts[start : start + count] = self.held + np.cumsum(sizes) - sizes
-        self.held += len(new)
-        self.entries += count
-        return np.arange(start, start + count)
-
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        """Entries for chunks with a space before each; TOGETHER of them are encoded as one text."""
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """TOGETHER chunks are encoded as one text."""
         odd = np.array([c[-1:].isspace() for c in chunks])
         plain = [c for c, o in zip(chunks, odd) if not o]
         parts = self._library([" " + c for c, o in zip(chunks, odd) if o])
@@ -163,100 +87,21 @@ class LibraryEncoder:
             parts.append(ids)
             sizes += np.diff(cuts, prepend=0).tolist()
         found = np.empty(len(chunks), dtype=np.int64)
-        found[np.argsort(~odd, kind="stable")] = self._enter(parts, sizes)
+        found[np.argsort(~odd, kind="stable")] = self.store.enter(parts, sizes)
         return found
 
-    def _learn_heads(self, chunks: list[str]) -> np.ndarray:
-        """Entries for chunks as beginnings of texts."""
+    def learn_heads(self, chunks: list[str]) -> np.ndarray:
         parts = self._library(chunks)
-        return self._enter(parts, [len(p) for p in parts])
-
-    def _entries(self, table: ChunkTable, words: pa.LargeStringArray, learn) -> np.ndarray:
-        """The entry of each of the different words; new ones are learnt, and short ones among them remembered."""
-        keys, checks, short = table.hashes(words)
-        found = np.where(short, table.find(keys, checks), -1)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            found[new] = learn(_strings(words.take(pa.array(new))))
-            new = new[short[new]]
-            table.add(keys[new], checks[new], found[new])
-        return found
+        return self.store.enter(parts, [len(p) for p in parts])
+
+    def whole(self, text: str) -> np.ndarray:
+        return self._library([text])[0]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         ids, sizes = self.encode_flat(pa.array(texts, pa.large_string()))
         return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
-    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one text after another, and how many each has."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        whole = np.zeros(len(texts), dtype=bool)
-        for mark in self.marks:
-            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        even = np.flatnonzero(~whole)
-        group = np.cumsum(pc.utf8_length(texts).to_numpy()[even]) // BATCH
-        parts, starts, sizes, held = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
-        for k in range(int(group[-1]) + 1 if len(group) else 0):
-            some = even[group == k]
-            if not len(some):
-                continue
-            ids, found, uneven = self._gather(texts.take(pa.array(some)))
-            parts.append(ids)
-            starts[some], sizes[some] = held + np.cumsum(found) - found, found
-            whole[some[uneven]] = True
-            held += len(ids)
-        rest = np.flatnonzero(whole).tolist()
-        if not rest:
-            return np.concatenate(parts), sizes
-        for k in rest:
-            ids = self._library([texts[k].as_py()])[0]
-            parts.append(ids)
-            starts[k], sizes[k] = held, len(ids)
-            held += len(ids)
-        return _ragged(np.concatenate(parts), starts, sizes), sizes
-
-    @staticmethod
-    def _uneven(words: pa.Array, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Texts where a space borders on other white space: a chunk but the first begins with it, or one but the last
-        ends with it, or an inner chunk is empty."""
-        empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        begins = pc.not_equal(words, pc.utf8_ltrim_whitespace(words)).to_numpy(zero_copy_only=False)
-        ends = pc.not_equal(words, pc.utf8_rtrim_whitespace(words)).to_numpy(zero_copy_only=False)
-        odd = empty | begins | ends
-        at = np.flatnonzero(odd[index])
-        if not len(at):
-            return np.zeros(len(bounds) - 1, dtype=bool)
-        text = np.searchsorted(bounds, at, side="right") - 1
-        first, last, word = at == bounds[text], at == bounds[text + 1] - 1, index[at]
-        bad = (begins[word] & ~first) | (ends[word] & ~last) | (empty[word] & ~first & ~last)
-        return np.bincount(text[bad], minlength=len(bounds) - 1) > 0
-
-    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, how many each has, and which texts are uneven; of those nothing is encoded."""
-        chunks = pc.split_pattern(texts, " ")
-        bounds = chunks.offsets.to_numpy()
-        coded = chunks.values.dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary
-        uneven = self._uneven(words, index, bounds)
-        firsts = chunks.values.take(pa.array(bounds[:-1])).dictionary_encode()
-        del chunks, coded
-        if self.entries > REMEMBERED or self.held > 8 * REMEMBERED:
-            self._forget()
-        entry = self._entries(self.known, words, self._learn)[index]
-        entry[bounds[:-1]] = self._entries(self.heads, firsts.dictionary, self._learn_heads)[firsts.indices.to_numpy()]
-        starts, sizes = self.starts[entry], self.sizes[entry]
-        if uneven.any():
-            sizes[np.repeat(uneven, np.diff(bounds))] = 0
-        return _ragged(self.ids, starts, sizes), np.add.reduceat(sizes, bounds[:-1]), uneven
-
-
-def _strings(words: pa.Array) -> list[str]:
-    """Strings without spaces as Python's, many times faster than one by one."""
-    if not len(words):
-        return []
-    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-    return pc.binary_join(one, " ")[0].as_py().split(" ")
-
 
 @functools.cache
 def _encoder(tokenizer_json: str) -> LibraryEncoder:
@@ -469,7 +314,7 @@ def write_token_files(
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, turn = _encoder(shipped.value), 0
-        for batch in row_slices(it, 2048):
+        for batch in row_slices(it, 1024):
             found, sizes = encoder.encode_flat(batch.column(1))
             found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
             words, per, escapes = pack_flat(found, sizes)

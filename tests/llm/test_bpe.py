@@ -88,3 +88,49 @@ def test_operators(spark, both):
     assert bpe.encode(df.where(F.lit(False)), vocabulary).count() == 0
     digest = hashlib.sha256(b"").hexdigest()
     assert [r[0] for r in bpe.encode(df.where("doc_id = 1"), vocabulary).select(F.sha2("ids", 256)).collect()] == [digest]
+
+
+def test_a_long_text_without_white_space_takes_bounded_memory(both, monkeypatch):
+    vocabulary, library = both
+    rng = random.Random(2)
+    words = ["".join(rng.choice("thesinaro") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    monkeypatch.setattr(bpe, "PIECE", 1 << 12)
+    word = "".join(rng.choice(words) for _ in range(20_000))  # one word
+    mixed = "".join(rng.choice(words) + rng.choice(["1", "é", "-", "."]) for _ in range(5_000))  # many words
+    agree(vocabulary, library, [word, mixed, "a" + word[:5000] + " " + word[5000:9000]])
+    transducer = bpe.Transducer(vocabulary)
+    held, emit = [], transducer._emit
+    transducer._emit = lambda base, last, out: held.append(len(last)) or emit(base, last, out)
+    parts = list(transducer.stream(word[k : k + bpe.PIECE] for k in range(0, len(word), bpe.PIECE)))
+    assert sum(map(len, parts)) == len(library.encode(word, add_special_tokens=False).ids) and len(parts) > 3
+    assert max(held) < 10 * vocabulary.longest  # emitted long before the bound of the merge list
+
+
+def test_columns_called_as_results(spark, both):
+    vocabulary, library = both
+    df = spark.createDataFrame([(1, "a b", "x", 7, 3)], "doc_id long, text string, decoded string, IDS int, `odd.name` int")
+    got = bpe.round_trip(df, vocabulary, keep=df.columns)
+    assert got.columns == ["doc_id", "text", "odd.name", "ids", "decoded"]
+    ids = library.encode("a b", add_special_tokens=False).ids
+    row = got.collect()[0]
+    assert np.frombuffer(row.ids, "<u4").tolist() == ids and row.decoded == library.decode(ids) and row["odd.name"] == 3
+
+
+def test_batches_and_a_full_table(both, monkeypatch):
+    import pyarrow as pa
+
+    from millrace.llm import chunks
+
+    vocabulary, library = both
+    monkeypatch.setattr(chunks, "REMEMBERED", 40)
+    monkeypatch.setattr(chunks, "BATCH", 200)
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 30)
+    monkeypatch.setattr(bpe, "PIECE", 60)
+    rng = random.Random(5)
+    letters = "abéß 's\n!<|>1中\t\x1c  "
+    texts = HARD[:7] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(300)] + ["x" * 500]
+    encoder, decoder = bpe.Encoder(vocabulary), bpe.Decoder(vocabulary)
+    ids, sizes = encoder.encode_flat(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert decoder.decode_flat(ids, sizes) == [library.decode(w, skip_special_tokens=False) for w in want]

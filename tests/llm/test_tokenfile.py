@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import tokenfile
+from millrace.llm import chunks, tokenfile
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -41,10 +41,9 @@ def test_encoder_is_the_library(monkeypatch):
     letters = "abé 's\n!<|>1中\t  "
     texts = [None, "", " ", " a", "a ", "a  b", "a\n b", "a \nb", "x<|endoftext|> y", "it's Bob's\n\nend"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    tokenfile_batch = tokenfile.BATCH
-    for batch in (tokenfile_batch, 100):
-        monkeypatch.setattr(tokenfile, "BATCH", batch)
-        monkeypatch.setattr(tokenfile, "REMEMBERED", 50 if batch == 100 else 1_000_000)
+    for batch in (chunks.BATCH, 100):
+        monkeypatch.setattr(chunks, "BATCH", batch)
+        monkeypatch.setattr(chunks, "REMEMBERED", 50 if batch == 100 else 1_000_000)
         for text, ids in zip(texts * 2, encoder.encode(texts * 2)):
             want = library.encode(text or "", add_special_tokens=False).ids
             assert ids.tolist() == want, repr(text)
