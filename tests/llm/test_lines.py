@@ -15,17 +15,15 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, min_chars):
+def brute(rows, min_chars, max_edits=1):
     """The lines that stay, by comparing every line with all before it."""
     seen, result = [], {}
     for i, text in sorted((i, t) for i, t in rows if t is not None):
         kept = []
         for line in text.split("\n"):
             if line.strip():
-                near = any(
-                    line == s or (min(len(s), len(line)) >= min_chars and abs(len(s) - len(line)) < 2 and distance(s, line) < 2)
-                    for s in seen
-                )
+                allowed = lambda s: min(max_edits, min(len(s), len(line)) // min_chars)
+                near = any(line == s or (abs(len(s) - len(line)) <= allowed(s) and distance(s, line) <= allowed(s)) for s in seen)
                 seen.append(line)
                 if near:
                     continue
@@ -102,3 +100,48 @@ def test_variants_in_blocks_and_close_texts():
     for _ in range(3000):
         a, b = ("".join(rng.choices("ab", k=rng.randrange(6))) for _ in range(2))
         assert lines.within_one(a, b) == (distance(a, b) <= 1)
+
+
+def test_two_edits_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    base = ["".join(rng.choice("ab") for _ in range(rng.randint(4, 14))) for _ in range(12)]
+    base += ["".join(rng.choice("abé ") for _ in range(rng.randint(8, 30))) for _ in range(25)]
+    for i in range(60):
+        some = []
+        for _ in range(rng.randint(1, 5)):
+            s = rng.choice(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(s) + 1)
+                s = [s[:at] + s[at + 1 :], s[:at] + rng.choice("ax") + s[at:], s[:at] + rng.choice("by") + s[at + 1 :]][rng.randrange(3)]
+            some.append(s)
+        rows.append((i, "\n".join(some)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for min_chars in (4, 8):
+        got = {r.doc_id: r.text for r in lines.dedup_lines(df, max_edits=2, min_chars=min_chars).collect()}
+        assert got == brute(rows, min_chars, 2)
+        assert got != brute(rows, min_chars, 1)
+
+
+def test_distances():
+    rng = random.Random(3)
+    for _ in range(4000):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(8))) for _ in range(2))
+        assert [lines.within(a, b, k) for k in range(3)] == [distance(a, b) <= k for k in range(3)]
+
+
+def test_one_header_before_many_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lines, "small_side", lambda df, rows: seen.append(rows) or common.small_side(df, rows))
+    header = "This file is distributed under the license named below, part "
+    text = "\n".join(f"{header}{i:06d} {i * 7919 % 1000003:07d}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text[:1000])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in lines.dedup_lines(df).collect()}
+    assert max(seen) >= 100_000  # what is guarded are the lines, not the keys that they share
+    assert got[1] == (100_000, 100_000)
+
+
+def test_any_names(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, 3, 4)], "doc_id long, text string, n_lines int, _n_lines int, _lines int, doc int")
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "__n_lines", "n_kept"] and got.collect()[0][:6] == (1, "a", 1, 2, 3, 4)
