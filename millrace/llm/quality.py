@@ -1,12 +1,17 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded from its bytes (shares of byte classes, word
-lengths, repetition); a small network turns the encoding into a representation, gated attention learns from document
-labels alone how much each passage weighs, and the weighted sum of the representations is scored.
-
-The network is fitted on the driver with a bounded sample of labelled documents (`sample` of them, of at most
-`max_passages` passages each); everything else, scoring above all, runs over all documents and whole texts. The fit is
-deterministic: the sample is the first by a hash of the id, the optimiser's seed is fixed.
+A document is a bag of passages of PASSAGE words. Each passage is encoded by the words and byte trigrams in it, hashed
+into HASHED buckets each, and by its shares of byte classes, word lengths and repetition; a small network turns the
+encoding into a representation, gated attention learns from document labels alone how much each passage weighs, and the
+weighted sum of the representations is scored.
+
+The network is fitted on the driver with a bounded sample of labelled documents (`sample` of them, of at most `longest`
+passages each and `max_passages` together, so that the sample has a bounded size in bytes); everything else, scoring
+above all, runs over all documents and whole texts. The fit is deterministic: the sample is the first by a hash of the
+id, the optimiser's seed is fixed.
+
+Defined results: null and blank texts are one passage of zeros; a very long text is one bag of many passages; repeated
+rows are scored each, equal texts alike; a score of exactly 0.5 is predicted 1; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import cut, row_slices
 
 PASSAGE = 64
 #: Bytes of text that are encoded together; bounds a worker's memory.
@@ -41,7 +46,35 @@ def _class_table() -> np.ndarray:
 
 _CLASS = _class_table()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-FEATURES = _CLASSES + 8
+#: Buckets of hashed words, and as many of hashed byte trigrams.
+HASHED = 256
+_DENSE = _CLASSES + 8
+FEATURES = _DENSE + 2 * HASHED
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Random weights of the places in a word, which repeat beyond so many.
+_PLACES = np.random.default_rng(23).integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _MIX
+    return (h ^ (h >> np.uint64(32))) * _MIX
+
+
+def _bucket_shares(bag: np.ndarray, hashes: np.ndarray, bags: int) -> np.ndarray:
+    """Square roots of the shares of each bag's hashes in the buckets."""
+    bucket = (hashes >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(bag * HASHED + bucket, minlength=bags * HASHED).reshape(bags, HASHED)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+
+
+def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words from starts to ends: all bytes by weights of their places, and the length."""
+    lengths = ends - starts
+    total = np.cumsum(lengths)
+    place = np.arange(total[-1]) - np.repeat(total - lengths, lengths)
+    sums = np.append(np.uint64(0), np.cumsum(low[np.repeat(starts, lengths) + place] * _PLACES[place % len(_PLACES)]))
+    return _mixed(sums[total] - sums[total - lengths] + lengths.astype(np.uint64))
 
 
 def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +105,15 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         classes = np.bincount(of_byte * _CLASSES + _CLASS[data], minlength=(n + 1) * _CLASSES)
         classes = classes.reshape(n + 1, _CLASSES)[:n]
         shares = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
-        reach = starts[:, None] + np.arange(8)
-        held = np.where(reach < ends[:, None], data[np.minimum(reach, len(data) - 1)], 0).astype(np.uint8)
-        word = (held.view("<u8").ravel() + lengths.astype(np.uint64)) * _MIX
+        low = _LOWER[data].astype(np.uint64) + np.uint64(1)
+        word = _word_hashes(low, starts, ends)
         inside = passage[1:] == passage[:-1]
         same = np.concatenate([[False], (word[1:] == word[:-1]) & inside])
         keyed = np.sort((passage.astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24)))
         new = np.concatenate([[True], keyed[1:] != keyed[:-1]])
         distinct = np.bincount((keyed[new] >> np.uint64(40)).astype(np.int64), minlength=n)
+        inner = np.flatnonzero((of_byte[2:] < n) & (of_byte[2:] == of_byte[:-2]))
+        three = (low[inner] << np.uint64(18)) | (low[inner + 1] << np.uint64(9)) | low[inner + 2]
         mean = np.bincount(passage, lengths, minlength=n) / count
         spread = np.sqrt(np.maximum(np.bincount(passage, lengths**2, minlength=n) / count - mean**2, 0))
         big = (data[starts] >= 65) & (data[starts] <= 90)
@@ -96,6 +130,8 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 np.bincount(passage, big, minlength=n) / count,
                 np.bincount(passage, shout, minlength=n) / count,
                 np.bincount(passage, sign, minlength=n) / count,
+                _bucket_shares(passage, word, n),
+                _bucket_shares(of_byte[inner], _mixed(three), n),
             ]
         )
     order = np.argsort(text_of, kind="stable")
@@ -132,8 +168,7 @@ class AttentionModel:
         np.maximum.at(top, bag, e)
         a = np.exp(e - top[bag])
         a /= np.bincount(bag, a, minlength=bags)[bag]
-        r = np.zeros((bags, h.shape[1]))
-        np.add.at(r, bag, a[:, None] * h)
+        r = np.stack([np.bincount(bag, a * h[:, k], minlength=bags) for k in range(h.shape[1])], axis=1)
         p = 1 / (1 + np.exp(-np.clip(r @ w["score"] + w["score_b"], -40, 40)))
         return {"z": z, "h": h, "t": t, "g": g, "a": a, "r": r, "p": p}
 
@@ -163,11 +198,12 @@ class AttentionModel:
 
 def fit(
     x: np.ndarray, bag: np.ndarray, y: np.ndarray, share: float, hidden: int = 24, gate: int = 12, steps: int = 300,
-    rate: float = 0.01, decay: float = 1e-4, seed: int = 7,
+    rate: float = 0.01, decay: float = 1e-3, seed: int = 7,
 ) -> AttentionModel:
     """Adam on the log loss of the bags. share: how often label 1 is in the population, to which scores are set."""
     rng = np.random.default_rng(seed)
-    spread = x.std(axis=0)
+    spread = x.std(axis=0, dtype=np.float64)
+    spread[_DENSE:] = np.maximum(spread[_DENSE:], 0.3)  # about their own scale, so that rare buckets are not blown up
     weights = {
         "encode": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)),
         "encode_b": np.zeros(hidden),
@@ -177,7 +213,7 @@ def fit(
         "score": rng.normal(0, 1 / np.sqrt(hidden), hidden),
         "score_b": np.zeros(1),
     }
-    model = AttentionModel(x.mean(axis=0), np.where(spread > 1e-6, spread, 1.0), weights)
+    model = AttentionModel(x.mean(axis=0, dtype=np.float64), np.where(spread > 1e-6, spread, 1.0), weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     sizes = np.bincount(bag, minlength=len(y))
     begins = np.cumsum(sizes) - sizes
@@ -203,12 +239,14 @@ def held_out(id_col: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample: int = 4000, max_passages: int = 2000,
+    sample: int = 4000, longest: int = 2000, max_passages: int = 40_000,
 ) -> AttentionModel | None:
     """Fit on at most `sample` labelled documents that are not held out, half of each label as far as there are so many.
 
-    Documents of more than max_passages passages are not in the sample. Labels that are null or that contradict each
-    other are left out. With no document of one of the labels there is nothing to learn and the result is None.
+    Documents of more than `longest` passages are not in the sample, nor what goes beyond `max_passages` passages of all
+    of a label, half of them each: the sample has at most max_passages * FEATURES * 4 bytes (90 MB). Labels that are
+    null or that contradict each other are left out. With no document of one of the labels there is nothing to learn
+    and the result is None. Other columns may have any names.
     """
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -224,24 +262,23 @@ def train(
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(chance, "_of").limit(sample // 2)
         picked = some if picked is None else picked.union(some)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_of")).select(
-        F.col("_of").cast("bigint"), F.col("_y").cast("int"), F.col(text_col)
-    )  # `sample` ids at most
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_of"))  # `sample` ids at most
+    words = F.coalesce(F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    rows = cut(rows.withColumn("_passages", F.greatest(F.lit(1), F.ceil(words / PASSAGE))).where(F.col("_passages") <= longest))
+    taken = Window.partitionBy("_y").orderBy(chance, "_of", F.md5(F.coalesce("_text", F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("_passages").over(taken)).where(F.col("_sum") <= max_passages // 2)  # sampled rows only
+    rows = rows.select(F.col("_of").cast("bigint"), F.col("_y").cast("int"), "_text")
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(it):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)]
             for first, some in _slices(texts):
                 x, owner = encode_passages(some)
-                counts = np.bincount(owner, minlength=len(some))
-                parts = np.split(x, np.cumsum(counts)[:-1])
-                use = [k for k in range(len(some)) if counts[k] <= max_passages]
+                parts = np.split(x, np.cumsum(np.bincount(owner, minlength=len(some)))[:-1])
+                some = batch.slice(first, len(some))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[first + k].as_py() for k in use], pa.int64()),
-                        pa.array([batch.column(1)[first + k].as_py() for k in use], pa.int32()),
-                        pa.array([parts[k].astype("<f4").tobytes() for k in use], pa.binary()),
-                    ],
+                    [some.column(0), some.column(1), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())],
                     names=["id", "y", "x"],
                 )
 
@@ -249,7 +286,7 @@ def train(
     y = np.array([r.y for r in found], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for r in found]
+    bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in found]
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     return fit(np.concatenate(bags), owner, y, totals[1] / (totals[0] + totals[1]))
 
@@ -259,23 +296,35 @@ def score(
 ) -> DataFrame:
     """The columns in keep with score (0 to 1, higher where label 1 is likelier) and predicted (1 from 0.5 on).
 
-    Every whole text is scored; null and blank texts are one passage of zeros. Without a model (nothing was labelled)
-    every score is 0.5. Repeated rows are scored each; an empty table gives an empty table.
+    Every whole text is scored. Without a model (nothing was labelled) every score is 0.5. Columns in keep may have any
+    names; one called score or predicted is replaced.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    taken = keep if text_col in keep else (*keep, text_col)
-    at = taken.index(text_col)
+    kept = [c for c in keep if c.lower() not in ("score", "predicted")]
+    taken = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("value"))
+    rows = _scored(taken, model)
+    return rows.toDF(*kept, "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: AttentionModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are predicted 1, with docs' columns whatever their names."""
+    taken = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text_col}`").alias("value"))
+    return _scored(taken, model).where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)
+
+
+def _scored(taken: DataFrame, model: AttentionModel | None) -> DataFrame:
+    """taken, whose last column is the text, with score and predicted in its place."""
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(it):
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1)]
             result = np.full(len(texts), 0.5)
             for first, some in _slices(texts) if model else ():
                 x, owner = encode_passages(some)
                 result[first : first + len(some)] = model.scores(x, owner, len(some))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
-                names=[*keep, "score", "predicted"],
+                [*batch.columns[:-1], pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
+                names=[*batch.schema.names[:-1], "score", "predicted"],
             )
 
-    return docs.select(*taken).mapInArrow(scored, f"{fields}, score double, predicted int")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in taken.schema.fields[:-1])
+    return taken.mapInArrow(scored, f"{fields}score double, predicted int")

@@ -79,3 +79,91 @@ def test_nulls_unlabelled_and_empty(spark):
     got = quality.score(docs, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.where(F.lit(False)), model).count() == 0
+
+
+def naive_features(text):
+    """One encoding per passage, word by word and byte by byte."""
+    data = text.encode()
+    spans, at = [], 0
+    for k, b in enumerate(data + b" "):
+        if b == 32 or 9 <= b <= 13:
+            if at < k:
+                spans.append((at, k))
+            at = k + 1
+    if not spans:
+        return [np.zeros(quality.FEATURES)]
+    mask, mix = 2**64 - 1, int(quality._MIX)
+
+    def mixed(h):
+        h = h * mix & mask
+        return (h ^ (h >> 32)) * mix & mask
+
+    low = lambda b: (b + 32 if 65 <= b <= 90 else b) + 1
+    out = []
+    for first in range(0, len(spans), quality.PASSAGE):
+        some = spans[first : first + quality.PASSAGE]
+        start = 0 if first == 0 else some[0][0]
+        end = len(data) if first + quality.PASSAGE >= len(spans) else spans[first + quality.PASSAGE][0]
+        inside, words = data[start:end], [data[s:e] for s, e in some]
+        classes = np.bincount([quality._CLASS[b] for b in inside], minlength=quality._CLASSES)
+        hashes = [mixed((sum(low(b) * int(quality._PLACES[k % 4096]) for k, b in enumerate(w)) + len(w)) & mask) for w in words]
+        tri = [mixed(low(inside[k]) << 18 | low(inside[k + 1]) << 9 | low(inside[k + 2])) for k in range(len(inside) - 2)]
+        lengths = np.array([len(w) for w in words], dtype=float)
+        big = [65 <= w[0] <= 90 for w in words]
+        shout = [b and len(w) > 1 and 65 <= w[1] <= 90 for b, w in zip(big, words)]
+        dense = [len(words), lengths.mean() / 10, min(lengths.std() / 10, 5), len(set(hashes)) / len(words)]
+        dense += [sum(a == b for a, b in zip(hashes, hashes[1:])) / len(words), np.mean(big), np.mean(shout)]
+        dense += [np.mean([quality._CLASS[w[-1]] >= 7 for w in words])]
+        dense[0] = np.log1p(dense[0])
+        buckets = [np.bincount([h >> 56 for h in some], minlength=256) / max(1, len(some)) for some in (hashes, tri)]
+        out.append(np.concatenate([np.sqrt(classes / classes.sum()), dense, *map(np.sqrt, buckets)]))
+    return out
+
+
+def test_features_and_scores_are_those_of_a_loop():
+    texts = [t for _, t in corpus(8)[0]] + ["", " \n\t", "Ab, AB! ab ab", "naïve 中文 " * 70, "x" * 5000 + " y"]
+    x, owner = quality.encode_passages([t.encode() for t in texts])
+    want = [naive_features(t) for t in texts]
+    assert owner.tolist() == [k for k, some in enumerate(want) for _ in some]
+    assert np.allclose(x, np.concatenate(want))
+    model = quality.fit(x, owner, np.arange(len(texts)) % 2.0, 0.5, steps=5)
+    w = model.weights
+    for k, score in enumerate(model.scores(x, owner, len(texts))):
+        hidden, weight = [], []
+        for features in want[k]:
+            z = np.clip((features - model.centre) / model.scale, -6, 6)
+            h = np.tanh(z @ w["encode"] + w["encode_b"])
+            gate = 1 / (1 + np.exp(-(h @ w["u"])))
+            hidden.append(h)
+            weight.append(np.exp((np.tanh(h @ w["v"]) * gate) @ w["attend"]))
+        r = sum(a / sum(weight) * h for a, h in zip(weight, hidden))
+        assert abs(score - 1 / (1 + np.exp(-(r @ w["score"] + w["score_b"][0])))) < 1e-9
+
+
+def test_words_are_learnt(spark):
+    """Two kinds of documents that differ in nothing but which words they have."""
+    rng = random.Random(6)
+    kinds = [["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(40)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(rng.randint(30, 200)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int"))
+    got = {r.doc_id: r.predicted for r in quality.score(docs, model).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] == i % 2 for i in held]) > 0.95
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    rows, labels = corpus(120)
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, *rest: seen.append(x.shape) or fit(x, *rest))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    quality.train(docs, known, max_passages=40)
+    quality.train(docs, known, longest=2)
+    assert seen[0][0] <= 40 and seen[0][0] > 20 and 0 < seen[1][0] < 120
+
+
+def test_any_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.5, 3, "x")], "doc_id long, text string, score double, Predicted int, `_text` string")
+    assert quality.score(docs, None, keep=tuple(docs.columns)).columns == ["doc_id", "text", "_text", "score", "predicted"]
+    good = quality.keep_good(docs, None)
+    assert good.columns == docs.columns and [tuple(r) for r in good.collect()] == [(1, "a b", 0.5, 3, "x")]
