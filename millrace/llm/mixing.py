@@ -9,8 +9,8 @@ No source is gathered in one task: places within a source come from range partit
 row counts per partition and source are the only thing that is prefix-summed as a table (partitions + sources rows).
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source of size 0 has
-target 0 and none of its documents is emitted; repeated rows are documents of their own; an empty table gives an empty
-table. Extra columns are kept as they are; names starting with an underscore and "mix" are reserved.
+target 0 and none of its documents is emitted; repeated rows are documents of their own; a very long text is one document
+that is taken whole; an empty table gives an empty table. Extra columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,14 +77,18 @@ def plan_mix(
     seed: int = 42,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies and taken, with the columns in `keep`."""
+    """One row per document: id, source, size, source_size, target, copies and taken, with the columns in `keep`
+    as fields r0, r1 .. of a struct _rest."""
     reserved = [c for c in keep if c not in (id_col, source_col)]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(reserved)])
     rows = df.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).alias("_source"),
-        word_count(F.col(text_col)).alias("_size"),
-        *([F.struct(*[F.col(c) for c in reserved]).alias("_rest")] if reserved else []),
+        F.col(f"`{id_col}`").alias("_id"),
+        F.col(f"`{source_col}`").alias("_source"),
+        word_count(F.col(f"`{text_col}`")).alias("_size"),
+        *([rest.alias("_rest")] if reserved else []),
     )
+    if not reserved:
+        rows = cut(rows)  # range partitions are sampled first: words are counted once
     placed = with_partition_position(rows, F.col("_source"), F.col("_size"), F.col("_id"))
     placed = stored(placed, "mix") if reserved else cut(placed)
     parts = placed.groupBy("_source", "pid").agg(
@@ -115,15 +119,14 @@ def plan_mix(
         "target",
         copies.alias("copies"),
         (copies * F.col("_size")).cast("bigint").alias("taken"),
-        *[F.col("_rest").getField(c).alias("_kept_" + c) for c in reserved],
+        *([F.col("_rest")] if reserved else []),
     )
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of df, each as often as it is taken, with df's columns."""
-    planned = plan_mix(df, id_col, text_col, source_col, keep=df.columns, **options)
-    return (
-        planned.where(F.col("copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[F.col(c if c in (id_col, source_col) else "_kept_" + c).alias(c) for c in df.columns])
-    )
+    planned = plan_mix(df.withColumnsRenamed({id_col: "_id", source_col: "_of"}), "_id", text_col, "_of", keep=[c for c in df.columns if c not in (id_col, source_col)], **options)
+    others = [c for c in df.columns if c not in (id_col, source_col)]
+    own = {id_col: "_id", source_col: "_of"} | {c: f"_rest.r{k}" for k, c in enumerate(others)}
+    taken = planned.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(own[c]).alias(c) for c in df.columns])
