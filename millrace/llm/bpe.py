@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import BatchEncoder, ChunkStore, ChunkTable, ragged
-from .common import row_slices
+from .common import give_back, row_slices
 
 #: Characters of a piece of text, tokens of a piece of ids, entries of the tables of words and of pairs and prefixes.
 PIECE, DECODED, REMEMBERED_WORDS, REMEMBERED = 1 << 18, 1 << 16, 2_000_000, 200_000
@@ -520,6 +520,8 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], column:
         for batch in row_slices(it, 1024):
             made = make(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=named)
+            del made
+            give_back()
 
     kinds = [*(f.dataType.simpleString() for f in taken.schema.fields[:-1]), *out.values()]
     return taken.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(named, kinds))).toDF(*keep, *out)

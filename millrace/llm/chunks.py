@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks remembered, characters of text that are looked up together, bytes of the longest chunk that is remembered.
-REMEMBERED, BATCH, LONGEST = 3_000_000, 3_000_000, 64
+#: Chunks remembered, characters of text that are looked up together, bytes of the longest chunk that is remembered, and
+#: new chunks that are learnt together.
+REMEMBERED, BATCH, LONGEST, LEARNT = 3_000_000, 2_000_000, 64, 1 << 14
 
 
 def grown(held: np.ndarray, size: int) -> np.ndarray:
@@ -105,11 +106,13 @@ class ChunkStore:
         """The entry of each of the different words; new ones are learnt, and short ones among them remembered."""
         keys, checks, short = table.hashes(words)
         found = np.where(short, table.find(keys, checks), -1)
-        new = np.flatnonzero(found < 0)
-        if len(new):
+        every = np.flatnonzero(found < 0)
+        for first in range(0, len(every), LEARNT):
+            new = every[first : first + LEARNT]
             found[new] = learn(strings(words.take(pa.array(new))))
-            new = new[short[new]]
-            table.add(keys[new], checks[new], found[new])
+        every = every[short[every]]
+        if len(every):
+            table.add(keys[every], checks[every], found[every])
         return found
 
 

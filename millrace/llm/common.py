@@ -19,13 +19,15 @@ POSITION_BITS = 33
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and all is one machine, as in tests, a temporary folder is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -88,6 +90,11 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[p
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand free memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

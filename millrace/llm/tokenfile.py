@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import BatchEncoder
-from .common import cut, row_slices
+from .common import cut, give_back, row_slices
 from .files import readable, written
 
 MAGIC = b"S8BTOK01"
@@ -331,6 +331,8 @@ def write_token_files(
                 [pa.array(file.astype(np.int32)), batch.column(0), pa.array(sizes), made.cast(pa.binary()), inside],
                 names=["file", "id", "n", "words", "escapes"],
             )
+            del found, words, made, offsets
+            give_back()
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
