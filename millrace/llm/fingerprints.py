@@ -1,19 +1,22 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A k-mer is a run of K words. It is an anchor if the smallest of its inner S-mers (runs of S words, compared by hash)
-stands at one of its edges. Whether a k-mer is an anchor depends on its own words alone, so equal passages have equal
-anchors wherever they stand; of any K - S + 1 neighbouring k-mers at least one is an anchor. `anchors` returns all anchors
-of a text with their places, for positional matching.
+A k-mer is a run of K units. It is an anchor if the smallest of its inner S-mers (runs of S units, compared by hash)
+stands at one of its edges. Whether a k-mer is an anchor depends on its own units alone, so equal passages have equal
+anchors wherever they stand; of any K - S + 1 neighbouring k-mers at least one is an anchor. Anchors come with their
+places, for positional matching: `likeness` of packed anchors counts those that stand at the same place, `likeness` of
+sketches those that stand anywhere.
 
-The fingerprint of a document is all its distinct anchor hashes, about half as many as it has words, cut off nowhere, so
-that a short passage shared by long texts counts. Two fingerprints are as alike as their documents' sets of anchors: the
-Dice coefficient 2J / (1 + J) of J, the share of the 32-bit hashes of either that both have.
+The units of a text are its words, what is left between ASCII white space, lower-cased; a word of over LONGEST code points,
+as in scripts without white space, is taken apart into its code points. A text of fewer than K units is taken apart whole
+into code points. A text with units but without a closed k-mer is one anchor, all its units.
 
-Words are what is left between ASCII white space, lower-cased. A text with words but without a closed k-mer (any of fewer
-than K words, and some of up to 2 * K - S - 2) is one anchor, all its words.
+The fingerprint of a document is all its distinct anchor hashes, about half as many as it has units, cut off nowhere, so
+that a short passage shared by long texts counts. Two fingerprints are as alike as the Dice coefficient of the 32-bit hashes
+that they have.
 
 Defined results: a null text is an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an empty
-and another one are not (0).
+and another one are not (0); equal texts have equal fingerprints; a very long text is one array of units; an empty table
+gives an empty table; only the two columns named are read, so that others may have any names.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import cut, with_partition_position
 
 K, S = 5, 2
-#: The most hashes a fingerprint has; None: no bound.
-SKETCH = None
+#: Code points of the longest word that is a unit.
+LONGEST = 16
 _SPACE = r"[\x20\x09-\x0D]+"
+#: The place of an anchor that is all of a text, where anchors are packed.
+WHOLE = (1 << 31) - 1
 
 
 def _let(value: Column, use) -> Column:
@@ -39,13 +44,41 @@ def _run(hashes: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(length)])
 
 
+def _words(lowered: Column) -> Column:
+    return F.filter(F.split(lowered, _SPACE), lambda w: w != "")
+
+
+def _apart(words: Column) -> Column:
+    """Words with the long ones taken apart."""
+    return F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(F.split(w, ""))))
+
+
+def _has_long(lowered: Column) -> Column:
+    return lowered.rlike(rf"[^\x20\x09-\x0D]{{{LONGEST + 1}}}")
+
+
+def _units(text: Column) -> Column:
+    return _let(F.lower(text), lambda t: F.when(_has_long(t), _apart(_words(t))).otherwise(_words(t)))
+
+
+def _hashes(units: Column) -> Column:
+    return F.transform(units, lambda u: F.xxhash64(u))
+
+
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<place, hash>>: place is the number of the anchor's first word, hash a 64-bit hash of its words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: _anchors(hashes, k, s))
+    """array<struct<place, hash>>: place is the number of the anchor's first unit, hash a 64-bit hash of its units."""
+    return _let(_text_hashes(text, k), lambda hashes: _or_whole(hashes, _closed(hashes, k, s), F.lit(0)))
+
+
+def _text_hashes(text: Column, k: int) -> Column:
+    def enough(units: Column) -> Column:
+        return F.when(F.size(units) >= k, units).when(F.size(units) == 0, units).otherwise(F.split(F.array_join(units, " "), ""))
 
+    return _hashes(_let(_units(F.coalesce(text, F.lit(""))), enough))
 
-def _anchors(hashes: Column, k: int, s: int) -> Column:
+
+def _closed(hashes: Column, k: int, s: int) -> Column:
+    """The closed k-mers."""
     n = F.size(hashes)
     inner = F.transform(F.sequence(F.lit(0), n - s), lambda i: _run(hashes, i, s))
     edge = k - s
@@ -56,17 +89,69 @@ def _anchors(hashes: Column, k: int, s: int) -> Column:
         return F.when(closed, F.struct(i.alias("place"), _run(hashes, i, k).alias("hash")))
 
     every = _let(inner, lambda runs: F.transform(F.sequence(F.lit(0), n - k), lambda i: one(runs, i)))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("hash"))), 1, 0)
+    return F.when(n >= k, F.filter(every, lambda a: a.isNotNull())).otherwise(none)
+
+
+def _or_whole(hashes: Column, closed: Column, place: Column) -> Column:
+    """The closed k-mers, or else all units as one anchor, if there are units."""
     whole = F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " "))
-    few = F.array(F.struct(F.lit(0).alias("place"), whole.alias("hash")))
-    none = F.slice(few, 1, 0)
-    closed = F.when(n >= k, F.filter(every, lambda a: a.isNotNull())).otherwise(none)
-    return _let(closed, lambda found: F.when(F.size(found) > 0, found).when(n > 0, few).otherwise(none))
+    few = F.array(F.struct(place.alias("place"), whole.alias("hash")))
+    return _let(closed, lambda found: F.when((F.size(found) == 0) & (F.size(hashes) > 0), few).otherwise(found))
+
+
+def _pack(found: Column, shift: Column | None = None) -> Column:
+    """Anchors as longs: the upper 32 bits of the hash, then the place."""
+    place = (lambda a: a["place"] + shift) if shift is not None else lambda a: a["place"]
+    upper = F.lit(-(1 << 32))
+    return F.transform(found, lambda a: a["hash"].bitwiseAND(upper).bitwiseOR(place(a).cast("bigint")))
+
+
+def packed_anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Anchors of a text as array<long>, one long each, by place."""
+    return _let(_text_hashes(text, k), lambda hashes: _pack(_or_whole(hashes, _closed(hashes, k, s), F.lit(WHOLE))))
+
+
+def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int = S) -> Column:
+    """Packed anchors of the text kept + tail, where own are those of a text that begins with kept.
+
+    All k-mers of whole words of kept are those of that text; only what reaches into the tail is computed.
+    """
+    blank = F.translate(kept, "\t\n\x0b\x0c\r", "     ")
+    broken = F.substring_index(blank, " ", -1)  # the last word, if kept does not end in white space
+
+    def after(words: Column) -> Column:  # the words of kept, the last one of which may be broken
+        full = F.slice(words, F.lit(1), F.size(words) - (broken != "").cast("int"))
+        last = F.slice(full, F.greatest(F.size(full) - (k - 2), F.lit(1)), F.lit(k - 1))
+        count = F.when(_has_long(F.lower(kept)), F.size(_apart(full))).otherwise(F.size(full))
+
+        def joined(m: Column) -> Column:
+            start = F.greatest(m - (k - 1), F.lit(0))
+            near = _let(_apart(last), lambda u: F.slice(u, F.greatest(F.size(u) - (m - start) + 1, F.lit(1)), m - start))
+            hashes = _hashes(F.concat(near, _units(F.concat(broken, tail))))
+            new = _let(hashes, lambda h: F.struct(_pack(_closed(h, k, s), start).alias("new"), F.size(h).alias("n")))
+            same = F.filter(own, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) < start)
+            return _let(new, lambda f: F.when(start + f["n"] >= k, F.concat(same, f["new"])))
+
+        return _let(count, joined)
+
+    found = _let(_let(F.lower(kept), _words), after)
+    return _let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(packed_anchors(F.concat(kept, tail), k, s)))
+
+
+def sketch_of(packed: Column) -> Column:
+    """All distinct anchor hashes, ascending, each its upper 32 bits."""
+    return F.sort_array(F.array_distinct(F.transform(packed, lambda p: F.shiftrightunsigned(p, 32))))
 
 
 def sketch(text: Column, k: int = K, s: int = S) -> Column:
-    """All distinct anchor hashes of a text, ascending, each cut to its upper 32 bits."""
-    hashes = F.transform(anchors(text, k, s), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.sort_array(F.array_distinct(hashes))
+    """The fingerprint of a text."""
+    return sketch_of(packed_anchors(text, k, s))
+
+
+def _small(found: Column) -> Column:
+    """A sketch in half the room: ints, less by 2 ** 31."""
+    return F.transform(found, lambda h: (h - F.lit(1 << 31)).cast("int"))
 
 
 def written_out(found: Column) -> Column:
@@ -75,49 +160,56 @@ def written_out(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How alike two sketches are, 0 to 1."""
+    """How alike two sketches, or two arrays of packed anchors, are, 0 to 1."""
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / total)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(id) to (id, before): for each distinct id the next smaller one; before the first stands the last. Ids are placed
-    by range partitions; only one row per partition is looked at as a table."""
-    one = ids.where("id IS NOT NULL").distinct()
+    """(id, n) to (id, before, before_n): for each distinct id the next smaller one, and the largest n of that one's rows;
+    before the first stands the last. Ids are placed by range partitions; only one row per partition is looked at as a
+    table."""
+    one = ids.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n"))
     placed = cut(with_partition_position(one, F.col("id")))
-    edges = placed.groupBy("pid").agg(F.max("id").alias("last"))
+    edges = placed.groupBy("pid").agg(F.max(F.struct("id", "n")).alias("last"))
     every = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select(
         F.col("pid").alias("_pid"),
         F.coalesce(F.lag("last").over(Window.orderBy("pid")), F.last("last").over(every)).alias("_edge"),
     )
-    within = placed.withColumn("_within", F.lag("id").over(Window.partitionBy("pid").orderBy("pos")))
-    return within.join(edges, F.col("pid") == F.col("_pid")).select("id", F.coalesce("_within", "_edge").alias("before"))
+    within = placed.withColumn("_within", F.lag(F.struct("id", "n")).over(Window.partitionBy("pid").orderBy("pos")))
+    found = F.coalesce("_within", "_edge")
+    return within.join(edges, F.col("pid") == F.col("_pid")).select(
+        "id", found.getField("id").alias("before"), found.getField("n").alias("before_n")
+    )
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, text, sketch, edited, next_sketch) of every row.
+    """(id, n_chars, text, anchors, sketch, edited, edited_anchors, next_sketch) of every row.
 
     edited is the text whose last floor(n_chars / 4) code points are replaced by the first as many of the next document
-    by id (after the last comes the first). A document's text travels twice, for itself and as the next one: that is less
-    than its sketch, so that sketches are made where they are compared.
-    Of rows that share an id the one with the smallest text stands for it as a next document; rows with a null id
-    have no next document, and their edited text just loses its end.
+    by id (after the last comes the first). Of a document as the next one only that beginning and its sketch travel.
+    Of rows that share an id the one with the smallest such beginning, then sketch, stands for it as a next document;
+    rows with a null id have no next document, and their edited text just loses its end.
     """
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    before = neighbours(df.select(F.col(id_col).cast("bigint").alias("id")))
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    before = neighbours(docs.select("id", F.length("text").alias("n")))
+    docs = docs.select("id", "text", packed_anchors(F.col("text")).alias("anchors"))
     held = docs.where("id IS NOT NULL").join(before, "id")
-    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min("text").alias("_next"))
+    part = F.substring(F.col("text"), F.lit(1), (F.col("before_n") / 4).cast("int"))
+    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(F.col("anchors"))))).alias("_sent"))
     n = F.length("text")
-    cut_off = F.expr("substring(text, 1, length(text) - length(text) div 4)")
-    found = held.join(sent, F.col("id") == F.col("_of")).select(
+    kept = F.expr("substring(text, 1, length(text) - length(text) div 4)").alias("_kept")
+    tail = F.substring(F.col("_sent.col1"), F.lit(1), (n / 4).cast("int")).alias("_tail")
+    found = held.join(sent, F.col("id") == F.col("_of")).select("id", "text", "anchors", kept, tail, F.col("_sent.col2").alias("_next"))
+    alone = docs.where("id IS NULL").select("id", "text", "anchors", kept, F.lit("").alias("_tail"), F.lit(None).cast("array<int>").alias("_next"))
+    return found.union(alone).select(
         "id",
         n.alias("n_chars"),
         "text",
-        F.concat(cut_off, F.substring(F.col("_next"), F.lit(1), (n / 4).cast("int"))).alias("edited"),
-        "_next",
+        "anchors",
+        sketch_of(F.col("anchors")).alias("sketch"),
+        F.concat("_kept", "_tail").alias("edited"),
+        edited_anchors(F.col("anchors"), F.col("_kept"), F.col("_tail")).alias("edited_anchors"),
+        F.transform("_next", lambda h: h.cast("bigint") + F.lit(1 << 31)).alias("next_sketch"),
     )
-    alone = docs.where("id IS NULL").select("id", n.alias("n_chars"), "text", cut_off.alias("edited"), F.lit(None).cast("string").alias("_next"))
-    every = found.union(alone)
-    next_sketch = F.when(F.col("_next").isNotNull(), sketch(F.col("_next")))
-    return every.select("id", "n_chars", "text", sketch(F.col("text")).alias("sketch"), "edited", next_sketch.alias("next_sketch"))

@@ -20,39 +20,51 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def brute_anchors(text, k=fp.K, s=fp.S):
+def brute_units(text, k=fp.K):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
-    h = [chain([w]) for w in words]
-    if not h:
-        return []
-    if len(h) < k:
-        return [(0, chain([" ".join(str(signed(x)) for x in h)]))]
+    units = [u for w in words for u in ([w] if len(w) <= fp.LONGEST else w)]
+    return units if len(units) >= k else [*" ".join(units)]
+
+
+def brute_anchors(text, k=fp.K, s=fp.S):
+    h = [chain([u]) for u in brute_units(text, k)]
     out = []
     for i in range(len(h) - k + 1):
         inner = [signed(chain(h[i + j : i + j + s])) for j in range(k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
             out.append((i, chain(h[i : i + k])))
+    if h and not out:
+        return [(0, chain([" ".join(str(signed(x)) for x in h)]))]
     return out
 
 
 def brute_sketch(text):
-    return sorted({h >> 32 for _, h in brute_anchors(text)})[: fp.SKETCH]
+    return sorted({h >> 32 for _, h in brute_anchors(text)})
 
 
 def brute_likeness(a, b):
-    if not a and not b:
-        return 1.0
-    low = sorted({*a, *b})
-    if len(a) == fp.SKETCH or len(b) == fp.SKETCH:
-        low = low[: fp.SKETCH]
-    j = len({*low} & {*a} & {*b}) / len(low)
-    return 2 * j / (1 + j)
+    return 2 * len({*a} & {*b}) / (len({*a}) + len({*b})) if a or b else 1.0
+
+
+def brute_places(text):
+    found = brute_anchors(text)
+    whole = len(found) == 1 and found[0] not in [(i, h) for i, h in found if brute_closed(text)]
+    return {(fp.WHOLE if whole else i, h >> 32) for i, h in found}
+
+
+def brute_closed(text, k=fp.K, s=fp.S):
+    h = [chain([u]) for u in brute_units(text, k)]
+    inner = [[signed(chain(h[i + j : i + j + s])) for j in range(k - s + 1)] for i in range(len(h) - k + 1)]
+    return any(min(x) in (x[0], x[-1]) for x in inner)
 
 
 def made(n=30, seed=3):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["é", "中文", "W1"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 40, 300]))) for _ in range(n)]
+    han = lambda n: "".join(rng.choice("中文字符的一是不了人我在有他这为之大来以个") for _ in range(n))
+    texts += [han(n) for n in (3, 17, 60, 300)] + [f"{han(40)} ab {han(5)}\tC{han(30)} d" * 3, "ΑΣ ΣΑΣ " * 9 + "x" * 40, "ab\n" * 30]
+    texts += ["".join(rng.choice("ab \t") for _ in range(rng.randint(0, 60))) for _ in range(40)]
     return [(i * 3, t) for i, t in enumerate(texts)] + [(1, None), (2, " \n"), (4, "x"), (500, texts[-1])]
 
 
@@ -79,6 +91,7 @@ def test_query_is_brute_force(spark, tmp_path):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.fingerprint == "".join(f"{h:08x}" for h in own)
         assert r.edited_fingerprint == "".join(f"{h:08x}" for h in new)
+        assert abs(r.aligned_edited - brute_likeness(brute_places(text), brute_places(edited))) < 1e-12
         assert abs(r.near_edited - brute_likeness(own, new)) < 1e-12 and abs(r.near_next - brute_likeness(own, other)) < 1e-12
 
 
@@ -105,7 +118,7 @@ def test_repeats_nulls_single_and_empty(spark):
 def test_texts_without_a_closed_kmer_are_one_anchor(spark):
     rng = random.Random(1)
     texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(n)) for n in (5, 6, 7) for _ in range(40)]
-    bare = [t for t in texts if not brute_anchors(t)]
+    bare = [t for t in texts if not brute_closed(t)]
     assert len(bare) > 20 and max(len(t.split()) for t in bare) == 6
     rows = [(i, t) for i, t in enumerate(bare)] + [(1000, ""), (1001, None), (1002, " \n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", fp.sketch(F.col("text")))
@@ -118,6 +131,15 @@ def test_texts_without_a_closed_kmer_are_one_anchor(spark):
     assert {r.l for r in pair.select(fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()} == {0.0}
 
 
+def test_texts_without_white_space(spark):
+    rng = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x5200)]
+    rows = [(i, "".join(rng.choice(han) for _ in range(1200))) for i in range(8)] + [(100, "abcd efgh ijkl"), (101, "mnop qrst uvwx")]
+    found = fp.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.id: (r.e, r.n) for r in found.select("id", fp.likeness(F.col("sketch"), fp.sketch_of(F.col("edited_anchors"))).alias("e"), fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
+    assert all(got[i][0] > (0.6 if i < 100 else 0.2) and got[i][1] < 0.1 for i in got), got
+
+
 def test_a_passage_shared_by_long_texts_counts(spark):
     rng = random.Random(2)
     made_up = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
