@@ -150,9 +150,14 @@ RESULT = "input string, target string, truncated boolean, compacted boolean, cor
 
 
 def make_variants(pairs: DataFrame, s: Settings, key: str = "sample_id", words: Sequence[str] = WORDS) -> DataFrame:
-    """Pairs fanned out to natural (variant_no 0) and augmented rows with what was done to each; failed ones have no input."""
+    """Pairs fanned out to natural (variant_no 0) and augmented rows with what was done to each; failed ones have no input.
 
-    def one(text: str, target: str, key: object, variant: int) -> tuple:
+    A pair without input or target fails; rows that share a key are augmented alike; an empty table gives an empty one.
+    """
+
+    def one(text: str | None, target: str | None, key: object, variant: int) -> tuple:
+        if text is None or target is None:
+            return None, None, False, False, False
         rng = row_random(s.seed, f"{key}/{variant}", "augment")
         if variant:
             made = augment_one(text, rng, s.special, s.dict_pct, s.drop_memory_pct, words)

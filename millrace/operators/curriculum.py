@@ -62,6 +62,39 @@ def loss_change(log: DataFrame, run: str, every: int = 2, epoch: str = "epoch",
     return log.withColumn("previous", F.lag(loss, every).over(Window.partitionBy(run).orderBy(epoch)))
 
 
+def schedule(
+    log: DataFrame, run: str, base: float, threshold: float, patience: int, last: int, lr_patience: int, factor: float = 0.5,
+    least: float = 1e-6, epoch: str = "epoch", rate: str = "rate", error: str = "error",
+) -> DataFrame:
+    """(run, epoch) with the stage and the learning rate after each epoch, both together: the rate falls on plateaus as in
+    `plateau`, stages rise as in `advance`, and a new stage starts over with half the base rate and nothing to beat."""
+
+    def step(acc: Column, x: Column) -> Column:
+        better = x["error"] < acc["best"] * (1 - 1e-4)
+        idle = F.when(better, 0).otherwise(acc["idle"] + 1)
+        fall = idle > lr_patience
+        slower = F.when(fall, F.greatest(acc["lr"] * factor, F.lit(least))).otherwise(acc["lr"])
+        good = F.when((x["rate"] >= threshold) & (acc["stage"] < last), acc["streak"] + 1).otherwise(F.lit(0))
+        up = good >= patience
+        stage = acc["stage"] + up.cast("int")
+        lr = F.when(up, F.lit(base / 2)).otherwise(slower)
+        best = F.when(up, F.lit(float("inf"))).when(better, x["error"]).otherwise(acc["best"])
+        row = F.struct(x["epoch"].alias("epoch"), stage.alias("stage"), lr.alias("lr"))
+        return F.struct(
+            best.alias("best"), F.when(fall | up, 0).otherwise(idle).alias("idle"), lr.alias("lr"), stage.alias("stage"),
+            F.when(up, 0).otherwise(good).alias("streak"), F.concat(acc["rows"], F.array(row)).alias("rows"),
+        )
+
+    entry = F.struct(F.col(epoch).cast("bigint").alias("epoch"), F.col(rate).cast("double").alias("rate"), F.col(error).cast("double").alias("error"))
+    none = F.expr("cast(array() as array<struct<epoch:bigint,stage:int,lr:double>>)")
+    start = F.struct(
+        F.lit(float("inf")).alias("best"), F.lit(0).alias("idle"), F.lit(float(base)).alias("lr"), F.lit(1).alias("stage"),
+        F.lit(0).alias("streak"), none.alias("rows"),
+    )
+    folded = log.groupBy(run).agg(F.array_sort(F.collect_list(entry)).alias("_log")).withColumn("_end", F.aggregate("_log", start, step))
+    return folded.select(run, F.explode("_end.rows").alias("r")).select(run, "r.*")
+
+
 def plateau(log: DataFrame, run: str, base: float, patience: int, factor: float = 0.5, least: float = 1e-6, epoch: str = "epoch", error: str = "error") -> DataFrame:
     """Learning rate after each epoch: multiplied by factor after more than `patience` epochs without a lower error."""
 

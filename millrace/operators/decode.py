@@ -75,7 +75,7 @@ def beam(step: Step, source: Sequence[int], max_len: int, width: int = 3, alpha:
 
 
 def decode(df: DataFrame, make_step: Callable[[], Step], max_len: int, width: int = 1, alpha: float = 0.6, over_all: bool = False, column: str = "src_ids") -> DataFrame:
-    """df with `decoded`, array<int>; at most min(max_len, 2 * source) tokens."""
+    """df with `decoded`, array<int>; at most min(max_len, 2 * source) tokens; null for a null source."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded array<int>"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,6 +83,9 @@ def decode(df: DataFrame, make_step: Callable[[], Step], max_len: int, width: in
         for batch in it:
             found = []
             for source in batch[column]:
+                if source is None:
+                    found.append(None)
+                    continue
                 ids = [int(x) for x in source]
                 most = min(max_len, 2 * len(ids))
                 found.append(greedy(step, ids, most) if width <= 1 else beam(step, ids, most, width, alpha, over_all))

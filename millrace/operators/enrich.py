@@ -67,7 +67,7 @@ def enrich(pairs: DataFrame, pct: float = 25.0, seed: int = 42, key: str = "samp
     """Pairs with enriched tool calls, and whether a row is a tool call and was enriched; others pass as they are."""
     name = F.expr("try_variant_get(try_parse_json(input), '$.tool.tool_name', 'string')")
     chosen = choose(pairs.withColumn("tool_name", name), pct, seed, key)
-    made = chosen.withColumn("_made", F.when(F.col("extra_json").isNotNull(), _merge("input", "extra_json")))
+    made = chosen.withColumn("_made", _merge(F.when(F.col("extra_json").isNotNull(), F.col("input")), F.col("extra_json")))
     return made.select(
         key,
         F.coalesce("_made.input", "input").alias("input"),

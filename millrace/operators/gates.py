@@ -20,6 +20,8 @@ WRAPPED = "reason string, input string, target string"
 
 def wrap_one(text: str | None) -> tuple[str | None, str | None, str | None]:
     """(reason, input, target) of a line that should be an agent's answer as JSON; reason is None if it is accepted."""
+    if text is None:
+        return "invalid_json", None, None
     try:
         value = jsontext.parse(text)
     except ValueError:
@@ -49,8 +51,8 @@ def wrap_gate(text: pd.Series) -> pd.DataFrame:
 
 
 def wrap(lines: DataFrame, column: str = "raw") -> DataFrame:
-    """Lines with reason, input and target; blank lines are not records and go."""
-    some = lines.where(F.trim(F.regexp_replace(column, r"\s+", " ")) != "")
+    """Lines with reason, input and target; blank lines are not records and go, a null line is invalid JSON."""
+    some = lines.where(F.col(column).isNull() | (F.trim(F.regexp_replace(column, r"\s+", " ")) != ""))
     gated = some.withColumn("_gate", wrap_gate(F.trim(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))))
     return gated.select(*lines.columns, "_gate.reason", "_gate.input", "_gate.target")
 

@@ -27,7 +27,9 @@ def word_edits(predicted: Sequence[str], expected: Sequence[str]) -> int:
 
 @F.pandas_udf(T.LongType())
 def word_edits_udf(predicted: pd.Series, expected: pd.Series) -> pd.Series:
-    return pd.Series([word_edits(p.split(), e.split()) for p, e in zip(predicted, expected)])
+    """Null where either is null."""
+    pairs = zip(predicted, expected)
+    return pd.Series([None if p is None or e is None else word_edits(p.split(), e.split()) for p, e in pairs], dtype="Int64")
 
 
 def tier(exact: Column, semantic: Column, xml_ok: Column) -> Column:
@@ -37,14 +39,16 @@ def tier(exact: Column, semantic: Column, xml_ok: Column) -> Column:
 def score(predictions: DataFrame) -> DataFrame:
     """(sample_id, expected, predicted) with exact, semantic, xml_ok, char_edits, word_edits, their lengths and tier.
 
-    Texts are compared with white space collapsed; distances are only computed where they differ.
+    Texts are compared with white space collapsed; distances are only computed where they differ. A null text counts as
+    an empty one, which is no document; equal rows are scored each; an empty table gives an empty table.
     """
-    norm = predictions.withColumn("_p", fn.normalise_space("predicted")).withColumn("_e", fn.normalise_space("expected"))
+    filled = predictions.withColumns({c: F.coalesce(c, F.lit("")) for c in ("predicted", "expected")})
+    norm = filled.withColumn("_p", fn.normalise_space("predicted")).withColumn("_e", fn.normalise_space("expected"))
     exact = F.col("_p") == F.col("_e")
     scored = norm.withColumn("exact", exact).withColumn("xml_ok", fn.xml_document("predicted"))
     scored = scored.withColumn("semantic", F.col("exact") | fn.xml_same_meaning("predicted", "expected"))
     scored = scored.withColumn("char_edits", F.when(F.col("exact"), 0).otherwise(F.levenshtein("_p", "_e")))
-    scored = scored.withColumn("word_edits", F.when(F.col("exact"), F.lit(0)).otherwise(word_edits_udf("_p", "_e")))
+    scored = scored.withColumn("word_edits", F.coalesce(word_edits_udf(F.when(~F.col("exact"), F.col("_p")), F.when(~F.col("exact"), F.col("_e"))), F.lit(0)))
     return scored.withColumn("ref_chars", F.length("_e")).withColumn("tier", tier(F.col("exact"), F.col("semantic"), F.col("xml_ok"))).drop("_p", "_e")
 
 
@@ -94,6 +98,13 @@ def index_percentiles(df: DataFrame, column: str, shares: Sequence[float] = (0.5
     )
 
 
+def running_max(df: DataFrame, group: Sequence[str], order: str, column: str, name: str = "running_max") -> DataFrame:
+    """df with the largest value so far within the group, as for peak memory over steps; nulls do not count. A group is
+    one run's log."""
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.max(column).over(upto))
+
+
 def weighted_loss(tokens: DataFrame, group: Sequence[str], content_weight: float, structural_max: int = 15) -> DataFrame:
     """(label, loss) to sum(loss * weight) / max(sum(weight), 1); label -100 does not count, structural ones weigh 1."""
     w = F.when(F.col("label") == -100, 0.0).when(F.col("label") <= structural_max, 1.0).otherwise(F.lit(float(content_weight)))

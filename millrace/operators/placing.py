@@ -15,6 +15,8 @@ def materialised(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
         folder = sc.getCheckpointDir()
     path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
@@ -26,9 +28,11 @@ def with_place(df: DataFrame, order: Sequence[Column], name: str = "place") -> D
     """df with the 0-based place of each row in the order.
 
     Rows are dealt to range partitions and sorted there; a place is the place inside the partition plus the rows of the
-    partitions before, of which one count each is summed up.
+    partitions before, of which one count each is summed up. Rows that are equal in the order stand as in the input, so
+    that any number of them spreads over partitions.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [*order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = materialised(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", place))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,8 @@ from ..functions.rng import u01
 
 #: Lower bounds in bytes of the length strata after the first.
 STRATA = (1500, 2500, 3500, 4500)
+#: Rows of a bucket of hashes, and the most buckets, whose counts are broadcast.
+BUCKET, MOST_BUCKETS = 10_000, 1 << 16
 
 
 def length_range(df: DataFrame, column: str = "input", least: int = 0, most: int = 4769) -> DataFrame:
@@ -32,12 +34,13 @@ def stratum(n: Column, bounds: Sequence[int] = STRATA) -> Column:
     return found
 
 
-def _count_below(df: DataFrame, per: DataFrame, group: list[str], key: str, seed: int, draw: str, buckets: int = 256) -> DataFrame:
+def _count_below(df: DataFrame, per: DataFrame, group: list[str], key: str, seed: int, draw: str) -> DataFrame:
     """Rows whose rank by hash within the group is at most the group's `_take`, without ranking whole groups in one task.
 
-    The hash is cut into buckets; counts per bucket say in which bucket the last row taken lies, and only rows of that
-    bucket are ranked.
+    The hash is cut into buckets of about BUCKET rows; counts per bucket say in which bucket the last row taken lies, and
+    only rows of that bucket are ranked.
     """
+    buckets = min(MOST_BUCKETS, max(256, df.count() // BUCKET))
     u = u01(seed, key, draw)
     hashed = df.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
     counts = hashed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -161,10 +161,15 @@ class Model:
         return run
 
 
-def corpus_lines(train: DataFrame, val: DataFrame, most: int = 200_000, order: str = "sample_id") -> DataFrame:
-    """Input and target of each record as lines of their own, train before val, of the first `most` records in order."""
+def corpus_lines(train: DataFrame, val: DataFrame, most: int | None = 200_000, order: str = "sample_id") -> DataFrame:
+    """Input and target of each record as lines of their own, of the first `most` records in order, train before val;
+    None: of all records. Places come from range partitions, so that no task sorts the records that are kept."""
     both = train.select(F.lit(0).alias("_s"), order, "input", "target").union(val.select(F.lit(1).alias("_s"), order, "input", "target"))
-    return both.orderBy("_s", order).limit(most).select(F.explode(F.array("input", "target")).alias("value"))
+    if most is not None:
+        from .placing import with_place
+
+        both = with_place(both, [F.col("_s"), F.col(order)], "_place").where(F.col("_place") < most)
+    return both.select(F.explode(F.array("input", "target")).alias("value"))
 
 
 def train_bpe(lines: DataFrame, vocab: int, column: str = "value", symbols: Sequence[str] = SYMBOLS) -> Model:

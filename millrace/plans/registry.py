@@ -144,18 +144,29 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.array_sort(F.map_keys(m)).alias("keys"))
 
 
-@query("p09_xml_well_formed", "SELECT doc_id, true AS whole, false AS cut FROM documents")
+#: Six texts made of the XML of a document, chosen by its text: as it is, cut, with a comment, with a bare sign, twice,
+#: and with an element that is closed by another name.
+VARIANT = "('0x' || substr(md5(text), 1, 4))::BIGINT % 6"
+
+
+def xml_variants(docs: DataFrame) -> DataFrame:
+    rows = spread(docs).select("doc_id", "text", fn.json_to_xml(F.to_json(F.struct("text"))).alias("x"))
+    made = F.array(
+        F.col("x"), F.expr("substring(x, 1, length(x) - 4)"), F.concat("x", F.lit("<!-- end -->")), F.concat(F.lit("<a>&</a>"), F.col("x")),
+        F.concat("x", "x"), F.replace("x", F.lit("</object>"), F.lit("</objekt>")),
+    )
+    which = F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("int") % 6
+    return rows.select("doc_id", F.get(made, which).alias("x"))
+
+
+@query("p09_xml_well_formed", f"SELECT doc_id, {VARIANT} IN (0, 2, 4) AS ok FROM documents")
 def p09(spark: SparkSession, d: str) -> DataFrame:
-    xml = fn.json_to_xml(F.to_json(F.struct("text")))
-    return spread(table(spark, d, "documents")).select("doc_id", xml.alias("x")).select(
-        "doc_id", fn.xml_well_formed("x").alias("whole"), fn.xml_well_formed(F.expr("substring(x, 1, length(x) - 4)")).alias("cut")
-    )
+    return xml_variants(table(spark, d, "documents")).select("doc_id", fn.xml_well_formed("x").alias("ok"))
 
 
-@query("p10_xml_document", "SELECT doc_id, true AS one, false AS two FROM documents")
+@query("p10_xml_document", f"SELECT doc_id, {VARIANT} IN (0, 2) AS ok FROM documents")
 def p10(spark: SparkSession, d: str) -> DataFrame:
-    xml = fn.json_to_xml(F.to_json(F.struct("text")))
-    return spread(table(spark, d, "documents")).select("doc_id", xml.alias("x")).select("doc_id", fn.xml_document("x").alias("one"), fn.xml_document(F.concat("x", "x")).alias("two"))
+    return xml_variants(table(spark, d, "documents")).select("doc_id", fn.xml_document("x").alias("ok"))
 
 
 @query("p11_xml_root_prefix", "SELECT page_id, regexp_matches(ltrim(html), '^<(object|array)>') AS root FROM pages")
@@ -172,12 +183,14 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p16_same_structure",
-    "SELECT doc_id, [t IN ('<object>', '</object>') FOR t IN ['<object>']] = [true] AS same, false AS less FROM documents",
+    "SELECT doc_id, length(text) % 4 = 0 AS same FROM documents",
 )
 def p16(spark: SparkSession, d: str) -> DataFrame:
     x = F.concat(F.lit("<object><entry><key>a</key><value>"), F.regexp_replace("text", "[<>]", ""), F.lit("</value></entry></object>"))
-    bare = F.lit("<object><entry><key>a</key><value></value></entry></object>")
-    return table(spark, d, "documents").select("doc_id", fn.same_structure(x, bare).alias("same"), fn.same_structure(x, F.lit("<object></object>")).alias("less"))
+    entry = "<entry><key>a</key><value></value></entry>"
+    others = [f"<object>{entry}</object>", "<object></object>", f"<object>{entry}{entry}</object>", f"<array>{entry}</array>"]
+    other = F.get(F.array(*map(F.lit, others)), F.length("text") % 4)
+    return table(spark, d, "documents").select("doc_id", fn.same_structure(x, other).alias("same"))
 
 
 @query("f07_flatten_xml", "SELECT event_id, 10 AS n, props->>'$.k' AS v FROM events")
@@ -294,7 +307,12 @@ def f31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", fn.capitalise("p_name").alias("name"))
 
 
-@query("f21_token_noise")
+def _noisy(i: int, column: str) -> str:
+    u = [u01_sql(1, "(l_orderkey || '-' || l_linenumber)", f"{draw}{i}") for draw in "nv"]
+    return f"CASE WHEN {column} > 15 AND {u[0]} < 0.3 THEN 16 + floor({u[1]} * 7984) ELSE {column} END::INTEGER"
+
+
+@query("f21_token_noise", f"SELECT l_orderkey, l_linenumber, [l_partkey::INTEGER, {_noisy(1, 'l_suppkey')}, {_noisy(2, 'l_orderkey')}] AS ids FROM lineitem")
 def f21(spark: SparkSession, d: str) -> DataFrame:
     ids = F.array(*[F.col(c).cast("int") for c in ("l_partkey", "l_suppkey", "l_orderkey")])
     rows = table(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
@@ -546,11 +564,13 @@ def a05(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a06_error_rates",
-    """SELECT round(sum(e)::DOUBLE / greatest(sum(n), 1), 12) AS cer, count(*) AS n FROM (SELECT levenshtein(p_name, p_type) AS e, length(p_type) AS n FROM part)""",
+    """SELECT round(sum(e)::DOUBLE / greatest(sum(n), 1), 12) AS cer, round(sum(p_size)::DOUBLE / greatest(sum(n), 1), 12) AS wer,
+       round(count(*) FILTER (p_size % 7 = 0) / greatest(count(*), 1), 12) AS exact_rate, count(*) AS n
+       FROM (SELECT levenshtein(p_name, p_type) AS e, length(p_type) AS n, p_size FROM part)""",
 )
 def a06(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.levenshtein("p_name", "p_type").alias("char_edits"), F.lit(0).alias("word_edits"), F.length("p_type").alias("ref_chars"), F.lit(False).alias("exact"))
-    return metrics.error_rates(rows).select(F.round("cer", 12).alias("cer"), "n")
+    rows = table(spark, d, "part").select(F.levenshtein("p_name", "p_type").alias("char_edits"), F.col("p_size").alias("word_edits"), F.length("p_type").alias("ref_chars"), (F.col("p_size") % 7 == 0).alias("exact"))
+    return metrics.error_rates(rows).select(*[F.round(c, 12).alias(c) for c in ("cer", "wer", "exact_rate")], "n")
 
 
 @query("a07_token_mean_loss", "SELECT round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean_loss FROM lineitem")
@@ -580,10 +600,18 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
     return metrics.length_report(rows).select("bucket", "n", "ok", *[F.round(c, 6).alias(c) for c in ("avg_src", "avg_tgt", "avg_time")])
 
 
-@query("a10_fault_kinds", "SELECT 'other' AS kind, count(*) AS n FROM documents")
+@query(
+    "a10_fault_kinds",
+    """SELECT ['other', 'truncated', 'unclosed_tag', 'unclosed_cdata'][k + 1] AS kind, count(*) AS n
+       FROM (SELECT CASE WHEN length(text) % 5 = 4 THEN NULL ELSE length(text) % 5 END AS k FROM documents) GROUP BY 1""",
+)
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.replace(fn.json_to_xml(F.to_json(F.struct("text"))), F.lit("</object>"), F.lit(""))
-    return spread(table(spark, d, "documents")).select(fn.xml_fault_kind(cut, F.lit(7)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    docs = spread(table(spark, d, "documents")).select(F.length("text").alias("n"), fn.json_to_xml(F.to_json(F.struct("text"))).alias("x"))
+    cut = F.replace("x", F.lit("</object>"), F.lit(""))
+    wrong = F.replace("x", F.lit("</value>"), F.lit("</object>"))
+    broken = F.get(F.array(cut, cut, wrong, F.substring_index("x", "]]>", 1), F.col("x")), F.col("n") % 5)
+    tokens_of = F.when(F.col("n") % 5 == 1, 4090).otherwise(F.lit(7))
+    return docs.select(fn.xml_fault_kind(broken, tokens_of).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -648,7 +676,18 @@ def run_log(orders: DataFrame) -> DataFrame:
 RUN_LOG = "(SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS epoch, round((o_orderkey * 7919 % 100) / 100.0, 2) AS rate, o_totalprice AS val_loss FROM orders)"
 
 
-@query("w04_stage_advance")
+_GOOD = "CASE WHEN l.rate >= 0.5 AND f.stage_after < 4 THEN f.streak + 1 ELSE 0 END"
+
+
+@query(
+    "w04_stage_advance",
+    f"""WITH RECURSIVE log AS MATERIALIZED (SELECT run, epoch::BIGINT AS epoch, rate::DOUBLE AS rate FROM {RUN_LOG}), f AS (
+          SELECT run, 0::BIGINT AS epoch, 0::DOUBLE AS rate, 1 AS stage, 1 AS stage_after, 0 AS streak FROM log WHERE epoch = 1
+          UNION ALL
+          SELECT l.run, l.epoch, l.rate, f.stage_after, f.stage_after + ({_GOOD} >= 2)::INTEGER, CASE WHEN {_GOOD} >= 2 THEN 0 ELSE {_GOOD} END
+          FROM f JOIN log l ON l.run = f.run AND l.epoch = f.epoch + 1)
+        SELECT run, epoch, rate, stage, stage_after FROM f WHERE epoch > 0""",
+)
 def w04(spark: SparkSession, d: str) -> DataFrame:
     return curriculum.advance(run_log(table(spark, d, "orders")), "run", 0.5, 2, 4)
 
@@ -667,12 +706,50 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return curriculum.loss_change(run_log(table(spark, d, "orders")), "run").select("run", "epoch", "val_loss", "previous")
 
 
-@query("w06_plateau")
+_BETTER = "(1 - l.rate < f.best * (1 - 1e-4::DOUBLE))"
+
+
+@query(
+    "w06_plateau",
+    f"""WITH RECURSIVE log AS MATERIALIZED (SELECT run, epoch::BIGINT AS epoch, rate::DOUBLE AS rate FROM {RUN_LOG}), f AS (
+          SELECT run, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS idle, 1e-3::DOUBLE AS lr FROM log WHERE epoch = 1
+          UNION ALL
+          SELECT l.run, l.epoch, CASE WHEN {_BETTER} THEN 1 - l.rate ELSE f.best END,
+            CASE WHEN {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
+            CASE WHEN NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END
+          FROM f JOIN log l ON l.run = f.run AND l.epoch = f.epoch + 1)
+        SELECT run, epoch, lr FROM f WHERE epoch > 0""",
+)
 def w06(spark: SparkSession, d: str) -> DataFrame:
     log = run_log(table(spark, d, "orders")).withColumn("error", 1 - F.col("rate"))
     return curriculum.plateau(log, "run", 1e-3, 1)
 
 
+_UP = f"({_GOOD.replace('stage_after', 'stage')} >= 2)"
+
+
+@query(
+    "w06_schedule",
+    f"""WITH RECURSIVE log AS MATERIALIZED (SELECT run, epoch::BIGINT AS epoch, rate::DOUBLE AS rate FROM {RUN_LOG}), f AS (
+          SELECT run, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS idle, 1e-3::DOUBLE AS lr, 1 AS stage, 0 AS streak FROM log WHERE epoch = 1
+          UNION ALL
+          SELECT l.run, l.epoch, CASE WHEN {_UP} THEN 'inf'::DOUBLE WHEN {_BETTER} THEN 1 - l.rate ELSE f.best END,
+            CASE WHEN {_UP} OR {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
+            CASE WHEN {_UP} THEN 5e-4::DOUBLE WHEN NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END,
+            f.stage + {_UP}::INTEGER, CASE WHEN {_UP} THEN 0 ELSE {_GOOD.replace('stage_after', 'stage')} END
+          FROM f JOIN log l ON l.run = f.run AND l.epoch = f.epoch + 1)
+        SELECT run, epoch, stage, lr FROM f WHERE epoch > 0""",
+)
+def w06_schedule(spark: SparkSession, d: str) -> DataFrame:
+    log = run_log(table(spark, d, "orders")).withColumn("error", 1 - F.col("rate"))
+    return curriculum.schedule(log, "run", 1e-3, 0.5, 2, 4, 1)
+
+
+@query("a12_running_max", f"SELECT run, epoch, max(val_loss) OVER (PARTITION BY run ORDER BY epoch) AS running_max FROM {RUN_LOG}")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.running_max(run_log(table(spark, d, "orders")), ["run"], "epoch", "val_loss").select("run", "epoch", "running_max")
+
+
 @query("j05_stage_parameters", "SELECT doc_id, (doc_id % 4 + 1)::INTEGER AS stage, [0.0, 0.15, 0.25, 0.35][doc_id % 4 + 1]::DOUBLE AS special_prob, [50, 500, 5000, -1][doc_id % 4 + 1] AS val_max_batches FROM documents")
 def j05(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4 + 1).cast("int").alias("stage"))
@@ -714,7 +791,7 @@ def u03(spark: SparkSession, d: str) -> DataFrame:
 @query("s08_corpus_lines", "SELECT text AS value FROM documents UNION ALL SELECT source FROM documents")
 def s08(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("input"), F.col("source").alias("target"))
-    return tokens.corpus_lines(docs, docs.where(F.lit(False)), 1 << 30)
+    return tokens.corpus_lines(docs, docs.where(F.lit(False)), None)
 
 
 @query("k01_pair_lines", """SELECT '{"input":"' || p_name || '","target":"' || p_brand || ' \\u003c\\u0026\\u003e"}' AS value FROM part""")
@@ -806,6 +883,11 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
     return generate.collage(spark)
 
 
-@query("g19_prompts")
+@query(
+    "g19_prompts",
+    f"""SELECT doc_id AS sample_id, kind, memory, 'Write one JSON object with thought and ' || kind || '; memory is ' || memory || '. Use some of these words: '
+          || array_to_string([pool[floor({u01_sql(42, "doc_id", "p' || i || '")} * len(pool))::INTEGER + 1] FOR i IN range(1, 51)], ', ') || '.' AS prompt
+        FROM (SELECT doc_id, {[w for w in augment.WORDS]} AS pool, {[k for k, _ in generate.MODES]}[doc_id % 9 + 1] AS kind, {[m for _, m in generate.MODES]}[doc_id % 9 + 1] AS memory FROM documents)""",
+)
 def g19(spark: SparkSession, d: str) -> DataFrame:
     return generate.prompts(table(spark, d, "documents").select(F.col("doc_id").alias("sample_id")), list(augment.WORDS))

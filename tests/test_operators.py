@@ -304,3 +304,33 @@ def test_array_functions(spark):
     assert abs(row.b - 0.5) < 1e-9 and row.z == 0.0
     noise = spark.range(50).select(F.array(*map(F.lit, [1, 20, 30, 0])).alias("ids"), "id").select(fn.token_noise("ids", "id", 0.5, 100).alias("n")).collect()
     assert all(r.n[0] == 1 and r.n[3] == 0 and all(15 < t < 100 for t in r.n[1:3]) for r in noise) and len({tuple(r.n) for r in noise}) > 10
+
+
+def test_nulls_have_a_result(spark):
+    from millrace.operators import augment, decode, gates, metrics
+
+    scored = metrics.score(spark.createDataFrame([(1, None, "<a/>"), (2, "<a/>", None), (3, None, None), (4, "a b", "a c")], "sample_id int, expected string, predicted string"))
+    got = {r.sample_id: (r.exact, r.xml_ok, r.char_edits, r.word_edits, r.tier) for r in scored.collect()}
+    assert got[1] == (False, True, 4, 4, "XML_OK") and got[3][0] and got[4][2:4] == (1, 1) and got[2][3] == 4
+    rows = spark.createDataFrame([(1, None), (2, [5, 6, 7])], "id int, src_ids array<int>")
+    assert {r.id: r.decoded for r in decode.decode(rows, decode.copy_step(20), 10).collect()} == {1: None, 2: [5, 6, 7]}
+    pairs = spark.createDataFrame([(1, None, "x"), (2, '{"thought":"t"}', None)], "sample_id int, input string, target string")
+    made = augment.make_variants(pairs, augment.Settings(variants=2)).collect()
+    assert len(made) == 6 and all(r.input is None for r in made)
+    gated = gates.wrap(spark.createDataFrame([(1, None), (2, "  "), (3, "{")], "id int, raw string"))
+    assert sorted((r.id, r.reason) for r in gated.collect()) == [(1, "invalid_json"), (3, "invalid_json")]
+
+
+def test_places_of_equal_rows_and_many_buckets(spark, monkeypatch):
+    from millrace.operators import sampling, tokens
+    from millrace.operators.placing import with_place
+
+    rows = spark.range(1000).select(F.col("id").alias("sample_id"), F.lit(1).alias("k")).repartition(5)
+    assert sorted(r.place for r in with_place(rows, [F.col("k")]).collect()) == list(range(1000))
+    want = {r.sample_id for r in sampling.random_sample(rows, 37.0).collect()}
+    monkeypatch.setattr(sampling, "BUCKET", 2)
+    assert {r.sample_id for r in sampling.random_sample(rows, 37.0).collect()} == want and len(want) == 370
+    pairs = spark.createDataFrame([(k, f"i{k}", f"t{k}") for k in range(30)], "sample_id long, input string, target string")
+    first = tokens.corpus_lines(pairs.where("sample_id >= 10"), pairs.where("sample_id < 10"), 22)
+    assert {r.value for r in first.collect()} == {f"{c}{k}" for k in [*range(10, 30), 0, 1] for c in "it"}
+    assert tokens.corpus_lines(pairs, pairs, None).count() == 120

@@ -55,3 +55,26 @@ def test_windowed_counts(spark, tmp_path):
     q = streams.windowed_counts(stream).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from counted").first()[0] == 100
+
+
+def test_heads_orders_dictionaries_and_counts(spark, tmp_path):
+    for name, text in (("b.jsonl", "3\n4\n"), ("a.jsonl", "1\n\n2\n"), ("c.jsonl", "5\n")):
+        (tmp_path / name).write_text(text)
+    got = jsonl.read_head(spark, str(tmp_path), 4).orderBy("line_no").collect()
+    assert [tuple(r) for r in got] == [(1, "1"), (2, ""), (3, "2"), (4, "3")]
+    assert jsonl.line_count(spark, str(tmp_path)).first().n == 6
+    assert jsonl.newest(spark, str(tmp_path)).endswith("c.jsonl") and jsonl.newest(spark, str(tmp_path), "*.none") is None
+    lines = spark.createDataFrame([("b",), (None,), ("B",), ("é",)], "value string")
+    assert [r.value for r in jsonl.sorted_lines(lines).collect()] == [None, "B", "b", "é"]
+    words = tmp_path / "words"
+    words.write_text("ab\nDon't\n Apple \n")
+    assert [r.word for r in jsonl.read_dictionary(spark, str(words), ["x"]).collect()] == ["apple"]
+    words.write_text("ab\n")
+    assert [r.word for r in jsonl.read_dictionary(spark, str(words), ["pool"]).collect()] == ["pool"]
+    assert [r.word for r in jsonl.read_dictionary(spark, str(tmp_path / "none"), ["pool"]).collect()] == ["pool"]
+    with pytest.raises(ValueError):
+        jsonl.read_pairs(spark, str(tmp_path), required=True)
+    log = spark.createDataFrame([(1, 0.5), (2, 0.4)], "epoch int, loss double")
+    for _ in range(2):
+        jsonl.write_log(log, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
