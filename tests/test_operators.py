@@ -334,3 +334,19 @@ def test_places_of_equal_rows_and_many_buckets(spark, monkeypatch):
     first = tokens.corpus_lines(pairs.where("sample_id >= 10"), pairs.where("sample_id < 10"), 22)
     assert {r.value for r in first.collect()} == {f"{c}{k}" for k in [*range(10, 30), 0, 1] for c in "it"}
     assert tokens.corpus_lines(pairs, pairs, None).count() == 120
+
+
+def test_wording_is_seeded_and_varied():
+    simple = [
+        wording.sentence, wording.intro, wording.list_item, wording.table_cell, wording.json_body, wording.key, wording.function_name, wording.snake_function_name,
+        wording.variable_name, wording.column_name, wording.integer, wording.decimal, wording.port, wording.string_literal, wording.sql_value,
+        wording.augmented_thought, wording.augmented_header, wording.augmented_item, wording.augmented_cell,
+    ]
+    for f in simple:
+        some = [f(random.Random(k)) for k in range(60)]
+        assert some == [f(random.Random(k)) for k in range(60)] and len(set(some)) > 7 and all(some)
+    for f, low, high in ((wording.memory, 4, 6), (wording.augmented_memory, 4, 6), (wording.table_header, 3, 5)):
+        assert all(low <= len(f(random.Random(k))) <= high for k in range(60))
+    assert len(wording.SENTENCES) == 25 and len(wording.MEMORIES) == 18
+    assert all(json.loads(wording.json_body(random.Random(k))) for k in range(60))
+    assert all(json.loads(wording.string_literal(random.Random(k))) for k in range(60))
