@@ -13,7 +13,8 @@ Pages are reduced to hosts and pairs of hosts before anything is joined; a host
 that read them.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule and is allowed; a null page is
-one without links; repeated rows count as often as they occur; an empty table gives an empty table.
+one without links, a very long one is searched whole; repeated rows count as often as they occur; only the three columns
+named are read, so that others may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?:href|HREF)\s*=\s*["']([^"'>]*)"""
+#: The value of an href attribute in any case, quoted or not, up to white space.
+HREF = r"""(?i)[\t\n\f\r "'/]href[\t\n\f\r ]*=[\t\n\f\r ]*["']?[\t\n\f\r ]*([^"'>\t\n\f\r ]*)"""
 #: Action, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 

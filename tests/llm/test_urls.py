@@ -61,7 +61,7 @@ def made():
         html = ""
         for _ in range(rng.randint(0, 3)):
             other = rng.choice(names[:30])
-            html += rng.choice([f'<a href="https://{other}/x">', f"<a HREF = '//{other}?y'>"]) + '<a href="/local">'
+            html += rng.choice([f'<a href="https://{other}/x">', f"<a HREF = '//{other}?y'>", f"<a class=b Href=https://{other} id=c>", f'<a data-href="https://no.where/x" href=" //{other}">']) + '<a href="/local">'
             if other != name:
                 links.append((name, other))
         rows.append((i, url, html))
