@@ -11,7 +11,8 @@ is in a field of its own, since a revisit does not hold the payload.
 
 Defined results: a null payload is an empty one; a null URL gives a record without target; control characters in a URL
 are percent-encoded; a null page id is empty in the record's id, never the response of a group that has another id;
-repeated rows with the largest id are all responses; an empty table gives no files.
+repeated rows with the largest id are all responses; a very long payload is one record, which a task holds whole; an empty
+table gives no files.
 """
 
 from __future__ import annotations
@@ -132,18 +133,24 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 
 def with_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """df with refers_to: the largest id of the rows with an equal payload, null for that row itself and single ones."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    keyed = df.withColumn("_key", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
+    """df with refers_to: the largest id of the rows with an equal payload, null for that row itself and single ones.
+
+    Columns may have any names; one called refers_to is replaced.
+    """
+    names = df.columns
+    own_id, own_payload = (F.col(f"c{names.index(c)}") for c in (id_col, payload_col))
+    payload = F.coalesce(own_payload.cast("binary"), F.lit(b""))
+    keyed = df.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("_key", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
     groups = cut(
         keyed.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_of"))
-        .agg(F.max(id_col).cast("bigint").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.max(own_id).cast("bigint").alias("_last"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1 AND _last IS NOT NULL")
         .drop("_n")
     )
     joined = keyed.join(small_side(groups, groups.count()), F.col("_key") == F.col("_of"), "left")
-    other = F.col(id_col).isNull() | (F.col(id_col) != F.col("_last"))
-    return joined.withColumn("refers_to", F.when(other, F.col("_last"))).drop("_key", "_of", "_last")
+    other = own_id.isNull() | (own_id != F.col("_last"))
+    kept = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n.lower() != "refers_to"]
+    return joined.select(*kept, F.when(other, F.col("_last")).alias("refers_to"))
 
 
 def write_archives(

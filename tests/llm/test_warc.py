@@ -67,3 +67,10 @@ def test_streams_of_any_shape():
     cut = gzip.compress(b"".join(some)[:-60])
     with pytest.raises(EOFError):
         list(warc.records(warc.inflated(io.BytesIO(cut).read)))
+
+
+def test_any_names(spark):
+    df = spark.createDataFrame([(1, "u", "x", 5, "k", 7), (2, "v", "x", 6, "l", 8)], "page_id long, url string, html string, Refers_To int, `_key` string, `_last` int")
+    got = warc.with_revisits(df)
+    assert got.columns == ["page_id", "url", "html", "_key", "_last", "refers_to"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "u", "x", "k", 7, 2), (2, "v", "x", "l", 8, None)]
