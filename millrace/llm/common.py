@@ -32,9 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: What fresh_path named in this process and clean_up has not deleted.
+_NAMED: list[str] = []
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediate files written so far, once the results that were made of them are written or collected;
+    returns how many paths. Checkpoints go by spark.cleaner.referenceTracking.cleanCheckpoints."""
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _NAMED:
+        path = jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,6 +65,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as make it new."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
+
+
 def with_partition_position(df: DataFrame, *order: Column) -> DataFrame:
     """Sort df by order over range partitions and add pid (partition) and pos (0-based place in it).
 

@@ -21,7 +21,8 @@ one word compares all pairs, so that there is always such a plan. The chance is
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
 vectors of different lengths and rows with a null id (whose component is null and which are kept); rows that share an id
-are of one document, and each carries the links of all their different vectors; an empty table gives an empty table.
+are of one document, and each carries the links of all their different vectors; an empty table gives an empty table. Ids
+are read as longs, one that is no number as null; only the two columns named are read, so that others may have any names.
 """
 
 from __future__ import annotations
@@ -296,7 +297,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 raw.append((v + 0.0).tobytes() if fine else None)  # + 0.0: a negative zero is zero
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)).mapInArrow(packed, "id long, raw binary")
+    rows = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(packed, "id long, raw binary")
     usable = F.col("raw").isNotNull() & F.col("id").isNotNull()
     rows = cut(rows.withColumn("key", F.when(usable, F.unhex(F.sha2("raw", 256)))))
     vectors = cut(

@@ -16,7 +16,8 @@ that they have.
 
 Defined results: a null text is an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an empty
 and another one are not (0); equal texts have equal fingerprints; a very long text is one array of units; an empty table
-gives an empty table; only the two columns named are read, so that others may have any names.
+gives an empty table; ids are read as longs, one that is no number as null; only the two columns named are read, so that others may have
+any names.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that share an id the one with the smallest such beginning, then sketch, stands for it as a next document;
     rows with a null id have no next document, and their edited text just loses its end.
     """
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     before = neighbours(docs.select("id", F.length("text").alias("n")))
     docs = docs.select("id", "text", packed_anchors(F.col("text")).alias("anchors"))
     held = docs.where("id IS NOT NULL").join(before, "id")

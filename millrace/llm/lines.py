@@ -25,7 +25,7 @@ characters has n * n / 2 variants, made in blocks, so that long lines take time
 Defined results: a null text stays null and has 0 lines; rows with a null id stay as they are and take no part; rows
 that share an id are one document: a line of theirs stays if the line at that place stays in one of them. An empty
 table gives an empty table. Extra columns are kept, whatever their names; where n_lines or n_kept is taken, underscores
-go before the new name until it is free.
+go before the new name until it is free. Ids are read as longs; a row whose id is no number is one with a null id.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices, small_side, stored
+from .common import cut, free_name, row_slices, small_side, stored
 
 #: Variants that are made at a time.
 ROWS = 50_000
@@ -324,14 +324,6 @@ def near_lines(docs: DataFrame, heads: DataFrame, max_edits: int = 1, min_chars:
     return both.mapInArrow(_close(max_edits, min_chars), "doc long, no int").distinct()
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """The name, with as many underscores before it as make it new."""
-    lowered = {c.lower() for c in taken}
-    while name.lower() in lowered:
-        name = "_" + name
-    return name
-
-
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20
 ) -> DataFrame:
@@ -344,7 +336,8 @@ def dedup_lines(
     names = df.columns
     rows = df.toDF(*[f"c{k}" for k in range(len(names))])  # names of their own, so that none clashes
     own_id, own_text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
-    docs = rows.where(own_id.isNotNull()).select(own_id.cast("bigint").alias("_id"), own_text.alias("_text"))
+    own_id = own_id.try_cast("bigint")
+    docs = rows.where(own_id.isNotNull()).select(own_id.alias("_id"), own_text.alias("_text"))
     line = F.col("line")
     parts = F.when(F.length(line) >= min_chars, _parts(line, max_edits)) if max_edits else F.lit(None)
     lines = (
@@ -375,7 +368,7 @@ def dedup_lines(
     ).otherwise(own_text)
     total = F.when(own_text.isNull(), 0).otherwise(F.size("_lines"))
     kept = F.when(own_id.isNull() | own_text.isNull(), total).otherwise(F.size("_every"))
-    n_lines, n_kept = (_free(n, names) for n in ("n_lines", "n_kept"))
+    n_lines, n_kept = (free_name(n, names) for n in ("n_lines", "n_kept"))
     return joined.select(
         *[(text if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)],
         total.alias(n_lines),

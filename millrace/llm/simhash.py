@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices
+from .common import cut, free_name, row_slices
 from .components import connected_components, spanning_edges
 
 #: Leaves of one group of the distributed index, the fewest groups (so that all cores search), and the most; the
@@ -87,7 +87,7 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(batches, "id long, fp long")
+    return df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(batches, "id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -191,10 +191,11 @@ def link_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gids, every, some = directory.value
-        upper, place = GrayTree(every, some), {int(g): k for k, g in enumerate(gids)}
+        upper, place = GrayTree(every, some), np.zeros(int(gids.max(initial=0)) + 1, dtype=np.int64)
+        place[gids] = np.arange(len(gids))
         for batch in it:
             fp, rep, rank, gid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            own = np.fromiter((place[int(g)] for g in gid), dtype=np.int64, count=len(gid))
+            own = place[gid]
             member = pa.array(np.ones(len(fp), dtype=bool))
             names = ["fp", "rep", "rank", "gid", "member"]
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (fp, rep, rank, gid)), member], names=names)
@@ -238,7 +239,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     fp is the fingerprint, component the smallest id reachable over fingerprints that differ in at most radius bits.
     Defined results: a null or blank text has fingerprint 0, which links like any other; rows with a null id get their
     fingerprint and a null component and link nothing; repeated rows each get their row; an empty table gives an empty
-    table. Only the two columns named are read.
+    table. Only the two columns named are read; ids are read as longs, one that is no number as null. A very long text is
+    taken in pieces.
     """
     prints = cut(with_fingerprint(df, id_col, text_col))
     distinct = cut(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
@@ -252,7 +254,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of df that stand for their class, the smallest id each; rows with a null id stay."""
+    """The rows of df that stand for their class, the smallest id each; rows with a null id stay. Columns may have any
+    names."""
     classes = near_dedup(df, id_col, text_col, radius)
-    gone = classes.where(F.col("component") != F.col("id")).select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name("gone", df.columns)
+    gone = classes.where(F.col("component") != F.col("id")).select(F.col("id").alias(name)).distinct()
+    return df.join(gone, F.col(f"`{id_col}`").try_cast("bigint") == F.col(name), "left_anti")

@@ -308,7 +308,7 @@ def write_token_files(
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = spark.sparkContext.broadcast(f.read())
-    ids = df.select(F.col(id_col).cast("bigint").alias("id"))
+    ids = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"))
     files = min(MAX_FILES, max(1, -(-ids.count() // docs_per_file)))
     bounds = file_bounds(ids, files) if files > 1 else np.empty(0, dtype=np.int64)
 
@@ -357,7 +357,7 @@ def write_token_files(
                 {"file": pa.array([file], pa.int32()), "path": [path], "n_docs": [docs], "n_ids": [total]}
             )
 
-    encoded = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
+    encoded = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         encode, "file int, id long, n long, words binary, escapes array<long>"
     )
     listed = cut(

@@ -92,7 +92,7 @@ def test_few_dimensions_lose_no_links(spark, dims):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("dims, count, pairs", [(64, 28_000, 3000), (64, 6_250_000, 500), (64, 1_100_000_000, 40), (16, 28_000, 3000), (16, 30_000_000, 500), (8, 30_000_000, 1000)])
+@pytest.mark.parametrize("dims, count, pairs", [(64, 28_000, 3000), (64, 6_250_000, 500), (64, 1_100_000_000, 40), (16, 28_000, 3000), (16, 30_000_000, 500), (8, 30_000_000, 1000), (2, 1_000_000, 1000), (768, 10_000, 500)])
 def test_planned_recall(dims, count, pairs):
     codebook, n = em.plan(dims, count, 0.95)
     print(dims, count, codebook, n)

@@ -83,3 +83,12 @@ def test_nulls_repeats_and_empty(spark):
     assert [r.component for r in rows if r.id is None] == [None] and [r.component for r in rows if r.id == 5] == [5, 5]
     assert simhash.near_dedup(df.where(F.lit(False))).count() == 0
     assert simhash.keep_one(df).columns == df.columns
+
+
+def test_any_ids_and_names(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([("7", text, 1, 2), ("x", text, 3, 4), ("9", text, 5, 6)], "doc_id string, text string, gone int, _gone int")
+    got = {r.id: r.component for r in simhash.near_dedup(df).collect()}
+    assert got == {7: 7, 9: 7, None: None}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [("7", text, 1, 2), ("x", text, 3, 4)]
