@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices
+from .common import cut, give_back, row_slices
 
 PASSAGE = 64
 #: Bytes of text that are encoded together; bounds a worker's memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _SIGNS = string.punctuation.encode()
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 beyond ASCII, then each punctuation sign.
@@ -202,7 +202,8 @@ def fit(
 ) -> AttentionModel:
     """Adam on the log loss of the bags. share: how often label 1 is in the population, to which scores are set."""
     rng = np.random.default_rng(seed)
-    spread = x.std(axis=0, dtype=np.float64)
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(len(x), 1) - mean**2, 0))  # no copy of x
     spread[_DENSE:] = np.maximum(spread[_DENSE:], 0.3)  # about their own scale, so that rare buckets are not blown up
     weights = {
         "encode": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)),
@@ -213,7 +214,7 @@ def fit(
         "score": rng.normal(0, 1 / np.sqrt(hidden), hidden),
         "score_b": np.zeros(1),
     }
-    model = AttentionModel(x.mean(axis=0, dtype=np.float64), np.where(spread > 1e-6, spread, 1.0), weights)
+    model = AttentionModel(mean, np.where(spread > 1e-6, spread, 1.0), weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     sizes = np.bincount(bag, minlength=len(y))
     begins = np.cumsum(sizes) - sizes
@@ -286,9 +287,13 @@ def train(
     y = np.array([r.y for r in found], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in found]
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return fit(np.concatenate(bags), owner, y, totals[1] / (totals[0] + totals[1]))
+    sizes = np.array([len(r.x) // (4 * FEATURES) for r in found])
+    x = np.empty((int(sizes.sum()), FEATURES), dtype=np.float32)
+    ends = np.cumsum(sizes)
+    while found:  # the rows go as they are copied
+        n = len(found)
+        x[ends[n - 1] - sizes[n - 1] : ends[n - 1]] = np.frombuffer(found.pop().x, "<f4").reshape(-1, FEATURES)
+    return fit(x, np.repeat(np.arange(len(sizes)), sizes), y, totals[1] / (totals[0] + totals[1]))
 
 
 def score(
@@ -325,6 +330,7 @@ def _scored(taken: DataFrame, model: AttentionModel | None) -> DataFrame:
                 [*batch.columns[:-1], pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
                 names=[*batch.schema.names[:-1], "score", "predicted"],
             )
+            give_back()
 
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in taken.schema.fields[:-1])
     return taken.mapInArrow(scored, f"{fields}score double, predicted int")
