@@ -54,12 +54,12 @@ def _apart(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(F.split(w, ""))))
 
 
-def _has_long(lowered: Column) -> Column:
-    return lowered.rlike(rf"[^\x20\x09-\x0D]{{{LONGEST + 1}}}")
+def _has_long(words: Column) -> Column:
+    return F.exists(words, lambda w: F.length(w) > LONGEST)
 
 
 def _units(text: Column) -> Column:
-    return _let(F.lower(text), lambda t: F.when(_has_long(t), _apart(_words(t))).otherwise(_words(t)))
+    return _let(_words(F.lower(text)), lambda words: F.when(_has_long(words), _apart(words)).otherwise(words))
 
 
 def _hashes(units: Column) -> Column:
@@ -118,13 +118,17 @@ def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int =
 
     All k-mers of whole words of kept are those of that text; only what reaches into the tail is computed.
     """
-    blank = F.translate(kept, "\t\n\x0b\x0c\r", "     ")
-    broken = F.substring_index(blank, " ", -1)  # the last word, if kept does not end in white space
+    ended = F.substring(kept, -1, 1).isin(*" \t\n\x0b\x0c\r")
 
-    def after(words: Column) -> Column:  # the words of kept, the last one of which may be broken
-        full = F.slice(words, F.lit(1), F.size(words) - (broken != "").cast("int"))
+    def after(raw: Column) -> Column:  # the words of kept
+        open_ = (F.size(raw) > 0) & ~ended  # the last one may be broken
+        broken = F.when(open_, F.element_at(raw, -1)).otherwise(F.lit(""))
+        whole = F.transform(raw, lambda w: F.lower(w))
+        return _let(F.slice(whole, F.lit(1), F.size(raw) - open_.cast("int")), lambda full: from_words(full, broken))
+
+    def from_words(full: Column, broken: Column) -> Column:
         last = F.slice(full, F.greatest(F.size(full) - (k - 2), F.lit(1)), F.lit(k - 1))
-        count = F.when(_has_long(F.lower(kept)), F.size(_apart(full))).otherwise(F.size(full))
+        count = F.when(_has_long(full), F.size(_apart(full))).otherwise(F.size(full))
 
         def joined(m: Column) -> Column:
             start = F.greatest(m - (k - 1), F.lit(0))
@@ -136,7 +140,7 @@ def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int =
 
         return _let(count, joined)
 
-    found = _let(_let(F.lower(kept), _words), after)
+    found = _let(_words(kept), after)
     return _let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(packed_anchors(F.concat(kept, tail), k, s)))
 
 
