@@ -199,15 +199,15 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     before = neighbours(docs.select("id", F.length("text").alias("n")))
-    docs = docs.select("id", "text", packed_anchors(F.col("text")).alias("anchors"))
     held = docs.where("id IS NOT NULL").join(before, "id")
+    own = packed_anchors(F.col("text"))  # twice, after the shuffle of the texts: anchors are as large as these
     part = F.substring(F.col("text"), F.lit(1), (F.col("before_n") / 4).cast("int"))
-    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(F.col("anchors"))))).alias("_sent"))
+    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(own)))).alias("_sent"))
     n = F.length("text")
     kept = F.expr("substring(text, 1, length(text) - length(text) div 4)").alias("_kept")
     tail = F.substring(F.col("_sent.col1"), F.lit(1), (n / 4).cast("int")).alias("_tail")
-    found = held.join(sent, F.col("id") == F.col("_of")).select("id", "text", "anchors", kept, tail, F.col("_sent.col2").alias("_next"))
-    alone = docs.where("id IS NULL").select("id", "text", "anchors", kept, F.lit("").alias("_tail"), F.lit(None).cast("array<int>").alias("_next"))
+    found = held.join(sent, F.col("id") == F.col("_of")).select("id", "text", own.alias("anchors"), kept, tail, F.col("_sent.col2").alias("_next"))
+    alone = docs.where("id IS NULL").select("id", "text", own.alias("anchors"), kept, F.lit("").alias("_tail"), F.lit(None).cast("array<int>").alias("_next"))
     return found.union(alone).select(
         "id",
         n.alias("n_chars"),
