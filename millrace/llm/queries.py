@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, lines, mixing, quality, simhash, tokenfile, urls, warc
+from . import bpe, divergence, embeddings, fingerprints, lines, mixing, quality, simhash, tokenfile, urls, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +234,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op12_source_divergence", divergence.audit_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
