@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, embeddings, fingerprints, langid, lines, mixing, quality, simhash, tokenfile, urls, warc
+from . import bpe, divergence, embeddings, fingerprints, langid, lines, mixing, quality, simhash, tokenfile, trie, urls, warc
 from .common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,3 +246,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_conversation_trie", trie.trie_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
