@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,10 +142,91 @@ def _name(c: str | Column) -> str:
     return f"`{c}`"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once and written once into the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _digits(x: Column) -> Column:
+    """Sign, digits without zeros around, and decimal exponent of the first digit, of a double as Spark writes it: the fewest
+    digits that read back as it, and before JDK 19 rarely one more."""
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
+            F.regexp_extract(text, r"^-?([0-9]+)", 1).alias("whole"),
+            F.regexp_extract(text, r"\.([0-9]+)", 1).alias("part"),
+            F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("shift"),
+        )
+
+    def told(p: Column) -> Column:
+        leading = F.length(F.regexp_extract(p["part"], "^(0*)", 1))
+        place = p["shift"] + F.when(p["whole"] == "0", -1 - leading).otherwise(F.length(p["whole"]) - 1)
+        return F.struct(p["sign"].alias("sign"), F.regexp_replace(F.concat(p["whole"], p["part"]), "^0+|0+$", "").alias("digits"), place.alias("exponent"))
+
+    return let(let(x.cast("string"), parts), told)
+
+
+def _plain_digits(sign: Column, digits: Column, exponent: Column) -> Column:
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    head, tail = F.rpad(F.left(digits, exponent + 1), exponent + 1, F.lit("0")), F.substring(digits, exponent + 2, F.length(digits))
+    return F.when(exponent < 0, small).when(tail == "", F.concat(sign, head)).otherwise(F.concat(sign, head, F.lit("."), tail))
+
+
+def _scientific(sign: Column, digits: Column, exponent: Column, width: Column) -> Column:
+    point = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
+    size = F.abs(exponent).cast("string")
+    power = F.when(F.length(size) < width, F.lpad(size, width, F.lit("0"))).otherwise(size)
+    return F.concat(sign, F.left(digits, F.lit(1)), point, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), power)
+
+
 def xml_number(c: str | Column) -> Column:
-    """The integral part of number_text: whole numbers up to 1e15 without a point, others as Spark writes them."""
-    x = _col(c)
-    return F.when((x == F.floor(x)) & (F.abs(x) <= 1e15), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """A number as XML text has it: whole numbers up to 1e15 in full, else the shortest digits, with an exponent below 1e-4
+    and from 1e6 on."""
+    x = _col(c).cast("double")
+
+    def written(n: Column) -> Column:
+        parts = n["sign"], n["digits"], n["exponent"]
+        return F.when((parts[2] < -4) | (parts[2] >= 6), _scientific(*parts, F.lit(2))).otherwise(_plain_digits(*parts))
+
+    return F.when((x == F.floor(x)) & (F.abs(x) <= 1e15), x.cast("bigint").cast("string")).otherwise(let(_digits(x), written))
+
+
+def json_number(c: str | Column) -> Column:
+    """A number as JSON text has it: in full but below 1e-6 and from 1e21 on."""
+    x = _col(c).cast("double")
+
+    def written(n: Column) -> Column:
+        parts, small = (n["sign"], n["digits"], n["exponent"]), F.abs(x) < 1e-6
+        long = _scientific(*parts, F.when(small & (parts[2] > -10), 1).otherwise(2))
+        return F.when(x == 0, F.concat(parts[0], F.lit("0"))).when(small | (F.abs(x) >= 1e21), long).otherwise(_plain_digits(*parts))
+
+    return F.when((x == F.floor(x)) & (F.abs(x) <= 1e15) & (x != 0), x.cast("bigint").cast("string")).otherwise(let(_digits(x), written))
+
+
+#: What JSON text writes with a backslash, in this order; rare control characters, and signs of markup and line separators.
+_SHORT = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+_RARE = tuple(chr(k) for k in range(32) if chr(k) not in "\n\r\t\b\f")
+_MARKUP = ("<", ">", "&", "\u2028", "\u2029")
+
+
+def json_string(c: str | Column) -> Column:
+    """A string as JSON text: control characters, quotes, and < > & and the two line separators escaped."""
+    each = lambda text, pairs: functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
+    hexed = lambda signs: [(s, f"\\u{ord(s):04x}") for s in signs]
+    out = each(_col(c), _SHORT)
+    out = let(out, lambda t: F.when(t.rlike(r"[<>&\u2028\u2029]"), each(t, hexed(_MARKUP))).otherwise(t))
+    out = let(out, lambda t: F.when(t.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), each(t, hexed(_RARE))).otherwise(t))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+#: Characters that XML 1.0 text cannot hold.
+_NOT_XML = r"[^\x09\x0a\x0d\x20-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"
+
+
+def xml_characters(c: str | Column) -> Column:
+    """Every character may stand in XML text."""
+    return ~_col(c).rlike(_NOT_XML)
 
 
 # --- arrays of doubles and token ids

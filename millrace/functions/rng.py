@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def hex8(seed: int | Column, key: str | Column, draw: int | str | Column = 0) -> Column:
+    """The digits of which u01 is made: they sort as it does."""
+    parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in (seed, F.col(key) if isinstance(key, str) else key, draw)]
+    return F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8)
+
+
 def u01(seed: int | Column, key: str | Column, draw: int | str | Column = 0) -> Column:
     """A uniform in [0, 1): the first 8 hex digits of md5('seed:key:draw') over 2**32. DuckDB computes the same."""
-    parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in (seed, F.col(key) if isinstance(key, str) else key, draw)]
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(hex8(seed, key, draw), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def below(digits: Column, p: float) -> Column:
+    """Whether the uniform of these digits is less than p, without making it a number."""
+    bound = math.ceil(p * 4294967296)
+    return F.lit(True) if bound > 0xFFFFFFFF else digits < f"{max(bound, 0):08x}"
 
 
 def u01_sql(seed: int, key: str, draw: int | str = 0) -> str:

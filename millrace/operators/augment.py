@@ -1,22 +1,24 @@
-"""Augmentation of pairs: new texts in the same structure, dropped memory, truncation, and the whole augmentation run."""
+"""Augmentation of pairs: new texts in the same structure, dropped memory, truncation, and the whole augmentation run.
+
+All of it is columns: a text is taken apart into the rows of its tree (trees.shred), strings are changed there, and the tree
+is put together again. Every choice is a uniform of seed, row key, variant and place, which DuckDB computes alike.
+"""
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, xmltext
-from ..functions.columns import is_tool
-from ..functions.rng import row_random, u01
-from . import corrupt, sampling
+from ..functions import columns as fn
+from ..functions.columns import is_tool, let
+from ..functions.rng import u01
+from . import corrupt, sampling, trees
+from .corrupt import Draws
+from .placing import materialised, with_place
 
-Rng = random.Random
 SIGNS = ("<", ">", "&", "'", '"')
 #: Used where no dictionary is given.
 WORDS = (
@@ -25,101 +27,97 @@ WORDS = (
 )
 
 
-def inject_signs(text: str, rng: Rng, p: float) -> str:
-    """After each word, with chance p, one of < > & ' " : glued, spaced before, spaced after, or both."""
-    words = text.split()
-    if not words:
-        return text
-    spacing = ("{}", " {}", "{} ", " {} ")
-    return " ".join(w + (rng.choice(spacing).format(rng.choice(SIGNS)) if rng.random() < p else "") for w in words)
-
-
-def dictionary_words(text: str, rng: Rng, p: float, words: Sequence[str]) -> str:
-    """As many dictionary words as text has (1 to 3 for none), with signs."""
-    count = len(text.split()) or rng.randint(1, 3)
-    return inject_signs(" ".join(rng.choice(words) for _ in range(count)), rng, p)
-
-
-def shuffled_words(text: str, rng: Rng, p: float) -> str:
-    words = text.split()
-    if not words:
-        return text
-    rng.shuffle(words)
-    return inject_signs(" ".join(words), rng, p)
-
-
-def new_text(text: str, rng: Rng, p: float, dict_pct: float, words: Sequence[str]) -> str:
-    if rng.random() * 100 < dict_pct:
-        return dictionary_words(text, rng, p, words)
-    return shuffled_words(text, rng, p)
-
-
-def rewrite(value: Any, change) -> Any:
-    """Strings inside containers changed; keys, other values and a string at the root stay. Keys go in sorted order."""
-
-    def inside(v: Any) -> Any:
-        return change(v) if isinstance(v, str) else rewrite(v, change)
-
-    if isinstance(value, dict):
-        return {k: inside(value[k]) for k in sorted(value)}
-    return [inside(v) for v in value] if isinstance(value, list) else value
-
-
-def augment_one(text: str, rng: Rng, p: float = 0.3, dict_pct: float = 50.0, drop_memory_pct: float = 20.0, words: Sequence[str] = WORDS) -> tuple[str, str] | None:
-    """(input, target) with new texts, None where the text is not JSON or its XML is not well formed."""
-    try:
-        value = jsontext.parse(text)
-    except ValueError:
-        return None
-    if isinstance(value, dict) and "memory" in value and rng.random() * 100 < drop_memory_pct:
-        del value["memory"]
-    value = rewrite(value, lambda s: new_text(s, rng, p, dict_pct, words))
-    xml = xmltext.to_xml(value)
-    return (jsontext.pretty(value), xml) if xmltext.well_formed(xml) else None
-
-
-def drop_keys(text: str, rng: Rng) -> str:
-    """A JSON object without one key, or two with chance 0.3 if it has more than two; a single key stays."""
-    value = jsontext.parse(text)
-    if not isinstance(value, dict):
-        raise ValueError("no object")
-    keys = sorted(value)
-    if len(keys) < 2:
-        return text
-    count = 2 if len(keys) > 2 and rng.random() < 0.3 else 1
-    gone = set(rng.sample(keys, count))
-    return jsontext.compact({k: v for k, v in value.items() if k not in gone})
-
-
-def truncate_json(text: str, rng: Rng) -> str:
-    """Cut at 50 to 90 % of the bytes, back to a comma, closing bracket or quote if there is one; under 20 bytes not."""
-    data = text.encode()
-    n = len(data)
-    if n < 20:
-        return text
-    low = n // 2
-    at = rng.randrange(low, max(n * 9 // 10, low + 1))
-    for i in range(at, low, -1):
-        c = data[i : i + 1]
-        if c in (b",", b"]", b"}"):
-            return data[: i + 1].decode()
-        if c == b'"':
-            before = data[:i]
-            if (len(before) - len(before.rstrip(b"\\"))) % 2 == 0:
-                return data[: i + 1].decode()
-    return data[:at].decode(errors="ignore")
-
-
-def truncate_one(text: str, rng: Rng) -> tuple[str, str] | None:
-    """Keys dropped in input and target, and in half of the cases the input cut off."""
-    try:
-        reduced = drop_keys(text, rng)
-        xml = xmltext.json_to_xml(reduced)
-    except ValueError:
-        return None
-    if xml is None or not xmltext.well_formed(xml):
-        return None
-    return (truncate_json(reduced, rng) if rng.random() < 0.5 else reduced), xml
+def words_of(text: Column) -> Column:
+    """Words between white space; none for an empty text."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def inject_signs(words: Column, d: Draws, p: float) -> Column:
+    """Words joined by spaces, with one of < > & ' " after each with chance p: glued, spaced before, spaced after, or both."""
+
+    def one(w: Column, i: Column) -> Column:
+        style, sign = F.floor(d.u("space", i) * 4), d.pick(SIGNS, "sign", i)
+        before, after = F.when(style.isin(1, 3), " ").otherwise(""), F.when(style.isin(2, 3), " ").otherwise("")
+        return F.when(d.hit(p, "t", i), F.concat(w, before, sign, after)).otherwise(w)
+
+    return F.array_join(F.transform(words, one), " ")
+
+
+def shuffled(words: Column, d: Draws) -> Column:
+    """Words in the order of a uniform of their place."""
+    placed = F.transform(words, lambda w, i: F.struct(d.digits("w", i).alias("u"), i.alias("i"), w.alias("w")))
+    return F.transform(F.sort_array(placed), lambda s: s["w"])
+
+
+def word_draws(words: Column, d: Draws) -> Column:
+    """As many uniforms as there are words, 1 to 3 for none."""
+    count = F.when(F.size(words) > 0, F.size(words)).otherwise(1 + F.floor(d.u("count") * 3).cast("int"))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: d.u("pick", i))
+
+
+def dictionary_words(words: Column, d: Draws, pool: Sequence[str]) -> Column:
+    """As many words of a short dictionary as there are words."""
+    listed = F.array(*map(F.lit, pool))
+    return F.transform(word_draws(words, d), lambda u: F.get(listed, F.floor(u * len(pool)).cast("int")))
+
+
+def new_text(text: Column, d: Draws, p: float, dict_pct: float, pool: Sequence[str] = WORDS) -> Column:
+    """Dictionary words with chance dict_pct, else the text's own words in a new order; with signs. A text without words is
+    left alone where words would be reordered."""
+
+    def made(words: Column) -> Column:
+        chosen = F.when(d.u("dict") * 100 < dict_pct, dictionary_words(words, d, pool)).when(F.size(words) > 0, shuffled(words, d))
+        return F.coalesce(inject_signs(chosen, d, p), text)
+
+    return let(words_of(text), made)
+
+
+def numbered(words: DataFrame, column: str = "value") -> DataFrame:
+    """(word, place): a dictionary with its words numbered from 0 in their order, over range partitions; repeated words and
+    nulls count once and not at all."""
+    listed = words.select(F.col(f"`{column}`").alias("word")).where("word IS NOT NULL").distinct()
+    return with_place(listed, [F.col("word")], "place")
+
+
+def draw_words(rows: DataFrame, keys: Sequence[str], draws: str, dictionary: DataFrame) -> DataFrame:
+    """rows with `drawn`: for each uniform in the array column `draws`, the word of a numbered dictionary of any size.
+
+    Numbers are drawn per place and joined with the dictionary by number; every row's keys must tell it apart.
+    """
+    size = dictionary.count()
+    asked = rows.select(*keys, F.posexplode(draws).alias("at", "u")).withColumn("place", F.floor(F.col("u") * size))
+    found = asked.join(dictionary, "place").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("drawn"))
+    found = found.withColumn("drawn", F.transform("drawn", lambda x: x["word"])).withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    return joined.withColumn("drawn", F.coalesce("drawn", F.expr("array()").cast("array<string>")))
+
+
+def dropped_keys(names: Column, d: Draws) -> Column:
+    """Which keys of an object go: one, or two with chance 0.3 if it has more than two; a single key stays."""
+    ranked = F.array_sort(F.transform(names, lambda k: F.struct(u01(d.seed, d.key, F.concat(F.lit(f"{d.name}.key/"), k)).alias("u"), k.alias("k"))))
+    count = F.when(F.size(names) < 2, 0).when((F.size(names) > 2) & (d.u("two") < 0.3), 2).otherwise(1)
+    return F.transform(F.slice(ranked, F.lit(1), count), lambda x: x["k"])
+
+
+def truncate_json(text: Column, d: Draws) -> Column:
+    """Cut at 50 to 90 % of the bytes, back to a comma, closing bracket or quote if there is one; under 20 bytes not.
+
+    Bytes are looked at as Latin-1 characters; a cut within a character drops what is left of it.
+    """
+
+    def cut(raw: Column) -> Column:
+        n = F.length(raw)
+        low = F.floor(n / 2)
+        at = low + F.floor(d.u("at") * F.greatest(F.floor(n * 9 / 10) - low, F.lit(1)))
+        head = F.left(raw, at + 1)
+        sign = F.length(F.regexp_extract(head, r"(?s)^.*[,\]}]", 0))
+        quote = F.length(F.regexp_extract(head, r'(?s)^(?:.*[^\\])?(?:\\\\)*+"', 0))
+        end = F.greatest(sign, quote)
+        part = F.regexp_replace(F.left(raw, at), r"(?:[\xc0-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf7][\x80-\xbf]{0,2})\z", "")
+        made = F.when(end >= low + 2, F.left(raw, end)).otherwise(part)
+        return F.decode(F.encode(made, "ISO-8859-1"), "UTF-8")
+
+    return F.when(F.octet_length(text) < 20, text).otherwise(let(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), cut))
 
 
 @dataclass(frozen=True)
@@ -146,47 +144,74 @@ def of_kind(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.where(is_tool("input") if kind == "tool" else ~is_tool("input"))
 
 
-RESULT = "input string, target string, truncated boolean, compacted boolean, corrupted boolean"
+def new_leaves(nodes: DataFrame, s: Settings, words: Sequence[str] | DataFrame) -> DataFrame:
+    """Nodes of augmented variants with new strings; `words` is a short list, or a numbered dictionary of any size."""
+    ours = (F.col("kind") == "string") & (F.col("depth") > 0) & (F.col("variant_no") > 0)
+    d = Draws(s.seed, F.col("_draw"), F.concat(F.lit("text:"), F.col("path")))
+    if not isinstance(words, DataFrame):
+        return nodes.withColumn("leaf", F.when(ours, new_text(F.col("leaf"), d, s.special, s.dict_pct, words)).otherwise(F.col("leaf")))
+    drawn = F.when(ours & (d.u("dict") * 100 < s.dict_pct), word_draws(words_of(F.col("leaf")), d))
+    found = draw_words(materialised(nodes.withColumn("_draws", drawn)), ("_row", "variant_no", "path"), "_draws", words)
+    other = new_text(F.col("leaf"), d, s.special, 0.0)
+    made = F.when(F.col("_draws").isNotNull(), inject_signs(F.col("drawn"), d, s.special)).when(ours, other).otherwise(F.col("leaf"))
+    return found.withColumn("leaf", made).drop("_draws", "drawn")
 
 
-def make_variants(pairs: DataFrame, s: Settings, key: str = "sample_id", words: Sequence[str] = WORDS) -> DataFrame:
+def make_variants(pairs: DataFrame, s: Settings, key: str = "sample_id", words: Sequence[str] | DataFrame = WORDS) -> DataFrame:
     """Pairs fanned out to natural (variant_no 0) and augmented rows with what was done to each; failed ones have no input.
 
-    A pair without input or target fails; rows that share a key are augmented alike; an empty table gives an empty one.
+    A pair without input or target fails, as does an augmented one whose input is no JSON or whose XML could not be read;
+    rows that share a key are augmented alike; an empty table gives an empty one; other columns are left out.
     """
-
-    def one(text: str | None, target: str | None, key: object, variant: int) -> tuple:
-        if text is None or target is None:
-            return None, None, False, False, False
-        rng = row_random(s.seed, f"{key}/{variant}", "augment")
-        if variant:
-            made = augment_one(text, rng, s.special, s.dict_pct, s.drop_memory_pct, words)
-            if made is None:
-                return None, None, False, False, False
-            text, target = made
-        truncated = compacted = corrupted = False
-        if rng.random() * 100 < s.truncate_pct and (made := truncate_one(text, rng)):
-            (text, target), truncated = made, True
-        if rng.random() * 100 < s.compact_pct:
-            small = jsontext.compact_text(text)
-            text, compacted = small, small != text
-        if rng.random() * 100 < s.corrupt_pct:
-            u = rng.random()
-            name = "subtle" if u < 0.4 else "light" if u < 0.75 else "light+wrapper" if u < 0.9 else "medium"
-            broken = corrupt.apply(text, corrupt.named(name), rng)
-            text, corrupted = broken, broken != text
-        return text, target, truncated, compacted, corrupted
-
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series, targets: pd.Series, keys: pd.Series, numbers: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*r) for r in zip(texts, targets, keys, numbers)], columns=["input", "target", "truncated", "compacted", "corrupted"])
-
-    fanned = sampling.fan_out(pairs, s.variants)
-    made = fanned.withColumn("_made", run("input", "target", F.col(key).cast("string"), "variant_no"))
-    return made.select(key, "variant_no", "_made.*")
-
-
-def run(pairs: DataFrame, s: Settings, key: str = "sample_id", words: Sequence[str] = WORDS) -> DataFrame:
+    base = pairs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col("input").alias("_text"), F.col("target").alias("_target"))
+    base = materialised(base)
+    nodes = materialised(trees.shred(base, ["_row"], "_text"))
+    roots = nodes.where("depth = 0").select("_row", F.col("kind").alias("root"))
+    names = nodes.where("depth = 1 AND top IS NOT NULL").groupBy("_row").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    none = F.expr("array()").cast("array<string>")
+    plan = sampling.fan_out(base.join(roots, "_row", "left").join(names, "_row", "left"), s.variants)
+    plan = plan.withColumn("_draw", F.concat(F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit("/"), F.col("variant_no").cast("string")))
+    d = Draws(s.seed, F.col("_draw"), "augment")
+    plan = plan.select(
+        "*",
+        ((F.col("variant_no") > 0) & (d.u("memory") * 100 < s.drop_memory_pct)).alias("_forgets"),
+        ((d.u("truncate") * 100 < s.truncate_pct) & F.coalesce(F.col("root") == "object", F.lit(False))).alias("_cuts"),
+        (d.u("compact") * 100 < s.compact_pct).alias("_compacts"),
+    )
+    left = F.when(F.col("_forgets"), F.array_except("names", F.array(F.lit("memory")))).otherwise(F.col("names"))
+    plan = plan.withColumn("names", F.coalesce(left, none)).withColumn("_gone", F.when(F.col("_cuts"), dropped_keys(F.col("names"), d)).otherwise(none))
+    plan = materialised(plan)
+    asked = plan.where("root IS NOT NULL AND (variant_no > 0 OR _cuts OR _compacts)").select("_row", "variant_no", "_draw", "_forgets", "_gone")
+    grown = nodes.join(asked, "_row").where(~F.coalesce((F.col("_forgets") & (F.col("top") == "memory")) | F.array_contains("_gone", F.col("top")), F.lit(False)))
+    built = trees.assemble(new_leaves(grown, s, words), ["_row", "variant_no"]).select("_row", "variant_no", "pretty", "compact", "xml")
+    rows = plan.join(built, ["_row", "variant_no"], "left")
+    given = F.col("_text").isNotNull() & F.col("_target").isNotNull()
+    sound = F.coalesce(fn.xml_characters("xml"), F.lit(False))
+    natural = F.col("variant_no") == 0
+    rows = rows.select(
+        "_key", "variant_no", "_draw", "compact", "_compacts",
+        (given & (natural | sound)).alias("_good"),
+        F.when(natural, F.col("_text")).otherwise(F.col("pretty")).alias("_first"),
+        F.when(natural & ~(F.col("_cuts") & sound), F.col("_target")).otherwise(F.col("xml")).alias("target"),
+        (F.col("_cuts") & sound).alias("truncated"),
+        (F.size("names") < 2).alias("_whole"),
+    )
+    reduced = F.when(F.col("truncated") & ~F.col("_whole"), F.col("compact")).otherwise(F.col("_first"))
+    rows = rows.withColumn("_first", reduced).withColumn("_broken", F.col("truncated") & (d.u("cut") < 0.5) & (F.octet_length("_first") >= 20))
+    rows = rows.withColumn("_second", F.when(F.col("_broken"), truncate_json(F.col("_first"), d)).otherwise(F.col("_first")))
+    small = F.when(F.col("_compacts") & ~F.col("_broken"), F.coalesce("compact", "_second")).otherwise(F.col("_second"))
+    rows = rows.withColumn("_third", small)
+    profile = F.when(d.u("corrupt") * 100 < s.corrupt_pct, corrupt.profile_mix(d.u("mix"))).otherwise("none")
+    rows = rows.withColumn("input", corrupt.corrupted(F.col("_third"), profile, F.col("_draw"), s.seed))
+    kept = lambda c: F.when(F.col("_good"), c)
+    done = lambda c: F.coalesce(F.col("_good") & c, F.lit(False))
+    return rows.select(
+        F.col("_key").alias(key), "variant_no", kept(F.col("input")).alias("input"), kept(F.col("target")).alias("target"), done(F.col("truncated")).alias("truncated"),
+        done(F.col("_third") != F.col("_second")).alias("compacted"), done(F.col("input") != F.col("_third")).alias("corrupted"),
+    )
+
+
+def run(pairs: DataFrame, s: Settings, key: str = "sample_id", words: Sequence[str] | DataFrame = WORDS) -> DataFrame:
     """The whole augmentation: kind, length, stratified sample, natural and augmented rows."""
     kept = sampling.length_range(of_kind(pairs, s.kind), most=s.max_bytes)
     if s.sample_pct < 100:
@@ -202,23 +227,3 @@ def counters(made: DataFrame) -> DataFrame:
         F.count_if(F.col("input").isNull()).alias("failed"),
         done("corrupted").alias("corrupted"), done("compacted").alias("compacted"), done("truncated").alias("truncated"),
     )
-
-
-# --- native forms of single steps
-
-
-def shuffled_words_native(c: Column, key: str, seed: int) -> Column:
-    """Words in the order of a hash of their place."""
-    placed = F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda w, i: F.struct(u01(seed, key, F.concat(F.lit("w"), i.cast("string"))).alias("u"), i.alias("i"), w.alias("w")))
-    return F.array_join(F.transform(F.array_sort(placed), lambda s: s["w"]), " ")
-
-
-def signs_native(c: Column, key: str, seed: int, p: float) -> Column:
-    """Signs glued to words with chance p."""
-
-    def one(w: Column, i: Column) -> Column:
-        n = i.cast("string")
-        sign = F.element_at(F.array(*map(F.lit, SIGNS)), F.floor(u01(seed, key, F.concat(F.lit("c"), n)) * len(SIGNS)).cast("int") + 1)
-        return F.when(u01(seed, key, F.concat(F.lit("s"), n)) < p, F.concat(w, sign)).otherwise(w)
-
-    return F.array_join(F.transform(F.split(c, " "), one), " ")

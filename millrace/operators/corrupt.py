@@ -1,110 +1,133 @@
-"""Seeded corruptions of JSON text, each text to text.
+"""Seeded corruptions of JSON text, text to text, as native expressions.
 
-A scan keeps track of string literals; structure is only touched outside of them. All chances come from the random
-generator that is passed in, so that a row's result depends on its seed and key alone. `corrupted` runs a whole profile in
-one vectorised function; the deterministic twins at the end are native.
+One regular expression splits a text into string literals, signs and what stands between, so that structure is only touched
+outside of literals. A uniform of seed, row key, corruption and place (an MD5) decides for each token, line or text what
+happens to it, and the tokens are joined again: a row's result depends on its seed and key alone, and DuckDB computes the
+same (millrace/plans/corrupt_sql.py).
+
+Defined results: a null text stays null; a null profile changes nothing, a null key is one like others; an empty text has no tokens and one
+line; what follows an unclosed quote is one literal; rows that share a key are corrupted alike. The pattern's groups are
+possessive, so that literals of any length and number of escapes are matched without recursion.
 """
 
 from __future__ import annotations
 
-import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import astuple, dataclass, fields
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.rng import row_random, u01
-
-Rng = random.Random
-_NAME = re.compile(r'"([A-Za-z0-9_]{1,50})"')
-
-
-def marked(text: str) -> Iterator[tuple[str, bool]]:
-    """The characters of text, and whether each is outside of string literals (quotes are neither)."""
-    inside = escaped = False
-    for c in text:
-        if c == '"' and not escaped:
-            inside = not inside
-            yield c, False
-        else:
-            yield c, not inside
-        escaped = c == "\\" and not escaped
-
-
-def strip_quotes(text: str, rng: Rng, p: float = 0.6) -> str:
-    """Quotes around names of letters, digits and _ go, each with chance p; after an unclosed quote nothing changes."""
-    out, at = [], 0
-    while (start := text.find('"', at)) >= 0:
-        end = start + 1
-        while end < len(text) and text[end] != '"':
-            end += 2 if text[end] == "\\" else 1
-        if end >= len(text):
-            break
-        literal = text[start : end + 1]
-        name = _NAME.fullmatch(literal)
-        out += [text[at:start], name[1] if name and rng.random() < p else literal]
-        at = end + 1
-    return "".join(out) + text[at:]
-
-
-def _drop(text: str, sign: str, rng: Rng, p: float, spaced: float) -> str:
-    out = []
-    for c, free in marked(text):
-        if free and c == sign and rng.random() < p:
-            if rng.random() < spaced:
-                out.append(" ")
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def drop_commas(text: str, rng: Rng, p: float = 0.4) -> str:
+
+from ..functions.columns import let
+from ..functions.rng import below, hex8, u01
+
+#: Literals, the rest after a quote that is never closed, signs, and runs of anything else.
+TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"|".*|[{}\[\],:]|[^"{}\[\],:]++'
+BLANK = r"^[ \t\r\n]+\z"
+#: A closing bracket with others right after it, and the white space among and after them.
+RUN = r"^[\]}](?:[ \t\r\n]*+[\]}])++[ \t\r\n]*+"
+
+
+def lexed(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Draws:
+    """The uniforms of one corruption of a row."""
+
+    seed: int
+    key: Column
+    name: str | Column
+
+    def _tag(self, what: str, place: Column | None) -> Column:
+        tag = F.lit(f"{self.name}.{what}") if isinstance(self.name, str) else F.concat(self.name, F.lit(f".{what}"))
+        return tag if place is None else F.concat(tag, place.cast("string"))
+
+    def u(self, what: str, place: Column | None = None) -> Column:
+        return u01(self.seed, self.key, self._tag(what, place))
+
+    def digits(self, what: str, place: Column | None = None) -> Column:
+        return hex8(self.seed, self.key, self._tag(what, place))
+
+    def hit(self, p: float, what: str, place: Column | None = None) -> Column:
+        """u(what, place) < p."""
+        return below(self.digits(what, place), p)
+
+    def pick(self, values: tuple[str, ...], what: str, place: Column | None = None) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.floor(self.u(what, place) * len(values)).cast("int"))
+
+
+def _closer(t: Column) -> Column:
+    return t.isin("]", "}")
+
+
+def _each_token(text: Column, change: Callable[[Column, Column], Column]) -> Column:
+    return F.array_join(F.transform(lexed(text), change), "")
+
+
+def strip_quotes(text: Column, d: Draws, p: float = 0.6) -> Column:
+    """Quotes around names of letters, digits and _ go, each with chance p."""
+    name = lambda t: t.rlike(r'^"[A-Za-z0-9_]{1,50}"\z')
+    return _each_token(text, lambda t, i: F.when(name(t) & (d.hit(p, "t", i)), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+
+
+def drop_commas(text: Column, d: Draws, p: float = 0.4) -> Column:
     """Commas go with chance p; half of them leave a space."""
-    return _drop(text, ",", rng, p, 0.5)
+    left = lambda i: F.when(d.hit(0.5, "space", i), " ").otherwise("")
+    return _each_token(text, lambda t, i: F.when((t == ",") & (d.hit(p, "t", i)), left(i)).otherwise(t))
 
 
-def drop_colons(text: str, rng: Rng, p: float = 0.4) -> str:
+def drop_colons(text: Column, d: Draws, p: float = 0.4) -> Column:
     """Colons become spaces with chance p."""
-    return _drop(text, ":", rng, p, 1.0)
-
-
-_RUN = re.compile(r"[\]}](?:[ \t\r\n]*[\]}])+[ \t\r\n]*")
-
-
-def mangle_brackets(text: str, rng: Rng) -> str:
-    """One edit of one closing bracket: swapped (30 %), dropped (20 %), doubled (20 %), or a run of closers rewritten."""
-    kind = rng.random()
-    closers = [i for i, (c, free) in enumerate(marked(text)) if free and c in "]}"]
-    other = {"]": "}", "}": "]"}
-    for i in closers:
-        c = text[i]
-        if kind < 0.3:
-            if rng.random() < 0.4:
-                return text[:i] + other[c] + text[i + 1 :]
-        elif kind < 0.7:
-            if rng.random() < 0.3:
-                return text[:i] + ("" if kind < 0.5 else c * 2) + text[i + 1 :]
-        elif rng.random() < 0.4 and (run := _RUN.match(text, i)):
-            count = sum(x in "]}" for x in run[0]) + rng.randrange(3)
-            made = "".join("]" if rng.random() < 0.4 else "}" for _ in range(count))
-            return text[:i] + made + text[run.end() :]
-    return text
+    return _each_token(text, lambda t, i: F.when((t == ":") & (d.hit(p, "t", i)), " ").otherwise(t))
+
+
+def mangle_brackets(text: Column, d: Draws) -> Column:
+    """One edit of one closing bracket: swapped (30 %), dropped (20 %), doubled (20 %), or a run of closers rewritten.
+
+    It is the first closer that its uniform chooses (0.3 for dropped and doubled, else 0.4); for a run, the first of those
+    that another closer follows.
+    """
+    kind = d.u("kind")
+
+    def edited(tokens: Column) -> Column:
+        def chosen(t: Column, i: Column) -> Column:
+            after, then = F.get(tokens, i + 1), F.get(tokens, i + 2)
+            run = F.coalesce(_closer(after) | (after.rlike(BLANK) & _closer(then)), F.lit(False))
+            return _closer(t) & (d.u("t", i) < F.when((kind >= 0.3) & (kind < 0.7), 0.3).otherwise(0.4)) & ((kind < 0.7) | run)
+
+        at = F.get(F.filter(F.transform(tokens, lambda t, i: F.when(chosen(t, i), i)), lambda i: i.isNotNull()), 0)
 
+        def changed(i: Column) -> Column:
+            c, head = F.get(tokens, i), F.array_join(F.slice(tokens, F.lit(1), i), "")
+            tail = F.array_join(F.slice(tokens, i + 2, F.size(tokens)), "")
+            run = F.regexp_extract(F.concat(c, tail), RUN, 0)
+            count = F.length(F.regexp_replace(run, r"[^\]}]", "")) + F.floor(d.u("more") * 3).cast("int")
+            made = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda k: F.when(d.hit(0.4, "made", k), "]").otherwise("}")), "")
+            one = F.when(kind < 0.3, F.translate(c, "]}", "}]")).when(kind < 0.5, "").otherwise(F.concat(c, c))
+            rest = F.substring(F.concat(c, tail), F.length(run) + 1, F.length(tail) + 1)
+            return F.when(kind < 0.7, F.concat(head, one, tail)).otherwise(F.concat(head, made, rest))
 
-def add_trailing_commas(text: str, rng: Rng, p: float = 0.5) -> str:
-    """A comma before closing brackets with chance p, unless a comma or an opening bracket stands before."""
-    out, last = [], ""
-    for c, free in marked(text):
-        if free and c in "]}" and last not in ("", ",", "{", "[") and rng.random() < p:
-            out.append(",")
-        out.append(c)
-        if not c.isspace():
-            last = c
-    return "".join(out)
+        return let(at, lambda i: F.when(i.isNull(), F.array_join(tokens, "")).otherwise(changed(i)))
+
+    return let(lexed(text), edited)
+
+
+def add_trailing_commas(text: Column, d: Draws, p: float = 0.5) -> Column:
+    """A comma before closing brackets with chance p, unless a comma or an opening bracket, or nothing, stands before."""
+
+    def added(tokens: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(tokens, i - 1))
+            solid = F.when(before.rlike(BLANK), F.when(i > 1, F.get(tokens, i - 2))).otherwise(F.regexp_replace(before, r"[ \t\r\n]+\z", ""))
+            last = F.coalesce(F.right(solid, F.lit(1)), F.lit(""))
+            return F.when(_closer(t) & (d.hit(p, "t", i)) & ~last.isin("", ",", "{", "["), F.concat(F.lit(","), t)).otherwise(t)
+
+        return F.array_join(F.transform(tokens, one), "")
+
+    return let(lexed(text), added)
 
 
 LINE_COMMENTS = (
@@ -118,45 +141,43 @@ BANNER = (
 )
 
 
-def insert_comments(text: str, rng: Rng) -> str:
+def insert_comments(text: Column, d: Draws) -> Column:
     """Comments on or after lines (chance 0.25 each), and now and then (0.3) a block over several lines."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        out.append(line)
-        if rng.random() < 0.25:
-            pad = line[: len(line) - len(line.lstrip(" \t"))]
-            if rng.random() < 0.7:
-                if rng.random() < 0.5:
-                    out[-1] = f"{line} {rng.choice(LINE_COMMENTS)}"
-                else:
-                    out.append(pad + rng.choice(LINE_COMMENTS))
-            else:
-                out.append(pad + rng.choice(BLOCK_COMMENTS))
-    if rng.random() < 0.3 and len(out) > 2:
-        out.insert(rng.randrange(1, len(out)), "/*\n * {}\n * {}\n */".format(*(rng.choice(b) for b in BANNER)))
-    return "\n".join(out)
-
-
-def mangle_whitespace(text: str, rng: Rng) -> str:
+
+    def one(line: Column, i: Column) -> Column:
+        pad, said = F.regexp_extract(line, r"^[ \t]*", 0), d.pick(LINE_COMMENTS, "said", i)
+        alone = F.when(d.hit(0.5, "own", i), F.array(F.concat(line, F.lit(" "), said))).otherwise(F.array(line, F.concat(pad, said)))
+        block = F.array(line, F.concat(pad, d.pick(BLOCK_COMMENTS, "said", i)))
+        return F.when(d.u("t", i) >= 0.25, F.array(line)).when(d.hit(0.7, "kind", i), alone).otherwise(block)
+
+    banner = F.concat(F.lit("/*\n * "), d.pick(BANNER[0], "first"), F.lit("\n * "), d.pick(BANNER[1], "second"), F.lit("\n */"))
+
+    def with_banner(lines: Column) -> Column:
+        at = 1 + F.floor(d.u("at") * (F.size(lines) - 1)).cast("int")
+        more = F.concat(F.slice(lines, F.lit(1), at), F.array(banner), F.slice(lines, at + 1, F.size(lines)))
+        return F.when((d.hit(0.3, "banner")) & (F.size(lines) > 2), more).otherwise(lines)
+
+    return F.array_join(let(F.flatten(F.transform(F.split(text, "\n", -1), one)), with_banner), "\n")
+
+
+def mangle_whitespace(text: Column, d: Draws) -> Column:
     """Indents in one of five styles, blank lines kept with chance 0.5 and added with chance 0.1."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        bare = line.lstrip(" \t")
-        if not bare:
-            out += [""] * (rng.random() < 0.5)
-            continue
-        style = rng.randrange(5)
-        out.append(
-            (
-                lambda: bare,
-                lambda: "\t" * rng.randrange(4) + bare,
-                lambda: " " * rng.randrange(8) + bare,
-                lambda: "\t " + " " * rng.randrange(3) + bare,
-                lambda: line,
-            )[style]()
+
+    def one(line: Column, i: Column) -> Column:
+        bare, style = F.ltrim(line, F.lit(" \t")), F.floor(d.u("style", i) * 5)
+        width = lambda n: F.floor(d.u("width", i) * n).cast("int")
+        made = (
+            F.when(style == 0, bare)
+            .when(style == 1, F.concat(F.repeat(F.lit("\t"), width(4)), bare))
+            .when(style == 2, F.concat(F.repeat(F.lit(" "), width(8)), bare))
+            .when(style == 3, F.concat(F.lit("\t "), F.repeat(F.lit(" "), width(3)), bare))
+            .otherwise(line)
         )
-        out += [""] * (rng.random() < 0.1)
-    return "\n".join(out)
+        full = F.when(d.hit(0.1, "extra", i), F.array(made, F.lit(""))).otherwise(F.array(made))
+        kept = F.when(d.hit(0.5, "t", i), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.when(bare == "", kept).otherwise(full)
+
+    return F.array_join(F.flatten(F.transform(F.split(text, "\n", -1), one)), "\n")
 
 
 PREAMBLES = (
@@ -169,11 +190,11 @@ POSTAMBLES = (
 )
 
 
-def add_wrapper(text: str, rng: Rng) -> str:
+def add_wrapper(text: Column, d: Draws) -> Column:
     """Chatter before (chance 0.7) and after (0.5)."""
-    before = rng.choice(PREAMBLES) if rng.random() < 0.7 else ""
-    after = rng.choice(POSTAMBLES) if rng.random() < 0.5 else ""
-    return before + text + after
+    before = F.when(d.hit(0.7, "before"), d.pick(PREAMBLES, "pre")).otherwise("")
+    after = F.when(d.hit(0.5, "after"), d.pick(POSTAMBLES, "post")).otherwise("")
+    return F.concat(before, text, after)
 
 
 @dataclass(frozen=True)
@@ -199,19 +220,12 @@ PROFILES = {
     "heavy": Profile(0.7, 0.6, 0.4, 0.6, 0.7, 0.5, 0.6, 0.25),
 }
 #: The order in which a profile's corruptions run.
-STEPS: tuple[tuple[str, Callable[[str, Rng], str]], ...] = (
+STEPS: tuple[tuple[str, Callable[[Column, Draws], Column]], ...] = (
     ("quote", strip_quotes), ("comma", drop_commas), ("colon", drop_colons), ("bracket", mangle_brackets),
     ("trailing", add_trailing_commas), ("comment", insert_comments), ("whitespace", mangle_whitespace), ("wrapper", add_wrapper),
 )
 
 
-def apply(text: str, profile: Profile, rng: Rng) -> str:
-    for name, step in STEPS:
-        if rng.random() < getattr(profile, name):
-            text = step(text, rng)
-    return text
-
-
 def profiles_frame(spark: SparkSession) -> DataFrame:
     """The named profiles as a table of five rows."""
     names = [f.name for f in fields(Profile)]
@@ -241,27 +255,26 @@ def named(name: str) -> Profile:
     return Profile(**{**profile.__dict__, "wrapper": 1.0}) if wrapped else profile
 
 
-def corrupted(text: Column, profile: Column, key: Column, seed: int) -> Column:
-    """Text corrupted by the profile named, in one pass over Arrow batches; null stays null."""
+#: Names that a profile column may hold: each profile, also with a wrapper for certain.
+NAMES = tuple(n + more for n in PROFILES for more in ("", "+wrapper"))
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, names: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if t is None else apply(t, named(n), row_random(seed, k, "corrupt")) for t, n, k in zip(texts, names, keys)]
-        )
 
-    return run(text, profile, key.cast("string"))
+def _gated(done: Column, step: Callable[[Column, Draws], Column], d: Draws) -> Callable[[Column], Column]:
+    return lambda text: F.when(done, step(text, d)).otherwise(text)
 
 
-def single(name: str, text: Column, key: Column, seed: int) -> Column:
-    """One corruption for every row."""
-    step = dict(STEPS)[name]
+def corrupted(text: Column, profile: Column, key: Column, seed: int) -> Column:
+    """Text corrupted by the profile named: its corruptions in order, each with its chance. Other names change nothing."""
+    for name, step in STEPS:
+        chances = F.create_map(*[F.lit(x) for n in NAMES for x in (n, getattr(named(n), name))])
+        done = Draws(seed, key, name).u("do") < F.coalesce(F.try_element_at(chances, profile), F.lit(0.0))
+        text = let(text, _gated(done, step, Draws(seed, key, name)))
+    return text
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else step(t, row_random(seed, k, name)) for t, k in zip(texts, keys)])
 
-    return run(text, key.cast("string"))
+def single(name: str, text: Column, key: Column, seed: int) -> Column:
+    """One corruption for every row."""
+    return let(text, lambda t: F.coalesce(dict(STEPS)[name](t, Draws(seed, key, name)), t))
 
 
 def corrupt_lines(df: DataFrame, seed: int, pct: float = 100.0, key: str = "sample_id") -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions.rng import u01, u01_sql
-from ..operators import augment, corrupt, curriculum, decode, enrich, gates, generate, metrics, sampling, tokens
+from ..operators import augment, corrupt, curriculum, decode, enrich, gates, generate, metrics, sampling, tokens, trees
 from ..operators.placing import spread
 from ..sources import jsonl
+from . import augment_sql, corrupt_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,20 +410,49 @@ def c07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", corrupt.without_indent(F.col("text")).alias("text"))
 
 
-def _choices(values: tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
-
-
 @query(
     "c08_wrapper",
-    f"SELECT event_id, {_choices(corrupt.PREAMBLES)}[floor({u01_sql(42, 'event_id', 'pre')} * {len(corrupt.PREAMBLES)})::INT + 1] || props || "
-    f"{_choices(corrupt.POSTAMBLES)}[floor({u01_sql(42, 'event_id', 'post')} * {len(corrupt.POSTAMBLES)})::INT + 1] AS text FROM events",
+    f"SELECT event_id, {corrupt_sql.texts(corrupt.PREAMBLES)}[floor({u01_sql(42, 'event_id', 'pre')} * {len(corrupt.PREAMBLES)})::INT + 1] || props || "
+    f"{corrupt_sql.texts(corrupt.POSTAMBLES)}[floor({u01_sql(42, 'event_id', 'post')} * {len(corrupt.POSTAMBLES)})::INT + 1] AS text FROM events",
 )
 def c08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", corrupt.wrapped(F.col("props"), "event_id", 42).alias("text"))
 
 
-@query("c09_corrupt_heavy")
+#: The compact JSON that agent_json makes of a document, and its pretty layout.
+_DOC = {c: f"to_json({c})" for c in ("text", "lang", "source")}
+AGENT_SQL = f"""(SELECT doc_id, CASE WHEN doc_id % 2 = 1
+  THEN '{{"memory":[' || {_DOC["lang"]} || ',' || {_DOC["source"]} || '],"thought":' || {_DOC["text"]} || ',"tool":{{"arguments":{{"query":' || {_DOC["text"]} || '}},"tool_name":"search"}}}}'
+  ELSE '{{"answer":' || {_DOC["text"]} || ',"memory":[' || {_DOC["lang"]} || ',' || {_DOC["source"]} || '],"thought":' || {_DOC["text"]} || '}}' END AS text FROM documents)"""
+_PRETTY = {c: f"replace(replace(replace({v}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')" for c, v in _DOC.items()}
+_N = "' || chr(10) || '"
+PRETTY_SQL = f"""(SELECT doc_id, '{{' || CASE WHEN doc_id % 2 = 0 THEN '{_N}  "answer": ' || {_PRETTY["text"]} || ',' ELSE '' END
+  || '{_N}  "memory": [{_N}    ' || {_PRETTY["lang"]} || ',{_N}    ' || {_PRETTY["source"]} || '{_N}  ],{_N}  "thought": ' || {_PRETTY["text"]}
+  || CASE WHEN doc_id % 2 = 1 THEN ',{_N}  "tool": {{{_N}    "arguments": {{{_N}      "query": ' || {_PRETTY["text"]} || '{_N}    }},{_N}    "tool_name": "search"{_N}  }}' ELSE '' END || '{_N}}}' AS text FROM documents)"""
+
+
+def agent_xml_sql() -> str:
+    """The XML of the same JSON, as an expression over documents."""
+    line = lambda level, x: f"'{'  ' * level}{x}' || chr(10)"
+    entry = lambda level, key, value: [line(level, "<entry>"), line(level + 1, f"<key>{key}</key>"), *value, line(level, "</entry>")]
+    scalar = lambda level, v: [f"'{'  ' * level}<value>' || {v} || '</value>' || chr(10)"]
+    inside = lambda level, body: [line(level, "<value>"), *body, line(level, "</value>")]
+    text = cdata_sql("text")
+    memory = entry(1, "memory", inside(2, [line(3, "<array>"), *scalar(4, cdata_sql("lang")), *scalar(4, cdata_sql("source")), line(3, "</array>")]))
+    arguments = entry(4, "arguments", inside(5, [line(6, "<object>"), *entry(7, "query", scalar(8, text)), line(6, "</object>")]))
+    tool = entry(1, "tool", inside(2, [line(3, "<object>"), *arguments, *entry(4, "tool_name", scalar(5, cdata_sql("'search'"))), line(3, "</object>")]))
+    thought = entry(1, "thought", scalar(2, text))
+    answer = " || ".join(entry(1, "answer", scalar(2, text)))
+    first = f"CASE WHEN doc_id % 2 = 0 THEN {answer} ELSE '' END"
+    last = f"CASE WHEN doc_id % 2 = 1 THEN {' || '.join(tool)} ELSE '' END"
+    return " || ".join([line(0, "<object>"), first, *memory, *thought, last, line(0, "</object>")])
+
+
+@query(
+    "c09_corrupt_heavy",
+    f"""WITH src AS (SELECT doc_id AS key, text, 'heavy' AS profile FROM {AGENT_SQL}), {corrupt_sql.profiled("src")}
+        SELECT key AS sample_id, text AS input, xml AS target FROM corrupted JOIN (SELECT doc_id AS key, {agent_xml_sql()} AS xml FROM documents) USING (key)""",
+)
 def c09(spark: SparkSession, d: str) -> DataFrame:
     rows = agent_json(table(spark, d, "documents"))
     return rows.select("sample_id", corrupt.corrupted(F.col("input"), F.lit("heavy"), F.col("sample_id"), 42).alias("input"), "target")
@@ -436,8 +466,8 @@ def _single(name: str) -> Query:
     return run
 
 
-for _number, _name in enumerate(("quote", "comma", "colon", "bracket", "trailing", "comment", "whitespace", "wrapper"), 1):
-    query(f"c{_number:02d}_seeded_{_name}")(_single(_name))
+for _number, (_name, _) in enumerate(corrupt.STEPS, 1):
+    query(f"c{_number:02d}_seeded_{_name}", f"SELECT key AS sample_id, text AS input FROM ({corrupt_sql.single(_name, f'(SELECT doc_id AS key, text FROM {PRETTY_SQL})')})")(_single(_name))
 
 
 @query("c10_profiles", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', " + ", ".join(f"{v}::DOUBLE" for v in p.__dict__.values()) + ")" for n, p in corrupt.PROFILES.items()) + ") AS t(name, quote, comma, colon, \"comment\", wrapper, \"trailing\", whitespace, bracket)")
@@ -471,7 +501,15 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", corrupt.profile_plain(u01(42, "doc_id", "plain")).alias("profile"))
 
 
-@query("c14_corrupt_lines")
+_MIXED = "CASE WHEN {u} < 0.40 THEN 'subtle' WHEN {u} < 0.75 THEN 'light' WHEN {u} < 0.90 THEN 'light+wrapper' ELSE 'medium' END"
+
+
+@query(
+    "c14_corrupt_lines",
+    f"""WITH src AS (SELECT doc_id AS key, text, CASE WHEN {u01_sql(42, 'doc_id', 'gate')} * 100 < 60 THEN {_MIXED.format(u=u01_sql(42, 'doc_id', 'mix'))} ELSE 'none' END AS profile FROM {AGENT_SQL}),
+        {corrupt_sql.profiled("src")}
+        SELECT key AS sample_id, text AS input, xml AS target FROM corrupted JOIN (SELECT doc_id AS key, {agent_xml_sql()} AS xml FROM documents) USING (key)""",
+)
 def c14(spark: SparkSession, d: str) -> DataFrame:
     return corrupt.corrupt_lines(agent_json(table(spark, d, "documents")), 42, 60)
 
@@ -481,33 +519,89 @@ def c14(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f14_shuffle_words",
-    f"""SELECT conv_id, turn, array_to_string(list_transform(list_sort([{{'u': {u01_sql(42, "conv_id || '-' || turn", "w' || (i - 1) || '")}, 'i': i, 'w': w[i]}} FOR i IN range(1, len(w) + 1)]), lambda s: s.w), ' ') AS text
-        FROM (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM conversations)""",
+    f"""SELECT conv_id, turn, array_to_string(list_transform(list_sort([{{'u': {augment_sql.u(42, "text", "w", "i")}, 'i': i, 'w': w[i + 1]}} FOR i IN range(len(w))]), lambda s: s.w), ' ') AS text
+        FROM (SELECT conv_id, turn, conv_id || '-' || turn AS key, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations)""",
 )
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return rows.select("conv_id", "turn", augment.shuffled_words_native(F.col("text"), "key", 42).alias("text"))
+    draws = corrupt.Draws(42, F.concat_ws("-", "conv_id", "turn"), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(augment.shuffled(augment.words_of(F.col("text")), draws), " ").alias("text"))
 
 
-@query(
-    "f16_inject_signs",
-    f"""SELECT p_partkey, array_to_string([CASE WHEN {u01_sql(42, 'p_partkey', "s' || (i - 1) || '")} < 0.3
-        THEN w[i] || ['<', '>', '&', '''', '"'][floor({u01_sql(42, 'p_partkey', "c' || (i - 1) || '")} * 5)::INT + 1] ELSE w[i] END FOR i IN range(1, len(w) + 1)], ' ') AS text
-        FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)""",
-)
+#: Conversations as trees: a record with its turns as an array of objects.
+def conversation_trees(conversations: DataFrame) -> DataFrame:
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    body = F.struct(F.col("conv_id").alias("id"), F.struct(F.size("turns").alias("n"), F.lit(True).alias("open")).alias("meta"), "turns")
+    return conversations.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(body).alias("json"))
+
+
+_F17 = augment.Settings(special=0.2, dict_pct=50.0)
+
+
+def _f17_sql() -> str:
+    role, text = (augment_sql.new_text(c, f"/turns/' || turn || '/{c}", _F17) for c in ("role", "text"))
+    entry = lambda level, key, value: f"'{'  ' * level}<entry>{_N}{'  ' * (level + 1)}<key>{key}</key>{_N}{'  ' * (level + 1)}<value>' || {value} || '</value>{_N}{'  ' * level}</entry>{_N}'"
+    item_json = f"'{{\"role\":' || {augment_sql.json_text('new_role')} || ',\"text\":' || {augment_sql.json_text('new_text')} || ',\"turn\":' || turn || '}}'"
+    item_xml = f"'        <value>{_N}          <object>{_N}' || {entry(6, 'role', cdata_sql('new_role'))} || {entry(6, 'text', cdata_sql('new_text'))} || {entry(6, 'turn', 'turn')} || '          </object>{_N}        </value>{_N}'"
+    meta = f"'  <entry>{_N}    <key>meta</key>{_N}    <value>{_N}      <object>{_N}' || {entry(4, 'n', 'n')} || {entry(4, 'open', chr(39) + 'true' + chr(39))} || '      </object>{_N}    </value>{_N}  </entry>{_N}'"
+    return f"""
+WITH given AS (SELECT *, conv_id AS key FROM conversations),
+made AS (SELECT *, {role} AS new_role, {text} AS new_text FROM given),
+items AS (SELECT conv_id, turn, {item_json} AS j, {item_xml} AS x FROM made),
+whole AS (SELECT conv_id, count(*) AS n, string_agg(j, ',' ORDER BY turn) AS js, string_agg(x, '' ORDER BY turn) AS xs FROM items GROUP BY conv_id)
+SELECT conv_id, '{{"id":' || conv_id || ',"meta":{{"n":' || n || ',"open":true}},"turns":[' || js || ']}}' AS compact,
+  '<object>{_N}' || {entry(1, 'id', 'conv_id')} || {meta} || '  <entry>{_N}    <key>turns</key>{_N}    <value>{_N}      <array>{_N}' || xs || '      </array>{_N}    </value>{_N}  </entry>{_N}</object>{_N}' AS xml
+FROM whole"""
+
+
+@query("f17_rewrite_strings", _f17_sql())
+def f17(spark: SparkSession, d: str) -> DataFrame:
+    change = lambda leaf, path: augment.new_text(leaf, corrupt.Draws(42, F.col("conv_id"), F.concat(F.lit("text:"), path)), _F17.special, _F17.dict_pct)
+    return trees.rewrite(conversation_trees(table(spark, d, "conversations")), "conv_id", "json", change).select("conv_id", "compact", "xml")
+
+
+_F16 = augment.Settings(special=0.3)
+
+
+@query("f16_inject_signs", f"""SELECT p_partkey, array_to_string([CASE WHEN {augment_sql.u(42, "signs", "t", "i")} < 0.3 THEN w[i + 1]
+      || CASE WHEN style IN (1, 3) THEN ' ' ELSE '' END || ['<', '>', '&', '''', '"'][floor({augment_sql.u(42, "signs", "sign", "i")} * 5)::INT + 1]
+      || CASE WHEN style IN (2, 3) THEN ' ' ELSE '' END ELSE w[i + 1] END FOR i IN range(len(w))], ' ') AS text
+    FROM (SELECT p_partkey, p_partkey AS key, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)""".replace("style", f"floor({augment_sql.u(42, 'signs', 'space', 'i')} * 4)"))
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", augment.signs_native(F.concat_ws(" ", "p_name", "p_type"), "p_partkey", 42, 0.3).alias("text"))
+    words = augment.words_of(F.concat_ws(" ", "p_name", "p_type"))
+    return table(spark, d, "part").select("p_partkey", augment.inject_signs(words, corrupt.Draws(42, F.col("p_partkey"), "signs"), 0.3).alias("text"))
+
 
+_PAIRS_SQL = f"(SELECT d.doc_id, d.text, lang, source, a.text AS input, {agent_xml_sql().replace('(text', '(d.text')} AS xml FROM documents d JOIN {AGENT_SQL} a USING (doc_id))"
+_F20 = augment.Settings(variants=3, sample_pct=50.0)
 
-@query("f20_augment_run")
+
+@query(
+    "f20_augment_run",
+    f"""WITH pairs AS MATERIALIZED (SELECT *, strlen(input) AS n FROM {_PAIRS_SQL} WHERE strlen(input) <= {_F20.max_bytes}),
+    r AS (SELECT doc_id, (n >= 1500)::INT + (n >= 2500)::INT + (n >= 3500)::INT + (n >= 4500)::INT AS stratum, {u01_sql(42, 'doc_id', 'stratified')} AS u FROM pairs),
+    c AS (SELECT s AS stratum, count(r.doc_id) AS cnt FROM range(5) t(s) LEFT JOIN r ON r.stratum = s GROUP BY 1),
+    q AS (SELECT *, floor(floor((SELECT count(*) FROM r) * {_F20.sample_pct} / 100) / 5) AS q FROM c),
+    p AS (SELECT *, greatest(cnt - q, 0) AS spare, sum(greatest(q - cnt, 0)) OVER () AS missing FROM q),
+    t AS (SELECT stratum, least(cnt, q) + least(spare, greatest(missing - coalesce(sum(spare) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS take FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, doc_id) AS k FROM r),
+    sampled AS (SELECT pairs.* FROM pairs JOIN n USING (doc_id) JOIN t USING (stratum) WHERE k <= take), {augment_sql.variants("sampled", _F20, cdata_sql)}
+    SELECT * FROM made""",
+)
 def f20(spark: SparkSession, d: str) -> DataFrame:
-    return augment.run(agent_json(table(spark, d, "documents")), augment.Settings(variants=3, sample_pct=50.0))
+    return augment.run(agent_json(table(spark, d, "documents")), _F20)
 
 
-@query("a03_counters")
+_A03 = augment.Settings(variants=2, truncate_pct=20.0)
+
+
+@query(
+    "a03_counters",
+    f"""WITH pairs AS MATERIALIZED (SELECT * FROM {_PAIRS_SQL}), {augment_sql.variants("pairs", _A03, cdata_sql)}
+    SELECT count(*) FILTER (variant_no = 0 AND input IS NOT NULL) AS natural, count(*) FILTER (variant_no > 0 AND input IS NOT NULL) AS augmented,
+      count(*) FILTER (input IS NULL) AS failed, count(*) FILTER (corrupted) AS corrupted, count(*) FILTER (compacted) AS compacted, count(*) FILTER (truncated) AS truncated FROM made""",
+)
 def a03(spark: SparkSession, d: str) -> DataFrame:
-    made = augment.make_variants(agent_json(table(spark, d, "documents")), augment.Settings(variants=2, truncate_pct=20.0))
-    return augment.counters(made)
+    return augment.counters(augment.make_variants(agent_json(table(spark, d, "documents")), _A03))
 
 
 def tool_calls(docs: DataFrame) -> DataFrame:
@@ -518,7 +612,7 @@ def tool_calls(docs: DataFrame) -> DataFrame:
 @query(
     "j01_choose_arguments",
     f"""WITH dim(tool_name, n) AS (VALUES {", ".join(f"('{t}', {len(v)})" for t, v in enrich.VARIANTS.items())}),
-        calls AS (SELECT doc_id AS sample_id, {_choices((*enrich.VARIANTS, "unknown"))}[doc_id % 10 + 1] AS tool_name FROM documents)
+        calls AS (SELECT doc_id AS sample_id, {corrupt_sql.texts((*enrich.VARIANTS, "unknown"))}[doc_id % 10 + 1] AS tool_name FROM documents)
         SELECT sample_id, tool_name, coalesce(CASE WHEN {u01_sql(42, 'sample_id', 'enrich')} * 100 < 25 THEN floor({u01_sql(42, 'sample_id', 'variant')} * n)::INTEGER END, -1) AS variant_no
         FROM calls LEFT JOIN dim USING (tool_name)""",
 )

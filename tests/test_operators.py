@@ -12,37 +12,48 @@ from millrace.operators import augment, corrupt, curriculum, decode, enrich, gat
 SAMPLE = json.dumps({"title": "a, b: {c}", "name": "q\"uote", "n": [1, 2, 3], "o": {"s": "x y", "t": True, "k": [[1], [2]]}}, indent=2)
 
 
-def test_corruptions_touch_structure_only():
-    strings = ('"a, b: {c}"', '"q\\"uote"')
-    steps = dict(corrupt.STEPS)
-    for name, step in steps.items():
-        outs = {step(SAMPLE, random.Random(seed)) for seed in range(60)}
-        assert len(outs) > 1, name
-        assert step(SAMPLE, random.Random(3)) == step(SAMPLE, random.Random(3))
-        assert isinstance(step("", random.Random(1)), str)
-        if name in ("comma", "colon", "trailing", "whitespace"):
-            assert all(s in o for o in outs for s in strings), name
-    assert all(o.count('"') <= SAMPLE.count('"') for o in [corrupt.strip_quotes(SAMPLE, random.Random(s)) for s in range(9)])
-    assert corrupt.strip_quotes('{"a b": "http://x"}', random.Random(1)) == '{"a b": "http://x"}'
-    assert corrupt.strip_quotes('{"abc', random.Random(1)) == '{"abc'
-    for seed in range(200):
-        made = corrupt.mangle_brackets(SAMPLE, random.Random(seed))
-        assert abs(len(made) - len(SAMPLE)) <= len(SAMPLE) and all(s in made for s in strings)
-    assert corrupt.drop_commas("1,2", random.Random(0), p=1.0).replace(" ", "") == "12"
-    assert corrupt.add_trailing_commas('{"a":[1,{}]}', random.Random(0), p=1.0) == '{"a":[1,{},],}'
+def seeded(spark, text, step, n=200):
+    """What a column function makes of one text for n keys; step takes the text and the key."""
+    df = spark.range(n).select("id", F.lit(text).alias("t"))
+    return [r.x for r in df.select(step(F.col("t"), F.col("id")).alias("x")).collect()]
 
 
-def test_escape_parity():
+def test_corruptions_touch_structure_only(spark):
+    strings = ('"a, b: {c}"', '"q\\"uote"')
+    for name, _ in corrupt.STEPS:
+        outs = seeded(spark, SAMPLE, lambda t, k, name=name: corrupt.single(name, t, k, 7))
+        assert len(set(outs)) > 1 and outs == seeded(spark, SAMPLE, lambda t, k, name=name: corrupt.single(name, t, k, 7)), name
+        assert all(isinstance(x, str) for x in seeded(spark, "", lambda t, k, name=name: corrupt.single(name, t, k, 7), 5))
+        assert seeded(spark, None, lambda t, k, name=name: corrupt.single(name, t.cast("string"), k, 7), 2) == [None, None]
+        if name in ("comma", "colon", "trailing", "whitespace", "bracket"):
+            assert all(s in o for o in outs for s in strings), name
+        if name == "quote":
+            assert all(o.count('"') <= SAMPLE.count('"') for o in outs)
+        if name == "bracket":
+            assert all(abs(len(o) - len(SAMPLE)) <= len(SAMPLE) for o in outs)
+    draws = lambda k: corrupt.Draws(1, k, "x")
+    for text in ('{"a b": "http://x"}', '{"abc'):
+        assert set(seeded(spark, text, lambda t, k: corrupt.strip_quotes(t, draws(k), 1.0), 3)) == {text}
+    assert {x.replace(" ", "") for x in seeded(spark, "1,2", lambda t, k: corrupt.drop_commas(t, draws(k), 1.0), 9)} == {"12"}
+    assert set(seeded(spark, '{"a":[1,{}] \n}', lambda t, k: corrupt.add_trailing_commas(t, draws(k), 1.0), 3)) == {'{"a":[1,{},] \n,}'}
+    runs = seeded(spark, '{"a":[[1] ]}', lambda t, k: corrupt.mangle_brackets(t, draws(k)), 400)
+    assert len(set(runs)) > 8 and '{"a":[[1] ]}' in runs and all(x.startswith('{"a":[[1') for x in runs)
+
+
+def test_literals_of_any_length(spark):
     for n, inside in ((0, True), (1, False), (2, True), (3, False)):
         text = '"' + "\\" * n + '", x'
-        assert any(free and c == "," for c, free in corrupt.marked(text)) is inside
+        assert seeded(spark, text, lambda t, k: corrupt.drop_commas(t, corrupt.Draws(1, k, "x"), 1.0), 1)[0].count(",") == (not inside)
+    long = json.dumps({"a": "\n\"x, " * 100_000, "b": [[]] * 20_000})
+    out = seeded(spark, long, lambda t, k: corrupt.drop_commas(t, corrupt.Draws(1, k, "x"), 1.0), 1)[0]
+    assert out.count(",") == 100_000 and all(seeded(spark, long, lambda t, k: corrupt.corrupted(t, F.lit("heavy"), k, 1), 4))
 
 
 def test_profiles(spark):
-    assert corrupt.apply(SAMPLE, corrupt.PROFILES["none"], random.Random(1)) == SAMPLE
+    by = lambda name, n=200: seeded(spark, SAMPLE, lambda t, k: corrupt.corrupted(t, F.lit(name), k, 3), n)
+    assert set(by("none", 20)) == set(by("no such name", 20)) == {SAMPLE}
     assert corrupt.named("light+wrapper").wrapper == 1.0 and corrupt.named("light").quote == 0.3
-    hits = sum(corrupt.apply(SAMPLE, corrupt.PROFILES["heavy"], random.Random(s)) != SAMPLE for s in range(200))
-    assert hits > 190
+    assert sum(x != SAMPLE for x in by("heavy")) > 190
     df = spark.range(300).select(F.col("id").alias("sample_id"), F.lit(SAMPLE).alias("input"), F.lit("t").alias("target"))
     one = {r.sample_id: r.input for r in corrupt.corrupt_lines(df.repartition(1), 7).collect()}
     many = {r.sample_id: r.input for r in corrupt.corrupt_lines(df.repartition(8), 7).collect()}
@@ -124,22 +135,53 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert sampling.split(df, F.col("sample_id")).where("split = 'val'").agg(F.min("sample_id"), F.count("*")).first() == (450, 50)
 
 
-def test_augmentation():
+def test_augmentation(spark):
     value = {"thought": "one two three", "answer": "four five", "memory": ["m n"], "n": 3}
-    for seed in range(50):
-        text, xml = augment.augment_one(json.dumps(value), random.Random(seed), 0.5)
-        made = jsontext.parse(text)
-        assert set(made) >= {"thought", "answer", "n"} and made["n"] == 3 and xmltext.xml_to_value(xml) == made
-    words = augment.shuffled_words("b a c", random.Random(1), 0.0).split()
-    assert sorted(words) == ["a", "b", "c"] and augment.shuffled_words("", random.Random(1), 1.0) == ""
-    assert len(augment.dictionary_words("a b c", random.Random(1), 0.0, ["w"]).split()) == 3
-    assert augment.augment_one("{", random.Random(1)) is None
-    for seed in range(100):
-        cut = augment.truncate_json(SAMPLE, random.Random(seed))
+    text = json.dumps(value)
+    pairs = spark.range(40).select(F.col("id").alias("sample_id"), F.lit(text).alias("input"), F.lit(xmltext.json_to_xml(text)).alias("target"))
+    plain = augment.Settings(variants=1, special=0.5, dict_pct=50.0, corrupt_pct=0.0, truncate_pct=0.0)
+    made = [r for r in augment.make_variants(pairs, plain).collect() if r.variant_no]
+    for r in made:
+        got = jsontext.parse(r.input)
+        assert set(got) >= {"thought", "answer", "n"} and got["n"] == 3 and xmltext.xml_to_value(r.target) == got
+    assert len({r.input for r in made}) > 30 and {"memory" in jsontext.parse(r.input) for r in made} == {True, False}
+    draws = lambda k: corrupt.Draws(1, k, "x")
+    words = seeded(spark, " b a  c", lambda t, k: F.array_join(augment.shuffled(augment.words_of(t), draws(k)), " "), 30)
+    assert {tuple(sorted(w.split())) for w in words} == {("a", "b", "c")} and len(set(words)) > 3
+    assert set(seeded(spark, " ", lambda t, k: augment.new_text(t, draws(k), 1.0, 0.0), 3)) == {" "}
+    assert {len(x.split()) for x in seeded(spark, "", lambda t, k: augment.new_text(t, draws(k), 0.0, 100.0, ["w"]), 60)} == {1, 2, 3}
+    assert set(seeded(spark, "a b", lambda t, k: augment.new_text(t, draws(k), 0.0, 100.0, ["w"]), 5)) == {"w w"}
+    for cut in seeded(spark, SAMPLE, lambda t, k: augment.truncate_json(t, draws(k)), 100):
         assert SAMPLE.startswith(cut) and len(SAMPLE) // 2 <= len(cut) <= len(SAMPLE) * 9 // 10 + 1
-        kept = jsontext.parse(augment.drop_keys(SAMPLE, random.Random(seed)))
-        assert len(kept) in (2, 3)
-    assert augment.drop_keys('{"a":1}', random.Random(1)) == '{"a":1}' and augment.truncate_json("short", random.Random(1)) == "short"
+    wide = "é€😀" * 40
+    assert all(wide.startswith(x) and len(x.encode()) >= len(wide.encode()) // 2 - 3 for x in seeded(spark, wide, lambda t, k: augment.truncate_json(t, draws(k)), 60))
+    assert seeded(spark, "short", lambda t, k: augment.truncate_json(t, draws(k)), 1) == ["short"]
+    for names, sizes in ((["a"], {0}), (["a", "b"], {1}), (["a", "b", "c"], {1, 2})):
+        assert {len(x) for x in seeded(spark, "", lambda t, k, names=names: augment.dropped_keys(F.array(*map(F.lit, names)), draws(k)), 60)} == sizes
+
+
+def test_augmentation_of_other_texts(spark):
+    rows = [(1, "{", "t"), (2, '{"a":"\\u0001"}', "t"), (3, '["x y", 5]', "t"), (4, '"root"', "t"), (5, '{"memory":["m"]}', "t"), (6, "{}", "t"), (6, "{}", "t")]
+    pairs = spark.createDataFrame(rows, "sample_id long, input string, target string").withColumn("kind", F.lit(1))
+    s = augment.Settings(variants=2, corrupt_pct=0.0, truncate_pct=100.0, compact_pct=0.0, drop_memory_pct=100.0)
+    got = {}
+    for r in augment.make_variants(pairs, s).collect():
+        got.setdefault(r.sample_id, []).append((r.variant_no, r.input, r.truncated))
+    assert sorted(got[1]) == [(0, "{", False), (1, None, False), (2, None, False)] and [x[1] for x in sorted(got[2])][1:] == [None, None]
+    assert all(not x[2] for x in got[3] + got[4]) and {x[1] for x in got[4]} == {'"root"'} and len(got[6]) == 6
+    assert [x[1] for x in sorted(got[5])][1:] == ["{}", "{}"]
+
+
+def test_a_dictionary_of_any_size(spark):
+    words = spark.range(500).select(F.format_string("w%05d", "id").alias("value")).unionByName(spark.createDataFrame([("w00001",), (None,)], "value string"))
+    numbered = augment.numbered(words)
+    assert sorted(map(tuple, numbered.collect())) == [(f"w{k:05d}", k) for k in range(500)]
+    text = json.dumps({"a": "x y z", "b": ["", "q"]})
+    pairs = spark.range(30).select(F.col("id").alias("sample_id"), F.lit(text).alias("input"), F.lit("t").alias("target"))
+    s = augment.Settings(variants=1, special=0.0, dict_pct=100.0, corrupt_pct=0.0, truncate_pct=0.0)
+    table = {r.sample_id: r.input for r in augment.make_variants(pairs, s, words=numbered).where("variant_no = 1").collect()}
+    listed = {r.sample_id: r.input for r in augment.make_variants(pairs, s, words=[f"w{k:05d}" for k in range(500)]).where("variant_no = 1").collect()}
+    assert table == listed and len(set(table.values())) == 30
 
 
 def test_augment_run(spark):
