@@ -125,8 +125,10 @@ def plan_mix(
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of df, each as often as it is taken, with df's columns."""
-    planned = plan_mix(df.withColumnsRenamed({id_col: "_id", source_col: "_of"}), "_id", text_col, "_of", keep=[c for c in df.columns if c not in (id_col, source_col)], **options)
-    others = [c for c in df.columns if c not in (id_col, source_col)]
-    own = {id_col: "_id", source_col: "_of"} | {c: f"_rest.r{k}" for k, c in enumerate(others)}
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names that cannot clash
+    own = dict(zip(df.columns, numbered.columns))
+    others = [c for c in numbered.columns if c not in (own[id_col], own[source_col])]
+    planned = plan_mix(numbered, own[id_col], own[text_col], own[source_col], keep=others, **options)
     taken = planned.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(own[c]).alias(c) for c in df.columns])
+    place = {c: f"_rest.r{k}" for k, c in enumerate(others)}
+    return taken.select(*[F.col(place.get(c, c)) for c in numbered.columns]).toDF(*df.columns)

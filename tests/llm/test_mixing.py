@@ -84,3 +84,17 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame(made(), "doc_id long, text string, source string")
     plan = mixing.plan_mix(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = made(9, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, (tuple(r) for r in mixing.mix(df).collect())))
+    names = ("_id", "_of", "_rest", "_source", "_size", "copies", "target", "pid", "pos", "c0", "a.b", "size")
+    wide = df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = mixing.mix(wide)
+    assert got.columns == wide.columns and sorted(str(tuple(r)[:3]) for r in got.collect()) == want
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in got.collect())
+    dotted = df.toDF("i.d", "t.x", "s.c")
+    got = mixing.mix(dotted, "i.d", "t.x", "s.c")
+    assert got.columns == dotted.columns and sorted(str(tuple(r)) for r in got.collect()) == want
