@@ -250,9 +250,9 @@ def train(
     and the result is None. Other columns may have any names.
     """
     known = (
-        labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("_of"))
-        .agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_top"))
+        labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
+        .groupBy(F.col(f"`{id_col}`").alias("_of"))
+        .agg(F.min(f"`{label_col}`").alias("_y"), F.max(f"`{label_col}`").alias("_top"))
         .where("_y = _top")
     )
     totals = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -263,7 +263,7 @@ def train(
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(chance, "_of").limit(sample // 2)
         picked = some if picked is None else picked.union(some)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_of"))  # `sample` ids at most
     words = F.coalesce(F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     rows = cut(rows.withColumn("_passages", F.greatest(F.lit(1), F.ceil(words / PASSAGE))).where(F.col("_passages") <= longest))

@@ -89,7 +89,7 @@ def with_rules(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFram
 
 def host_links(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(src, dst, n): links between different hosts and how often they occur."""
-    links = df.select(host(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(html_col, F.lit(HREF), F.lit(1))).alias("link"))
+    links = df.select(host(F.col(f"`{url_col}`")).alias("src"), F.explode(F.regexp_extract_all(F.col(f"`{html_col}`"), F.lit(HREF), F.lit(1))).alias("link"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
     found = links.select("src", host(full).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -117,8 +117,8 @@ def judge(
     rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 10,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every row of df."""
-    url = F.col(url_col)
-    judged = cut(with_rules(df.select(F.col(id_col).alias("id"), host(url).alias("host"), path(url).alias("path")), rules))
+    url = F.col(f"`{url_col}`")
+    judged = cut(with_rules(df.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), path(url).alias("path")), rules))
     hosts = judged.where("host <> ''").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("action") == "allow").alias("good"),

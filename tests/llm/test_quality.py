@@ -167,3 +167,7 @@ def test_any_names(spark):
     assert quality.score(docs, None, keep=tuple(docs.columns)).columns == ["doc_id", "text", "_text", "score", "predicted"]
     good = quality.keep_good(docs, None)
     assert good.columns == docs.columns and [tuple(r) for r in good.collect()] == [(1, "a b", 0.5, 3, "x")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "`i.d` long, `q.y` int")
+    dotted = spark.createDataFrame([(1, "a b c"), (2, "### !!!")], "`i.d` long, `t.x` string")
+    model = quality.train(dotted, labels, "i.d", "t.x", "q.y")
+    assert quality.score(dotted, model, "t.x", keep=("i.d",)).columns == ["i.d", "score", "predicted"]

@@ -96,3 +96,5 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "x"), (1, "http://a.net/", "x"), (None, "http://b.org/en/", None)], "page_id long, url string, html string")
     assert sorted((r.id or 0, r.verdict) for r in urls.judge(df).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
     assert urls.judge(df.where(F.lit(False))).count() == 0
+    dotted = df.toDF("page.id", "u.rl", "h.tml")
+    assert sorted((r.id or 0, r.verdict) for r in urls.judge(dotted, "page.id", "u.rl", "h.tml").collect()) == [(0, "allow"), (1, "block"), (1, "block")]
