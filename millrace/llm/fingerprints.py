@@ -1,21 +1,22 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A k-mer is a run of K units. It is an anchor if the smallest of its inner S-mers (runs of S units, compared by hash)
-stands at one of its edges. Whether a k-mer is an anchor depends on its own units alone, so equal passages have equal
-anchors wherever they stand; of any K - S + 1 neighbouring k-mers at least one is an anchor. Anchors come with their
-places, for positional matching: `likeness` of packed anchors counts those that stand at the same place, `likeness` of
-sketches those that stand anywhere.
+A k-mer is a run of k units. It is an anchor if the smallest of its inner s-mers (runs of s units, compared by hash) stands
+at one of its edges. Whether a k-mer is an anchor depends on its own units alone, so equal passages have equal anchors
+wherever they stand; of any k - s + 1 neighbouring k-mers at least one is an anchor.
 
-The units of a text are its words, what is left between ASCII white space, lower-cased; a word of over LONGEST code points,
-as in scripts without white space, is taken apart into its code points. A text of fewer than K units is taken apart whole
-into code points. A text with units but without a closed k-mer is one anchor, all its units.
+Every text has anchors of two sizes, by one rule for all lengths. Those of K words (S inner ones) carry their places, for
+positional matching. Those of two code points (of which each is closed) tell short texts and changed words apart: they are
+made of the distinct words that a hash draws, about LETTERED of a text, at a rate that falls with its length so that what
+a longer text draws is drawn in a shorter one too; a text of up to LETTERED words gives all of them. Words are what is left
+between ASCII white space, lower-cased; one of over LONGEST code points, as in scripts without white space, counts as its
+code points among the words.
 
-The fingerprint of a document is all its distinct anchor hashes, about half as many as it has units, cut off nowhere, so
-that a short passage shared by long texts counts. Two fingerprints are as alike as the Dice coefficient of the 32-bit hashes
-that they have.
+The fingerprint of a document is all its distinct anchor hashes, cut off nowhere, so that a short passage shared by long
+texts counts. Two fingerprints are as alike as the Dice coefficient of the 32-bit hashes that they have. `aligned` moves one
+text's anchors by the shift that most shared anchors have, and then counts those at equal places.
 
 Defined results: a null text is an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an empty
-and another one are not (0); equal texts have equal fingerprints; a very long text is one array of units; an empty table
+and another one are not (0); equal texts have equal fingerprints; a very long text is one array of words; an empty table
 gives an empty table; ids are read as longs, one that is no number as null; only the two columns named are read, so that others may have
 any names.
 """
@@ -31,8 +32,8 @@ K, S = 5, 2
 #: Code points of the longest word that is a unit.
 LONGEST = 16
 _SPACE = r"[\x20\x09-\x0D]+"
-#: The place of an anchor that is all of a text, where anchors are packed.
-WHOLE = (1 << 31) - 1
+#: Words of a text whose pairs of code points are anchors, about; all if it has no more.
+LETTERED = 24
 
 
 def _let(value: Column, use) -> Column:
@@ -68,14 +69,25 @@ def _hashes(units: Column) -> Column:
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<place, hash>>: place is the number of the anchor's first unit, hash a 64-bit hash of its units."""
-    return _let(_text_hashes(text, k), lambda hashes: _or_whole(hashes, _closed(hashes, k, s), F.lit(0)))
+    return _let(_hashes(_units(F.coalesce(text, F.lit("")))), lambda hashes: _closed(hashes, k, s))
 
 
-def _text_hashes(text: Column, k: int) -> Column:
-    def enough(units: Column) -> Column:
-        return F.when(F.size(units) >= k, units).when(F.size(units) == 0, units).otherwise(F.split(F.array_join(units, " "), ""))
+def letter_anchors(text: Column) -> Column:
+    """32-bit hashes of the pairs of code points, edges included, of the words that are drawn."""
 
-    return _hashes(_let(_units(F.coalesce(text, F.lit(""))), enough))
+    def drawn(words: Column) -> Column:
+        n = F.when(_has_long(words), F.size(_apart(words))).otherwise(F.size(words))
+        return _let(F.lit(float(1 << 31) * LETTERED) / F.greatest(n, F.lit(1)), lambda rate: made(words, rate))
+
+    def made(words: Column, rate: Column) -> Column:
+        some = F.filter(words, lambda w: F.shiftrightunsigned(F.xxhash64(w, F.lit(1)), 33) < rate)
+        return F.flatten(F.transform(F.array_distinct(some), lambda w: _let(F.concat(F.lit("\x02"), w, F.lit("\x03")), pairs)))
+
+    def pairs(word: Column) -> Column:
+        each = lambda letters: F.transform(F.sequence(F.lit(0), F.size(letters) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
+        return F.transform(_let(F.split(word, ""), each), lambda pair: F.shiftrightunsigned(F.xxhash64(pair), 32))
+
+    return _let(_words(F.lower(F.coalesce(text, F.lit("")))), drawn)
 
 
 def _closed(hashes: Column, k: int, s: int) -> Column:
@@ -94,13 +106,6 @@ def _closed(hashes: Column, k: int, s: int) -> Column:
     return F.when(n >= k, F.filter(every, lambda a: a.isNotNull())).otherwise(none)
 
 
-def _or_whole(hashes: Column, closed: Column, place: Column) -> Column:
-    """The closed k-mers, or else all units as one anchor, if there are units."""
-    whole = F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " "))
-    few = F.array(F.struct(place.alias("place"), whole.alias("hash")))
-    return _let(closed, lambda found: F.when((F.size(found) == 0) & (F.size(hashes) > 0), few).otherwise(found))
-
-
 def _pack(found: Column, shift: Column | None = None) -> Column:
     """Anchors as longs: the upper 32 bits of the hash, then the place."""
     place = (lambda a: a["place"] + shift) if shift is not None else lambda a: a["place"]
@@ -110,7 +115,7 @@ def _pack(found: Column, shift: Column | None = None) -> Column:
 
 def packed_anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Anchors of a text as array<long>, one long each, by place."""
-    return _let(_text_hashes(text, k), lambda hashes: _pack(_or_whole(hashes, _closed(hashes, k, s), F.lit(WHOLE))))
+    return _pack(anchors(text, k, s))
 
 
 def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int = S) -> Column:
@@ -134,24 +139,23 @@ def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int =
             start = F.greatest(m - (k - 1), F.lit(0))
             near = _let(_apart(last), lambda u: F.slice(u, F.greatest(F.size(u) - (m - start) + 1, F.lit(1)), m - start))
             hashes = _hashes(F.concat(near, _units(F.concat(broken, tail))))
-            new = _let(hashes, lambda h: F.struct(_pack(_closed(h, k, s), start).alias("new"), F.size(h).alias("n")))
+            new = _let(hashes, lambda h: F.struct(_pack(_closed(h, k, s), start).alias("new")))
             same = F.filter(own, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) < start)
-            return _let(new, lambda f: F.when(start + f["n"] >= k, F.concat(same, f["new"])))
+            return F.concat(same, new["new"])
 
         return _let(count, joined)
 
-    found = _let(_words(kept), after)
-    return _let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(packed_anchors(F.concat(kept, tail), k, s)))
+    return _let(_words(kept), after)
 
 
-def sketch_of(packed: Column) -> Column:
+def sketch_of(packed: Column, letters: Column) -> Column:
     """All distinct anchor hashes, ascending, each its upper 32 bits."""
-    return F.sort_array(F.array_distinct(F.transform(packed, lambda p: F.shiftrightunsigned(p, 32))))
+    return F.sort_array(F.array_distinct(F.concat(F.transform(packed, lambda p: F.shiftrightunsigned(p, 32)), letters)))
 
 
 def sketch(text: Column, k: int = K, s: int = S) -> Column:
     """The fingerprint of a text."""
-    return sketch_of(packed_anchors(text, k, s))
+    return sketch_of(packed_anchors(text, k, s), letter_anchors(text))
 
 
 def _small(found: Column) -> Column:
@@ -165,11 +169,54 @@ def written_out(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How alike two sketches, or two arrays of packed anchors, are, 0 to 1."""
+    """How alike two sketches are, 0 to 1."""
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / total)
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """How alike two arrays of packed anchors (columns of the table, not expressions) are by places, 0 to 1: the Dice
+    coefficient after a is moved by the main shift."""
+
+    def moved(shift: Column) -> Column:
+        there = F.filter(a, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) + shift >= 0)
+        return F.size(F.array_intersect(F.transform(there, lambda p: p + shift), b))
+
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * _let(main_shift(a, b), moved) / total)
+
+
+def _firsts(packed: Column) -> Column:
+    """The first place of each hash, ordered by hash."""
+    upper = lambda p: F.shiftrightunsigned(p, 32)
+    return _let(F.sort_array(packed), lambda a: F.filter(a, lambda p, i: (i == 0) | (upper(p) != upper(F.get(a, i - 1)))))
+
+
+def _shifts(a: Column, b: Column) -> Column:
+    """Of each shared hash, how much later it stands in b."""
+    hash_of, place = (lambda p: F.shiftrightunsigned(p, 32)), (lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)))
+    tagged = lambda x, side: F.transform(_firsts(x), lambda p: F.struct(hash_of(p).alias("h"), F.lit(side).alias("s"), place(p).alias("p")))
+    both = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    apart = lambda x: F.transform(x, lambda e, i: F.when((e["s"] == 1) & (i > 0) & (F.get(x, i - 1)["h"] == e["h"]), e["p"] - F.get(x, i - 1)["p"]))
+    return F.filter(_let(both, apart), lambda d: d.isNotNull())
+
+
+def main_shift(a: Column, b: Column) -> Column:
+    """By how many places most shared anchors of a stand later in b (first places count; the smallest of equally frequent
+    shifts); 0 if none is shared."""
+    def runs(shifts: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("most"), F.lit(0).cast("bigint").alias("best"))
+
+        def step(s: Column, x: Column) -> Column:
+            n = F.when((s["n"] > 0) & (s["at"] == x), s["n"] + 1).otherwise(F.lit(1).cast("bigint"))
+            better = n > s["most"]
+            return F.struct(n.alias("n"), x.alias("at"), F.when(better, n).otherwise(s["most"]).alias("most"), F.when(better, x).otherwise(s["best"]).alias("best"))
+
+        return F.aggregate(shifts, start, step, lambda s: s["best"])
+
+    return _let(_shifts(a, b), lambda x: runs(F.sort_array(x)))
+
+
 def neighbours(ids: DataFrame) -> DataFrame:
     """(id, n) to (id, before, before_n): for each distinct id the next smaller one, and the largest n of that one's rows;
     before the first stands the last. Ids are placed by range partitions; only one row per partition is looked at as a
@@ -202,7 +249,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = docs.where("id IS NOT NULL").join(before, "id")
     own = packed_anchors(F.col("text"))  # twice, after the shuffle of the texts: anchors are as large as these
     part = F.substring(F.col("text"), F.lit(1), (F.col("before_n") / 4).cast("int"))
-    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(own)))).alias("_sent"))
+    letters = letter_anchors(F.col("text"))
+    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(own, letters)))).alias("_sent"))
     n = F.length("text")
     kept = F.expr("substring(text, 1, length(text) - length(text) div 4)").alias("_kept")
     tail = F.substring(F.col("_sent.col1"), F.lit(1), (n / 4).cast("int")).alias("_tail")
@@ -213,7 +261,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n.alias("n_chars"),
         "text",
         "anchors",
-        sketch_of(F.col("anchors")).alias("sketch"),
+        sketch_of(F.col("anchors"), letters).alias("sketch"),
         F.concat("_kept", "_tail").alias("edited"),
         edited_anchors(F.col("anchors"), F.col("_kept"), F.col("_tail")).alias("edited_anchors"),
         F.transform("_next", lambda h: h.cast("bigint") + F.lit(1 << 31)).alias("next_sketch"),

@@ -20,42 +20,55 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def brute_units(text, k=fp.K):
-    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
-    units = [u for w in words for u in ([w] if len(w) <= fp.LONGEST else w)]
-    return units if len(units) >= k else [*" ".join(units)]
+def brute_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+
+
+def brute_units(text):
+    return [u for w in brute_words(text) for u in ([w] if len(w) <= fp.LONGEST else w)]
 
 
 def brute_anchors(text, k=fp.K, s=fp.S):
-    h = [chain([u]) for u in brute_units(text, k)]
+    h = [chain([u]) for u in brute_units(text)]
     out = []
     for i in range(len(h) - k + 1):
         inner = [signed(chain(h[i + j : i + j + s])) for j in range(k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
             out.append((i, chain(h[i : i + k])))
-    if h and not out:
-        return [(0, chain([" ".join(str(signed(x)) for x in h)]))]
+    return out
+
+
+def brute_letters(text):
+    n = len(brute_units(text))
+    out = set()
+    for w in set(brute_words(text)):
+        seed = xxhash.xxh64_intdigest(w.encode(), 42)
+        if xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed) >> 33 < 2**31 * fp.LETTERED / n:
+            marked = f"\x02{w}\x03"
+            out |= {chain([marked[i : i + 2]]) >> 32 for i in range(len(marked) - 1)}
     return out
 
 
 def brute_sketch(text):
-    return sorted({h >> 32 for _, h in brute_anchors(text)})
+    return sorted({h >> 32 for _, h in brute_anchors(text)} | brute_letters(text))
 
 
 def brute_likeness(a, b):
     return 2 * len({*a} & {*b}) / (len({*a}) + len({*b})) if a or b else 1.0
 
 
-def brute_places(text):
-    found = brute_anchors(text)
-    whole = len(found) == 1 and found[0] not in [(i, h) for i, h in found if brute_closed(text)]
-    return {(fp.WHOLE if whole else i, h >> 32) for i, h in found}
-
-
-def brute_closed(text, k=fp.K, s=fp.S):
-    h = [chain([u]) for u in brute_units(text, k)]
-    inner = [[signed(chain(h[i + j : i + j + s])) for j in range(k - s + 1)] for i in range(len(h) - k + 1)]
-    return any(min(x) in (x[0], x[-1]) for x in inner)
+def brute_aligned(text, other):
+    a, b = ([(i, h >> 32) for i, h in brute_anchors(t)] for t in (text, other))
+    if not a and not b:
+        return 1.0
+    first = lambda x: {h: i for i, h in reversed(x)}
+    counts = {}
+    for h, i in first(a).items():
+        if h in first(b):
+            shift = first(b)[h] - i
+            counts[shift] = counts.get(shift, 0) + 1
+    shift = min(counts, key=lambda s: (-counts[s], s)) if counts else 0
+    return 2 * len({(i + shift, h) for i, h in a} & {*b}) / (len(a) + len(b))
 
 
 def made(n=30, seed=3):
@@ -91,7 +104,7 @@ def test_query_is_brute_force(spark, tmp_path):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.fingerprint == "".join(f"{h:08x}" for h in own)
         assert r.edited_fingerprint == "".join(f"{h:08x}" for h in new)
-        assert abs(r.aligned_edited - brute_likeness(brute_places(text), brute_places(edited))) < 1e-12
+        assert abs(r.aligned_edited - brute_aligned(text, edited)) < 1e-12
         assert abs(r.near_edited - brute_likeness(own, new)) < 1e-12 and abs(r.near_next - brute_likeness(own, other)) < 1e-12
 
 
@@ -115,20 +128,35 @@ def test_repeats_nulls_single_and_empty(spark):
     assert fp.with_next(df.where(F.lit(False))).count() == 0
 
 
-def test_texts_without_a_closed_kmer_are_one_anchor(spark):
+def test_no_length_at_which_likeness_breaks_off(spark):
     rng = random.Random(1)
-    texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(n)) for n in (5, 6, 7) for _ in range(40)]
-    bare = [t for t in texts if not brute_closed(t)]
-    assert len(bare) > 20 and max(len(t.split()) for t in bare) == 6
-    rows = [(i, t) for i, t in enumerate(bare)] + [(1000, ""), (1001, None), (1002, " \n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", fp.sketch(F.col("text")))
-    got = {r.doc_id: list(r.s) for r in df.collect()}
-    for i, t in enumerate(bare):
-        h = [signed(chain([w])) for w in t.split()]
-        assert got[i] == [chain([" ".join(map(str, h))]) >> 32]
-    assert got[1000] == got[1001] == got[1002] == []
-    pair = df.where("doc_id = 0").select(F.col("s").alias("a")).crossJoin(df.where("doc_id > 0").select(F.col("doc_id"), F.col("s").alias("b")))
-    assert {r.l for r in pair.select(fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()} == {0.0}
+    rows = []
+    for n in [*range(1, 40), 60, 100, 200, 400]:
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+        rows.append((n, " ".join(words), " ".join([*words, "added"]), " ".join(["first", *words])))
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    near = [fp.likeness(fp.sketch(F.col("a")), fp.sketch(F.col(x))).alias(x) for x in "bc"]
+    for r in df.select("n", *near).collect():
+        assert r.b > 0.4 and r.c > 0.4, r
+    packed = df.select("n", *[fp.packed_anchors(F.col(x)).alias(x) for x in "ac"]).collect()
+    held = spark.createDataFrame([tuple(r) for r in packed], "n int, a array<bigint>, c array<bigint>")
+    moved = {r.n: r.m for r in held.select("n", fp.aligned(F.col("a"), F.col("c")).alias("m")).collect()}
+    for n, a, b, c in rows:
+        assert abs(moved[n] - brute_aligned(a, c)) < 1e-12 and (n < 12 or moved[n] > 0.6)
+    short = df.where("n < 6").select(fp.sketch(F.col("a")).alias("a")).collect()
+    assert all(r.a for r in short) and len({tuple(r.a) for r in short}) == 5
+    unlike = df.where("n = 4").select(fp.likeness(fp.sketch(F.col("a")), fp.sketch(F.lit("zzz yyy xxxx www"))).alias("l")).first()
+    assert unlike.l == 0.0
+
+
+def test_very_long_texts_through_the_query(spark, tmp_path):
+    from millrace.llm.queries import queries
+
+    rng = random.Random(5)
+    rows = [(1, " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))), (2, "x" * 300_000), (3, "short one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries()["op10_document_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got[1].n_chars == len(rows[0][1]) and got[1].near_edited > 0.5 and got[1].aligned_edited > 0.3 and got[2].n_chars == 300_000
 
 
 def test_texts_without_white_space(spark):
@@ -136,7 +164,7 @@ def test_texts_without_white_space(spark):
     han = [chr(c) for c in range(0x4E00, 0x5200)]
     rows = [(i, "".join(rng.choice(han) for _ in range(1200))) for i in range(8)] + [(100, "abcd efgh ijkl"), (101, "mnop qrst uvwx")]
     found = fp.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.id: (r.e, r.n) for r in found.select("id", fp.likeness(F.col("sketch"), fp.sketch_of(F.col("edited_anchors"))).alias("e"), fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
+    got = {r.id: (r.e, r.n) for r in found.select("id", fp.likeness(F.col("sketch"), fp.sketch_of(F.col("edited_anchors"), fp.letter_anchors(F.col("edited")))).alias("e"), fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
     assert all(got[i][0] > (0.6 if i < 100 else 0.2) and got[i][1] < 0.1 for i in got), got
 
 
@@ -152,6 +180,6 @@ def test_a_passage_shared_by_long_texts_counts(spark):
     df = spark.createDataFrame(rows, "doc_id long, a string, b string").select("doc_id", *[fp.sketch(F.col(c)).alias(c) for c in "ab"])
     got = {r.doc_id: (len(r.a), len(r.b), r.l) for r in df.withColumn("l", fp.likeness(F.col("a"), F.col("b"))).collect()}
     for i, a, b in rows:
-        x, y = ({h >> 32 for _, h in brute_anchors(t)} for t in (a, b))
+        x, y = ({*brute_sketch(t)} for t in (a, b))
         assert got[i][:2] == (len(x), len(y)) and len(x & y) >= 15
         assert abs(got[i][2] - 2 * len(x & y) / (len(x) + len(y))) < 1e-12
