@@ -76,10 +76,10 @@ def xml_fault_kind(text: pd.Series, tokens: pd.Series) -> pd.Series:
 # --- native
 
 
-def byte_levenshtein(a: str | Column, b: str | Column, most: int | None = None) -> Column:
+def byte_levenshtein(a: str | Column, b: str | Column, most: int | Column | None = None) -> Column:
     """Edit distance of the UTF-8 bytes; -1 beyond `most`. Bytes are looked at as Latin-1 characters."""
     x, y = (F.decode(F.encode(_col(c), "UTF-8"), "ISO-8859-1") for c in (a, b))
-    return F.levenshtein(x, y) if most is None else F.levenshtein(x, y, most)
+    return F.levenshtein(x, y) if most is None else F.call_function("levenshtein", x, y, most if isinstance(most, Column) else F.lit(most))
 
 
 def normalise_space(c: str | Column) -> Column:
@@ -148,15 +148,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _digits(x: Column) -> Column:
-    """Sign, digits without zeros around, and decimal exponent of the first digit, of a double as Spark writes it: the fewest
-    digits that read back as it, and before JDK 19 rarely one more."""
+    """Sign, digits without zeros around, and decimal exponent of the first digit, of the fewest digits that read back as a
+    double. Before JDK 19 the JVM may write 16 to 18 digits where 15 or 16 do, which are tried then."""
+
+    def fewest(text: Column) -> Column:
+        tried = [F.format_string(f"%.{n}e", x) for n in (14, 15)]
+        shorter = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried], text)
+        return F.when(F.length(F.regexp_replace(text, "E.*|[^0-9]", "")) > 15, shorter).otherwise(text)
 
     def parts(text: Column) -> Column:
         return F.struct(
             F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
             F.regexp_extract(text, r"^-?([0-9]+)", 1).alias("whole"),
             F.regexp_extract(text, r"\.([0-9]+)", 1).alias("part"),
-            F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("shift"),
+            F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]([-+]?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("shift"),
         )
 
     def told(p: Column) -> Column:
@@ -164,7 +169,7 @@ def _digits(x: Column) -> Column:
         place = p["shift"] + F.when(p["whole"] == "0", -1 - leading).otherwise(F.length(p["whole"]) - 1)
         return F.struct(p["sign"].alias("sign"), F.regexp_replace(F.concat(p["whole"], p["part"]), "^0+|0+$", "").alias("digits"), place.alias("exponent"))
 
-    return let(let(x.cast("string"), parts), told)
+    return let(let(let(x.cast("string"), fewest), parts), told)
 
 
 def _plain_digits(sign: Column, digits: Column, exponent: Column) -> Column:

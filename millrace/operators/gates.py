@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as fn
 from ..functions import jsontext, xmltext
 from ..functions.types import struct
 
@@ -51,36 +52,15 @@ def wrap_gate(text: pd.Series) -> pd.DataFrame:
 
 
 def wrap(lines: DataFrame, column: str = "raw") -> DataFrame:
-    """Lines with reason, input and target; blank lines are not records and go, a null line is invalid JSON."""
+    """Lines with reason, input and target; blank lines are not records and go, a null line is invalid JSON. A column
+    reason, input or target of the lines is replaced."""
     some = lines.where(F.col(column).isNull() | (F.trim(F.regexp_replace(column, r"\s+", " ")) != ""))
     gated = some.withColumn("_gate", wrap_gate(F.trim(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))))
-    return gated.select(*lines.columns, "_gate.reason", "_gate.input", "_gate.target")
-
-
-def _levenshtein(a: bytes, b: bytes, most: int | None = None) -> int:
-    """Edit distance of bytes; more than `most` if it is beyond."""
-    while a and b and a[0] == b[0]:
-        n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-        a, b = a[n:], b[n:]
-        break
-    k = 0
-    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
-        k += 1
-    a, b = a[: len(a) - k], b[: len(b) - k]
-    if most is not None and abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if most is not None and min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def repair_one(original: str | None, fix_a: str | None, fix_b: str | None, max_distance: int, max_change: float) -> tuple:
-    """(reason, input, target) of a broken text and two independent fixes that should agree."""
+    return gated.select(*_others(lines), "_gate.reason", "_gate.input", "_gate.target")
+
+
+def repair_one(original: str | None, fix_a: str | None, fix_b: str | None) -> tuple:
+    """(reason, input, target) of a broken text and two fixes, but for how much they differ."""
     if not original or not fix_a or not fix_b:
         return "bad_record", None, None
     values: list[Any] = []
@@ -89,33 +69,43 @@ def repair_one(original: str | None, fix_a: str | None, fix_b: str | None, max_d
             values.append(jsontext.parse(fix))
         except ValueError:
             return f"{name}_invalid_json", None, None
-    if _levenshtein(fix_a.encode(), fix_b.encode(), max_distance) > max_distance:
-        return "fixes_disagree", None, None
-    size = max(len(original.encode()), 1)
-    if 100.0 * _levenshtein(original.encode(), fix_a.encode(), int(max_change * size / 100)) / size > max_change:
-        return "too_many_changes", None, None
     xml = xmltext.to_xml(values[0])
     if not xmltext.well_formed(xml):
         return "xml_invalid", None, None
     return None, original, xml
 
 
+@F.pandas_udf(struct(WRAPPED))
+def repair_gate(original: pd.Series, fix_a: pd.Series, fix_b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([repair_one(*r) for r in zip(original, fix_a, fix_b)], columns=["reason", "input", "target"])
+
+
 def repair(records: DataFrame, max_distance: int = 50, max_change: float = 10.0) -> DataFrame:
-    """(original, fix_a, fix_b) with reason, input (the broken text) and target (the XML of the fix)."""
+    """(original, fix_a, fix_b) with reason, input (the broken text) and target (the XML of the fix).
+
+    How far texts are apart in bytes is told by the native distance, which stops at its bound. A column reason, input or
+    target of the records is replaced.
+    """
+    near = lambda a, b, most: fn.byte_levenshtein(a, b, most) >= 0
+    size = F.greatest(F.octet_length("original"), F.lit(1))
+    allowed = F.floor(size * max_change / 100).cast("int")
+    gated = records.withColumn("_gate", repair_gate("original", "fix_a", "fix_b"))
+    early = F.col("_gate.reason").isin("bad_record", "fix_a_invalid_json", "fix_b_invalid_json")
+    reason = F.when(early, F.col("_gate.reason")).when(~near("fix_a", "fix_b", max_distance), "fixes_disagree")
+    reason = reason.when(~near("original", "fix_a", allowed), "too_many_changes").otherwise(F.col("_gate.reason"))
+    judged = gated.withColumn("_reason", reason)
+    made = {"reason": F.col("_reason"), **{c: F.when(F.col("_reason").isNull(), F.col(f"_gate.{c}")) for c in ("input", "target")}}
+    return judged.withColumns(made).select(*_others(records), *made)
 
-    @F.pandas_udf(struct(WRAPPED))
-    def gate(o: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([repair_one(*r, max_distance, max_change) for r in zip(o, a, b)], columns=["reason", "input", "target"])
 
-    gated = records.withColumn("_gate", gate("original", "fix_a", "fix_b"))
-    return gated.select(*records.columns, "_gate.reason", "_gate.input", "_gate.target")
+def _others(df: DataFrame) -> list[str]:
+    """Columns of df that a gate does not write."""
+    return [f"`{c}`" for c in df.columns if c.lower() not in ("reason", "input", "target")]
 
 
 def change_pct(original: Column, fixed: Column) -> Column:
     """Edit distance in bytes as a percentage of the original's bytes."""
-    from ..functions.columns import byte_levenshtein
-
-    return 100.0 * byte_levenshtein(original, fixed) / F.greatest(F.octet_length(original), F.lit(1))
+    return 100.0 * fn.byte_levenshtein(original, fixed) / F.greatest(F.octet_length(original), F.lit(1))
 
 
 def by_reason(gated: DataFrame) -> DataFrame:

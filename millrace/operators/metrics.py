@@ -112,7 +112,9 @@ def weighted_loss(tokens: DataFrame, group: Sequence[str], content_weight: float
 
 
 def token_mean_loss(batches: DataFrame) -> DataFrame:
-    return batches.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean_loss"))
+    """sum(loss * n) / sum(n) of batches; 0 where there is no token."""
+    total = F.sum("n")
+    return batches.agg(F.when(total > 0, F.sum(F.col("loss") * F.col("n")) / total).otherwise(F.lit(0.0)).alias("mean_loss"))
 
 
 def best_epoch(log: DataFrame) -> DataFrame:

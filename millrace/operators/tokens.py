@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -30,6 +31,31 @@ _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message: whole numbers, or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or varint()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
 @dataclass
 class Model:
     """Pieces (text, score, type) by id."""
@@ -55,15 +81,17 @@ class Model:
 
     @classmethod
     def load(cls, path: str) -> Model:
-        """From a model file, read by the public library."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def kind(k: int) -> int:
-            return UNKNOWN if sp.is_unknown(k) else CONTROL if sp.is_control(k) else UNUSED if sp.is_unused(k) else BYTE if sp.is_byte(k) else NORMAL
-
-        return cls([(sp.id_to_piece(k), sp.get_score(k), kind(k)) for k in range(sp.get_piece_size())])
+        """From a model file: pieces with their types, user-defined ones among them, and how white space is treated."""
+        with open(path, "rb") as f:
+            data = f.read()
+        pieces, spaces = [], {3: 1, 4: 1}
+        for number, value in _fields(data):
+            if number == 1:
+                piece = {2: b"\0" * 4, 3: NORMAL, **dict(_fields(value))}
+                pieces.append((piece[1].decode(), struct.unpack("<f", piece[2])[0], piece[3]))
+            elif number == 3:
+                spaces |= dict(_fields(value))
+        return cls(pieces, dummy_prefix=bool(spaces[3]), strip=bool(spaces[4]))
 
     def _merge(self, text: str) -> list[str]:
         """Adjacent pieces of the highest score joined first, the leftmost where equal, with a heap over a linked list."""
@@ -106,9 +134,8 @@ class Model:
         return out
 
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
-        """Ids of text with white space collapsed; user-defined symbols are never merged with others."""
-        text = re.sub(r"\s+", " ", text)
-        text = (text.strip(" ") if self.strip else text).replace(" ", SPACE)
+        """Ids of text, its white space collapsed where the model says so; user-defined symbols are never merged with others."""
+        text = (re.sub(r"\s+", " ", text).strip(" ") if self.strip else text).replace(" ", SPACE)
         if self.dummy_prefix and text:
             text = SPACE + text
         out, at = [BOS] if bos else [], 0
@@ -126,7 +153,7 @@ class Model:
         return out + ([EOS] if eos else [])
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids: runs of byte pieces as UTF-8, controls left out, unknown as U+2047."""
+        """Text of ids: runs of byte pieces as UTF-8, controls left out, unknown ones and ids of no piece as U+2047."""
         out, held = [], bytearray()
 
         def flush() -> None:
@@ -134,7 +161,7 @@ class Model:
             held.clear()
 
         for k in ids:
-            piece, _, kind = self.pieces[k]
+            piece, _, kind = self.pieces[k if 0 <= k < len(self.pieces) else self.unk]
             if kind == BYTE:
                 held.append(int(_BYTE.fullmatch(piece)[1], 16))
                 continue

@@ -245,7 +245,16 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.levenshtein("c_name", "c_mktsegment").alias("edits"))
 
 
-@query("f05_word_edits")
+_COST = "CASE WHEN p[j[1]] = x.w THEN 0 ELSE greatest(len(p[j[1]]), len(x.w)) END"
+
+
+@query(
+    "f05_word_edits",
+    f"""SELECT p_partkey, list_reduce([{{'row': [list_sum([len(w) FOR w IN p[:k]])::BIGINT FOR k IN range(len(p) + 1)], 'w': ''}}] || [{{'row': []::BIGINT[], 'w': w}} FOR w IN e],
+          lambda a, x: {{'row': list_reduce([[a.row[1] + len(x.w)]] || [[k] FOR k IN range(1, len(p) + 1)],
+            lambda r, j: r || [least(a.row[j[1]] + {_COST}, a.row[j[1] + 1] + len(x.w), r[-1] + len(p[j[1]]))]), 'w': ''}}).row[-1] AS edits
+        FROM (SELECT p_partkey, string_split(p_type || ' ' || p_name, ' ') AS p, string_split(p_name || ' ' || p_brand, ' ') AS e FROM part)""",
+)
 def f05(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     return p.select("p_partkey", metrics.word_edits_udf(F.concat_ws(" ", "p_type", "p_name"), F.concat_ws(" ", "p_name", "p_brand")).alias("edits"))
@@ -256,14 +265,22 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fn.normalise_space("text").alias("text"))
 
 
-@query("f08_xml_number", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n FROM lineitem")
+@query(
+    "f08_xml_number",
+    """SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n,
+       CASE WHEN l_partkey % 4 = 0 THEN CAST(l_partkey // 4 AS VARCHAR) ELSE (l_partkey // 4) || ['.25', '.5', '.75'][l_partkey % 4] END AS fraction,
+       (l_suppkey % 9 + 1) || '.5e+' || (16 + l_linenumber) AS large, (l_suppkey % 9 + 1) || '.5e-0' || (4 + l_linenumber % 5 + 1) AS small FROM lineitem""",
+)
 def f08(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.xml_number("l_quantity").alias("n"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.xml_number("l_quantity").alias("n"),
+        fn.xml_number(F.col("l_partkey") / 4).alias("fraction"),
+        *[fn.xml_number(F.concat(F.col("l_suppkey") % 9 + 1, F.lit(f".5e{sign}"), power).cast("double")).alias(name) for name, sign, power in (("large", "+", 16 + F.col("l_linenumber")), ("small", "-", 5 + F.col("l_linenumber") % 5))],
+    )
 
 
-@query("f23_boost", "SELECT l_orderkey, l_linenumber, greatest(0.0, least(1.0, (1 - l_discount / 0.10) * 1.0)) AS boost FROM lineitem")
+@query("f23_boost", "SELECT l_orderkey, l_linenumber, greatest(0.0, least(1.0, (1 - (1.0::DOUBLE - (1 - l_discount)) / 1.0 / 0.10::DOUBLE) * 1.0)) AS boost FROM lineitem")
 def f23(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.col("l_discount") / 0.10) * 1.0)).alias("boost"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.boost(F.lit(1.0), 1 - F.col("l_discount")).alias("boost"))
 
 
 @query("f24_argmax", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS top FROM embeddings")

@@ -57,5 +57,4 @@ def test_numbers_as_text(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fn.json_number("v").alias("j"), fn.xml_number("v").alias("x")).collect()
     assert [float(r.j) for r in rows] == values and [float(r.x) for r in rows] == [v if v else 0.0 for v in values]
     short = [r for r in rows if repr(r.v) == repr(float(f"{r.v:.6g}"))]
-    alike = sum(r.j == jsontext.number(r.v) and r.x == xmltext.number_text(r.v) for r in short)
-    assert len(short) > 300 and alike > 0.98 * len(short)  # the JVM rarely writes a digit more than is needed
+    assert len(short) > 300 and all(r.j == jsontext.number(r.v) and r.x == xmltext.number_text(r.v) for r in short if r.v != 5e-324)
