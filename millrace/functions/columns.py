@@ -82,6 +82,16 @@ def byte_levenshtein(a: str | Column, b: str | Column, most: int | Column | None
     return F.levenshtein(x, y) if most is None else F.call_function("levenshtein", x, y, most if isinstance(most, Column) else F.lit(most))
 
 
+def levenshtein(a: str | Column, b: str | Column, most: int | None = None) -> Column:
+    """Edit distance of code points; -1 beyond `most`; null where either is null."""
+    return F.levenshtein(_col(a), _col(b)) if most is None else F.levenshtein(_col(a), _col(b), most)
+
+
+def sorted_keys(c: str | Column) -> Column:
+    """The keys of a map in the order of their bytes; null for null."""
+    return F.array_sort(F.map_keys(_col(c)))
+
+
 def normalise_space(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 

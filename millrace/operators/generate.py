@@ -100,15 +100,10 @@ def ordered_json(value: Any, level: int = 0) -> str:
     return jsontext.compact(value)
 
 
-def tree_pair(r: Rng, mix: bool = True) -> tuple[str, str]:
-    """(input, target) of a random tree; input is corrupted by one of the plain profiles."""
-    value = Tree(random_shape(r), r).root()
-    text = ordered_json(value)
-    target = xmltext.json_to_xml(text)
-    if mix:
-        u = r.random()
-        text = corrupt.apply(text, corrupt.PROFILES["none" if u < 0.25 else "light" if u < 0.6 else "medium" if u < 0.9 else "heavy"], r)
-    return text, target
+def tree_pair(r: Rng) -> tuple[str, str]:
+    """(input, target) of a random tree."""
+    text = ordered_json(Tree(random_shape(r), r).root())
+    return text, xmltext.json_to_xml(text)
 
 
 #: Shares of simple answers, markdown answers, code tools and simple tools by stage, in percent.
@@ -175,14 +170,9 @@ def response_text(value: Any, level: int = 0) -> str:
     return jsontext.compact(value)
 
 
-def agent_pair(r: Rng, stage: int = 5, augment: bool = False, broken: bool = True) -> tuple[str, str]:
+def agent_pair(r: Rng, stage: int = 5, augment: bool = False) -> tuple[str, str]:
     text = response_text(agent_response(r, stage, augment))
-    target = xmltext.json_to_xml(text)
-    if broken and stage > 3:
-        u = r.random()
-        name = ("none" if u < 0.95 else "subtle" if u < 0.98 else "light") if stage == 4 else ("none" if u < 0.9 else "subtle" if u < 0.95 else "light" if u < 0.98 else "light+wrapper")
-        text = corrupt.apply(text, corrupt.named(name), r)
-    return text, target
+    return text, xmltext.json_to_xml(text)
 
 
 def make_pair(kind: str, seed: int, number: int, stage: int = 5, augment: bool = False) -> tuple[str, str]:
@@ -190,20 +180,24 @@ def make_pair(kind: str, seed: int, number: int, stage: int = 5, augment: bool =
     return tree_pair(r) if kind == "tree" else agent_pair(r, stage, augment)
 
 
-def pairs(spark: SparkSession, n: int, kind: str = "agent", seed: int = 42, stage: int = 5, augment: bool = False, partitions: int | None = None) -> DataFrame:
-    """n synthetic pairs. Train and validation sets need seeds of their own; a number's content differs with the seed."""
+def pairs(spark: SparkSession, n: int | DataFrame, kind: str = "agent", seed: int = 42, stage: int = 5, augment: bool = False, partitions: int | None = None) -> DataFrame:
+    """n synthetic pairs, or one for each row of a table with an integer column id; their inputs corrupted by the plain profiles (trees) or those of the stage (agents). Train and
+    validation sets need seeds of their own; a number's content differs with the seed."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             made = [make_pair(kind, seed, int(k), stage, augment) for k in batch["id"]]
             yield pd.DataFrame({"sample_id": batch["id"], "input": [m[0] for m in made], "target": [m[1] for m in made]})
 
-    rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
-    return rows.mapInPandas(run, PAIRS)
+    rows = n.select("id") if isinstance(n, DataFrame) else spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    clean = rows.mapInPandas(run, PAIRS)
+    by_stage = corrupt.profile_stage(F.lit(stage), u01(seed, "sample_id", "stage"))
+    profile = corrupt.profile_plain(u01(seed, "sample_id", "plain")) if kind == "tree" else by_stage
+    return clean.withColumn("input", corrupt.corrupted(F.col("input"), profile, F.col("sample_id"), seed))
 
 
-def snippets(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n snippets of each language."""
+def snippets(spark: SparkSession, n: int | DataFrame, seed: int = 42) -> DataFrame:
+    """n snippets of each language, or one for each row of a table with an integer column id."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = list(wording.LANGUAGES)
@@ -211,12 +205,13 @@ def snippets(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
             rows = [(int(k), name, wording.snippet(row_random(seed, k, name), name)) for k in batch["id"] for name in names]
             yield pd.DataFrame(rows, columns=["id", "language", "snippet"])
 
-    return spark.range(n).mapInPandas(run, "id long, language string, snippet string")
+    rows = n.select("id") if isinstance(n, DataFrame) else spark.range(n)
+    return rows.mapInPandas(run, "id long, language string, snippet string")
 
 
 @udtf(returnType=struct(PAIRS))
 class SyntheticPairs:
-    """SQL: SELECT * FROM synthetic_pairs(count, kind, seed)."""
+    """SQL: SELECT * FROM synthetic_pairs(count, kind, seed), with inputs as they are before any corruption."""
 
     def eval(self, n: int, kind: str, seed: int):
         for k in range(n):
@@ -239,13 +234,21 @@ COLLAGE = (
 )
 
 
-def collage(spark: SparkSession) -> DataFrame:
-    rows = []
-    for k, shape, profile in COLLAGE:
-        r = random.Random(7 * k + 42)
-        clean = ordered_json(Tree(shape, r).root())
-        rows.append((k, profile, clean, corrupt.apply(clean, corrupt.PROFILES[profile], r), xmltext.json_to_xml(clean)))
-    return spark.createDataFrame(rows, "id int, profile string, clean string, corrupted string, target string")
+def collage(rows: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """(id, profile, clean, corrupted, target): a tree of one of the five settings for each key, the settings in turn."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            made = []
+            for k in batch["id"]:
+                _, shape, profile = COLLAGE[int(k) % len(COLLAGE)]
+                clean = ordered_json(Tree(shape, row_random(seed, k, "collage")).root())
+                made.append((int(k), profile, clean, xmltext.json_to_xml(clean)))
+            yield pd.DataFrame(made, columns=["id", "profile", "clean", "target"])
+
+    made = rows.select(F.col(key).cast("bigint").alias("id")).mapInPandas(run, "id long, profile string, clean string, target string")
+    broken = corrupt.corrupted(F.col("clean"), F.col("profile"), F.col("id"), seed)
+    return made.select("id", "profile", "clean", broken.alias("corrupted"), "target")
 
 
 #: The nine modes of prompts: what the answer holds, and how it treats memory.
@@ -268,3 +271,12 @@ def prompts(rows: DataFrame, words: list[str], key: str = "sample_id", seed: int
         "Write one JSON object with thought and %s; memory is %s. Use some of these words: %s.", F.get(kinds, mode), F.get(memories, mode), chosen
     )
     return rows.select(key, F.get(kinds, mode).alias("kind"), F.get(memories, mode).alias("memory"), text.alias("prompt"))
+
+
+def drawn_number(key: str | Column, seed: int = 42) -> Column:
+    """A number for a key: a whole one under 100 or a million, a fraction under 100, or a negative whole one, a quarter each."""
+    u, v = u01(seed, key, "kind"), u01(seed, key, "value")
+    return (
+        F.when(u < 0.25, F.floor(v * 100).cast("double")).when(u < 0.5, F.floor(v * 1000000).cast("double")).when(u < 0.75, v * 100)
+        .otherwise(-F.floor(v * 10000).cast("double"))
+    )

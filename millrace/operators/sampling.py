@@ -116,6 +116,20 @@ def fan_out(df: DataFrame, variants: int, name: str = "variant_no") -> DataFrame
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(variants))))
 
 
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "k") -> DataFrame:
+    """The first k rows of each group in the order, numbered from 1. Each task cuts its part of a group to k rows before the
+    shuffle, so that a group of any size comes down to k rows a task; equal rows stand in any order."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn(name, place).where(F.col(name) <= k)
+
+
+def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All rows of tables with the same columns, by name; repeated rows stay."""
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
 def batches(df: DataFrame, size: int, order: Column, name: str = "batch_id") -> DataFrame:
     from .placing import with_place
 

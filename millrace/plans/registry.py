@@ -142,7 +142,7 @@ def f02_pretty(spark: SparkSession, d: str) -> DataFrame:
 @query("f09_sorted_keys", "SELECT c_custkey, list_sort(['name', 'segment', c_mktsegment, 'Key']) AS keys FROM customer")
 def f09(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(*[x for k in (F.lit("name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("Key")) for x in (k, F.lit(1))])
-    return table(spark, d, "customer").select("c_custkey", F.array_sort(F.map_keys(m)).alias("keys"))
+    return table(spark, d, "customer").select("c_custkey", fn.sorted_keys(m).alias("keys"))
 
 
 #: Six texts made of the XML of a document, chosen by its text: as it is, cut, with a comment, with a bare sign, twice,
@@ -242,7 +242,7 @@ def f03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f04_levenshtein", "SELECT c_custkey, levenshtein(c_name, c_mktsegment) AS edits FROM customer")
 def f04(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.levenshtein("c_name", "c_mktsegment").alias("edits"))
+    return table(spark, d, "customer").select("c_custkey", fn.levenshtein("c_name", "c_mktsegment").alias("edits"))
 
 
 _COST = "CASE WHEN p[j[1]] = x.w THEN 0 ELSE greatest(len(p[j[1]]), len(x.w)) END"
@@ -487,9 +487,18 @@ for _number, (_name, _) in enumerate(corrupt.STEPS, 1):
     query(f"c{_number:02d}_seeded_{_name}", f"SELECT key AS sample_id, text AS input FROM ({corrupt_sql.single(_name, f'(SELECT doc_id AS key, text FROM {PRETTY_SQL})')})")(_single(_name))
 
 
-@query("c10_profiles", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', " + ", ".join(f"{v}::DOUBLE" for v in p.__dict__.values()) + ")" for n, p in corrupt.PROFILES.items()) + ") AS t(name, quote, comma, colon, \"comment\", wrapper, \"trailing\", whitespace, bracket)")
+_CHANCES = ", ".join(f"('{n}', " + ", ".join(f"{v}::DOUBLE" for v in p.__dict__.values()) + ")" for n, p in corrupt.PROFILES.items())
+
+
+@query(
+    "c10_profiles",
+    f"""SELECT doc_id, t.* FROM (SELECT doc_id, {u01_sql(42, 'doc_id', 'plain')} AS u FROM documents)
+        JOIN (VALUES {_CHANCES}) AS t(name, quote, comma, colon, "comment", wrapper, "trailing", whitespace, bracket)
+        ON name = CASE WHEN u < 0.25 THEN 'none' WHEN u < 0.60 THEN 'light' WHEN u < 0.90 THEN 'medium' ELSE 'heavy' END""",
+)
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    return corrupt.profiles_frame(spark)
+    named = table(spark, d, "documents").select("doc_id", corrupt.profile_plain(u01(42, "doc_id", "plain")).alias("name"))
+    return named.join(F.broadcast(corrupt.profiles_frame(spark)), "name")
 
 
 @query(
@@ -880,8 +889,8 @@ def o02_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o04_top_k", "SELECT o_custkey, o_orderkey, k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS k FROM orders) WHERE k <= 3")
 def o04(spark: SparkSession, d: str) -> DataFrame:
-    best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").withColumn("k", F.row_number().over(best)).where("k <= 3").select("o_custkey", "o_orderkey", "k")
+    best = sampling.top_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
+    return best.select("o_custkey", "o_orderkey", "k")
 
 
 @query("o07_batches", "SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 32)::BIGINT AS batch_id FROM documents")
@@ -891,7 +900,8 @@ def o07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u01_union_all", "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark")
 def u01_all(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    docs, items = (table(spark, d, t).select(F.col(c).alias("id"), "text") for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    return sampling.union_all(docs, items)
 
 
 @query("u03_fan_out", "SELECT doc_id, v::INTEGER AS variant_no FROM documents, range(4) t(v)")
@@ -967,31 +977,33 @@ def d02(spark: SparkSession, d: str) -> DataFrame:
 # --- generators
 
 
+def _ids(spark: SparkSession, d: str, name: str, column: str) -> DataFrame:
+    return spread(table(spark, d, name).select(F.col(column).cast("bigint").alias("id")))
+
+
 @query("g01_tree_pairs")
 def g01(spark: SparkSession, d: str) -> DataFrame:
-    return generate.pairs(spark, 400, "tree")
+    return generate.pairs(spark, _ids(spark, d, "supplier", "s_suppkey"), "tree")
 
 
 @query("g02_random_numbers", f"SELECT event_id, CASE WHEN u < 0.25 THEN floor(v * 100) WHEN u < 0.5 THEN floor(v * 1000000) WHEN u < 0.75 THEN v * 100 ELSE -floor(v * 10000) END AS n FROM (SELECT event_id, {u01_sql(42, 'event_id', 'kind')} AS u, {u01_sql(42, 'event_id', 'value')} AS v FROM events)")
 def g02(spark: SparkSession, d: str) -> DataFrame:
-    u, v = u01(42, "event_id", "kind"), u01(42, "event_id", "value")
-    n = F.when(u < 0.25, F.floor(v * 100).cast("double")).when(u < 0.5, F.floor(v * 1000000).cast("double")).when(u < 0.75, v * 100).otherwise(-F.floor(v * 10000).cast("double"))
-    return table(spark, d, "events").select("event_id", n.alias("n"))
+    return table(spark, d, "events").select("event_id", generate.drawn_number("event_id").alias("n"))
 
 
 @query("g08_agent_pairs")
 def g08(spark: SparkSession, d: str) -> DataFrame:
-    return generate.pairs(spark, 400, "agent")
+    return generate.pairs(spark, _ids(spark, d, "documents", "doc_id"), "agent")
 
 
 @query("g15_snippets")
 def g15(spark: SparkSession, d: str) -> DataFrame:
-    return generate.snippets(spark, 100)
+    return generate.snippets(spark, _ids(spark, d, "supplier", "s_suppkey"))
 
 
 @query("g18_collage")
 def g18(spark: SparkSession, d: str) -> DataFrame:
-    return generate.collage(spark)
+    return generate.collage(_ids(spark, d, "supplier", "s_suppkey"))
 
 
 @query(

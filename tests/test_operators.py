@@ -348,7 +348,7 @@ def test_generators(spark):
     for stage in range(1, 6):
         for seed in range(40):
             r = random.Random(seed)
-            text, xml = generate.agent_pair(r, stage, augment=seed % 2 == 0, broken=False)
+            text, xml = generate.agent_pair(r, stage, augment=seed % 2 == 0)
             value = jsontext.parse(text)
             assert ("answer" in value) != ("tool" in value) and len(value["thought"]) >= 10
             assert xmltext.well_formed(xml) and xmltext.xml_to_value(xml) == value
