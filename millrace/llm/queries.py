@@ -230,7 +230,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_embedding_dedup")
+@query(
+    "op3_embedding_dedup",
+    """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+), sound AS (
+  SELECT * FROM vectors WHERE len(e) > 0 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN e]) AND list_bool_or([x <> 0 FOR x IN e])
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM vectors UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM reach LEFT JOIN counted ON a = vec_id GROUP BY vec_id
+""",
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
