@@ -74,20 +74,32 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 def letter_anchors(text: Column) -> Column:
     """32-bit hashes of the pairs of code points, edges included, of the words that are drawn."""
+    return _let(_words(F.lower(F.coalesce(text, F.lit("")))), _letters)
 
-    def drawn(words: Column) -> Column:
-        n = F.when(_has_long(words), F.size(_apart(words))).otherwise(F.size(words))
-        return _let(F.lit(float(1 << 31) * LETTERED) / F.greatest(n, F.lit(1)), lambda rate: made(words, rate))
 
-    def made(words: Column, rate: Column) -> Column:
+def _letters(words: Column) -> Column:
+    def made(rate: Column) -> Column:
         some = F.filter(words, lambda w: F.shiftrightunsigned(F.xxhash64(w, F.lit(1)), 33) < rate)
-        return F.flatten(F.transform(F.array_distinct(some), lambda w: _let(F.concat(F.lit("\x02"), w, F.lit("\x03")), pairs)))
+        return F.flatten(F.transform(F.array_distinct(some), pairs))
 
     def pairs(word: Column) -> Column:
         each = lambda letters: F.transform(F.sequence(F.lit(0), F.size(letters) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
-        return F.transform(_let(F.split(word, ""), each), lambda pair: F.shiftrightunsigned(F.xxhash64(pair), 32))
+        cut_up = F.split(F.concat(F.lit("\x02"), word, F.lit("\x03")), "")
+        return F.transform(_let(cut_up, each), lambda pair: F.shiftrightunsigned(F.xxhash64(pair), 32))
 
-    return _let(_words(F.lower(F.coalesce(text, F.lit("")))), drawn)
+    n = F.when(_has_long(words), F.size(_apart(words))).otherwise(F.size(words))
+    return _let(F.lit(float(1 << 31) * LETTERED) / F.greatest(n, F.lit(1)), made)
+
+
+def marks(text: Column, k: int = K, s: int = S) -> Column:
+    """Both kinds of anchors of a text, its words split once: struct<packed array<long>, letters array<long>>."""
+
+    def both(words: Column) -> Column:
+        units = F.when(_has_long(words), _apart(words)).otherwise(words)
+        packed = _let(_hashes(units), lambda hashes: _pack(_closed(hashes, k, s)))
+        return F.struct(packed.alias("packed"), _letters(words).alias("letters"))
+
+    return _let(_words(F.lower(F.coalesce(text, F.lit("")))), both)
 
 
 def _closed(hashes: Column, k: int, s: int) -> Column:
@@ -118,8 +130,8 @@ def packed_anchors(text: Column, k: int = K, s: int = S) -> Column:
     return _pack(anchors(text, k, s))
 
 
-def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int = S) -> Column:
-    """Packed anchors of the text kept + tail, where own are those of a text that begins with kept.
+def edited_marks(own: Column, kept: Column, tail: Column, k: int = K, s: int = S) -> Column:
+    """marks of the text kept + tail, where own are packed anchors of a text that begins with kept.
 
     All k-mers of whole words of kept are those of that text; only what reaches into the tail is computed.
     """
@@ -129,19 +141,21 @@ def edited_anchors(own: Column, kept: Column, tail: Column, k: int = K, s: int =
         open_ = (F.size(raw) > 0) & ~ended  # the last one may be broken
         broken = F.when(open_, F.element_at(raw, -1)).otherwise(F.lit(""))
         whole = F.transform(raw, lambda w: F.lower(w))
-        return _let(F.slice(whole, F.lit(1), F.size(raw) - open_.cast("int")), lambda full: from_words(full, broken))
+        added = _words(F.lower(F.concat(broken, tail)))
+        return _let(F.slice(whole, F.lit(1), F.size(raw) - open_.cast("int")), lambda full: _let(added, lambda more: from_words(full, more)))
 
-    def from_words(full: Column, broken: Column) -> Column:
+    def from_words(full: Column, added: Column) -> Column:
         last = F.slice(full, F.greatest(F.size(full) - (k - 2), F.lit(1)), F.lit(k - 1))
         count = F.when(_has_long(full), F.size(_apart(full))).otherwise(F.size(full))
 
         def joined(m: Column) -> Column:
             start = F.greatest(m - (k - 1), F.lit(0))
             near = _let(_apart(last), lambda u: F.slice(u, F.greatest(F.size(u) - (m - start) + 1, F.lit(1)), m - start))
-            hashes = _hashes(F.concat(near, _units(F.concat(broken, tail))))
+            hashes = _hashes(F.concat(near, F.when(_has_long(added), _apart(added)).otherwise(added)))
             new = _let(hashes, lambda h: F.struct(_pack(_closed(h, k, s), start).alias("new")))
             same = F.filter(own, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) < start)
-            return F.concat(same, new["new"])
+            packed = F.concat(same, new["new"])
+            return F.struct(packed.alias("packed"), _letters(F.concat(full, added)).alias("letters"))
 
         return _let(count, joined)
 
@@ -176,14 +190,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def aligned(a: Column, b: Column) -> Column:
     """How alike two arrays of packed anchors (columns of the table, not expressions) are by places, 0 to 1: the Dice
-    coefficient after a is moved by the main shift."""
+    coefficient as they stand, if half of the fewer stand at equal places, else after a is moved by the main shift."""
 
     def moved(shift: Column) -> Column:
         there = F.filter(a, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) + shift >= 0)
         return F.size(F.array_intersect(F.transform(there, lambda p: p + shift), b))
 
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2 * _let(main_shift(a, b), moved) / total)
+    here = lambda n: F.when(2 * n >= F.least(F.size(a), F.size(b)), n).otherwise(_let(main_shift(a, b), moved))
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * _let(F.size(F.array_intersect(a, b)), here) / total)
 
 
 def _firsts(packed: Column) -> Column:
@@ -237,7 +252,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, text, anchors, sketch, edited, edited_anchors, next_sketch) of every row.
+    """(id, n_chars, text, anchors, sketch, edited, edited_marks, next_sketch) of every row.
 
     edited is the text whose last floor(n_chars / 4) code points are replaced by the first as many of the next document
     by id (after the last comes the first). Of a document as the next one only that beginning and its sketch travel.
@@ -247,22 +262,22 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     before = neighbours(docs.select("id", F.length("text").alias("n")))
     held = docs.where("id IS NOT NULL").join(before, "id")
-    own = packed_anchors(F.col("text"))  # twice, after the shuffle of the texts: anchors are as large as these
+    own = marks(F.col("text"))  # twice, after the shuffle of the texts: anchors are as large as these
     part = F.substring(F.col("text"), F.lit(1), (F.col("before_n") / 4).cast("int"))
-    letters = letter_anchors(F.col("text"))
-    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, _small(sketch_of(own, letters)))).alias("_sent"))
+    marked = _let(own, lambda m: _small(sketch_of(m["packed"], m["letters"])))
+    sent = held.groupBy(F.col("before").alias("_of")).agg(F.min(F.struct(part, marked)).alias("_sent"))
     n = F.length("text")
     kept = F.expr("substring(text, 1, length(text) - length(text) div 4)").alias("_kept")
     tail = F.substring(F.col("_sent.col1"), F.lit(1), (n / 4).cast("int")).alias("_tail")
-    found = held.join(sent, F.col("id") == F.col("_of")).select("id", "text", own.alias("anchors"), kept, tail, F.col("_sent.col2").alias("_next"))
-    alone = docs.where("id IS NULL").select("id", "text", own.alias("anchors"), kept, F.lit("").alias("_tail"), F.lit(None).cast("array<int>").alias("_next"))
+    found = held.join(sent, F.col("id") == F.col("_of")).select("id", "text", own.alias("own"), kept, tail, F.col("_sent.col2").alias("_next"))
+    alone = docs.where("id IS NULL").select("id", "text", own.alias("own"), kept, F.lit("").alias("_tail"), F.lit(None).cast("array<int>").alias("_next"))
     return found.union(alone).select(
         "id",
         n.alias("n_chars"),
         "text",
-        "anchors",
-        sketch_of(F.col("anchors"), letters).alias("sketch"),
+        F.col("own.packed").alias("anchors"),
+        sketch_of(F.col("own.packed"), F.col("own.letters")).alias("sketch"),
         F.concat("_kept", "_tail").alias("edited"),
-        edited_anchors(F.col("anchors"), F.col("_kept"), F.col("_tail")).alias("edited_anchors"),
+        edited_marks(F.col("own.packed"), F.col("_kept"), F.col("_tail")).alias("edited_marks"),
         F.transform("_next", lambda h: h.cast("bigint") + F.lit(1 << 31)).alias("next_sketch"),
     )

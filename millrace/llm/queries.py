@@ -217,7 +217,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.with_next(table(spark, sf_dir, "documents"))
-    found = found.withColumn("edited_sketch", fingerprints.sketch_of(F.col("edited_anchors"), fingerprints.letter_anchors(F.col("edited"))))
+    found = found.withColumn("edited_sketch", fingerprints.sketch_of(F.col("edited_marks.packed"), F.col("edited_marks.letters")))
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("n_chars").cast("bigint").alias("n_chars"),
@@ -226,7 +226,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        fingerprints.aligned(F.col("anchors"), F.col("edited_anchors")).alias("aligned_edited"),
+        fingerprints.aligned(F.col("anchors"), F.col("edited_marks.packed")).alias("aligned_edited"),
     )
 
 

@@ -61,6 +61,9 @@ def brute_aligned(text, other):
     a, b = ([(i, h >> 32) for i, h in brute_anchors(t)] for t in (text, other))
     if not a and not b:
         return 1.0
+    here = len({*a} & {*b})
+    if 2 * here >= min(len(a), len(b)):
+        return 2 * here / (len(a) + len(b))
     first = lambda x: {h: i for i, h in reversed(x)}
     counts = {}
     for h, i in first(a).items():
@@ -164,7 +167,7 @@ def test_texts_without_white_space(spark):
     han = [chr(c) for c in range(0x4E00, 0x5200)]
     rows = [(i, "".join(rng.choice(han) for _ in range(1200))) for i in range(8)] + [(100, "abcd efgh ijkl"), (101, "mnop qrst uvwx")]
     found = fp.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.id: (r.e, r.n) for r in found.select("id", fp.likeness(F.col("sketch"), fp.sketch_of(F.col("edited_anchors"), fp.letter_anchors(F.col("edited")))).alias("e"), fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
+    got = {r.id: (r.e, r.n) for r in found.select("id", fp.likeness(F.col("sketch"), fp.sketch_of(F.col("edited_marks.packed"), F.col("edited_marks.letters"))).alias("e"), fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
     assert all(got[i][0] > (0.6 if i < 100 else 0.2) and got[i][1] < 0.1 for i in got), got
 
 
