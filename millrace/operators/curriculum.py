@@ -67,12 +67,13 @@ def schedule(
     least: float = 1e-6, epoch: str = "epoch", rate: str = "rate", error: str = "error",
 ) -> DataFrame:
     """(run, epoch) with the stage and the learning rate after each epoch, both together: the rate falls on plateaus as in
-    `plateau`, stages rise as in `advance`, and a new stage starts over with half the base rate and nothing to beat."""
+    `plateau`, stages rise as in `advance`, and a new stage starts over with half the base rate and nothing to beat.
+    An epoch whose error is null does not count for the plateau."""
 
     def step(acc: Column, x: Column) -> Column:
-        better = x["error"] < acc["best"] * (1 - 1e-4)
-        idle = F.when(better, 0).otherwise(acc["idle"] + 1)
-        fall = idle > lr_patience
+        seen, better = x["error"].isNotNull(), F.coalesce(x["error"] < acc["best"] * (1 - 1e-4), F.lit(False))
+        idle = F.when(~seen, acc["idle"]).when(better, 0).otherwise(acc["idle"] + 1)
+        fall = seen & (idle > lr_patience)
         slower = F.when(fall, F.greatest(acc["lr"] * factor, F.lit(least))).otherwise(acc["lr"])
         good = F.when((x["rate"] >= threshold) & (acc["stage"] < last), acc["streak"] + 1).otherwise(F.lit(0))
         up = good >= patience
@@ -96,12 +97,15 @@ def schedule(
 
 
 def plateau(log: DataFrame, run: str, base: float, patience: int, factor: float = 0.5, least: float = 1e-6, epoch: str = "epoch", error: str = "error") -> DataFrame:
-    """Learning rate after each epoch: multiplied by factor after more than `patience` epochs without a lower error."""
+    """Learning rate after each epoch: multiplied by factor after more than `patience` epochs without a lower error.
+
+    An epoch whose error is null (nothing was exact, so none was measured) changes nothing.
+    """
 
     def step(acc: Column, x: Column) -> Column:
-        better = x["error"] < acc["best"] * (1 - 1e-4)
-        bad = F.when(better, 0).otherwise(acc["bad"] + 1)
-        cut = bad > patience
+        seen, better = x["error"].isNotNull(), F.coalesce(x["error"] < acc["best"] * (1 - 1e-4), F.lit(False))
+        bad = F.when(~seen, acc["bad"]).when(better, 0).otherwise(acc["bad"] + 1)
+        cut = seen & (bad > patience)
         lr = F.when(cut, F.greatest(acc["lr"] * factor, F.lit(least))).otherwise(acc["lr"])
         row = F.struct(x["epoch"].alias("epoch"), lr.alias("lr"))
         return F.struct(

@@ -826,7 +826,8 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return curriculum.loss_change(run_log(table(spark, d, "orders")), "run").select("run", "epoch", "val_loss", "previous")
 
 
-_BETTER = "(1 - l.rate < f.best * (1 - 1e-4::DOUBLE))"
+_SEEN = "(l.rate > 0)"  # where nothing was exact, no error was measured
+_BETTER = f"({_SEEN} AND 1 - l.rate < f.best * (1 - 1e-4::DOUBLE))"
 
 
 @query(
@@ -835,13 +836,13 @@ _BETTER = "(1 - l.rate < f.best * (1 - 1e-4::DOUBLE))"
           SELECT run, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS idle, 1e-3::DOUBLE AS lr FROM log WHERE epoch = 1
           UNION ALL
           SELECT l.run, l.epoch, CASE WHEN {_BETTER} THEN 1 - l.rate ELSE f.best END,
-            CASE WHEN {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
-            CASE WHEN NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END
+            CASE WHEN NOT {_SEEN} THEN f.idle WHEN {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
+            CASE WHEN {_SEEN} AND NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END
           FROM f JOIN log l ON l.run = f.run AND l.epoch = f.epoch + 1)
         SELECT run, epoch, lr FROM f WHERE epoch > 0""",
 )
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    log = run_log(table(spark, d, "orders")).withColumn("error", 1 - F.col("rate"))
+    log = run_log(table(spark, d, "orders")).withColumn("error", F.when(F.col("rate") > 0, 1 - F.col("rate")))
     return curriculum.plateau(log, "run", 1e-3, 1)
 
 
@@ -854,14 +855,14 @@ _UP = f"({_GOOD.replace('stage_after', 'stage')} >= 2)"
           SELECT run, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS idle, 1e-3::DOUBLE AS lr, 1 AS stage, 0 AS streak FROM log WHERE epoch = 1
           UNION ALL
           SELECT l.run, l.epoch, CASE WHEN {_UP} THEN 'inf'::DOUBLE WHEN {_BETTER} THEN 1 - l.rate ELSE f.best END,
-            CASE WHEN {_UP} OR {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
-            CASE WHEN {_UP} THEN 5e-4::DOUBLE WHEN NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END,
+            CASE WHEN {_UP} THEN 0 WHEN NOT {_SEEN} THEN f.idle WHEN {_BETTER} OR f.idle >= 1 THEN 0 ELSE f.idle + 1 END,
+            CASE WHEN {_UP} THEN 5e-4::DOUBLE WHEN {_SEEN} AND NOT {_BETTER} AND f.idle >= 1 THEN greatest(f.lr * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE f.lr END,
             f.stage + {_UP}::INTEGER, CASE WHEN {_UP} THEN 0 ELSE {_GOOD.replace('stage_after', 'stage')} END
           FROM f JOIN log l ON l.run = f.run AND l.epoch = f.epoch + 1)
         SELECT run, epoch, stage, lr FROM f WHERE epoch > 0""",
 )
 def w06_schedule(spark: SparkSession, d: str) -> DataFrame:
-    log = run_log(table(spark, d, "orders")).withColumn("error", 1 - F.col("rate"))
+    log = run_log(table(spark, d, "orders")).withColumn("error", F.when(F.col("rate") > 0, 1 - F.col("rate")))
     return curriculum.schedule(log, "run", 1e-3, 0.5, 2, 4, 1)
 
 
