@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions.rng import u01, u01_sql
-from ..operators import augment, corrupt, curriculum, decode, enrich, gates, generate, metrics, sampling, tokens, trees
+from ..operators import augment, corrupt, curriculum, decode, enrich, gates, generate, metrics, mixture, sampling, tokens, trees
 from ..operators.placing import spread
 from ..sources import jsonl
 from . import augment_sql, corrupt_sql
@@ -905,6 +905,27 @@ def u01_all(spark: SparkSession, d: str) -> DataFrame:
     return sampling.union_all(docs, items)
 
 
+def _drawn_sql(seed: int) -> str:
+    return f"(SELECT * FROM events ORDER BY {u01_sql(seed, 'event_id', 'random')}, event_id LIMIT (SELECT floor(count(*) * 20 / 100)::BIGINT FROM events))"
+
+
+_U05_MIX = f"CASE WHEN {u01_sql(42, 'event_id', 'gate')} * 100 < 50 THEN {_MIXED.format(u=u01_sql(42, 'event_id', 'mix'))} ELSE 'none' END"
+
+
+@query(
+    "u05_mix_extra",
+    f"""WITH src AS (SELECT event_id AS key, props AS text, user_id AS target, {_U05_MIX} AS profile FROM {_drawn_sql(42)}),
+        {corrupt_sql.profiled("src")}
+        SELECT doc_id AS sample_id, text AS input, source AS target, CASE WHEN {u01_sql(42, 'doc_id', 'split')} * 100 < 10 THEN 'val' ELSE 'train' END AS split, false AS mixed FROM documents
+        UNION ALL SELECT key, text, target::VARCHAR, 'train', true FROM corrupted
+        UNION ALL SELECT event_id, props, user_id::VARCHAR, 'val', true FROM {_drawn_sql(42 + mixture.VAL_SEED)}""",
+)
+def u05(spark: SparkSession, d: str) -> DataFrame:
+    docs = sampling.hash_split(table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("input"), F.col("source").alias("target")))
+    extra = table(spark, d, "events").select(F.col("event_id").alias("sample_id"), F.col("props").alias("input"), F.col("user_id").cast("string").alias("target"))
+    return mixture.mix_extra(docs.where("split = 'train'"), docs.where("split = 'val'"), extra, 20.0, 50.0)
+
+
 @query("u03_fan_out", "SELECT doc_id, v::INTEGER AS variant_no FROM documents, range(4) t(v)")
 def u03(spark: SparkSession, d: str) -> DataFrame:
     return sampling.fan_out(table(spark, d, "documents").select("doc_id"), 3)
