@@ -15,13 +15,22 @@ def hex8(seed: int | Column, key: str | Column, draw: int | str | Column = 0) ->
     return F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8)
 
 
+def stem(seed: int, key: Column, tag: Column) -> Column:
+    """What stands before the place in the draws of a key: made once where there are many places."""
+    return F.concat_ws(":", F.lit(str(seed)), key.cast("string"), tag)
+
+
 def u01(seed: int | Column, key: str | Column, draw: int | str | Column = 0) -> Column:
     """A uniform in [0, 1): the first 8 hex digits of md5('seed:key:draw') over 2**32. DuckDB computes the same."""
-    return F.conv(hex8(seed, key, draw), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return uniform(hex8(seed, key, draw))
+
+
+def uniform(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def below(digits: Column, p: float) -> Column:
-    """Whether the uniform of these digits is less than p, without making it a number."""
+    """Whether the uniform of these digits, or of a whole hash, is less than p, without making it a number."""
     bound = math.ceil(p * 4294967296)
     return F.lit(True) if bound > 0xFFFFFFFF else digits < f"{max(bound, 0):08x}"
 

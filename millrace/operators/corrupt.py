@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import astuple, dataclass, fields
+from dataclasses import astuple, dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..functions.rng import below, hex8, u01
+from ..functions.rng import below, stem, u01, uniform
 
 #: Literals, the rest after a quote that is never closed, signs, and runs of anything else.
 TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"|".*|[{}\[\],:]|[^"{}\[\],:]++'
@@ -40,20 +40,29 @@ class Draws:
     seed: int
     key: Column
     name: str | Column
+    stems: dict[str, Column] = field(default_factory=dict)
 
-    def _tag(self, what: str, place: Column | None) -> Column:
-        tag = F.lit(f"{self.name}.{what}") if isinstance(self.name, str) else F.concat(self.name, F.lit(f".{what}"))
-        return tag if place is None else F.concat(tag, place.cast("string"))
+    def _stem(self, what: str) -> Column:
+        name = F.lit(f"{self.name}.{what}") if isinstance(self.name, str) else F.concat(self.name, F.lit(f".{what}"))
+        return self.stems.get(what, stem(self.seed, self.key, name))
+
+    def _hash(self, what: str, place: Column | None) -> Column:
+        return F.md5(self._stem(what) if place is None else F.concat(self._stem(what), place.cast("string")))
+
+    def once(self, whats: tuple[str, ...], use: Callable[[Draws], Column]) -> Column:
+        """use(draws) with what stands before the places of these draws made once, not for each place."""
+        made = F.struct(*[self._stem(w).alias(w) for w in whats])
+        return let(made, lambda s: use(replace(self, stems={w: s[w] for w in whats})))
 
     def u(self, what: str, place: Column | None = None) -> Column:
-        return u01(self.seed, self.key, self._tag(what, place))
+        return uniform(self.digits(what, place))
 
     def digits(self, what: str, place: Column | None = None) -> Column:
-        return hex8(self.seed, self.key, self._tag(what, place))
+        return F.substring(self._hash(what, place), 1, 8)
 
     def hit(self, p: float, what: str, place: Column | None = None) -> Column:
         """u(what, place) < p."""
-        return below(self.digits(what, place), p)
+        return below(self._hash(what, place), p)
 
     def pick(self, values: tuple[str, ...], what: str, place: Column | None = None) -> Column:
         return F.get(F.array(*map(F.lit, values)), F.floor(self.u(what, place) * len(values)).cast("int"))
@@ -70,7 +79,7 @@ def _each_token(text: Column, change: Callable[[Column, Column], Column]) -> Col
 def strip_quotes(text: Column, d: Draws, p: float = 0.6) -> Column:
     """Quotes around names of letters, digits and _ go, each with chance p."""
     name = lambda t: t.rlike(r'^"[A-Za-z0-9_]{1,50}"\z')
-    return _each_token(text, lambda t, i: F.when(name(t) & (d.hit(p, "t", i)), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+    return d.once(("t",), lambda d: _each_token(text, lambda t, i: F.when(name(t) & (d.hit(p, "t", i)), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)))
 
 
 def drop_commas(text: Column, d: Draws, p: float = 0.4) -> Column:

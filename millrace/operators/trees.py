@@ -4,6 +4,10 @@
 and the number of jobs is the depth of the deepest tree. `assemble` renders the deepest rows and folds each container's
 children into it, level by level, as pretty JSON, compact JSON and XML.
 
+`parsed` and `rendered` do the same inside a row, as one array of nodes: for texts that fit a row with what is made of them.
+Nothing is shuffled or written for that. `rewrite` and augmentation use these; rows are for nodes that are joined with other
+tables.
+
 Defined results: a text that is not exactly one JSON value has no rows (null, empty, cut off, something after the value,
 numbers beyond doubles; an object that repeats a key, unless spark.sql.variant.allowDuplicateKeys is set; more levels or bytes
 than a variant holds); numbers are doubles, and a negative zero in digits is zero; keys are in the order of their bytes; texts
@@ -12,12 +16,13 @@ that share keys are different trees only if the key columns tell them apart; an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..functions.columns import let
 from .corrupt import BLANK, lexed
 from .placing import materialised
 
@@ -148,8 +153,147 @@ def assemble(nodes: DataFrame, keys: Sequence[str], forms: Sequence[str] = FORMS
     return below.select(*keys, "kind", *forms)
 
 
-def rewrite(df: DataFrame, key: str, text: str, change) -> DataFrame:
+#: Where a node stands: names and places from the root down; `last` is 1 for the end of a container.
+_ORDER = "array<struct<last:int,name:string,place:int>>"
+NODE = f"struct<order:{_ORDER},path:string,top:string,depth:int,level:int,kind:string,name:string,leaf:string,number:double>"
+_OPEN = f"struct<order:{_ORDER},path:string,top:string,kind:string,level:int,n:int>"
+#: Nodes that are collected before their array is set aside: appending to one array copies it.
+CHUNK = 256
+
+
+def _none(kind: str) -> Column:
+    return F.expr("array()").cast(f"array<{kind}>")
+
+
+def _state(stack: Column, key: Column, nodes: Column, done: Column) -> Column:
+    return F.struct(stack.alias("stack"), key.alias("key"), nodes.alias("nodes"), done.alias("done"))
+
+
+def _node(s: Column, t: Column) -> Column:
+    """The node of a value's first token; the containers around it are on the stack, the nearest first."""
+    up, key, variant = F.get(s["stack"], 0), s["key"], F.try_parse_json(t)
+    root, named = F.size(s["stack"]) == 0, up["kind"] == "object"
+    tag = F.when(named, F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).otherwise(up["n"].cast("string"))
+    at = F.struct(F.lit(0).alias("last"), key.alias("name"), F.when(~named, up["n"]).alias("place"))
+    kind = (
+        F.when(t == "{", "object").when(t == "[", "array").when(t.startswith('"'), "string").when(t.isin("true", "false"), "boolean")
+        .when(t == "null", "null").otherwise("number")
+    )
+
+    def made(kind: Column) -> Column:
+        return F.struct(
+            F.when(root, _none(_ORDER[6:-1])).otherwise(F.concat(up["order"], F.array(at))).alias("order"),
+            F.when(root, "").otherwise(F.concat(up["path"], F.lit("/"), tag)).alias("path"),
+            F.when(F.size(s["stack"]) == 1, key).otherwise(up["top"]).alias("top"),
+            F.size(s["stack"]).alias("depth"),
+            F.when(root, 0).otherwise(up["level"] + F.when(named, 3).otherwise(2)).alias("level"),
+            kind.alias("kind"),
+            key.alias("name"),
+            F.when(kind == "string", F.try_variant_get(variant, "$", "string")).when(kind == "boolean", t).alias("leaf"),
+            F.when(kind == "number", F.try_variant_get(variant, "$", "double")).alias("number"),
+        )
+
+    return let(kind, made)
+
+
+def _step(s: Column, t: Column) -> Column:
+    """What a token does to the open containers, the name that waits for its value, and the nodes so far."""
+    stack, nodes, done, none = s["stack"], s["nodes"], s["done"], F.lit(None).cast("string")
+    up, rest = F.get(stack, 0), F.slice(stack, F.lit(2), F.greatest(F.size(stack) - 1, F.lit(0)))
+    names = F.coalesce(up["kind"] == "object", F.lit(False)) & s["key"].isNull() & t.startswith('"')
+
+    def with_node(n: Column) -> Column:
+        opened = F.struct(n["order"].alias("order"), n["path"].alias("path"), n["top"].alias("top"), n["kind"].alias("kind"), n["level"].alias("level"), F.lit(0).alias("n"))
+        full = F.size(nodes) >= CHUNK
+        return _state(
+            F.when(t.isin("{", "["), F.concat(F.array(opened), stack)).otherwise(stack), none,
+            F.when(full, F.array(n)).otherwise(F.array_append(nodes, n)), F.when(full, F.array_append(done, nodes)).otherwise(done),
+        )
+
+    return (
+        F.when(t.isin("", ":"), s)
+        .when(t == ",", _state(F.concat(F.array(up.withField("n", up["n"] + 1)), rest), none, nodes, done))
+        .when(t.isin("}", "]"), _state(rest, none, nodes, done))
+        .when(names, _state(stack, F.try_variant_get(F.try_parse_json(t), "$", "string"), nodes, done))
+        .otherwise(let(_node(s, t), with_node))
+    )
+
+
+def parsed(text: Column) -> Column:
+    """The nodes of a JSON text as an array of NODE, the root first; null where shred has no rows."""
+    start = _state(_none(_OPEN), F.lit(None).cast("string"), _none(NODE), _none(f"array<{NODE}>"))
+    step = lambda s, t: let(F.trim(t, F.lit(" \t\r\n")), lambda bare: _step(s, bare))
+    nodes = F.aggregate(lexed(text), start, step, lambda s: F.flatten(F.array_append(s["done"], s["nodes"])))
+    finite = lambda found: F.when(~F.exists(found, lambda n: F.coalesce(F.abs(n["number"]) == float("inf"), F.lit(False))), found)
+    return F.when(one_value(text) & F.try_parse_json(text).isNotNull(), let(nodes, finite))
+
+
+def _holds(e: Column) -> Column:
+    return e["kind"].isin("object", "array")
+
+
+def _events(nodes: Column) -> Column:
+    """Beginnings and ends of nodes in the order of the text, with the JSON of their names and scalars."""
+
+    def sides(n: Column) -> Column:
+        end = F.concat(n["order"], F.array(F.struct(F.lit(1).alias("last"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("place"))))
+        begins, ends = F.struct(n["order"].alias("order"), F.lit(False).alias("ends"), n.alias("n")), F.struct(end.alias("order"), F.lit(True).alias("ends"), n.alias("n"))
+        return F.when(_holds(n), F.array(begins, ends)).otherwise(F.array(begins))
+
+    def told(e: Column) -> Column:
+        n = e["n"]
+        scalar = F.when(n["kind"] == "string", fn.json_string(n["leaf"])).when(n["kind"] == "boolean", n["leaf"]).when(n["kind"] == "number", fn.json_number(n["number"])).otherwise("null")
+        opening, closing = F.when(n["kind"] == "object", "{").otherwise("["), F.when(n["kind"] == "object", "}").otherwise("]")
+        return F.struct(
+            e["ends"].alias("ends"), *[n[c].alias(c) for c in ("depth", "level", "kind", "name", "leaf", "number")],
+            F.when(n["name"].isNotNull() & ~e["ends"], fn.json_string(n["name"])).alias("quoted_name"),
+            F.when(e["ends"], closing).when(_holds(n), opening).otherwise(scalar).alias("sign"),
+        )
+
+    return F.transform(F.sort_array(F.flatten(F.transform(nodes, sides))), told)
+
+
+def _event_json(events: Column, pretty: bool) -> Column:
+    def one(e: Column, i: Column) -> Column:
+        before = F.get(events, i - 1)
+        first = (i == 0) | (_holds(before) & ~before["ends"])
+        gap = F.when(e["depth"] > 0, F.concat(F.lit("\n"), _pad(e["depth"]))).otherwise("") if pretty else F.lit("")
+        name = F.when(e["quoted_name"].isNotNull(), F.concat(e["quoted_name"], F.lit(": " if pretty else ":"))).otherwise("")
+        end = F.when(first, e["sign"]).otherwise(F.concat(F.lit("\n"), _pad(e["depth"]), e["sign"])) if pretty else e["sign"]
+        return F.when(e["ends"], end).otherwise(F.concat(F.when(first, "").otherwise(","), gap, name, e["sign"]))
+
+    return F.array_join(F.transform(events, one), "")
+
+
+def _event_xml(events: Column) -> Column:
+    def one(e: Column) -> Column:
+        pad = lambda n: _pad(e["level"] - n)
+        named, inner = e["name"].isNotNull(), e["depth"] > 0
+        key = F.when(fn.needs_cdata(e["name"]), fn.cdata(e["name"])).otherwise(e["name"])
+        scalar = F.when(e["kind"] == "string", fn.cdata(e["leaf"])).when(e["kind"] == "boolean", e["leaf"]).when(e["kind"] == "number", fn.xml_number(e["number"])).otherwise("null")
+        head = F.when(named, F.concat(pad(2), F.lit("<entry>\n"), pad(1), F.lit("<key>"), key, F.lit("</key>\n"))).otherwise("")
+        tail = F.when(named, F.concat(pad(2), F.lit("</entry>\n"))).otherwise("")
+        opened = F.concat(head, F.when(inner, F.concat(pad(1), F.lit("<value>\n"))).otherwise(""), pad(0), F.lit("<"), e["kind"], F.lit(">\n"))
+        closed = F.concat(pad(0), F.lit("</"), e["kind"], F.lit(">\n"), F.when(inner, F.concat(pad(1), F.lit("</value>\n"))).otherwise(""), tail)
+        value = F.concat(head, F.when(inner, pad(1)).otherwise(""), F.lit("<value>"), scalar, F.lit("</value>\n"), tail)
+        return F.when(e["ends"], closed).when(_holds(e), opened).otherwise(value)
+
+    return F.array_join(F.transform(events, one), "")
+
+
+def rendered(nodes: Column) -> Column:
+    """The text of an array of nodes in each of the forms, as a struct, null for null; keys come in the order of their bytes."""
+    texts = lambda e: F.struct(_event_json(e, True).alias("pretty"), _event_json(e, False).alias("compact"), _event_xml(e).alias("xml"))
+    return let(_events(nodes), lambda e: F.when(e.isNotNull(), texts(e)))
+
+
+def with_leaves(nodes: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """Nodes with the strings inside containers changed: change(leaf, path) is a column."""
+    return F.transform(nodes, lambda n: F.when((n["kind"] == "string") & (n["depth"] > 0), n.withField("leaf", change(n["leaf"], n["path"]))).otherwise(n))
+
+
+def rewrite(df: DataFrame, key: str, text: str, change: Callable[[Column, Column], Column]) -> DataFrame:
     """(key, kind, pretty, compact, xml) with the strings inside containers changed: change(leaf, path) is a column."""
-    nodes = shred(df, [key], text)
-    inside = (F.col("kind") == "string") & (F.col("depth") > 0)
-    return assemble(nodes.withColumn("leaf", F.when(inside, change(F.col("leaf"), F.col("path"))).otherwise(F.col("leaf"))), [key])
+    nodes = df.select(key, parsed(F.col(f"`{text}`")).alias("_nodes")).where("_nodes IS NOT NULL")
+    made = nodes.select(key, F.get("_nodes", 0)["kind"].alias("kind"), rendered(with_leaves(F.col("_nodes"), change)).alias("_made"))
+    return made.select(key, "kind", *[F.col(f"_made.{f}").alias(f) for f in FORMS])
