@@ -5,11 +5,12 @@ A step function takes the source ids and the ids so far and returns a logit for
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .tokens import BOS, EOS
@@ -19,13 +20,13 @@ Step = Callable[[Sequence[int], Sequence[int]], list[float]]
 
 def log_softmax(logits: Sequence[float]) -> list[float]:
     top = max(logits)
-    total = top + math.log(sum(math.exp(x - top) for x in logits))
+    total = top + math.log(sum(map(math.exp, [x - top for x in logits])))
     return [x - total for x in logits]
 
 
 def best(values: Sequence[float], k: int) -> list[int]:
     """Places of the k largest values, earlier ones first where equal."""
-    return heapq.nlargest(k, range(len(values)), key=lambda i: (values[i], -i))
+    return sorted(range(len(values)), key=values.__getitem__, reverse=True)[:k]
 
 
 def greedy(step: Step, source: Sequence[int], max_len: int) -> list[int]:
@@ -74,24 +75,47 @@ def beam(step: Step, source: Sequence[int], max_len: int, width: int = 3, alpha:
     return max(every, key=by_length)[1] if every else []
 
 
+#: Sources whose results a task remembers, and the ids of the longest of them.
+REMEMBERED, LONGEST = 100_000, 64
+
+
 def decode(df: DataFrame, make_step: Callable[[], Step], max_len: int, width: int = 1, alpha: float = 0.6, over_all: bool = False, column: str = "src_ids") -> DataFrame:
-    """df with `decoded`, array<int>; at most min(max_len, 2 * source) tokens; null for a null source."""
+    """df with `decoded`, array<int>; at most min(max_len, 2 * source) tokens; null for a null source.
+
+    A result depends on the source alone, so that a task searches once for sources that are equal.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded array<int>"
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = make_step()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, known = make_step(), {}
+
+        def found(ids: list[int]) -> list[int]:
+            most = min(max_len, 2 * len(ids))
+            return greedy(step, ids, most) if width <= 1 else beam(step, ids, most, width, alpha, over_all)
+
+        def remembered(key: bytes) -> list[int]:
+            out = known.get(key)
+            if out is None:
+                out = found(np.frombuffer(key, np.int64).tolist())
+                if len(key) <= 8 * LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = out
+            return out
+
         for batch in it:
-            found = []
-            for source in batch[column]:
-                if source is None:
-                    found.append(None)
-                    continue
-                ids = [int(x) for x in source]
-                most = min(max_len, 2 * len(ids))
-                found.append(greedy(step, ids, most) if width <= 1 else beam(step, ids, most, width, alpha, over_all))
-            yield batch.assign(decoded=found)
-
-    return df.mapInPandas(run, schema)
+            sources = batch.column(batch.schema.get_field_index(column))
+            ids = sources.flatten().cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(sources), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 8).tolist()
+            results = [remembered(ids[a:b]) for a, b in zip([0, *ends], ends)]
+            mask = sources.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.where(mask, 0, np.fromiter(map(len, results), np.int64, len(results)))
+            flat = np.fromiter((k for r, gone in zip(results, mask.tolist()) if not gone for k in r), np.int32, int(sizes.sum()))
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            decoded = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array(mask))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+
+    return df.mapInArrow(run, schema)
 
 
 def copy_step(vocab: int) -> Callable[[], Step]:
