@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import jsontext, xmltext
+from .memory import give_back
 from .types import TOKENS
 
 TAGS = r"</?(?:object|entry|key|value|array)>"
@@ -23,54 +25,90 @@ def _col(c: str | Column) -> Column:
 # --- vectorised
 
 
-@F.pandas_udf(T.StringType())
-def json_to_xml(text: pd.Series) -> pd.Series:
-    return text.map(xmltext.json_to_xml)
+#: Rows whose Python objects a task holds at a time.
+ROWS = 256
 
 
-@F.pandas_udf(T.StringType())
-def json_to_xml_compat(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: xmltext.json_to_xml(t, compat=True))
+def by_slices(kind: T.DataType, *, given: int = 1) -> Callable[[Callable], Callable]:
+    """A vectorised function of a function of one row's texts: Arrow batches are worked on a few rows at a time, so that a
+    worker's memory does not follow the size of a batch, and free memory goes back to the system."""
+    arrow = to_arrow_type(kind)
 
+    def slices(batch: tuple[pa.Array, ...], f: Callable) -> Iterator[pa.Array]:
+        for first in range(0, len(batch[0]), ROWS):
+            yield pa.array(map(f, *[c.slice(first, ROWS).to_pylist() for c in batch]), arrow)
 
-@F.pandas_udf(T.BooleanType())
-def json_valid(text: pd.Series) -> pd.Series:
-    return text.map(jsontext.valid)
+    def run_batches(batches: Iterator[tuple[pa.Array, ...]], f: Callable) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from slices(batch, f)
+            del batch
+            give_back()
 
+    def made(f: Callable) -> Callable:
+        if given == 1:
 
-@F.pandas_udf(T.StringType())
-def pretty_json(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: jsontext.pretty(jsontext.parse(t)) if jsontext.valid(t) else None)
+            def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                return run_batches(((t,) for t in texts), f)
 
+        else:
 
-@F.pandas_udf(T.StringType())
-def compact_json(text: pd.Series) -> pd.Series:
-    return text.map(jsontext.compact_text)
+            def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+                return run_batches(texts, f)
 
+        run.__annotations__ = {"texts": Iterator[pa.Array] if given == 1 else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+        return functools.wraps(f, assigned=("__name__", "__doc__"), updated=())(F.arrow_udf(run, kind))
 
-@F.pandas_udf(T.BooleanType())
-def xml_well_formed(text: pd.Series) -> pd.Series:
-    return text.map(xmltext.well_formed)
+    return made
 
 
-@F.pandas_udf(T.BooleanType())
-def xml_document(text: pd.Series) -> pd.Series:
-    return text.map(xmltext.is_document)
+@by_slices(T.StringType())
+def json_to_xml(text: str | None) -> str | None:
+    return xmltext.json_to_xml(text)
 
 
-@F.pandas_udf(TOKENS)
-def flatten_xml(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if (f := xmltext.flatten(t)) is None else [{"kind": k, "val": v} for k, v in f])
+@by_slices(T.StringType())
+def json_to_xml_compat(text: str | None) -> str | None:
+    return xmltext.json_to_xml(text, compat=True)
 
 
-@F.pandas_udf(T.BooleanType())
-def xml_same_meaning(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([xmltext.same_meaning(x, y) for x, y in zip(a, b)])
+@by_slices(T.BooleanType())
+def json_valid(text: str | None) -> bool:
+    return jsontext.valid(text)
 
 
-@F.pandas_udf(T.StringType())
-def xml_fault_kind(text: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([xmltext.fault_kind(t or "", int(n)) for t, n in zip(text, tokens)])
+@by_slices(T.StringType())
+def pretty_json(text: str | None) -> str | None:
+    return jsontext.pretty(jsontext.parse(text)) if jsontext.valid(text) else None
+
+
+@by_slices(T.StringType())
+def compact_json(text: str | None) -> str | None:
+    return jsontext.compact_text(text)
+
+
+@by_slices(T.BooleanType())
+def xml_well_formed(text: str | None) -> bool:
+    return xmltext.well_formed(text)
+
+
+@by_slices(T.BooleanType())
+def xml_document(text: str | None) -> bool:
+    return xmltext.is_document(text)
+
+
+@by_slices(TOKENS)
+def flatten_xml(text: str | None) -> list[dict] | None:
+    return None if (f := xmltext.flatten(text)) is None else [{"kind": k, "val": v} for k, v in f]
+
+
+@by_slices(T.BooleanType(), given=2)
+def xml_same_meaning(a: str | None, b: str | None) -> bool:
+    return xmltext.same_meaning(a, b)
+
+
+@by_slices(T.StringType(), given=2)
+def xml_fault_kind(text: str | None, tokens: int) -> str | None:
+    return xmltext.fault_kind(text or "", int(tokens))
 
 
 # --- native
