@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import by_slices
 from ..functions.types import IDS
 
 #: Ids of pad, bos, eos, unk, and the user-defined symbols that follow them.
@@ -76,8 +77,11 @@ class Model:
         self.mergeable = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
         # Where no piece has a space after its first characters, merges stay inside words and words can be remembered.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.mergeable)
-        self.words: dict[str, list[str]] = {}
+        self.words: dict[str, list[int]] = {}
         self.bytes = {int(m[1], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE and (m := _BYTE.fullmatch(p))}
+        # Texts of ids, the last for ids of no piece; None for bytes, which are put together first.
+        told = [None if kind == BYTE else " ⁇ ".strip() if kind == UNKNOWN else "" if kind == CONTROL else p for p, _, kind in self.pieces]
+        self.texts = [*told, told[self.unk]]
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -119,34 +123,40 @@ class Model:
             offer(a)
         return [p for p in parts if p]
 
-    def _split(self, text: str) -> list[str]:
-        """The pieces of text between user-defined symbols."""
+    def _ids(self, pieces: Iterable[str]) -> list[int]:
+        out: list[int] = []
+        for piece in pieces:
+            if piece in self.ids:
+                out.append(self.ids[piece])
+            elif self.bytes:
+                out += [self.bytes.get(b, self.unk) for b in piece.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unk)
+        return out
+
+    def _learn(self, word: str) -> list[int]:
+        if len(self.words) >= 200_000:
+            self.words.clear()
+        ids = self.words[word] = self._ids(self._merge(word))
+        return ids
+
+    def _split(self, text: str) -> list[int]:
+        """The ids of text between user-defined symbols."""
         if not self.by_word or SPACE * 2 in text:
-            return self._merge(text)
-        out: list[str] = []
+            return self._ids(self._merge(text))
+        out: list[int] = []
         for word in _WORD.findall(text):
-            pieces = self.words.get(word)
-            if pieces is None:
-                if len(self.words) >= 200_000:
-                    self.words.clear()
-                pieces = self.words[word] = self._merge(word)
-            out += pieces
+            out += self.words.get(word) or self._learn(word)
         return out
 
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
         """Ids of text, its white space collapsed where the model says so; user-defined symbols are never merged with others."""
-        text = (re.sub(r"\s+", " ", text).strip(" ") if self.strip else text).replace(" ", SPACE)
+        text = (" ".join(text.split()) if self.strip else text).replace(" ", SPACE)
         if self.dummy_prefix and text:
             text = SPACE + text
         out, at = [BOS] if bos else [], 0
         for m in [*(self.users.finditer(text) if self.users else ()), None]:
-            for piece in self._split(text[at : m.start() if m else len(text)]):
-                if piece in self.ids:
-                    out.append(self.ids[piece])
-                elif self.bytes:
-                    out += [self.bytes.get(b, self.unk) for b in piece.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(self.unk)
+            out += self._split(text[at : m.start() if m else len(text)])
             if m:
                 out.append(self.ids[m[0]])
                 at = m.end()
@@ -154,38 +164,26 @@ class Model:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8, controls left out, unknown ones and ids of no piece as U+2047."""
-        out, held = [], bytearray()
-
-        def flush() -> None:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-
-        for k in ids:
-            piece, _, kind = self.pieces[k if 0 <= k < len(self.pieces) else self.unk]
-            if kind == BYTE:
-                held.append(int(_BYTE.fullmatch(piece)[1], 16))
-                continue
-            flush()
-            out.append(" ⁇ ".strip() if kind == UNKNOWN else "" if kind == CONTROL else piece)
-        flush()
+        last = len(self.pieces)
+        ids = [k if 0 <= k < last else last for k in ids]
+        out = [self.texts[k] for k in ids]
+        if None in out:
+            out = [self._run(run) if whole else "".join(self.texts[k] for k in run) for whole, run in itertools.groupby(ids, lambda k: self.texts[k] is None)]
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def _run(self, ids: Iterable[int]) -> str:
+        """The text of a run of byte pieces."""
+        return bytes(int(_BYTE.fullmatch(self.pieces[k][0])[1], 16) for k in ids).decode("utf-8", "replace")
+
     def encoder(self, bos: bool = False, eos: bool = False):
         """A vectorised function text -> array<int>; the model travels with it."""
 
-        @F.pandas_udf(IDS)
-        def run(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: None if t is None else self.encode(t, bos, eos))
-
-        return run
+        return by_slices(IDS)(lambda text: None if text is None else self.encode(text, bos, eos))
 
     def decoder(self):
-        @F.pandas_udf(T.StringType())
-        def run(ids: pd.Series) -> pd.Series:
-            return ids.map(lambda x: None if x is None else self.decode(int(k) for k in x))
-
-        return run
+        """A vectorised function array<int> -> text."""
+        return by_slices(T.StringType())(lambda ids: None if ids is None else self.decode(ids))
 
 
 def corpus_lines(train: DataFrame, val: DataFrame, most: int | None = 200_000, order: str = "sample_id") -> DataFrame:
