@@ -30,6 +30,7 @@ result is replaced by it.
 from __future__ import annotations
 
 import codecs
+import gc
 import itertools
 import json
 import re
@@ -517,11 +518,14 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], column:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = work(shipped.value)
-        for batch in row_slices(it, 1024):
+        for batch in row_slices(it):
             made = make(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=named)
             del made
             give_back()
+        del make  # the tables go before the next task of this worker makes its own
+        gc.collect()
+        give_back()
 
     kinds = [*(f.dataType.simpleString() for f in taken.schema.fields[:-1]), *out.values()]
     return taken.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(named, kinds))).toDF(*keep, *out)
