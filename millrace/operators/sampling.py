@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.rng import u01
 
 #: Lower bounds in bytes of the length strata after the first.
 STRATA = (1500, 2500, 3500, 4500)
-#: Rows of a bucket of hashes, and the most buckets, whose counts are broadcast.
+#: Rows of a bucket of hashes, and the most buckets.
 BUCKET, MOST_BUCKETS = 10_000, 1 << 16
 
 
@@ -28,33 +30,53 @@ def length_range(df: DataFrame, column: str = "input", least: int = 0, most: int
 
 def stratum(n: Column, bounds: Sequence[int] = STRATA) -> Column:
     """Number of the stratum of a length: 0 below the first bound."""
-    found = F.lit(0)
-    for b in bounds:
-        found = found + (n >= b).cast("int")
-    return found
+    return let(n, lambda n: functools.reduce(lambda found, b: found + (n >= b).cast("int"), bounds, F.lit(0)))
 
 
-def _count_below(df: DataFrame, per: DataFrame, group: list[str], key: str, seed: int, draw: str) -> DataFrame:
-    """Rows whose rank by hash within the group is at most the group's `_take`, without ranking whole groups in one task.
+def _drawn(df: DataFrame, group: str, key: str, seed: int, draw: str) -> DataFrame:
+    """The group, the key and the uniform `_u` of each row, kept beside the texts: all that ranks need."""
+    from .placing import materialised
 
-    The hash is cut into buckets of about BUCKET rows; counts per bucket say in which bucket the last row taken lies, and
-    only rows of that bucket are ranked.
+    return materialised(df.select(group, u01(seed, key, draw).alias("_u"), F.col(key).alias("_key")))
+
+
+def _first(df: DataFrame, drawn: DataFrame, takes: DataFrame, group: str, key: str, seed: int, draw: str) -> DataFrame:
+    """Rows whose rank by uniform and key within the group is at most the group's `_take`, without ranking whole groups in one task.
+
+    The uniform is cut into buckets of about BUCKET rows; counts per bucket say in which bucket the last row taken lies, and
+    only that bucket is ranked. The last row of each of the few groups is then a bound in a filter, so that the rows are read
+    once more and nothing is made of those left out. Rows that share a group's last key are ranked if not all of them fit.
     """
-    buckets = min(MOST_BUCKETS, max(256, df.count() // BUCKET))
-    u = u01(seed, key, draw)
-    hashed = df.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
-    counts = hashed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = min(MOST_BUCKETS, max(256, drawn.count() // BUCKET))
+    drawn = drawn.withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
+    counts = drawn.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    need = counts.join(per, group).where(F.col("_before") < F.col("_take")).select(
-        *group, "_bucket", (F.col("_take") - F.col("_before")).alias("_left"), "_n"
-    )
-    joined = hashed.join(F.broadcast(need), [*group, "_bucket"])  # groups * buckets rows at most
-    whole = joined.where(F.col("_n") <= F.col("_left"))
-    part = joined.where(F.col("_n") > F.col("_left"))
-    order = Window.partitionBy(*group, "_bucket").orderBy("_u", key)
-    part = part.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_left")).drop("_rank")
-    return whole.unionByName(part).drop("_u", "_bucket", "_left", "_n")
+    edge = counts.join(takes, group).where((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_n") >= F.col("_take")))
+    edge = drawn.join(F.broadcast(edge.select(group, "_bucket", (F.col("_take") - F.col("_before")).alias("_left"))), [group, "_bucket"])
+    edge = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_u", "_key")))
+    tied = edge.groupBy(group, "_left", "_u", "_key").agg(F.min("_rank").alias("_from"), F.count(F.lit(1)).alias("_equal"))
+    last = tied.where((F.col("_from") <= F.col("_left")) & (F.col("_from") + F.col("_equal") > F.col("_left")))
+    last = last.withColumn("_fit", F.col("_left") - F.col("_from") + 1).collect()  # a row for each group at most
+    split = {r[group]: r["_fit"] for r in last if r["_fit"] < r["_equal"]}
+    row = F.struct(F.col(group).alias("_group"), F.struct(u01(seed, key, draw).alias("_u"), F.col(key).alias("_key")).alias("_place"))
+
+    def compared(row: Column, those: list, how: Callable[[Column, Column, object], Column]) -> Column:
+        found = F.lit(False)
+        for r in those:
+            bound = F.struct(F.lit(r["_u"]).alias("_u"), F.lit(r["_key"]).cast(drawn.schema["_key"].dataType).alias("_key"))
+            found = found | (row["_group"].eqNullSafe(F.lit(r[group])) & how(row["_place"], bound, r[group]))
+        return found
+
+    below = lambda place, bound, g: place < bound if g in split else place <= bound
+    most = max((r["_u"] for r in last), default=-1.0)
+    kept = df.where((u01(seed, key, draw) <= most) & let(row, lambda r: compared(r, last, below)))
+    if not split:
+        return kept
+    fit = F.create_map(*[F.lit(x) for pair in split.items() for x in pair])
+    at = let(row, lambda r: compared(r, [x for x in last if x[group] in split], lambda place, bound, g: place == bound))
+    ranked = df.where(at).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    return kept.unionByName(ranked.where(F.col("_rank") <= fit[F.col(group)]).drop("_rank"))
 
 
 def stratified_sample(df: DataFrame, pct: float, column: str = "input", key: str = "sample_id", seed: int = 42, bounds: Sequence[int] = STRATA) -> DataFrame:
@@ -65,7 +87,8 @@ def stratified_sample(df: DataFrame, pct: float, column: str = "input", key: str
     spark, strata = df.sparkSession, len(bounds) + 1
     rows = df.withColumn("stratum", stratum(F.octet_length(column), bounds))
     every = spark.range(strata).select(F.col("id").cast("int").alias("stratum"))
-    counts = every.join(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("cnt")), "stratum", "left").fillna(0)
+    drawn = _drawn(rows, "stratum", key, seed, "stratified")
+    counts = every.join(drawn.groupBy("stratum").agg(F.count(F.lit(1)).alias("cnt")), "stratum", "left").fillna(0)
     whole = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # `strata` rows
     lower = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
     quota = F.floor(F.floor(F.sum("cnt").over(whole) * pct / 100) / strata)
@@ -75,14 +98,15 @@ def stratified_sample(df: DataFrame, pct: float, column: str = "input", key: str
     plan = plan.withColumn("missing", F.sum("short").over(whole)).withColumn("before", F.coalesce(F.sum("spare").over(lower), F.lit(0)))
     extra = F.least(F.col("spare"), F.greatest(F.col("missing") - F.col("before"), F.lit(0)))
     takes = plan.select("stratum", (F.least("cnt", "q") + extra).alias("_take"))
-    return _count_below(rows, takes, ["stratum"], key, seed, "stratified").drop("_before", "_take")
+    return _first(rows, drawn, takes, "stratum", key, seed, "stratified")
 
 
 def random_sample(df: DataFrame, pct: float, key: str = "sample_id", seed: int = 42) -> DataFrame:
     """Exactly floor(n * pct / 100) rows."""
     one = df.withColumn("_all", F.lit(1))
-    takes = one.groupBy("_all").agg(F.floor(F.count(F.lit(1)) * pct / 100).alias("_take"))
-    return _count_below(one, takes, ["_all"], key, seed, "random").drop("_all", "_before", "_take")
+    drawn = _drawn(one, "_all", key, seed, "random")
+    takes = drawn.groupBy("_all").agg(F.floor(F.count(F.lit(1)) * pct / 100).alias("_take"))
+    return _first(one, drawn, takes, "_all", key, seed, "random").drop("_all")
 
 
 def permutation(df: DataFrame, key: str = "sample_id", seed: int = 42, skip: int = 0) -> DataFrame:
