@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -268,7 +269,7 @@ def json_string(c: str | Column) -> Column:
     """A string as JSON text: control characters, quotes, and < > & and the two line separators escaped."""
     each = lambda text, pairs: functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
     hexed = lambda signs: [(s, f"\\u{ord(s):04x}") for s in signs]
-    out = each(_col(c), _SHORT)
+    out = let(each(_col(c), _SHORT[:2]), lambda t: F.when(t.rlike(r"[\x08-\x0d]"), each(t, _SHORT[2:])).otherwise(t))
     out = let(out, lambda t: F.when(t.rlike(r"[<>&\u2028\u2029]"), each(t, hexed(_MARKUP))).otherwise(t))
     out = let(out, lambda t: F.when(t.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), each(t, hexed(_RARE))).otherwise(t))
     return F.concat(F.lit('"'), out, F.lit('"'))
@@ -276,6 +277,7 @@ def json_string(c: str | Column) -> Column:
 
 #: Characters that XML 1.0 text cannot hold.
 _NOT_XML = r"[^\x09\x0a\x0d\x20-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"
+NOT_XML_TEXT = re.compile("[^\x09\x0a\x0d\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 #: What has to be looked at again: most texts have none of it, and each character is told faster.
 _RARE_IN_XML = r"[^\x0a\x20-\x{d7ff}]"
 

@@ -16,7 +16,7 @@ that share keys are different trees only if the key columns tell them apart; an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -281,9 +281,14 @@ def _event_xml(events: Column) -> Column:
     return F.array_join(F.transform(events, one), "")
 
 
-def rendered(nodes: Column) -> Column:
-    """The text of an array of nodes in each of the forms, as a struct, null for null; keys come in the order of their bytes."""
-    texts = lambda e: F.struct(_event_json(e, True).alias("pretty"), _event_json(e, False).alias("compact"), _event_xml(e).alias("xml"))
+def rendered(nodes: Column, wanted: Mapping[str, Column] | None = None) -> Column:
+    """The text of an array of nodes in each of the forms, as a struct, null for null; keys come in the order of their bytes.
+    `wanted` has conditions of forms that are left null where they do not hold."""
+
+    def texts(e: Column) -> Column:
+        made = {"pretty": _event_json(e, True), "compact": _event_json(e, False), "xml": _event_xml(e)}
+        return F.struct(*[(F.when(wanted[f], x) if wanted else x).alias(f) for f, x in made.items()])
+
     return let(_events(nodes), lambda e: F.when(e.isNotNull(), texts(e)))
 
 

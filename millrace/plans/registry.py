@@ -627,7 +627,7 @@ _A03 = augment.Settings(variants=2, truncate_pct=20.0)
       count(*) FILTER (input IS NULL) AS failed, count(*) FILTER (corrupted) AS corrupted, count(*) FILTER (compacted) AS compacted, count(*) FILTER (truncated) AS truncated FROM made""",
 )
 def a03(spark: SparkSession, d: str) -> DataFrame:
-    return augment.counters(augment.make_variants(agent_json(table(spark, d, "documents")), _A03))
+    return augment.count_variants(agent_json(table(spark, d, "documents")), _A03)
 
 
 def tool_calls(docs: DataFrame) -> DataFrame:
